@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder, read again. Unlike cut() it keeps no order, and takes less room."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """Gapless numbers from 0 in the order of the columns, without a global window.
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutscape.llm import chat, decontam, license_scan, sharding
+from cutscape.llm import chat, decontam, license_scan, packing, sharding, token_io
+from cutscape.llm.common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """Place of the tokenizer's file; only its path goes to the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = packing.pieces(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
+    return packing.packed(cut_up, 4096).withColumnRenamed("_id", "doc_id")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    files = token_io.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=2)
+    return token_io.read_tokens(spark, files).withColumnRenamed("id", "doc_id")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = spark.sql(
         "select cast(-7 as bigint) conv_id, turn, role, '</s>[INST] ok [/INST]' text"
@@ -90,7 +109,7 @@ from dw left join hit_words using (doc_id) left join items using (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_sharding, op5_chat_formatting, op8_decontamination)
+    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op8_decontamination, op9_token_files)
     return {f.__name__: f for f in ops}
 
 
