@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutscape.llm import chat, decontam, license_scan, packing, sharding, token_io
+from cutscape.llm import chat, decontam, license_scan, packing, sharding, token_io, warc
 from cutscape.llm.common import shared_path
 
 
@@ -108,10 +108,31 @@ from dw left join hit_words using (doc_id) left join items using (doc_id)
 """
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    read = warc.read_archives(spark, files)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha1(body) as h, min(page_id) over (partition by body) as first from p),
+b as (
+  select *, list_transform(range(0, 8), lambda i: cast('0x' || substr(h, cast(i * 5 + 1 as integer), 5) as integer)) as v from d
+)
+select page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op8_decontamination, op9_token_files)
+    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op8_decontamination, op9_token_files, op10_warc)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
