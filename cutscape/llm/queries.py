@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutscape.llm import chat, decontam, license_scan, packing, sharding, token_io, warc
+from cutscape.llm import chat, decontam, fingerprint, license_scan, packing, sharding, token_io, warc
 from cutscape.llm.common import shared_path
 
 
@@ -71,6 +71,15 @@ from escaped group by conv_id
 """
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+    return both.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_text("sketch").alias("fingerprint"), fingerprint.as_text("edited_sketch").alias("edited_fingerprint"),
+        fingerprint.jaccard("sketch", "edited_sketch").alias("near_edited"), fingerprint.jaccard("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -130,7 +139,7 @@ from b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op8_decontamination, op9_token_files, op10_warc)
+    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc)
     return {f.__name__: f for f in ops}
 
 
