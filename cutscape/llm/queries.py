@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutscape.llm import chat, decontam, fingerprint, license_scan, packing, sharding, token_io, warc
+from cutscape.llm import chat, decontam, fingerprint, license_scan, packing, sharding, token_io, toxicity, warc
 from cutscape.llm.common import shared_path
 
 
@@ -71,6 +71,14 @@ from escaped group by conv_id
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.scored(docs.select("doc_id", "text"), machine).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
     return both.select(
@@ -139,7 +147,7 @@ from b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc)
+    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc)
     return {f.__name__: f for f in ops}
 
 
