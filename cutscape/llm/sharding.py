@@ -1,6 +1,6 @@
 """Sharding by a Feistel permutation with cycle walking.
 
-Rows get gapless global numbers in the order of the id. A keyed Feistel network permutes a rectangle of a * b >= n
+Rows get gapless global numbers (by slices of a hash of the id, in a slice by id). A keyed Feistel network permutes a rectangle of a * b >= n
 numbers; a result of n or more is permuted again until it falls below n (cycle walking), which makes it a permutation
 of 0..n-1. Row p of the shuffled order goes to shard p mod shards, slot p div shards: shard and slot of any row number
 can be computed alone, shards differ by one row at most, slots are gapless.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutscape.llm.common import with_row_number
+from cutscape.llm.common import with_number
 
 PRIME = (1 << 31) - 1
 
@@ -65,8 +65,8 @@ def sharded(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text"
     narrow = docs.select(
         F.col(id).alias("_id"), (F.octet_length(content) + 16).cast("long").alias("size"), F.crc32(content).alias("text_crc32")
     )
-    numbered = with_row_number(narrow, ["_id", "size", "text_crc32"])
-    n = numbered.count()
+    numbered = with_number(narrow, [], ["_id", "size", "text_crc32"])
+    n = docs.count()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
