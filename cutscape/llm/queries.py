@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutscape.llm import chat, decontam, fingerprint, license_scan, packing, sharding, token_io, toxicity, warc
+from cutscape.llm import chat, decontam, fingerprint, license_scan, ngram_join, packing, sharding, token_io, toxicity, warc
 from cutscape.llm.common import shared_path
 
 
@@ -27,6 +27,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(list_slice(w, i, i + 4), ' ') end as g
+  from w, lateral (select unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i) where len(w) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id),
+o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+), l as (
+  select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 80 * (x.n + y.n - o)
+), r(doc_id, c) as (
+  select doc_id, doc_id from documents union select l.a, r.c from r join l on l.b = r.doc_id
+)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.c) as component_id
+from documents d join r using (doc_id) left join n using (doc_id) group by d.doc_id
+"""
+
+
 def vocabulary() -> str:
     """Place of the tokenizer's file; only its path goes to the executors."""
     import public_tokenizers
@@ -147,9 +171,9 @@ from b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_sharding, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc)
+    ops = (op1_license_scan, op2_sharding, op3_ngram_jaccard, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
