@@ -12,7 +12,8 @@ fewer words the whole sequence, without words nothing. Two documents link when t
 2. The global order of what is left: by a count sketch of its shingles (a fixed table summed over all of them), rare
    ones first, then by hash. A linking pair has one of its first (size - least overlap + 1) shingles in common.
 3. Pairs without squares. All members of a shingle's group are first compared with one member (stars); what links is
-   one component, whose members need no comparison with each other. Then only pairs of different components are listed.
+   one component, whose members need no comparison with each other. Then only pairs of different components are listed,
+   and of these only such as can link if the group's shingle is their first common one (for one group it is).
    So large groups of near copies cost a comparison for each member, and no link between components is lost.
 4. Verification by vertical partitioning: the sets are cut into fragments of the global order, the overlap of a pair is
    counted in each fragment on its own, and the counts are summed for each pair.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutscape.llm.common import SPACE_BYTES, components, written
@@ -244,7 +245,11 @@ def candidate_sets(docs: DataFrame, digests: DataFrame, text: str, percent: int,
 
 
 def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, class, n) of the repeated shingles among the first (size - least overlap + 1) of each set, rare ones first."""
+    """(token, class, n, r) of the repeated shingles among the first (size - least overlap + 1) of each set, rare ones first.
+
+    r is the number of the set's shingles from this one on, the most that it can have in common with a set of which this
+    is the first common shingle.
+    """
     width = COUNTERS // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,16 +271,16 @@ def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [np.zeros((3, 0), np.int64)]
+            rows = [np.zeros((4, 0), np.int64)]
             for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
                 tokens = np.frombuffer(content, np.uint64)
                 times = shared.value[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
                 first = np.lexsort((tokens, times))[: n - least_overlap(n, percent) + 1]
-                kept = tokens[first[times[first] > 1]].view(np.int64)
-                rows.append(np.stack([kept, np.full(len(kept), key), np.full(len(kept), n)]))
-            yield pd.DataFrame(np.concatenate(rows, 1).T, columns=["token", "class", "n"])
+                at = np.flatnonzero(times[first] > 1)
+                rows.append(np.stack([tokens[first[at]].view(np.int64), np.full(len(at), key), np.full(len(at), n), n - at]))
+            yield pd.DataFrame(np.concatenate(rows, 1).T, columns=["token", "class", "n", "r"])
 
-    return written(sets.mapInPandas(prefixes, "token bigint, class bigint, n bigint"), "prefixes")
+    return written(sets.mapInPandas(prefixes, "token bigint, class bigint, n bigint, r bigint"), "prefixes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
@@ -310,9 +315,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = F
 def linked_roots(sets: DataFrame, percent: int, stars: int = 2) -> DataFrame:
     """(class, root) of every class that links with another."""
     prefixes = ordered_prefixes(sets, percent)
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  sizes that can link
     links = tried = roots = None
 
+    def fits(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
+        """Whether sets of these sizes can link if their first common shingle has ra and rb shingles from it on."""
+        most = F.least(ra, rb)
+        return 100 * most >= percent * (na + nb - most)
+
     def by_component() -> DataFrame:
         if roots is None:
             return prefixes.withColumn("c", F.col("class"))
@@ -327,19 +336,19 @@ def linked_roots(sets: DataFrame, percent: int, stars: int = 2) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = written(components(links).select(F.col("node").alias("class"), "root"), f"roots-{what}")
 
-    for k in range(stars):
-        pick = F.struct(F.xxhash64("class", F.lit(k)), "class", "n", "c")
+    for k in range(stars):  # the first hubs are those with the fewest rare shingles: they link with most others
+        pick = F.struct(F.col("n") - F.col("r") if k == 0 else F.xxhash64("class", F.lit(k)), "class", "n", "r", "c")
         members = by_component().groupBy("token", "c").agg(F.min(pick).alias("m")).select("token", "m")
         hubs = members.groupBy("token").agg(F.min("m").alias("h"), F.count("*").alias("k")).filter("k > 1").drop("k")
-        rays = members.join(hubs, "token").filter((F.col("m.c") != F.col("h.c")) & fits(F.col("m.n"), F.col("h.n")))
+        rays = members.join(hubs, "token").filter((F.col("m.c") != F.col("h.c")) & fits(F.col("m.n"), F.col("m.n"), F.col("h.n"), F.col("h.n")))
         compare(rays.select(F.col("m.class").alias("a"), F.col("h.class").alias("b")), f"star{k}")
     placed = by_component()
     groups = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.mode("c").alias("most"))
     groups = groups.filter("low < high").select("token", "most")
     mixed_groups = placed.join(groups, "token")
-    others = mixed_groups.filter("c <> most").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    rest = others.join(mixed_groups.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "token")
-    rest = rest.filter((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
+    others = mixed_groups.filter("c <> most").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
+    rest = others.join(mixed_groups.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb")), "token")
+    rest = rest.filter((F.col("ca") != F.col("cb")) & fits(*map(F.col, ("na", "ra", "nb", "rb"))))
     compare(rest.select("a", "b"), "rest")
     return roots
 
