@@ -130,18 +130,18 @@ def from_six(content: bytes) -> np.ndarray:
 
 
 def narrow(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_t"))
+    return docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("_t"))
 
 
 def set_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """(_id, n_shingles, class) of every row."""
+    """(_id, text_hash, n_shingles, class) of every row."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(batch["_t"], n)
-            yield pd.DataFrame({"_id": batch["_id"], "n_shingles": [len(s) for s in sets], "class": [class_of(s) for s in sets]})
+            yield pd.DataFrame({"_id": batch["_id"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "class": [class_of(s) for s in sets]})
 
-    return narrow(docs, id, text).mapInPandas(digest, f"_id {docs.schema[id].dataType.simpleString()}, n_shingles bigint, class bigint")
+    return narrow(docs, id, text).mapInPandas(digest, f"_id {docs.schema[id].dataType.simpleString()}, text_hash bigint, n_shingles bigint, class bigint")
 
 
 def repeated_counts(docs: DataFrame, text: str, percent: int, n: int) -> DataFrame:
@@ -354,7 +354,9 @@ def linked_roots(sets: DataFrame, percent: int, stars: int = 2) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links, its own included."""
+    """(id, n_shingles, component_id, text_hash) of every row; component_id is the smallest id reachable by links, its own
+    included, and text_hash (xxhash64) tells rows of one id apart.
+    """
     digests = written(set_digests(docs, id, text, n), "digests")
     sets = candidate_sets(docs, digests, text, percent, n)
     least = digests.filter("n_shingles > 0").groupBy("class").agg(F.min("_id").alias("own"))
@@ -363,4 +365,4 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     classes = least.join(roots.join(named, "root").select("class", "low"), "class", "left")
     classes = classes.select("class", F.coalesce("low", "own").alias("component_id"))
     told = digests.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class"))).join(classes, "class", "left")
-    return told.select(F.col("_id").alias(id), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    return told.select(F.col("_id").alias(id), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"), "text_hash")
