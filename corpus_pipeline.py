@@ -1,15 +1,63 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, best-fit packing.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; all but the last return the columns of
+documents. run() applies them to the table documents, each stage's rows written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cutscape.llm import decontam, ngram_join, packing, toxicity
+from cutscape.llm.common import written
+
+#: A document goes at this score or more.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine doesn't reject; it learns from labels that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
+    machine = toxicity.learn(docs, labels)
+    return toxicity.scored(docs, machine, name="_score").filter(F.col("_score") < TOXIC).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; rows with an id of null stay."""
+    near = written(ngram_join.near_components(docs), "near")
+    gone = near.filter("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti")
+    repeats = near.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "text_hash"]) if repeats else kept).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the spans that they share with benchmark items; without those that are mostly such spans."""
+    return decontam.without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their sequence and offset."""
+    cut_up = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.packed(cut_up, 4096).withColumnRenamed("_id", "doc_id")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+#: SQL can't express the learned scores and the tokenizer; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, name)
     return docs
