@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutscape.plans import profiles
+from cutscape.plans import edits, profiles
 
-MODULES = (profiles,)
+MODULES = (profiles, edits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
