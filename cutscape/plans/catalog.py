@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutscape.plans import edits, profiles
+from cutscape.plans import analysis, edits, profiles
 
-MODULES = (profiles, edits)
+MODULES = (profiles, edits, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
