@@ -1,7 +1,7 @@
 """Best-fit packing of documents into token sequences of one length.
 
 A document's ids, with an end id, are cut into pieces of at most `capacity` tokens (only longer documents are cut). The
-pieces go into sequences by best-fit decreasing in bulk steps. The pieces are sorted by length over all partitions; a
+pieces go into sequences by best-fit decreasing in bulk steps. The pieces are ranked by falling length over all partitions; a
 step takes all pieces of one length, finds the successor among the gaps (the smallest gap that is large enough), matches
 pieces and gaps of the same size by rank, updates the gaps and repeats; pieces without a gap open new sequences.
 
@@ -9,8 +9,8 @@ Gaps of one size are interchangeable, so the steps run over counts: the lengths
 neighbouring sequences with one gap. Their state is bounded by the capacity, whatever the number of documents; the
 pieces themselves never leave the executors, where each finds its sequence and its place from its global rank.
 
-A null or empty text is the end id alone. Equal rows are packed one by one; equal lengths are ranked by id, piece and
-checksum. An empty table gives no sequences. Other columns are not carried on.
+A null or empty text is the end id alone. Equal rows are packed one by one; equal lengths are ranked by slices of
+a hash of id, piece and checksum. An empty table gives no sequences. Other columns are not carried on.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutscape.llm.common import with_row_number
+from cutscape.llm.common import with_number, written
 from cutscape.llm.tokens import encoder
 
 
@@ -87,8 +87,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id: str
 
 def packed(cut: DataFrame, capacity: int) -> DataFrame:
     """pieces()'s rows with sequence_id and offset."""
-    ranked = with_row_number(cut.withColumn("_fall", -F.col("length")), ["_fall", "_id", "piece", "ids_crc32"])
-    counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    cut = written(cut, "pieces")
+    ranked = with_number(cut.withColumn("_fall", -F.col("length")), ["_fall"], ["_id", "piece", "ids_crc32"])
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = np.array(best_fit_steps(counts, capacity), np.int64).reshape(-1, 3)
     shared = cut.sparkSession.sparkContext.broadcast(steps)
 

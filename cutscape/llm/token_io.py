@@ -32,7 +32,7 @@ from cutscape.llm.tokens import encoder
 
 MAGIC = b"CTOK1\0\0\0"
 #: Most ids of a file.
-FILE_IDS = 8_000_000
+FILE_IDS = 2_000_000
 #: The key that stands for null.
 NULL = -(1 << 63)
 #: Lengths of the four codes of a control byte.

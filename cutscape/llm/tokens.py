@@ -16,7 +16,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Entries of each of the two generations.
-KEEP = 400_000
+KEEP = 200_000
 MARKS = b".,;:!?|"
 
 
