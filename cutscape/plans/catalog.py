@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutscape.plans import analysis, edits, profiles
+from cutscape.plans import analysis, edits, prediction, profiles
 
-MODULES = (profiles, edits, analysis)
+MODULES = (profiles, edits, analysis, prediction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
