@@ -207,6 +207,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, most_coverage: float = 0
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     kept = docs
+    strings = [c for c, kind in docs.dtypes if kind == "string"]
     for k in range(blocks := -(-total // BLOCK_BYTES) or 1):
         part = items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k)
         shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["t"])) for r in part.collect()])
@@ -216,10 +217,10 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, most_coverage: float = 0
             for batch in batches:
                 done = [cleaned(t, automaton, most_coverage) for t in batch["text"]]
                 keep = [d is not None for d in done]
-                out = batch[keep].copy()
-                cut_ = [d for d in done if d is not None]
-                out["text"] = [t if d is True else d for t, d in zip(out["text"], cut_)]
-                out["n_chars"] = [n if d is True else len(d) for n, d in zip(out["n_chars"], cut_)]
+                out = batch[keep].astype({c: object for c in strings})  # plain columns: Arrow takes no filtered chunks
+                left = [d for d in done if d is not None]
+                out["text"] = pd.Series([t if d is True else d for t, d in zip(out["text"], left)], out.index, object)
+                out["n_chars"] = [n if d is True else len(d) for n, d in zip(out["n_chars"], left)]
                 yield out
 
         kept = kept.mapInPandas(scan, docs.schema)

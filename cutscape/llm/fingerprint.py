@@ -26,12 +26,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
     """df with the sketch of a text column: an ordered array of distinct hashes."""
     words = F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-    below = -(1 << 63) + (1 << 64) // scale
+    last = -(1 << 63) + (1 << 64) // scale - 1
     df = df.withColumn("_w", words).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     five = F.transform(F.sequence(F.lit(0), F.size("_h") - 5), lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(5))))
     whole = F.array(F.xxhash64(F.concat_ws(" ", "_w")))
     shingles = F.when(F.size("_h") >= 5, five).when(F.size("_h") > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_s", shingles).withColumn("_k", F.filter("_s", lambda h: h < below))
+    df = df.withColumn("_s", shingles).withColumn("_k", F.filter("_s", lambda h: h <= last))
     kept = F.when((F.size("_k") == 0) & (F.size("_s") > 0), F.array(F.array_min("_s"))).otherwise(F.col("_k"))
     return df.withColumn(name, F.array_sort(F.array_distinct(kept))).drop("_w", "_h", "_s", "_k")
 

@@ -40,7 +40,7 @@ FRAGMENTS = 4
 #: Counters of the sketch that orders shingles.
 COUNTERS, SLICES = 1 << 20, 64
 #: Shingles that a task holds before it sends them on; bytes of text that are hashed at a time.
-HELD, BLOCK = 2_000_000, 1 << 20
+HELD, BLOCK = 1_000_000, 1 << 19
 #: Most bits of the filter that marks candidate classes.
 FILTER_BITS = 1 << 26
 #: The owner that stands for several.
