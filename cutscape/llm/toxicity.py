@@ -32,7 +32,8 @@ from cutscape.llm.common import WORD_BYTES, written
 BUCKETS, SLICES = 1 << 18, 64
 #: Most labelled rows that teach.
 ROWS = 20_000
-KEPT_WORDS = 300_000
+#: Words whose terms a task remembers: with and without a choice of buckets (then a word's terms take a kilobyte).
+KEPT_WORDS, ALL_WORDS = 200_000, 30_000
 
 
 def bucket(term: bytes) -> int:
@@ -51,6 +52,7 @@ class Terms:
     def __init__(self, kept: np.ndarray | None = None) -> None:
         self.kept = None if kept is None else {int(b): i for i, b in enumerate(kept)}
         self.known: dict[bytes, tuple] = {}
+        self.most = ALL_WORDS if kept is None else KEPT_WORDS
 
     def _learn(self, word: bytes) -> tuple:
         """(bucket, what to report if present, what to report if repeated; -1 for nothing) of each term that matters."""
@@ -60,7 +62,7 @@ class Terms:
             a, b = (one, two) if self.kept is None else (self.kept.get(one, -1), self.kept.get(two, -1))
             if a >= 0 or b >= 0:
                 found.append((one, a, b))
-        if len(self.known) >= KEPT_WORDS:
+        if len(self.known) >= self.most:
             self.known.clear()
         self.known[word] = out = tuple(found)
         return out
