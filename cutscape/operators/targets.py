@@ -17,9 +17,15 @@ REACH, LONGEST_DELETION, LONGEST_INSERT = 4, 30, 2
 WINDOWS = ((0, 10), (5, 15), (-15, -5), (-10, 0))
 
 
-def _shifts(text: Column, limit: Column, x, y) -> Column:
-    """Number of steps k = 0, 1, ... below limit for which characters x(k) and y(k) of text agree."""
-    steps = F.filter(F.sequence(F.lit(0), limit - 1), lambda k: base(text, x(k)) != base(text, y(k)))
+def letters(seq: Column) -> Column:
+    """The letters as an array, whose places are found at once; make it a column before exploding."""
+    return F.split(seq, "")
+
+
+def _shifts(text: Column, limit: Column, x, y, array: bool = False) -> Column:
+    """Number of steps k = 0, 1, ... below limit for which characters x(k) and y(k) of text (or array) agree."""
+    at = F.get if array else base
+    steps = F.filter(F.sequence(F.lit(0), limit - 1), lambda k: at(text, x(k)) != at(text, y(k)))
     return F.when(limit > 0, F.coalesce(F.array_min(steps), limit)).otherwise(0)
 
 
@@ -28,10 +34,11 @@ def _name(kind: str, size: Column, left: Column, shift: Column, right: Column) -
     return F.concat(F.lit(kind), size.cast("string"), F.lit("_L"), left.cast("string"), middle, F.lit("R"), right.cast("string"))
 
 
-def deletion_name(seq: Column, cut: Column, left: Column, right: Column, reach: int = REACH) -> Column:
-    """Name of the deletion that keeps seq[..left] and seq[right..]."""
-    a = _shifts(seq, F.least(left, right - (cut - reach - 1)), lambda k: left - k, lambda k: right - 1 - k)
-    b = _shifts(seq, F.least(cut + reach - 1 - left, F.length(seq) - 1 - right), lambda k: left + 1 + k, lambda k: right + k)
+def deletion_name(seq: Column, cut: Column, left: Column, right: Column, reach: int = REACH, array: Column | None = None) -> Column:
+    """Name of the deletion that keeps seq[..left] and seq[right..]; array may hold the letters of seq."""
+    text, by = (seq, False) if array is None else (array, True)
+    a = _shifts(text, F.least(left, right - (cut - reach - 1)), lambda k: left - k, lambda k: right - 1 - k, by)
+    b = _shifts(text, F.least(cut + reach - 1 - left, F.length(seq) - 1 - right), lambda k: left + 1 + k, lambda k: right + k, by)
     return _name("D", right - left - 1, left - a - cut, a + b, right + b - cut)
 
 
@@ -54,11 +61,11 @@ def inserts(size: int) -> list[str]:
 
 def deletions(targets: DataFrame, longest: int = LONGEST_DELETION, reach: int = REACH) -> DataFrame:
     """(oligo_id, l, r, ins, indel): every deletion of 1..longest that spans the cut."""
-    t = targets.select("oligo_id", "seq", "cut_idx")
+    t = targets.select("oligo_id", "seq", "cut_idx", letters(F.col("seq")).alias("letters"))
     t = t.withColumn("l", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cut_idx") - longest - 1), F.col("cut_idx") - 1)))
     t = t.withColumn("r", F.explode(F.sequence(F.col("cut_idx"), F.least(F.length("seq"), F.col("cut_idx") + longest + 1) - 1)))
     t = t.filter((F.col("r") - F.col("l") - 1).between(1, longest))
-    return t.select("oligo_id", "l", "r", F.lit("").alias("ins"), deletion_name(F.col("seq"), F.col("cut_idx"), F.col("l"), F.col("r"), reach).alias("indel"))
+    return t.select("oligo_id", "l", "r", F.lit("").alias("ins"), deletion_name(F.col("seq"), F.col("cut_idx"), F.col("l"), F.col("r"), reach, F.col("letters")).alias("indel"))
 
 
 def insertions(targets: DataFrame, longest: int = LONGEST_INSERT, reach: int = REACH) -> DataFrame:
@@ -82,13 +89,14 @@ def microhomologies(targets: DataFrame, reach: int = REACH) -> DataFrame:
     A repeat lies inside a longer one if it can be extended to the left within the range that is looked at.
     """
     n = F.length("seq")
-    t = targets.select("oligo_id", "seq", "cut_idx")
+    t = targets.select("oligo_id", "seq", "cut_idx", letters(F.col("seq")).alias("letters"))
     t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(n, F.col("cut_idx") + reach - 1) - 1)))
-    first = F.greatest(F.col("i") + 1, F.col("cut_idx") - reach)
-    t = t.withColumn("j", F.explode(F.when(first < n, F.sequence(first, n - 1)))).withColumn("first", first)
-    s, i, j = F.col("seq"), F.col("i"), F.col("j")
-    same = lambda x, y: (base(s, x) == base(s, y)) | (base(s, x) == "N") | (base(s, y) == "N")
-    t = t.filter(same(i, j) & (j + 1 < n) & same(i + 1, j + 1))
+    i, j = F.col("i"), F.col("j")
+    at = lambda x: F.get("letters", x)
+    same = lambda x, y: (at(x) == at(y)) | (at(x) == "N") | (at(y) == "N")
+    first = F.greatest(i + 1, F.col("cut_idx") - reach)
+    starts = F.filter(F.sequence(first, n - 2), lambda k: same(i, k) & same(i + 1, k + 1))  # only these become rows
+    t = t.withColumn("j", F.explode(F.when(first < n - 1, starts)))
     limit = n - j
     apart = F.filter(F.sequence(F.lit(0), limit - 1), lambda k: ~same(i + k, j + k))
     t = t.withColumn("mh_len", F.coalesce(F.array_min(apart), limit))
