@@ -144,21 +144,21 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """(id, n_words, spans array<struct<start, end>> of hit words, items array of ids, longest) for every document."""
+def _found(
+    docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str, item_text: str, window: int, block_bytes: int
+) -> tuple[DataFrame, bool]:
+    """(_id, _sha, n_words, spans, items, longest) over all blocks, and whether it has a row for each document.
+
+    It does with one block. With more, documents of one id and text have one row, to be joined back by both.
+    """
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id), (benchmark, item)))
     items = benchmark.select(F.col(item).alias("_i"), F.col(item_text).cast("binary").alias("_t")).filter("_t is not null")
-    total = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    blocks = n_blocks(items, block_bytes)
     spans_kind = "array<struct<start:bigint,end:bigint>>"
     narrow = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_t"))
 
     def block(k: int) -> DataFrame:
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast([(r["_i"], bytes(r["_t"])) for r in part.collect()])
+        shared = docs.sparkSession.sparkContext.broadcast(items_of_block(items, blocks, k))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = Automaton(shared.value, window)
@@ -175,7 +175,7 @@ def benchmark_hits(
         return narrow.mapInPandas(scan, schema)
 
     if blocks == 1:
-        return block(0).drop("_sha").withColumnRenamed("_id", id)
+        return block(0), True
 
     @F.pandas_udf(spans_kind)
     def union(lists: pd.Series) -> pd.Series:
@@ -184,11 +184,35 @@ def benchmark_hits(
     parts = block(0).dropDuplicates(["_id", "_sha"])
     for k in range(1, blocks):
         parts = parts.unionByName(block(k).dropDuplicates(["_id", "_sha"]))
-    hits = parts.groupBy("_id", "_sha").agg(  # a row for each block
+    return parts.groupBy("_id", "_sha").agg(  # a row for each block
         F.max("n_words").alias("n_words"), union(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"),
-    )
-    own = narrow.select("_id", F.unhex(F.sha2(F.coalesce("_t", F.lit(b"")), 256)).alias("_sha"))
+    ), False
+
+
+def n_blocks(items: DataFrame, block_bytes: int) -> int:
+    total = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    return -(-total // block_bytes) or 1
+
+
+def items_of_block(items: DataFrame, blocks: int, k: int) -> list[tuple[object, bytes]]:
+    part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == k)
+    return [(r["_i"], bytes(r["_t"])) for r in part.collect()]
+
+
+def text_digest(text: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256))
+
+
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """(id, n_words, spans array<struct<start, end>> of hit words, items array of ids, longest) for every document."""
+    hits, for_each = _found(docs, benchmark, id, text, item, item_text, window, block_bytes)
+    if for_each:
+        return hits.drop("_sha").withColumnRenamed("_id", id)
+    own = docs.select(F.col(id).alias("_id"), text_digest(text).alias("_sha"))
     joined = own.alias("o").join(hits.alias("h"), F.expr("o._id <=> h._id and o._sha = h._sha"))
     return joined.select(F.col("o._id").alias(id), "n_words", "spans", "items", "longest")
 
@@ -198,48 +222,60 @@ def hit_words(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, most_coverage: float = 0.5, window: int = 10) -> DataFrame:
+def without_hits(
+    docs: DataFrame, benchmark: DataFrame, most_coverage: float = 0.5, window: int = 10, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Documents (doc_id, text, n_chars and others) without what they share with the benchmark.
 
     The hit words go, with what stands between two of them; a document of which more than `most_coverage` of the words
-    is hit goes altogether. Clean documents stay as they are, null texts too.
+    is hit goes altogether. Clean documents stay as they are, null texts too. Both are judged once, on the whole text
+    and the hits of all blocks, so the number of blocks changes no row.
     """
-    items = benchmark.select("item_id", F.col("text").cast("binary").alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    kept = docs
     strings = [c for c, kind in docs.dtypes if kind == "string"]
-    for k in range(blocks := -(-total // BLOCK_BYTES) or 1):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["t"])) for r in part.collect()])
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def left_over(batch: pd.DataFrame, done: list[str | bool | None]) -> pd.DataFrame:
+        keep = [d is not None for d in done]
+        out = batch[keep].astype({c: object for c in strings})  # plain columns: Arrow takes no filtered chunks
+        left = [d for d in done if d is not None]
+        out["text"] = pd.Series([t if d is True else d for t, d in zip(out["text"], left)], out.index, object)
+        out["n_chars"] = [n if d is True else len(d) for n, d in zip(out["n_chars"], left)]
+        return out
+
+    items = benchmark.select(F.col("item_id").alias("_i"), F.col("text").cast("binary").alias("_t")).filter("_t is not null")
+    if n_blocks(items, block_bytes) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(items_of_block(items, 1, 0))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = Automaton(shared.value, window)
             for batch in batches:
-                done = [cleaned(t, automaton, most_coverage) for t in batch["text"]]
-                keep = [d is not None for d in done]
-                out = batch[keep].astype({c: object for c in strings})  # plain columns: Arrow takes no filtered chunks
-                left = [d for d in done if d is not None]
-                out["text"] = pd.Series([t if d is True else d for t, d in zip(out["text"], left)], out.index, object)
-                out["n_chars"] = [n if d is True else len(d) for n, d in zip(out["n_chars"], left)]
-                yield out
+                yield left_over(batch, [cleaned(t, automaton.scan(words_of((t or "").encode()))[0], most_coverage) for t in batch["text"]])
+
+        return docs.mapInPandas(scan, docs.schema)
+
+    hits = _found(docs, benchmark, "doc_id", "text", "item_id", "text", window, block_bytes)[0]
+    hits = hits.filter("size(spans) > 0").select(F.col("_id").alias("_hit_id"), F.col("_sha").alias("_hit_sha"), F.col("spans").alias("_hit_spans"))
+    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (text_digest("text") == F.col("_hit_sha"))
+    marked = docs.join(hits, same, "left").select(*docs.columns, "_hit_spans")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in batch.pop("_hit_spans")]
+            yield left_over(batch, [cleaned(t, s, most_coverage) for t, s in zip(batch["text"], spans)])
 
-        kept = kept.mapInPandas(scan, docs.schema)
-    return kept
+    return marked.mapInPandas(cut, docs.schema)
 
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def cleaned(text: str | None, automaton: Automaton, most_coverage: float) -> str | bool | None:
+def cleaned(text: str | None, spans: list[tuple[int, int]], most_coverage: float) -> str | bool | None:
     """True: clean. None: to be dropped. Else the text without the hit spans."""
-    content = (text or "").encode()
-    words = words_of(content)
-    spans = automaton.scan(words)[0]
     if not spans:
         return True
-    if sum(b - a for a, b in spans) > most_coverage * len(words):
-        return None
+    content = (text or "").encode()
     places = [m.span() for m in _WORD.finditer(content.lower())]
+    if sum(b - a for a, b in spans) > most_coverage * len(places):
+        return None
     out, at = [], 0
     for a, b in spans:
         out.append(content[at : places[a][0]])

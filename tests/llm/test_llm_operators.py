@@ -359,6 +359,24 @@ def test_clean_documents_stay(spark):
     assert passage not in got[3].text and got[3].text.startswith("before") and got[3].n_chars == len(got[3].text)
 
 
+def test_blocks_change_no_row(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(6)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    own = " ".join(f"own{j}" for j in range(16))
+    text = {1: f"{items[0][1]} {items[1][1]} {own}", 2: f"{own} {items[2][1]} {own}", 3: own, 4: None, 5: ""}  # 60 % hit, 27 % hit, clean
+    for n, (a, c) in enumerate([(a, c) for a in range(6) for c in range(6) if a != c]):
+        half = items[c][1].split()
+        text[10 + n] = f"{own} {items[a][1]} {items[c][1]}"  # 60 %, by two items
+        text[50 + n] = f"{own} {own} {' '.join(half[:6])} {items[a][1]} {' '.join(half[6:])}"  # a cut makes a window of another item
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in text.items()] + [(3, items[3][1], "en", "s", 1), (None, f"{own} {items[4][1]}", "en", "s", 1), (None, own, "en", "s", 1)]
+    d = spark.createDataFrame([*rows, rows[1]], SCHEMA)
+    one = sorted(map(tuple, decontam.without_hits(d, b).collect()), key=str)
+    assert one == sorted(map(tuple, decontam.without_hits(d, b, block_bytes=100).collect()), key=str)
+    kept = {r[0] for r in one}
+    assert 1 not in kept and not any(10 + n in kept for n in range(30)) and all(50 + n in kept for n in range(30))
+    assert sum(r[0] == 2 for r in one) == 2 and sum(r[0] is None for r in one) == 2 and sum(r[0] == 3 for r in one) == 1
+
+
 # token files
 
 
