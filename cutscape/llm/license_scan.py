@@ -4,6 +4,10 @@ A notice of L characters that may differ by k edits is cut into k + 1 pieces. Wh
 notice holds one piece unchanged (pigeonhole), so the pieces' exact places are the only candidates. Around each, the
 regex library's bounded-error matching finds the nearest stretch of whole words and counts its edits.
 
+Some words tell one license from another (mit, the version, the number of clauses). Notices of `TOLD_APART` name them,
+and these words must stand unchanged in a match, without further numbers; the edits are for the rest. `NOTICES` is the
+plain search, in which every letter may be edited: there a license can get the label of another one.
+
 Texts are read as words ([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased) joined by single spaces. A
 null or empty text has no words and no spans. Rows are treated one by one, so repeated rows give repeated results;
 other columns pass through untouched.
@@ -12,7 +16,7 @@ other columns pass through untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 import regex
@@ -24,12 +28,13 @@ from cutscape.llm.common import WORD_BYTES
 
 @dataclass(frozen=True)
 class Notice:
-    """Words of a notice in lower case, its label, and the most edits (characters) that a match may have."""
+    """Words of a notice in lower case, its label, the most edits (characters) that a match may have, and the word that has none."""
 
     words: str
     label: str
     edits: int
     base: bool = False
+    telling: str = ""
 
 
 #: The phrases that must be found, with their labels.
@@ -54,6 +59,19 @@ MORE = (
 )
 NOTICES = BASE + MORE
 
+#: The word that tells a notice's license from another one, and the bound of edits of the rest.
+TELLING = {
+    "under the mit license": ("mit", 3),
+    "apache license version 2": ("2", 3),
+    "gnu general public license version 3": ("3", 3),
+    "gnu general public license version 2": ("2", 3),
+    "bsd 3 clause license": ("3", 1),
+    "bsd 2 clause license": ("2", 1),
+}
+TOLD_APART = tuple(
+    replace(n, telling=TELLING[n.words][0], edits=TELLING[n.words][1]) if n.words in TELLING else n for n in NOTICES
+)
+
 SPANS = "array<struct<label:string,notice:string,base:boolean,word:bigint,n_words:int,edits:int,likeness:double,text:string>>"
 
 
@@ -66,7 +84,15 @@ class Finder:
         ends = [n * i // (k + 1) for i in range(k + 2)]
         self.seeds = [(self.phrase[a:b], a) for a, b in zip(ends, ends[1:])]
         self.exact = b" " + self.phrase + b" "
-        self.pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(self.phrase) + rb"){e<=%d}(?= )" % k) if k else None
+        parts = regex.split(rb"(?<= |^)" + regex.escape(notice.telling.encode()) + rb"(?= |$)", self.phrase) if notice.telling else [self.phrase]
+        fuzzy = [rb"(?:" + regex.escape(p) + rb"){e<=%d}" % k if p else b"" for p in parts]
+        told = rb"(?<= )" + regex.escape(notice.telling.encode()) + rb"(?= )"
+        self.pattern = regex.compile(rb"(?b)(?<= )" + told.join(fuzzy) + rb"(?= )") if k else None
+        self.numbers = self.numbers_of(self.phrase) if notice.telling else None
+
+    @staticmethod
+    def numbers_of(phrase: bytes) -> list[bytes]:
+        return [w for w in phrase.split() if w.isdigit()]
 
     def spans(self, line: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) in a line that begins and ends with a space: every exact place, and the best others that overlap none."""
@@ -81,7 +107,7 @@ class Finder:
                         found.add((0, start, start + n))
                     elif self.pattern:
                         m = self.pattern.search(line, max(0, start - k - 1), min(len(line), start + n + k + 1))
-                        if m:
+                        if m and sum(m.fuzzy_counts) <= k and self.numbers in (None, self.numbers_of(m[0])):
                             found.add((sum(m.fuzzy_counts), m.start(), m.end()))
                 at = line.find(seed, at + 1)
         kept: list[tuple[int, int, int]] = []

@@ -82,6 +82,22 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_spans(none).count() == 0 and license_scan.license_spans(docs).count() == docs.count()
 
 
+def test_licenses_are_told_apart(spark, tmp_path):
+    told = {
+        "under the bsd license": "", "under the gpl license": "", "under the isc license": "", "under the permit license": "",
+        "under the mit license": "mit", "under teh mit licence": "mit", "undr the mit license": "mit", "under a mit licens": "",
+        "apache license version 1": "", "apache license version 1 2": "", "apache license version 2": "apache-2", "apache licens verson 2": "apache-2",
+        "gnu general public license version 2": "gpl-2", "gnu general public licence version 2": "gpl-2", "gnu general public licence version 3": "gpl-3",
+        "gnu genral public license version 3": "gpl-3", "gnu general public license version 1": "", "gnu general public license version 12": "",
+        "bsd 2 clause license": "bsd-2", "bsd 3 clause license": "bsd-3", "bsd 3 clause licence": "bsd-3", "bsd 4 clause license": "", "bsd 2 clauses license": "bsd-2",
+        "mozila public license": "mpl",
+    }
+    rows = [(i, f"some words {t} and more") for i, t in enumerate(told)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert {t: got[i] for i, t in enumerate(told)} == told
+
+
 # sharding
 
 
