@@ -7,8 +7,10 @@ two terms together can weigh more (an insult and a group) or less than one by on
 
 Learning: at most `rows` labelled rows, those of the least hash of their id (a documented bound; the labels' table is
 counted and thinned in Spark), give counts by bucket and label, added up in Spark by slices of the buckets. Buckets
-whose signed root of the likelihood ratio is at least `least` away from chance are kept, `terms` at most. The machine is
-fitted to the sample's kept buckets, a matrix bounded by `rows` and `terms`, by AdaGrad.
+whose signed root of the likelihood ratio is at least `least` away from chance are kept, all of them unless `terms` sets
+a bound. The machine is fitted to the sample's kept buckets, a matrix bounded by `rows` and `BUCKETS`, by AdaGrad.
+
+The screen sees terms one by one: two terms that tell nothing alone and all together are not kept and not learned.
 
 Null and empty texts have no terms; their score is that of w0 alone. Rows are scored one by one, whole. Labels that are
 null or without a document teach nothing; of repeated labels of one id the largest counts. Without any label of either
@@ -152,7 +154,7 @@ def signed_root(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.
     return np.sign(pos * n_neg - neg * n_pos) * np.sqrt(np.maximum(2 * g, 0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = 2048, least: float = 4.0, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int | None = None, least: float = 4.0, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """Fits a machine to labels (id, label) of documents."""
     told = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull())
     told = told.groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))

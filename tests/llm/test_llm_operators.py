@@ -301,6 +301,17 @@ def test_pairs_matter():
     assert s[3] > 0.7 > max(s[:3])
 
 
+def test_all_telling_terms_are_kept(spark):
+    telling = [f"{j:04d}q" for j in range(1500)]  # each also has its beginning of four characters, and that of five
+    rows = [(i, " ".join(telling) if i % 2 else f"plain text {i}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    machine = toxicity.learn(d, lab)
+    kept = set(machine.kept.tolist())
+    assert all(toxicity.bucket(t) in kept for w in telling for t in toxicity.word_terms(w.encode()))
+    assert len(toxicity.learn(d, lab, terms=100).kept) == 100
+
+
 # fingerprints
 
 
