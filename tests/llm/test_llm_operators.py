@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, against brute force."""
 
 import base64
+import bisect
 import hashlib
 import random
 import re
@@ -182,34 +183,55 @@ def test_components_of_chains_and_stars(spark):
 # packing
 
 
-def test_best_fit_steps():
+def plain_best_fit(lengths, capacity):
+    """Number of sequences of best fit, one piece after the other, longest first."""
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        n += gap == capacity
+        if gap > x:
+            bisect.insort(gaps, gap - x)
+    return n
+
+
+def test_sweep_gives_the_smallest_gap():
     rng = random.Random(1)
-    for capacity in (7, 64):
-        counts = Counter(rng.randint(1, capacity) for _ in range(500))
-        steps = packing.best_fit_steps(counts, capacity)
-        lengths = [x for x in sorted(counts, reverse=True) for _ in range(counts[x])]
-        ends = [s[0] for s in steps[1:]] + [len(lengths)]
-        used = defaultdict(list)
-        for (rank, first, at), end in zip(steps, ends):
-            for k in range(end - rank):
-                used[first + k].append((at, lengths[rank + k]))
-        bins = 0  # plain best fit, falling
-        gaps = []
-        for x in lengths:
-            fit = [g for g in gaps if g >= x]
-            g = min(fit) if fit else capacity
-            if fit:
-                gaps.remove(g)
-            else:
-                bins += 1
-            gaps.append(g - x)
-        assert len(used) == bins
-        for parts in used.values():
-            at = 0
-            for a, n in sorted(parts):
-                assert a == at
-                at += n
-            assert at <= capacity
+    for capacity in (7, 200):
+        for _ in range(60):
+            gaps = sorted(rng.randint(1, capacity) for _ in range(rng.randint(0, 40)))
+            left = Counter(rng.randint(1, capacity) for _ in range(rng.randint(1, 40)))
+            table = lambda c: np.array([c.get(k, 0) for k in range(capacity + 1)])
+            sweep = packing.Sweep.over(table(Counter(gaps)), table(left))
+            pile = [(g, i) for i, g in enumerate(gaps) for _ in range(max(1, g // sweep.top)) if g > sweep.low]
+            told = Counter()
+            for length in sorted((x for x in left.elements() if x > sweep.low), reverse=True):  # plainly: a piece after the other
+                fit = min((g, -i) for g, i in pile if g >= length)[0] if any(g >= length for g, _ in pile) else None
+                if fit:
+                    told[fit, length] += 1
+                    pile.remove(max(x for x in pile if x[0] == fit))
+            got = Counter()
+            for gap in set(gaps):
+                ranks = np.arange(gaps.count(gap))
+                for of, length, number in sweep.taken_by(gap, ranks):
+                    assert (number >= 0).all() and (number < sweep.placed[length]).all()
+                    got.update((gap, n) for n in length.tolist())
+            assert got == told
+
+
+def test_packing_of_many_lengths(spark):
+    rng = np.random.default_rng(2)
+    for capacity, lengths in ((64, rng.integers(1, 65, 400)), (64, np.full(300, 22)), (512, np.ones(2000, int)), (512, rng.choice([170, 120, 3], 900)), (9, np.array([9, 1]))):
+        rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)]
+        placed = packing.packed(spark.createDataFrame(rows, "_id long, piece int, start long, length long, ids_crc32 long").repartition(3), capacity).collect()
+        by = defaultdict(list)
+        for r in placed:
+            by[r.sequence_id].append((r.offset, r.length))
+        assert sorted(r._id for r in placed) == list(range(len(lengths)))
+        for parts in by.values():
+            ends = np.cumsum([n for _, n in sorted(parts)])
+            assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= capacity
+        assert len(by) <= 1.01 * plain_best_fit(lengths.tolist(), capacity) + 1
 
 
 def reference_ids(texts):
