@@ -4,9 +4,9 @@ A notice of L characters that may differ by k edits is cut into k + 1 pieces. Wh
 notice holds one piece unchanged (pigeonhole), so the pieces' exact places are the only candidates. Around each, the
 regex library's bounded-error matching finds the nearest stretch of whole words and counts its edits.
 
-Some words tell one license from another (mit, the version, the number of clauses). Notices of `TOLD_APART` name them,
-and these words must stand unchanged in a match, without further numbers; the edits are for the rest. `NOTICES` is the
-plain search, in which every letter may be edited: there a license can get the label of another one.
+Some words tell one license from another (mit, the version, the number of clauses). They must stand unchanged in a match,
+without further numbers; the edits are for the rest. Where matches overlap, one with fewer edits wins, of whatever notice;
+exact places all stay.
 
 Texts are read as words ([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased) joined by single spaces. A
 null or empty text has no words and no spans. Rows are treated one by one, so repeated rows give repeated results;
@@ -16,7 +16,7 @@ other columns pass through untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 import regex
@@ -39,19 +39,19 @@ class Notice:
 
 #: The phrases that must be found, with their labels.
 BASE = (
-    Notice("under the mit license", "mit", 3, True),
-    Notice("apache license version 2", "apache-2", 3, True),
+    Notice("under the mit license", "mit", 3, True, "mit"),
+    Notice("apache license version 2", "apache-2", 3, True, "2"),
     Notice("cc by nc", "cc-by-nc", 0, True),
 )
 #: Further notices.
 MORE = (
-    Notice("gnu general public license version 3", "gpl-3", 3),
-    Notice("gnu general public license version 2", "gpl-2", 0),
+    Notice("gnu general public license version 3", "gpl-3", 3, telling="3"),
+    Notice("gnu general public license version 2", "gpl-2", 3, telling="2"),
     Notice("gnu lesser general public license", "lgpl", 3),
     Notice("gnu affero general public license", "agpl", 3),
     Notice("mozilla public license", "mpl", 2),
-    Notice("bsd 3 clause license", "bsd-3", 1),
-    Notice("bsd 2 clause license", "bsd-2", 1),
+    Notice("bsd 3 clause license", "bsd-3", 1, telling="3"),
+    Notice("bsd 2 clause license", "bsd-2", 1, telling="2"),
     Notice("all rights reserved", "all-rights-reserved", 2),
     Notice("creative commons attribution noncommercial", "cc-by-nc", 3),
     Notice("creative commons attribution sharealike", "cc-by-sa", 3),
@@ -59,19 +59,6 @@ MORE = (
 )
 NOTICES = BASE + MORE
 
-#: The word that tells a notice's license from another one, and the bound of edits of the rest.
-TELLING = {
-    "under the mit license": ("mit", 3),
-    "apache license version 2": ("2", 3),
-    "gnu general public license version 3": ("3", 3),
-    "gnu general public license version 2": ("2", 3),
-    "bsd 3 clause license": ("3", 1),
-    "bsd 2 clause license": ("2", 1),
-}
-TOLD_APART = tuple(
-    replace(n, telling=TELLING[n.words][0], edits=TELLING[n.words][1]) if n.words in TELLING else n for n in NOTICES
-)
-
 SPANS = "array<struct<label:string,notice:string,base:boolean,word:bigint,n_words:int,edits:int,likeness:double,text:string>>"
 
 
@@ -94,8 +81,8 @@ class Finder:
     def numbers_of(phrase: bytes) -> list[bytes]:
         return [w for w in phrase.split() if w.isdigit()]
 
-    def spans(self, line: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) in a line that begins and ends with a space: every exact place, and the best others that overlap none."""
+    def found(self, line: bytes) -> set[tuple[int, int, int]]:
+        """(edits, start, end) in a line that begins and ends with a space: every exact place, and the best stretch around each other seed."""
         n, k, found, tried = len(self.phrase), self.notice.edits, set(), set()
         for seed, offset in self.seeds:
             at = line.find(seed)
@@ -110,28 +97,30 @@ class Finder:
                         if m and sum(m.fuzzy_counts) <= k and self.numbers in (None, self.numbers_of(m[0])):
                             found.add((sum(m.fuzzy_counts), m.start(), m.end()))
                 at = line.find(seed, at + 1)
-        kept: list[tuple[int, int, int]] = []
-        for edits, a, b in sorted(found):
-            if not edits or all(b <= x or a >= y for x, y, _ in kept):
-                kept.append((a, b, edits))
-        return kept
+        return found
 
 
 def scan_text(text: bytes | None, finders: list[Finder]) -> tuple[int, list[dict]]:
-    """Number of words, and the spans in the order of their place."""
+    """Number of words, and the spans in the order of their place. The time grows with the text and its candidates."""
     words = (text or b"").translate(WORD_BYTES).split()
     line = b" " + b" ".join(words) + b" "
-    spans = []
-    for f in finders:
-        for a, b, edits in f.spans(line):
-            spans.append(
-                {
-                    "label": f.notice.label, "notice": f.notice.words, "base": f.notice.base and edits == 0,
-                    "word": line.count(b" ", 0, a) - 1, "n_words": line.count(b" ", a, b) + 1,
-                    "edits": edits, "likeness": 1.0 - edits / len(f.phrase), "text": line[a:b].decode(errors="replace"),
-                }
-            )
-    return len(words), sorted(spans, key=lambda s: (s["word"], s["notice"]))
+    matches = sorted((e, a, b, i) for i, f in enumerate(finders) for e, a, b in f.found(line))
+    taken, kept = bytearray(len(line) if matches else 0), []
+    for e, a, b, i in matches:
+        if not e or 1 not in taken[a:b]:
+            kept.append((a, finders[i].notice.words, b, e, i))
+            taken[a:b] = b"\1" * (b - a)
+    spans, at, word = [], 0, -1
+    for a, said, b, e, i in sorted(kept):
+        at, word = a, word + line.count(b" ", at, a)
+        notice = finders[i].notice
+        spans.append(
+            {
+                "label": notice.label, "notice": said, "base": notice.base and e == 0, "word": word, "n_words": line.count(b" ", a, b) + 1,
+                "edits": e, "likeness": 1.0 - e / len(said.encode()), "text": line[a:b].decode(errors="replace"),
+            }
+        )
+    return len(words), spans
 
 
 def license_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", notices: tuple[Notice, ...] = NOTICES) -> DataFrame:

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return license_scan.license_report(license_scan.license_spans(docs, notices=license_scan.TOLD_APART))
+    return license_scan.license_report(license_scan.license_spans(docs))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
