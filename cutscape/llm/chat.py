@@ -67,15 +67,17 @@ MAPPINGS = {fingerprint(paths | {"conv_id"}): (name, turns) for name, paths, tur
 def canonical(df: DataFrame) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>) of a table in any known layout; other top-level columns are ignored.
 
-    The fingerprint of all paths is looked up; if it is unknown, that of the largest layout whose paths are all there.
+    The fingerprint of all paths is looked up; if it is unknown, that of the one layout whose paths are all there and
+    that is no part of another such layout. Where several are, or none, it raises: no text is lost without a word.
     """
     paths = field_paths(df.schema)
     found = MAPPINGS.get(fingerprint(paths))
     if found is None:
         fits = [p | {"conv_id"} for _, p, _ in LAYOUTS if p | {"conv_id"} <= paths]
-        if not fits:
-            raise ValueError(f"unknown layout {fingerprint(paths)}: {sorted(paths)}")
-        found = MAPPINGS[fingerprint(max(fits, key=len))]
+        fits = [p for p in fits if not any(p < other for other in fits)]
+        if len(fits) != 1:
+            raise ValueError(f"{'unknown' if not fits else 'ambiguous'} layout {fingerprint(paths)}: {sorted(paths)}")
+        found = MAPPINGS[fingerprint(fits[0])]
     name, turns = found
     if name != "rows":
         return df.select("conv_id", F.expr(turns).alias("turns"))

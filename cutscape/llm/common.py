@@ -18,11 +18,13 @@ SPACE_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D e
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the session names none (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. One is made only in local runs that name none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if named is None and current is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
     if current is None:
         sc.setCheckpointDir(named)
@@ -88,11 +90,41 @@ def with_number(df: DataFrame, classes: list[str], tie: list[str], name: str = "
     return placed.join(starts, keys).withColumn(name, F.col("_before") + F.col("_place")).drop("_slice", "_place", "_before")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a passing column that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Left join with right, which has one row for each key and, in `count`, the number of left's rows that have it.
+
+    Keys with more than a thousandth of the `total` rows (fewer than a thousand keys) are broadcast, and their rows and
+    those without a key are dealt out evenly, so no key meets in one task. left must be a table or a plain scan, so that a
+    row keeps its place if it is read again; its columns must not begin with `_hot`.
+    """
+    values = [c for c in right.columns if c not in (*keys, count)]
+    often = F.col(count) > total / 1000
+    hot = right.filter(often).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), *(F.col(v).alias(f"_hot_{v}") for v in values))
+    same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    first = left.join(F.broadcast(hot), same, "left")
+    away = F.col(f"_hot_{keys[0]}").isNotNull()
+    for k in keys:
+        away = away | F.col(k).isNull()
+    first = first.withColumn("_hot_deal", F.when(away, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+    rest = right.filter(~often).drop(count).withColumn("_hot_deal", F.lit(0).cast("long"))
+    both = first.join(rest, [*keys, "_hot_deal"], "left")
+    return both.select(*left.columns, *(F.coalesce(F.col(f"_hot_{v}"), rest[v]).alias(v) for v in values))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the edges (a, b long): root is the smallest node of its connected component.
 
     Alternating large-star and small-star steps; each step writes its edges to the shared folder. A node's edges are
-    only ever joined with and reduced to its smallest neighbour, so a hub is never gathered in one task.
+    reduced to its smallest neighbour before they are shuffled, and joined with that one row. A hub's edges meet in one
+    partition of that join, row by row, never as a group; adaptive execution splits such a partition.
     """
     state = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)))
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())

@@ -4,7 +4,8 @@ A text's words (stretches without the white space [\\x20\\x09-\\x0D], A-Z in low
 fewer words the whole sequence is the one shingle. The sketch keeps every shingle hash below a fixed fraction 1/`scale`
 of the hash range, so sketches of any two texts keep the same hashes: they merge by union, and the share of one sketch
 that the other holds estimates containment however unequal the lengths. Where no hash is below the fraction, the least
-one is kept, so that only a text without words has an empty sketch.
+one stands in, so that only a text without words has an empty sketch. A stand-in goes in a merge as soon as the other
+sketch has a hash below the fraction, so merged() is always the sketch of the union of the shingles.
 
 Null texts are empty. Equal texts have equal sketches. Two empty sketches are alike (1), an empty and another are not
 (0). In next_documents() rows that repeat an id with another text stand side by side (by hash of the text); exact
@@ -26,19 +27,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
     """df with the sketch of a text column: an ordered array of distinct hashes."""
     words = F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-    last = -(1 << 63) + (1 << 64) // scale - 1
     df = df.withColumn("_w", words).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     five = F.transform(F.sequence(F.lit(0), F.size("_h") - 5), lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(5))))
     whole = F.array(F.xxhash64(F.concat_ws(" ", "_w")))
     shingles = F.when(F.size("_h") >= 5, five).when(F.size("_h") > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_s", shingles).withColumn("_k", F.filter("_s", lambda h: h <= last))
+    df = df.withColumn("_s", shingles).withColumn("_k", below("_s", scale))
     kept = F.when((F.size("_k") == 0) & (F.size("_s") > 0), F.array(F.array_min("_s"))).otherwise(F.col("_k"))
     return df.withColumn(name, F.array_sort(F.array_distinct(kept))).drop("_w", "_h", "_s", "_k")
 
 
-def merged(a: str | Column, b: str | Column) -> Column:
-    """Sketch of the union of two texts' shingles."""
-    return F.array_sort(F.array_union(a, b))
+def below(hashes: str | Column, scale: int = SCALE) -> Column:
+    """The hashes in the kept fraction of their range."""
+    last = -(1 << 63) + (1 << 64) // scale - 1
+    return F.filter(hashes, lambda h: h <= last)
+
+
+def merged(a: str | Column, b: str | Column, scale: int = SCALE) -> Column:
+    """Sketch of the union of two texts' shingles, from sketches of one scale."""
+    both = F.array_sort(F.array_union(a, b))
+    return F.when((F.size(below(both, scale)) > 0) | (F.size(both) == 0), below(both, scale)).otherwise(F.slice(both, 1, 1))
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -48,9 +55,14 @@ def jaccard(a: str, b: str) -> Column:
     return F.when(union == 0, 1.0).otherwise(common / union)
 
 
-def containment(a: str, b: str) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1."""
-    return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: str, b: str, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has, 0 to 1.
+
+    Null where it can't be told: a has a stand-in only, and b is no such sketch. An empty a is contained in all.
+    """
+    told = (F.size(below(a, scale)) > 0) | (F.size(below(b, scale)) == 0)
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, 1.0).when(F.size(b) == 0, 0.0).when(told, share)
 
 
 def as_text(sketch: str) -> Column:

@@ -71,12 +71,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = spark.sql(
-        "select cast(-7 as bigint) conv_id, turn, role, '</s>[INST] ok [/INST]' text"
-        " from values (cast(0 as bigint), 'user'), (cast(1 as bigint), 'assistant') as t(turn, role)"
+    """The table's rows are one layout, the added conversation is another; each is mapped by its own fingerprint."""
+    own = spark.sql(
+        "select cast(-7 as bigint) conv_id, transform(array('user', 'assistant'), r -> named_struct('role', r, 'content', '</s>[INST] ok [/INST]')) messages"
     )
-    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(both)
-    return chat.digest(chat.read_back(chat.formatted(chat.canonical(told))))
+    turns = chat.canonical(table(spark, sf_dir, "conversations")).unionByName(chat.canonical(own))
+    return chat.digest(chat.read_back(chat.formatted(turns)))
 
 
 OP5_SQL = """

@@ -319,11 +319,23 @@ def test_layouts_and_round_trip(spark):
     ):
         turns = chat.canonical(spark.createDataFrame([row], schema)).first().turns
         assert [(t.role, t.text) for t in turns] == [("user", "q"), ("assistant", "a")]
-    with pytest.raises(ValueError):
-        chat.canonical(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
+    for schema in ("conv_id long, other string", "conv_id long, prompt string, response string, question string, answer string"):
+        with pytest.raises(ValueError):
+            chat.canonical(spark.createDataFrame([(1, *["x"] * (schema.count(",")))], schema))
     assert chat.digest(chat.read_back(chat.formatted(chat.canonical(df.limit(0))))).count() == 0
 
 
+def test_chat_of_odd_rows(spark, tmp_path):
+    long = "<s>x" * 100_000
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (1, 0, "user", "same"), (1, 0, "user", "same"), (1, None, None, None), (2, 0, "assistant", long)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op5_chat_formatting(spark, str(tmp_path)).collect()}
+    sha = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    told = {None: [("user", "a"), ("user", "b")], 1: [("", ""), ("user", "same"), ("user", "same")], 2: [("assistant", long)], -7: [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]}
+    assert {i: (r.n_turns, r.turns_sha256) for i, r in got.items()} == {i: (len(t), sha(t)) for i, t in told.items()}
+    assert got[2].loss_chars == len(long) and got[-7].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+
+
 # toxicity
 
 
@@ -401,6 +413,44 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.edited_pairs(none).count() == 0
 
 
+def test_sketches_at_the_kept_scale(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, n) for n in (0, 1, 4, 5, 5, 6, 7, 8, 9, 12, 30, 60, 300)] + ["\n", "a b c d e f"]
+    last = -(1 << 63) + (1 << 64) // fingerprint.SCALE - 1
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    full = {r.i: set(r.s) for r in fingerprint.with_sketch(df, "t", "s", 1).collect()}
+    sketch = lambda hashes: sorted(h for h in hashes if h <= last) or sorted(hashes)[:1]
+    two = fingerprint.with_sketch(df, "t", "s").drop("t")
+    assert {r.i: r.s for r in two.collect()} == {i: sketch(h) for i, h in full.items()}
+    pairs = two.join(two.select(F.col("i").alias("j"), F.col("s").alias("u")))
+    for r in pairs.select("i", "j", fingerprint.merged("s", "u").alias("m"), fingerprint.containment("s", "u").alias("c"), fingerprint.jaccard("s", "u").alias("x")).collect():
+        a, b = set(sketch(full[r.i])), set(sketch(full[r.j]))
+        assert r.m == sketch(full[r.i] | full[r.j])
+        assert abs(r.x - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+        stands_in = bool(a) and min(a) > last
+        assert r.c == (1.0 if not a else 0.0 if not b else None if stands_in and min(b) <= last else len(a & b) / len(a))
+
+
+def test_fingerprint_query(spark, tmp_path):
+    rows = [(i, t) for i, t, *_ in corpus()] + [(None, "no id at all in this row"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_fingerprints(spark, str(tmp_path)).collect()
+    distinct = sorted({(i is not None, i or 0, t or "") for i, t in rows}, reverse=True)
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    after = {(x[1] if x[0] else None, x[2]): y[2] for x, y in zip(distinct, distinct[1:] + distinct[:1])}
+    ids = Counter(x[:2] for x in distinct)
+    for (i, t), n in Counter(rows).items():
+        if ids[i is not None, i or 0] == 1:  # texts of one id stand in the order of their hash
+            t = t or ""
+            edited = (t[: len(t) - len(t) // 2] + after[i, t][: len(t) // 2]).encode()
+            assert sum(r.doc_id == i and r.edited_sha256 == hashlib.sha256(edited).hexdigest() for r in got) == n or ids[max(0, 1), i] > 1
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    same = defaultdict(set)
+    for r, in [(r,) for r in got]:
+        same[r.doc_id].add(r.fingerprint)
+    assert same[5] == same[6]
+
+
 # decontamination
 
 
