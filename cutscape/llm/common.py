@@ -36,6 +36,15 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """(file system, path) of a URI or a plain path."""
+    from pyarrow import fs
+
+    if "://" in uri or uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return fs.LocalFileSystem(), uri
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are in the shared folder and survive the loss of executors."""
     shared_dir(df.sparkSession)
@@ -114,9 +123,9 @@ def joined_evenly(left: DataFrame, right: DataFrame, keys: list[str], count: str
     for k in keys:
         away = away | F.col(k).isNull()
     first = first.withColumn("_hot_deal", F.when(away, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
-    rest = right.filter(~often).drop(count).withColumn("_hot_deal", F.lit(0).cast("long"))
+    rest = right.filter(~often).select(*keys, *(F.col(v).alias(f"_hot_not_{v}") for v in values), F.lit(0).cast("long").alias("_hot_deal"))
     both = first.join(rest, [*keys, "_hot_deal"], "left")
-    return both.select(*left.columns, *(F.coalesce(F.col(f"_hot_{v}"), rest[v]).alias(v) for v in values))
+    return both.select(*left.columns, *(F.coalesce(f"_hot_{v}", f"_hot_not_{v}").alias(v) for v in values))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

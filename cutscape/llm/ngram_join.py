@@ -5,18 +5,21 @@ fewer words the whole sequence, without words nothing. Two documents link when t
 `percent` of the union. Shingles are 64-bit hashes, and documents with equal sets are one class.
 
 1. A candidate filter that loses nothing. In any global order of shingles, two sets that link have l shingles in common
-   within the first (size - least overlap + l) of each. These prefixes, in the order of the hash and cut into fragments
-   of the hash range, are counted fragment by fragment; only classes with enough repeated shingles go on. What a task
-   finds repeated among its own documents is settled there, so a shingle that very many documents share arrives once for
-   each task, not once for each document.
+   within the first (size - least overlap + l) of each. These prefixes, here in the order of the hash, are counted by
+   ranges of the hash; only classes with enough repeated shingles go on. What a task finds repeated among its own
+   documents is settled there, so a shingle that very many documents share arrives once for each task, not once for
+   each document.
 2. The global order of what is left: by a count sketch of its shingles (a fixed table summed over all of them), rare
    ones first, then by hash. A linking pair has one of its first (size - least overlap + 1) shingles in common.
 3. Pairs without squares. All members of a shingle's group are first compared with one member (stars); what links is
-   one component, whose members need no comparison with each other. Then only pairs of different components are listed,
-   and of these only such as can link if the group's shingle is their first common one (for one group it is).
-   So large groups of near copies cost a comparison for each member, and no link between components is lost.
-4. Verification by vertical partitioning: the sets are cut into fragments of the global order, the overlap of a pair is
-   counted in each fragment on its own, and the counts are summed for each pair.
+   one component, whose members need no comparison with each other. Then pairs of different components are listed, and
+   of these only such as can link if the group's shingle is their first common one (for one group it is), in groups of
+   which at most `LISTED` members are outside the largest component: so a group gives a bounded number of pairs for each
+   member. Members of other groups (pages of one template) are told apart by parts: two sets that link differ in at most
+   d shingles, so if all shingles are dealt by hash to enough parts, some of them are the same in both; only sets with
+   equal parts are compared (see part_keys). No link between components is lost.
+4. Verification by vertical partitioning: the global order of step 2 is cut into fragments of equal load, the overlap
+   of a pair is counted in each fragment on its own, and the counts are summed for each pair.
 
 Null and empty texts have an empty set and link with nothing; they are their own component. Equal texts with words are
 in one component. Rows that repeat an id are documents of their own with that id. An empty table gives no rows. Other
@@ -26,17 +29,22 @@ columns are not carried on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutscape.llm.common import SPACE_BYTES, components, written
+from cutscape.llm.common import SPACE_BYTES, components, joined_evenly, written
 
 #: Fragments of the order in which the overlap of a pair is counted.
 FRAGMENTS = 4
+#: Members outside the largest component of a group whose pairs are listed by the group's shingle.
+LISTED = 16
 #: Counters of the sketch that orders shingles.
 COUNTERS, SLICES = 1 << 20, 64
 #: Shingles that a task holds before it sends them on; bytes of text that are hashed at a time.
@@ -244,12 +252,30 @@ def candidate_sets(docs: DataFrame, digests: DataFrame, text: str, percent: int,
     return written(body.mapInPandas(sets, "class bigint, n bigint, set binary").dropDuplicates(["class"]), "sets")
 
 
-def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, class, n, r) of the repeated shingles among the first (size - least overlap + 1) of each set, rare ones first.
+@dataclass
+class Order:
+    """The global order of shingles: by the count of their cell in the sketch, then by hash."""
 
-    r is the number of the set's shingles from this one on, the most that it can have in common with a set of which this
-    is the first common shingle.
-    """
+    counts: np.ndarray
+    levels: np.ndarray
+    before: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Order:
+        levels, cells = np.unique(counts, return_counts=True)
+        return Order(counts, levels, np.concatenate(([0], np.cumsum(levels * cells))).astype(float))
+
+    def times(self, tokens: np.ndarray) -> np.ndarray:
+        return self.counts[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
+
+    def fragments(self, tokens: np.ndarray, n: int) -> np.ndarray:
+        """Fragment of each shingle: the order cut into n stretches of about as many occurrences each."""
+        level = np.searchsorted(self.levels, self.times(tokens))
+        place = self.before[level] + (self.before[level + 1] - self.before[level]) * (tokens.astype(float) / 2.0**64)
+        return np.minimum((place * (n / max(self.before[-1], 1.0))).astype(np.int64), n - 1)
+
+
+def shingle_order(sets: DataFrame) -> Order:
     width = COUNTERS // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,14 +293,22 @@ def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     table = np.zeros((SLICES, width), np.int64)
     for r in sets.select("set").mapInPandas(count, shape).groupBy("slice").applyInPandas(add, shape).collect():  # a fixed table
         table[r["slice"]] = np.frombuffer(r["counts"], "<i8")
-    shared = sets.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    return Order.of(table.reshape(-1))
+
+
+def ordered_prefixes(sets: DataFrame, percent: int, order: Broadcast) -> DataFrame:
+    """(token, class, n, r) of the repeated shingles among the first (size - least overlap + 1) of each set, rare ones first.
+
+    r is the number of the set's shingles from this one on, the most that it can have in common with a set of which this
+    is the first common shingle.
+    """
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [np.zeros((4, 0), np.int64)]
             for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
                 tokens = np.frombuffer(content, np.uint64)
-                times = shared.value[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
+                times = order.value.times(tokens)
                 first = np.lexsort((tokens, times))[: n - least_overlap(n, percent) + 1]
                 at = np.flatnonzero(times[first] > 1)
                 rows.append(np.stack([tokens[first[at]].view(np.int64), np.full(len(at), key), np.full(len(at), n), n - at]))
@@ -283,17 +317,64 @@ def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return written(sets.mapInPandas(prefixes, "token bigint, class bigint, n bigint, r bigint"), "prefixes")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
+def bands(percent: int) -> np.ndarray:
+    """Least size of each band of sizes; sets that link are of one band or of neighbouring ones."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(least[-1] * 100 // percent + 1)
+    return np.array(least)
+
+
+def part_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, class, n, r, side) of parts of each set; two sets that link have a token in common, on sides that pair.
+
+    Two sets that link, of bands i and j, differ in at most d shingles. Shingles are dealt by hash to groups, some more
+    than a quarter of d, so that a few groups of two such sets differ in three shingles at most; a group is dealt to six
+    parts, so that three parts of it are the same. Each three parts make a token, by pair of bands: side 2 is for sets of
+    one band, 0 and 1 for the smaller and the larger of two. Tokens of empty parts are left out, unless a set has so many
+    that no other group need be the same.
+    """
+    least = bands(percent)
+    threes = np.array([[i in c for i in range(6)] for c in combinations(range(6), 3)], np.uint64)
+
+    def tokens_of(h: np.ndarray, i: int, j: int) -> np.ndarray:
+        d = int(least[i + 1] + least[j + 1] - 2) * (100 - percent) // (100 + percent)
+        spare = 2 + d // 48
+        groups = d // 4 + 1 + spare
+        cell = ((h % np.uint64(groups)) * np.uint64(6) + (h >> np.uint64(32)) % np.uint64(6)).astype(np.int64)
+        sums = np.zeros(groups * 6, np.uint64)
+        np.add.at(sums, cell, mixed(h + np.uint64(ODD[4])))
+        full = (np.bincount(cell, minlength=groups * 6).reshape(groups, 1, 6) * threes[None].astype(np.int64)).sum(2) > 0
+        named = mixed(sums + np.arange(groups * 6, dtype=np.uint64) * np.uint64(ODD[5])).reshape(groups, 6)
+        found = (named[:, None, :] * threes[None]).sum(2, dtype=np.uint64) + np.arange(len(threes), dtype=np.uint64) * np.uint64(ODD[6])
+        pair = np.array([i * 1000 + j], np.uint64) * np.uint64(ODD[3])
+        return mixed((found if (~full).any(1).sum() > spare else found[full]).reshape(-1) + pair).view(np.int64)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [np.zeros((5, 0), np.int64)]
+            for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
+                h = mixed(np.frombuffer(content, np.uint64) + np.uint64(ODD[3]))
+                i = int(np.searchsorted(least, n, side="right")) - 1
+                for x, y, side in ((i, i, 2), (i, i + 1, 0), (i - 1, i, 1)):
+                    if x >= 0:
+                        t = tokens_of(h, x, y)
+                        rows.append(np.stack([t, *(np.full(len(t), v) for v in (key, n, n, side))]))
+            yield pd.DataFrame(np.concatenate(rows, 1).T, columns=["token", "class", "n", "r", "side"])
+
+    return sets.mapInPandas(parts, "token bigint, class bigint, n bigint, r bigint, side bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, order: Broadcast, fragments: int = FRAGMENTS) -> DataFrame:
     """The pairs (a, b) that link: overlaps are counted by fragments of the order and summed."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bounds = (np.arange(1, fragments, dtype=np.uint64)) * np.uint64((1 << 64) // fragments)
         for batch in batches:
             rows = []
             for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
                 tokens = np.frombuffer(content, np.uint64)
-                cuts = [0, *np.searchsorted(tokens, bounds).tolist(), len(tokens)]
-                rows += [(key, n, f, tokens[a:b].tobytes()) for f, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                of = order.value.fragments(tokens, fragments)
+                rows += [(key, n, f, tokens[of == f].tobytes()) for f in range(fragments)]
             yield pd.DataFrame(rows, columns=["class", "n", "fragment", "part"])
 
     @F.pandas_udf("bigint")
@@ -314,7 +395,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = F
 
 def linked_roots(sets: DataFrame, percent: int, stars: int = 2) -> DataFrame:
     """(class, root) of every class that links with another."""
-    prefixes = ordered_prefixes(sets, percent)
+    order = sets.sparkSession.sparkContext.broadcast(shingle_order(sets))
+    prefixes = ordered_prefixes(sets, percent, order)
     links = tried = roots = None
 
     def fits(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
@@ -322,47 +404,64 @@ def linked_roots(sets: DataFrame, percent: int, stars: int = 2) -> DataFrame:
         most = F.least(ra, rb)
         return 100 * most >= percent * (na + nb - most)
 
-    def by_component() -> DataFrame:
+    def by_component(members: DataFrame) -> DataFrame:
         if roots is None:
-            return prefixes.withColumn("c", F.col("class"))
-        return prefixes.join(roots, "class", "left").withColumn("c", F.coalesce("root", "class")).drop("root")
+            return members.withColumn("c", F.col("class"))
+        return members.join(roots, "class", "left").withColumn("c", F.coalesce("root", "class")).drop("root")
+
+    def groups_of(members: DataFrame) -> DataFrame:
+        """(token, most, others) of groups of several components: the largest one, and the members outside it."""
+        by = members.groupBy("token", "c").agg(F.count("*").alias("k"), F.min("side").alias("low"), F.max("side").alias("high"))
+        groups = by.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+        groups = groups.filter("low <> high or low = 2")
+        return groups.select("token", F.col("m.c").alias("most"), (F.col("k") - F.col("m.k")).alias("others")).filter("others > 0")
+
+    def listed(members: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs of different components that can link; each has a member outside the group's largest component."""
+        mixed_groups = members.join(groups, "token")
+        named = lambda rows, x: rows.select("token", F.col("class").alias(x), *(F.col(c).alias(c + x) for c in ("n", "r", "c", "side")))
+        pairs = named(mixed_groups.filter("c <> most"), "a").join(named(mixed_groups, "b"), "token")
+        pairs = pairs.filter("ca <> cb and (sidea = 2 and sideb = 2 or sidea + sideb = 1)")
+        return pairs.filter(fits(*map(F.col, ("na", "ra", "nb", "rb")))).select("a", "b")
 
     def compare(pairs: DataFrame, what: str) -> None:
         nonlocal links, tried, roots
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{what}")
-        found = written(verified(pairs, sets, percent), f"links-{what}")
+        found = written(verified(pairs, sets, percent, order), f"links-{what}")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = written(components(links).select(F.col("node").alias("class"), "root"), f"roots-{what}")
 
     for k in range(stars):  # the first hubs are those with the fewest rare shingles: they link with most others
         pick = F.struct(F.col("n") - F.col("r") if k == 0 else F.xxhash64("class", F.lit(k)), "class", "n", "r", "c")
-        members = by_component().groupBy("token", "c").agg(F.min(pick).alias("m")).select("token", "m")
+        members = by_component(prefixes).groupBy("token", "c").agg(F.min(pick).alias("m")).select("token", "m")
         hubs = members.groupBy("token").agg(F.min("m").alias("h"), F.count("*").alias("k")).filter("k > 1").drop("k")
         rays = members.join(hubs, "token").filter((F.col("m.c") != F.col("h.c")) & fits(F.col("m.n"), F.col("m.n"), F.col("h.n"), F.col("h.n")))
         compare(rays.select(F.col("m.class").alias("a"), F.col("h.class").alias("b")), f"star{k}")
-    placed = by_component()
-    groups = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.mode("c").alias("most"))
-    groups = groups.filter("low < high").select("token", "most")
-    mixed_groups = placed.join(groups, "token")
-    others = mixed_groups.filter("c <> most").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
-    rest = others.join(mixed_groups.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb")), "token")
-    rest = rest.filter((F.col("ca") != F.col("cb")) & fits(*map(F.col, ("na", "ra", "nb", "rb"))))
-    compare(rest.select("a", "b"), "rest")
+    placed = by_component(prefixes.withColumn("side", F.lit(2).cast("long")))
+    groups = written(groups_of(placed), "groups")
+    rest = listed(placed, groups.filter(F.col("others") <= LISTED))
+    wide = groups.filter(F.col("others") > LISTED)
+    if not wide.isEmpty():
+        some = sets.join(placed.join(wide, "token", "left_semi").select("class").distinct(), "class", "left_semi")
+        parts = written(by_component(part_keys(some, percent)), "parts")
+        rest = rest.unionByName(listed(parts, groups_of(parts)))
+    compare(rest, "rest")
     return roots
 
 
 def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, text_hash) of every row; component_id is the smallest id reachable by links, its own
-    included, and text_hash (xxhash64) tells rows of one id apart.
+    """(id, n_shingles, component_id, text_hash, group) of every row; component_id is the smallest id reachable by links, its
+    own included, text_hash (xxhash64) tells rows of one id apart, and group is one number for each component, null for an
+    empty set.
     """
-    digests = written(set_digests(docs, id, text, n), "digests")
+    digests = written(set_digests(docs, id, text, n), "digests").withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
     sets = candidate_sets(docs, digests, text, percent, n)
-    least = digests.filter("n_shingles > 0").groupBy("class").agg(F.min("_id").alias("own"))
+    least = digests.filter("n_shingles > 0").groupBy("class").agg(F.min("_id").alias("own"), F.count("*").alias("rows"))
     roots = linked_roots(sets, percent)
     named = roots.join(least, "class").groupBy("root").agg(F.min("own").alias("low"))
-    classes = least.join(roots.join(named, "root").select("class", "low"), "class", "left")
-    classes = classes.select("class", F.coalesce("low", "own").alias("component_id"))
-    told = digests.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class"))).join(classes, "class", "left")
-    return told.select(F.col("_id").alias(id), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"), "text_hash")
+    classes = least.join(roots.join(named, "root").select("class", "root", "low"), "class", "left")
+    classes = classes.select("class", F.coalesce("low", "own").alias("component_id"), F.coalesce("root", "class").alias("group"), "rows")
+    told = joined_evenly(digests, written(classes, "classes"), ["class"], "rows", digests.count())
+    return told.select(F.col("_id").alias(id), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"), "text_hash", "group")

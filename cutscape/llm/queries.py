@@ -29,7 +29,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return ngram_join.near_components(table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 OP3_SQL = r"""
