@@ -5,9 +5,10 @@ document's words stream through it; the state gives the longest match that ends
 as a window (`window` words, or the whole item if that has fewer), the window's words are hit.
 
 Null and empty texts have no words: such items match nothing, such documents are clean. Rows are treated one by one.
-Items with equal texts are both reported. The automaton is built from items of at most `block_bytes` of text; more
-items are dealt into several blocks by a hash of their id, each block scans all documents, and the hits of a document
-are merged.
+Items with equal texts are both reported; repeated items count once. The items are dealt by hash into blocks of about
+`block_bytes` of text and written to the shared folder; a task reads its block there, and a Python worker builds its
+automaton once. Each block scans all documents, and the hits of a document are merged. The driver knows only the number
+of blocks. A single item is never cut, so a block can be as large as the largest item.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutscape.llm.common import WORD_BYTES
+from cutscape.llm.common import WORD_BYTES, filesystem, shared_path, spare
 
-#: Most bytes of item texts in one automaton.
-BLOCK_BYTES = 16 << 20
+#: About the bytes of item texts in one automaton, which takes some 150 times as much memory in its worker.
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -144,24 +147,46 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _found(
-    docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str, item_text: str, window: int, block_bytes: int
-) -> tuple[DataFrame, bool]:
+class Blocks:
+    """The items of a benchmark, written by block to the shared folder."""
+
+    def __init__(self, benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> None:
+        items = benchmark.select(F.col(item).alias("_i"), F.col(item_text).cast("binary").alias("_t")).filter("_t is not null").distinct()
+        total = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+        self.n, self.window = -(-total // block_bytes) or 1, window
+        self.kind = benchmark.schema[item].dataType.simpleString()
+        self.folder = shared_path(benchmark.sparkSession, "items")
+        dealt = items.withColumn("_block", F.pmod(F.xxhash64("_i", "_t"), F.lit(self.n)))
+        dealt.repartition("_block").write.partitionBy("_block").parquet(self.folder)
+
+    def automaton(self, k: int) -> Automaton:
+        """Of a block; a worker keeps the last one."""
+        key = (self.folder, k)
+        if key not in _AUTOMATA:
+            _AUTOMATA.clear()
+            where, path = filesystem(self.folder)
+            files = where.get_file_info(fs.FileSelector(f"{path}/_block={k}", allow_not_found=True))
+            parts = [pq.read_table(f.path, filesystem=where, columns=["_i", "_t"]) for f in files if f.path.endswith(".parquet")]
+            rows = [row for t in parts for row in zip(t["_i"].to_pylist(), t["_t"].to_pylist())]
+            _AUTOMATA[key] = Automaton(sorted(rows, key=lambda r: (str(r[0]), r[1])), self.window)
+        return _AUTOMATA[key]
+
+
+_AUTOMATA: dict[tuple[str, int], Automaton] = {}
+
+
+def _found(docs: DataFrame, blocks: Blocks, id: str, text: str) -> tuple[DataFrame, bool]:
     """(_id, _sha, n_words, spans, items, longest) over all blocks, and whether it has a row for each document.
 
     It does with one block. With more, documents of one id and text have one row, to be joined back by both.
     """
-    kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id), (benchmark, item)))
-    items = benchmark.select(F.col(item).alias("_i"), F.col(item_text).cast("binary").alias("_t")).filter("_t is not null")
-    blocks = n_blocks(items, block_bytes)
+    kind, item_kind = docs.schema[id].dataType.simpleString(), blocks.kind
     spans_kind = "array<struct<start:bigint,end:bigint>>"
     narrow = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_t"))
 
     def block(k: int) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items_of_block(items, blocks, k))
-
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(shared.value, window)
+            automaton = blocks.automaton(k)
             for batch in batches:
                 rows = []
                 for key, content in zip(batch["_id"], batch["_t"]):
@@ -174,7 +199,7 @@ def _found(
         schema = f"_id {kind}, _sha binary, n_words bigint, spans {spans_kind}, items array<{item_kind}>, longest bigint"
         return narrow.mapInPandas(scan, schema)
 
-    if blocks == 1:
+    if blocks.n == 1:
         return block(0), True
 
     @F.pandas_udf(spans_kind)
@@ -182,7 +207,7 @@ def _found(
         return lists.map(lambda xs: [{"start": a, "end": b} for a, b in merged((x["start"], x["end"]) for x in xs)])
 
     parts = block(0).dropDuplicates(["_id", "_sha"])
-    for k in range(1, blocks):
+    for k in range(1, blocks.n):
         parts = parts.unionByName(block(k).dropDuplicates(["_id", "_sha"]))
     return parts.groupBy("_id", "_sha").agg(  # a row for each block
         F.max("n_words").alias("n_words"), union(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -190,16 +215,6 @@ def _found(
     ), False
 
 
-def n_blocks(items: DataFrame, block_bytes: int) -> int:
-    total = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    return -(-total // block_bytes) or 1
-
-
-def items_of_block(items: DataFrame, blocks: int, k: int) -> list[tuple[object, bytes]]:
-    part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == k)
-    return [(r["_i"], bytes(r["_t"])) for r in part.collect()]
-
-
 def text_digest(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256))
 
@@ -209,7 +224,7 @@ def benchmark_hits(
     item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, n_words, spans array<struct<start, end>> of hit words, items array of ids, longest) for every document."""
-    hits, for_each = _found(docs, benchmark, id, text, item, item_text, window, block_bytes)
+    hits, for_each = _found(docs, Blocks(benchmark, item, item_text, window, block_bytes), id, text)
     if for_each:
         return hits.drop("_sha").withColumnRenamed("_id", id)
     own = docs.select(F.col(id).alias("_id"), text_digest(text).alias("_sha"))
@@ -228,8 +243,9 @@ def without_hits(
     """Documents (doc_id, text, n_chars and others) without what they share with the benchmark.
 
     The hit words go, with what stands between two of them; a document of which more than `most_coverage` of the words
-    is hit goes altogether. Clean documents stay as they are, null texts too. Both are judged once, on the whole text
-    and the hits of all blocks, so the number of blocks changes no row.
+    is hit goes altogether. Clean documents stay as they are, null texts too, and so do columns besides. Repeated rows are
+    judged alike. Both are judged once, on the whole text and the hits of all blocks, so the number of blocks changes no
+    row. An empty table on either side changes nothing.
     """
     strings = [c for c, kind in docs.dtypes if kind == "string"]
 
@@ -241,25 +257,25 @@ def without_hits(
         out["n_chars"] = [n if d is True else len(d) for n, d in zip(out["n_chars"], left)]
         return out
 
-    items = benchmark.select(F.col("item_id").alias("_i"), F.col("text").cast("binary").alias("_t")).filter("_t is not null")
-    if n_blocks(items, block_bytes) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(items_of_block(items, 1, 0))
+    blocks = Blocks(benchmark, "item_id", "text", window, block_bytes)
+    if blocks.n == 1:
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(shared.value, window)
+            automaton = blocks.automaton(0)
             for batch in batches:
                 yield left_over(batch, [cleaned(t, automaton.scan(words_of((t or "").encode()))[0], most_coverage) for t in batch["text"]])
 
         return docs.mapInPandas(scan, docs.schema)
 
-    hits = _found(docs, benchmark, "doc_id", "text", "item_id", "text", window, block_bytes)[0]
-    hits = hits.filter("size(spans) > 0").select(F.col("_id").alias("_hit_id"), F.col("_sha").alias("_hit_sha"), F.col("spans").alias("_hit_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (text_digest("text") == F.col("_hit_sha"))
-    marked = docs.join(hits, same, "left").select(*docs.columns, "_hit_spans")
+    hits = _found(docs, blocks, "doc_id", "text")[0]
+    passing = [spare(docs, f"_hit_{x}") for x in ("id", "sha", "spans")]
+    hits = hits.filter("size(spans) > 0").select(*(F.col(c).alias(n) for c, n in zip(("_id", "_sha", "spans"), passing)))
+    same = F.col("doc_id").eqNullSafe(F.col(passing[0])) & (text_digest("text") == F.col(passing[1]))
+    marked = docs.join(hits, same, "left").select(*docs.columns, passing[2])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in batch.pop("_hit_spans")]
+            spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in batch.pop(passing[2])]
             yield left_over(batch, [cleaned(t, s, most_coverage) for t, s in zip(batch["text"], spans)])
 
     return marked.mapInPandas(cut, docs.schema)
