@@ -9,7 +9,8 @@ of ids by rank (u32); the documents' keys (i64, null as the least number); their
 (ceil(ids / 4)); code bytes; CRC-32 of all that stands before (u32).
 
 Documents are dealt by range of their id and sorted; each partition writes files of at most `file_ids` ids (or one
-document) under a name of its own try, so a repeated task leaves no half file, and the returned rows name the files that count.
+document) under a name of its own try, so a repeated task leaves no half file, and the returned rows name the files that
+count. These rows stay a table: a task that reads gets its files' names from it, the driver only their number.
 Ids are integers; null comes first. A null or empty text is the end id alone. Rows with equal ids stand side by side. An empty table gives no files.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cutscape.llm.common import written
+from cutscape.llm.common import filesystem, written
 from cutscape.llm.tokens import encoder
 
 MAGIC = b"CTOK1\0\0\0"
@@ -86,15 +87,6 @@ def decoded(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (table[ranks] if n else ranks), per_doc, keys
 
 
-def filesystem(uri: str):
-    """(file system, path) of a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    return fs.LocalFileSystem(), uri
-
-
 def put(folder: str, name: str, content: bytes) -> str:
     """Writes a file in one step: under a passing name, then renamed. Returns its URI."""
     where, path = filesystem(folder)
@@ -139,35 +131,50 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id:
     dealt = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_t")).repartitionByRange("_id")
     files = dealt.sortWithinPartitions("_id").mapInPandas(write, "file string, part int, documents bigint, ids bigint")
     listed = written(files.withColumn("partition", F.spark_partition_id()), "token-files")
-    before = Window.orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return listed.select(
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = listed.groupBy("partition").agg(F.sum("documents").alias("d"), F.sum("ids").alias("i"))
+    whole = earlier(Window.orderBy("partition"))  # a row for each partition
+    sums = sums.select("partition", F.coalesce(F.sum("d").over(whole), F.lit(0)).alias("d"), F.coalesce(F.sum("i").over(whole), F.lit(0)).alias("i"))
+    before = earlier(Window.partitionBy("partition").orderBy("part"))
+    return listed.join(F.broadcast(sums), "partition").select(
         "file", "documents", "ids",
-        F.coalesce(F.sum("documents").over(before), F.lit(0)).alias("first_doc"),
-        F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first_token"),
+        (F.col("d") + F.coalesce(F.sum("documents").over(before), F.lit(0))).alias("first_doc"),
+        (F.col("i") + F.coalesce(F.sum("ids").over(before), F.lit(0))).alias("first_token"),
     )
 
 
+def read_each(files: DataFrame, read: Callable, schema: T.StructType) -> DataFrame:
+    """The rows that read(contents and other columns, as rows) gives of each of the files (file, ...).
+
+    As many tasks as files, up to 100,000; each opens its own.
+    """
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                where, path = filesystem(row.file)
+                with where.open_input_stream(path, compression=None) as f:
+                    content = f.read()
+                yield read(content, row)
+
+    n = files.count()
+    return files.repartition(max(1, min(n, 100_000))).mapInPandas(opened, schema)
+
+
 def read_tokens(spark: SparkSession, files: DataFrame, with_ids: bool = False) -> DataFrame:
     """(id, doc_no, start, n_tokens, ids_crc32) of every document of the files, doc_no counting in their order."""
-    listed = files.select("file", "first_doc", "first_token").collect()  # a row for each file
     schema = T.StructType.fromDDL("id bigint, doc_no bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    if not listed:
-        return spark.createDataFrame([], schema) if with_ids else spark.createDataFrame([], schema).drop("ids")
-    firsts = spark.sparkContext.broadcast({r["file"].rsplit("/", 1)[1]: (r["first_doc"], r["first_token"]) for r in listed})
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                doc, token = firsts.value[path.rsplit("/", 1)[1]]
-                ids, per_doc, keys = decoded(content)
-                ends = np.cumsum(per_doc, dtype=np.int64)
-                starts = ends - per_doc
-                whole = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                parts = [whole[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pd.DataFrame({
-                    "id": pd.Series(keys, dtype="Int64").mask(keys == NULL), "doc_no": doc + np.arange(len(per_doc)), "start": token + starts, "n_tokens": per_doc.astype(np.int64),
-                    "ids_crc32": [zlib.crc32(p) for p in parts], "ids": [bytes(p) for p in parts] if with_ids else None,
-                })
-
-    rows = spark.read.format("binaryFile").load([r["file"] for r in listed]).select("path", "content").mapInPandas(read, schema)
+    def read(content: bytes, row) -> pd.DataFrame:
+        ids, per_doc, keys = decoded(content)
+        ends = np.cumsum(per_doc, dtype=np.int64)
+        starts = ends - per_doc
+        whole = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        parts = [whole[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return pd.DataFrame({
+            "id": pd.Series(keys, dtype="Int64").mask(keys == NULL), "doc_no": row.first_doc + np.arange(len(per_doc)), "start": row.first_token + starts, "n_tokens": per_doc.astype(np.int64),
+            "ids_crc32": [zlib.crc32(p) for p in parts], "ids": [bytes(p) for p in parts] if with_ids else None,
+        })
+
+    rows = read_each(files.select("file", "first_doc", "first_token"), read, schema)
     return rows if with_ids else rows.drop("ids")

@@ -13,8 +13,9 @@ a bound. The machine is fitted to the sample's kept buckets, a matrix bounded by
 The screen sees terms one by one: two terms that tell nothing alone and all together are not kept and not learned.
 
 Null and empty texts have no terms; their score is that of w0 alone. Rows are scored one by one, whole. Labels that are
-null or without a document teach nothing; of repeated labels of one id the largest counts. Without any label of either
-kind every score is the smoothed share of the other one.
+null or without a document teach nothing; of repeated labels of one id the largest counts, of several documents of one id
+that of the least hash of its text teaches. Without any label of either kind every score is the smoothed share of the
+other one. scored() replaces a column of the name that it is given; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -131,16 +132,21 @@ def fit(rows: list[list[int]], labels: np.ndarray, kept: np.ndarray, factors: in
     g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, factors), 1e-8)
     scale = np.where(y > 0, weight, 1.0) / np.sqrt(len(y))
     for _ in range(steps):
-        margin, sums = x.margins(w0, w, v)
-        miss = (1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - y) * scale
-        d0, dw = miss.sum(), x.spread(miss) + decay * w
-        own = x.spread(miss)
-        dv = np.stack([x.spread(miss * sums[:, f]) for f in range(factors)], 1) - own[:, None] * v + decay * v
+        d0, dw, dv = gradient(x, y, scale, w0, w, v, decay)
         g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
         w0, w, v = w0 - rate * d0 / np.sqrt(g0), w - rate * dw / np.sqrt(gw), v - 0.3 * rate * dv / np.sqrt(gv)
     return Machine(kept, w0, w, v)
 
 
+def gradient(x: Rows, y: np.ndarray, scale: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the rows' logistic losses times `scale`, plus half of decay * (|w|^2 + |v|^2), by w0, w and v."""
+    margin, sums = x.margins(w0, w, v)
+    miss = (1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - y) * scale
+    own = x.spread(miss)
+    dv = np.stack([x.spread(miss * sums[:, f]) for f in range(v.shape[1])], 1) - own[:, None] * v + decay * v
+    return float(miss.sum()), own + decay * w, dv
+
+
 def signed_root(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Signed root of the likelihood ratio of each bucket's counts against independence of the label."""
     pos, neg = pos.astype(float), neg.astype(float)
@@ -162,7 +168,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int | Non
     if n > rows:  # the hash is even, so this share is about `rows`; the limit makes it a bound
         told = told.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n)).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     body = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_t"))
-    sample = written(body.join(F.broadcast(told), "_id").select("_y", "_t"), "labelled")  # `rows` labels at most are broadcast
+    found = body.join(F.broadcast(told), "_id")  # `rows` labels at most are broadcast
+    one = found.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_t"), "_t", "_y")).alias("x"))  # a document for each
+    sample = written(one.select("x._y", "x._t"), "labelled")
     width = BUCKETS // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,7 @@
 """WARC archives in Zstandard with a dictionary (.warc.zst).
 
 Writing: each partition of pages makes files. A file's first frame is a skippable one (magic 0x184D2A5D) that holds the
-file's dictionary, trained on its first records; then each record is one frame of its own, compressed with the
+file's dictionary, trained on records from all over the file; then each record is one frame of its own, compressed with the
 dictionary, with content size and checksum. Of records with equal payloads (of at least `least_bytes`) the one with the
 smallest page id is a response, the others are revisits that name it.
 
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutscape.llm.common import written
-from cutscape.llm.token_io import put
+from cutscape.llm.common import joined_evenly, written
+from cutscape.llm.token_io import put, read_each
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 FILE_BYTES = 48 << 20
-#: Size of a file's dictionary, and of the records at its head that train it.
+#: Size of a file's dictionary, and about that of the records, evenly spread over the file, that train it.
 DICTIONARY_BYTES, TRAIN_BYTES = 64 << 10, 4 << 20
 DATE = "2020-01-01T00:00:00Z"  # the tables have no capture times
 
@@ -70,12 +70,8 @@ def record(page_id: object, url: str, payload: bytes, first: object | None) -> b
 
 def archive(records: list[bytes]) -> bytes:
     """One file: the dictionary in a skippable frame, then a frame for each record."""
-    samples, held = [], 0
-    for r in records:
-        samples.append(r)
-        held += len(r)
-        if held >= TRAIN_BYTES:
-            break
+    samples = records[:: max(1, sum(map(len, records)) // TRAIN_BYTES)]
+    held = sum(map(len, samples))
     try:
         trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, held // 8)), samples).as_bytes()
     except zstandard.ZstdError:  # too few records to train on
@@ -159,10 +155,11 @@ def with_first(pages: DataFrame, least_bytes: int = 0, id: str = "page_id", html
     """(id, url, payload, first): first is the smallest id of equal payloads, null for responses."""
     body = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     own = pages.select(F.col(id).alias("_id"), F.col("url").alias("_url"), body.alias("_body"))
+    own = own.withColumn("_sha", F.sha1("_body")).withColumn("_len", F.octet_length("_body"))
     # Narrow rows only: a payload's digest and length stand for it; a hot digest is reduced before it is shuffled.
-    key = own.select("_id", F.sha1("_body").alias("_sha"), F.octet_length("_body").alias("_len")).filter(F.col("_len") >= least_bytes)
-    firsts = key.groupBy("_sha", "_len").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    told = own.withColumn("_sha", F.sha1("_body")).withColumn("_len", F.octet_length("_body")).join(firsts, ["_sha", "_len"], "left")
+    key = own.select("_id", "_sha", "_len").filter(F.col("_len") >= least_bytes)
+    firsts = key.groupBy("_sha", "_len").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    told = joined_evenly(own, firsts, ["_sha", "_len"], "_n", pages.count())
     return told.select("_id", "_url", "_body", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_first"))
 
 
@@ -200,22 +197,17 @@ RECORD = T.StructType(
 
 def read_archives(spark: SparkSession, files: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row for each record of the files."""
-    names = [r["file"] for r in files.select("file").collect()]  # a row for each file
     schema = RECORD if with_payload else T.StructType(RECORD.fields[:-1])
-    if not names:
-        return spark.createDataFrame([], schema)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for frame in frames(content):
-                    r = parsed(frame)
-                    h = r["headers"]
-                    number = lambda name, h=h: int(h[name]) if h.get(name) else None
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    rows.append((number("page-id"), h.get("warc-target-uri"), h["warc-type"], number("payload-length"), digest, number("refers-to-page-id"), r["payload"]))
-                out = pd.DataFrame(rows, columns=RECORD.names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
-                yield out if with_payload else out.drop(columns="payload")
-
-    return spark.read.format("binaryFile").load(names).select("content").mapInPandas(read, schema)
+    def read(content: bytes, _) -> pd.DataFrame:
+        rows = []
+        for frame in frames(content):
+            r = parsed(frame)
+            h = r["headers"]
+            number = lambda name, h=h: int(h[name]) if h.get(name) else None
+            digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+            rows.append((number("page-id"), h.get("warc-target-uri"), h["warc-type"], number("payload-length"), digest, number("refers-to-page-id"), r["payload"]))
+        out = pd.DataFrame(rows, columns=RECORD.names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
+        return out if with_payload else out.drop(columns="payload")
+
+    return read_each(files.select("file"), read, schema)
