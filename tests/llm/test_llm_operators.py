@@ -211,6 +211,42 @@ def test_ngram_join(spark, none):
     assert ngram_join.near_components(none).count() == 0
 
 
+def template_rows(n, rng):
+    """Pages of ten of forty shared blocks: every block is on a quarter of them, hardly any two link."""
+    blocks = [" ".join(f"b{k}w{j}" for j in range(40)) for k in range(40)]
+    rows = [(k, " ".join(blocks[b] for b in sorted(rng.sample(range(40), 10))), "en", "s", 1) for k in range(n)]
+    near = rows[5][1].split()
+    near[7], near[200] = "x", "y"
+    return [*rows, (n, " ".join(near), "en", "s", 1), (n + 1, rows[9][1] + " a tail", "en", "s", 1)]
+
+
+def test_ngram_join_of_templates(spark, monkeypatch):
+    rows = template_rows(150, random.Random(5))
+    seen, plainly = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (seen.append(pairs.count()), plainly(pairs, *rest))[1])
+    got = ngram_join.near_components(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert sum(seen) < len(rows) ** 2 / 6, seen
+
+
+def test_parts_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    pairs, rows = 0, []
+    for k in range(60):  # pairs at and near the limit
+        n = int(rng.integers(1, 400))
+        tokens = rng.integers(0, 1 << 62, 2 * n).astype(np.uint64)
+        own, away = tokens[:n], int(rng.integers(0, max(1, n // 9) + 1))
+        other = np.concatenate((own[away:], tokens[n : n + int(rng.integers(0, away + 1))]))
+        both = len(own) - away
+        if len(other) and 100 * both >= 80 * (len(own) + len(other) - both):
+            pairs += 1
+            rows += [(2 * k, len(own), np.sort(own).tobytes()), (2 * k + 1, len(other), np.sort(other).tobytes())]
+    keys = ngram_join.part_keys(spark.createDataFrame(rows, "class long, n long, set binary"), 80)
+    met = keys.withColumn("pair", F.floor(F.col("class") / 2)).groupBy("token", "pair").agg(F.count_distinct("class").alias("n"), F.sum("side").alias("s"))
+    met = met.filter("n = 2 and s in (1, 4)")
+    assert pairs > 30 and met.select("pair").distinct().count() == pairs
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -372,6 +408,41 @@ def test_pairs_matter():
     assert s[3] > 0.7 > max(s[:3])
 
 
+def test_margins_and_gradient():
+    rng = np.random.default_rng(5)
+    k, n = 9, 30
+    rows = [sorted(rng.choice(k, rng.integers(0, 6), replace=False).tolist()) for _ in range(n)]
+    y, scale = rng.integers(0, 2, n).astype(float), rng.random(n)
+    w0, w, v = 0.3, rng.normal(size=k), rng.normal(size=(k, 3))
+    x = toxicity.Rows(rows, k)
+    plain = lambda w0, w, v: np.array([w0 + sum(w[i] for i in r) + sum(v[i] @ v[j] for i in r for j in r if i < j) for r in rows])
+    assert np.allclose(x.margins(w0, w, v)[0], plain(w0, w, v))
+    assert np.allclose(toxicity.Machine(np.arange(k), w0, w, v).scores(rows), 1 / (1 + np.exp(-plain(w0, w, v))))
+
+    def loss(w0, w, v):
+        m = plain(w0, w, v)
+        return (scale * (np.log1p(np.exp(m)) - y * m)).sum() + 0.05 * ((w**2).sum() + (v**2).sum())
+
+    d0, dw, dv = toxicity.gradient(x, y, scale, w0, w, v, 0.1)
+    e = 1e-5
+    assert abs((loss(w0 + e, w, v) - loss(w0 - e, w, v)) / (2 * e) - d0) < 1e-6
+    for i in range(k):
+        up = np.eye(k)[i] * e
+        assert abs((loss(w0, w + up, v) - loss(w0, w - up, v)) / (2 * e) - dw[i]) < 1e-6
+        for f in range(3):
+            step = np.outer(up, np.eye(3)[f])
+            assert abs((loss(w0, w, v + step) - loss(w0, w, v - step)) / (2 * e) - dv[i, f]) < 1e-6
+
+
+def test_one_document_teaches_for_a_label(spark, monkeypatch):
+    d = spark.createDataFrame([(i % 3, f"text number {i} of many") for i in range(300)], "doc_id long, text string")
+    lab = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels, kept, plainly=toxicity.fit: (seen.append(len(rows)), plainly(rows, labels, kept))[1])
+    toxicity.learn(d, lab)
+    assert seen == [3]
+
+
 def test_all_telling_terms_are_kept(spark):
     telling = [f"{j:04d}q" for j in range(1500)]  # each also has its beginning of four characters, and that of five
     rows = [(i, " ".join(telling) if i % 2 else f"plain text {i}") for i in range(80)]
@@ -529,6 +600,9 @@ def test_token_files(spark, docs, none, tmp_path):
         told[r.id][bytes(r.ids)] -= 1
         at += r.n_tokens
     assert not any(any(c.values()) for c in told.values())
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
+    back = token_io.read_tokens(spark, token_io.write_tokens(odd, str(tmp_path / "o"), TOKENIZER, 2)).collect()
+    assert sorted((r.id is not None, r.n_tokens) for r in back) == [(False, 1), (False, 3), (True, 3)]
     assert token_io.read_tokens(spark, token_io.write_tokens(none, str(tmp_path / "n"), TOKENIZER, 2)).count() == 0
 
 
@@ -566,6 +640,15 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(df.limit(0), str(tmp_path / "n"))).count() == 0
 
 
+def test_hot_keys_are_dealt_out(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 5 == 0 else f"k{i % 97}") for i in range(4000)], "i long, k string")
+    right = left.filter("k is not null").groupBy("k").agg(F.min("i").alias("low"), F.count("*").alias("n"))
+    both = common.joined_evenly(left, right, ["k"], "n", 4000)
+    low = {r.k: r.low for r in right.collect()}
+    assert {(r.i, r.k, r.low) for r in both.collect()} == {(r.i, r.k, low.get(r.k)) for r in left.collect()} and both.count() == 4000
+    assert common.joined_evenly(left.limit(0), right, ["k"], "n", 0).count() == 0
+
+
 def test_warc_damage():
     records = [warc.record(k, f"http://x/{k}", b"p%d" % k * 50, None if k else None) for k in range(30)]
     content = warc.archive(records)
