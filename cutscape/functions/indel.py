@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Grammar of details and mutations.
@@ -107,3 +107,45 @@ def read_length(indel: str | Column, oligo_indel: str | Column, full: int = 79)
             muts(x), F.lit(0), lambda n, m: n + F.when(m["op"] == "I", m["val"]).when(m["op"] == "D", -m["val"]).otherwise(0)
         )
     return F.lit(full) + change
+
+
+def detectable(indel: str | Column, length: Column, pam: Column, direction: Column) -> Column:
+    """Whether both ends of an edit lie on a target of a length; null for unedited reads."""
+    back = direction == "REVERSE"
+    left, right = F.when(back, length - pam - 3).otherwise(pam - 3), F.when(back, pam - 3).otherwise(length - pam - 3)
+    return (F.abs(detail(indel, "L")) < left) & (detail(indel, "R") < right)
+
+
+def moved_pam(indel: str | Column, pam: Column, direction: Column) -> Column:
+    """Place of the PAM on a template with a synthesis variant: variants upstream of it move it.
+
+    The edit of the head comes first, then each small gap, in order; a gap's size stands in the entry before its place.
+    """
+    back = direction == "REVERSE"
+    left, right, c = detail(indel, "L"), detail(indel, "R"), detail(indel, "C")
+    start = F.when(back, pam + 2 - (right - 1) + c).otherwise(pam - 3 + (left + 1) + c)
+    gone = F.when(itype(indel) == "D", isize(indel) - detail(indel, "I")).otherwise(detail(indel, "D") - isize(indel))
+    first = F.when((itype(indel) != "-") & (start < pam), F.greatest(pam - gone, start)).otherwise(pam)
+
+    def step(s: Column, m: Column) -> Column:
+        size = F.when(m["op"] == "D", m["val"]).when(m["op"] == "I", -m["val"]).otherwise(s["size"])
+        at = F.when(back, s["pam"] + 2 - m["val"]).otherwise(s["pam"] - 3 + m["val"])
+        moves = (m["op"] == "S") & (at < s["pam"])
+        return F.struct(F.when(moves, s["pam"] - s["size"]).otherwise(s["pam"]).cast("int").alias("pam"), size.cast("int").alias("size"))
+
+    begin = F.struct(first.cast("int").alias("pam"), F.lit(0).alias("size"))
+    return F.aggregate(muts(indel), begin, step, lambda s: s["pam"])
+
+
+def large_insertion_name(indel: str | Column) -> Column:
+    """Whether a name begins with `I1` (sizes 1, 10 to 19, ...)."""
+    return _col(indel).startswith("I1")
+
+
+def by_distinct(df: DataFrame, column: str, **made: Column) -> DataFrame:
+    """df with columns made of one of its columns, each made once for each distinct value, of which there are few.
+
+    Rows without a value go. The key is a copy, so that what is filtered later on isn't made again for every row.
+    """
+    values = df.select(column).distinct().select(F.concat(column, F.lit("")).alias("_value"), *(c.alias(n) for n, c in made.items()))
+    return df.join(values, F.col(column) == F.col("_value")).drop("_value")

@@ -33,16 +33,16 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def longest_run(a: Column, b: Column) -> Column:
-    """Length of the longest run of equal characters in aligned strings."""
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, i: Column) -> Column:
-        run = F.when(F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)), s["run"] + 1).otherwise(0)
-        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
+    """struct<run, end> of the longest run of equal characters in aligned strings, the first of several: its length and the
+    place of its last character; -1 and -1 where no character agrees."""
     n = F.least(F.length(a), F.length(b))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: s["best"])
+    apart = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.substring(a, i + 1, F.lit(1)) != F.substring(b, i + 1, F.lit(1))))
+    before = F.concat(F.array(F.lit(-1)), apart)
+    runs = F.zip_with(F.slice(before, 1, F.size(apart)), apart, lambda x, y: F.struct((y - x - 1).alias("run"), (-y).alias("end")))
+    best = F.array_max(runs)
+    return F.when((n > 0) & (best["run"] > 0), F.struct(best["run"].alias("run"), (-best["end"] - 1).alias("end"))).otherwise(
+        F.struct(F.lit(-1).alias("run"), F.lit(-1).alias("end"))
+    )
 
 
 def has_repeat_across(seq: Column, cut: Column, n: int) -> Column:
@@ -95,3 +95,77 @@ def crispr_line(line: Column) -> Column:
     start, end = F.when(strand == "-", pos - 5).otherwise(pos - 16), F.when(strand == "-", pos + 17).otherwise(pos + 6)
     locus = F.concat(chrom, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
     return F.struct(F.get(bits, 0).alias("gene"), chrom.alias("chrom"), pos.alias("pos"), strand.alias("strand"), locus.alias("locus"))
+
+
+def cut_relative(seq: Column, pam: Column, direction: Column, left: Column, right: Column) -> Column:
+    """Characters left..right counted from the cut, on the strand of the guide."""
+    back = direction == "REVERSE"
+    strand, at = F.when(back, revcomp(seq)).otherwise(seq), F.when(back, F.length(seq) - pam).otherwise(pam)
+    return part(strand, at - 3 + left, at - 3 + right + 1)
+
+
+def guide_matches(guide: Column, target: Column) -> Column:
+    """Whether the guide without its first letter stands in the target or its reverse complement."""
+    bare = guide.substr(F.lit(2), F.length(guide))
+    return (F.instr(target, bare) > 0) | (F.instr(revcomp(target), bare) > 0)
+
+
+def mismatch_pair(original: Column, left: Column, right: Column, last: bool = False) -> Column:
+    """First (or last) differing letters `X-Y` of an original repeat and its changed copy; empty if there are none."""
+    changed = F.when(left != original, left).otherwise(right)
+    n = F.least(F.length(original), F.length(changed))
+    at = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(original, i, F.lit(1)) != F.substring(changed, i, F.lit(1)))
+    i = F.try_element_at(at, F.lit(-1 if last else 1))
+    return F.coalesce(F.concat(F.substring(original, i, F.lit(1)), F.lit("-"), F.substring(changed, i, F.lit(1))), F.lit(""))
+
+
+def matched_gc(left: Column, right: Column) -> Column:
+    """Places at which both copies have the same G or C."""
+    n = F.least(F.length(left), F.length(right))
+    same = lambda i: (F.substring(left, i, F.lit(1)) == F.substring(right, i, F.lit(1))) & F.substring(left, i, F.lit(1)).isin("G", "C")
+    return F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), n), same))).otherwise(0)
+
+
+def merged_mismatches(a: Column, b: Column) -> Column:
+    """Every mixture of two aligned strings of one length, without the strings themselves, in the order of their making."""
+    n = F.length(a)
+
+    def step(made: Column, i: Column) -> Column:
+        x, y = F.substring(a, i, F.lit(1)), F.substring(b, i, F.lit(1))
+        with_x = F.transform(made, lambda m: F.concat(m, x))
+        return F.when(x == y, with_x).otherwise(F.concat(with_x, F.transform(made, lambda m: F.concat(m, y))))
+
+    made = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit("")), step)
+    return F.when(a == b, F.array().cast("array<string>")).otherwise(F.filter(made, lambda m: (m != a) & (m != b)))
+
+
+def trimmed_read(read: Column, template: Column) -> Column:
+    """The stretch of a read from the template's first 20 letters to its last 20; empty if either is not found.
+
+    Exact ends first; else ten letters of an end, at which the twenty may differ in two.
+    """
+    n = F.length(template)
+    head, tail = F.substring(template, F.lit(1), F.lit(20)), template.substr(F.greatest(n - 19, F.lit(1)), F.lit(20))
+    find = lambda x: F.coalesce(F.instr(read, x), F.lit(0)) - 1
+    near = lambda at, end: (at >= 0) & (hamming(end, F.substring(read, at + 1, F.lit(20))) <= 2)
+
+    def place(end: Column, tries: tuple[Column, Column]) -> Column:
+        one, two = tries
+        return F.when(find(end) >= 0, find(end)).when(near(one, end), one).when(near(two, end), two).otherwise(-1)
+
+    start = place(head, (find(F.substring(template, F.lit(1), F.lit(10))), find(F.substring(template, F.lit(11), F.lit(10))) - 10))
+    stop = place(tail, (find(template.substr(n - 9, F.lit(10))) - 10, find(template.substr(n - 19, F.lit(10)))))
+    return F.when((start >= 0) & (stop >= 0), part(read, start, stop + 20)).otherwise("")
+
+
+def is_integer(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False))
+
+
+def file_stem(path: Column) -> Column:
+    """Name of a file without folder and `.txt`."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.txt$", "")
+
+
+def log10_reads(reads: Column) -> Column:
+    return F.log10(reads + F.lit(0.5))

@@ -12,11 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cutscape.functions import indel as ix
+from cutscape.functions import sequence as sq
+from cutscape.operators import targets as tg
 
 NT = "ATGC"
 #: Bins of the feature groups. Bins whose bounds run downwards hold nothing, and the bin named 8-12 starts
@@ -32,106 +34,138 @@ PAIRS = (
     ("RelSeq", "DelLoc"), ("CutSeq", "DelSize"), ("CutMatch", "DelSize"), ("CutSeq", "DelSize"), ("CutSeq", "InsRpt"), ("CutMatch", "InsRpt"),
 )
 ORDER = ("InsSize", "DelSize", "DelLoc", "InsLoc", "InsRpt", "InsSeq", "CutSeq", "CutMatch", "RelSeq", "SeqMatch", "MH")
+#: The names of a weights file, made of the bins; weights are matched by them. A name that occurs again gets `.1`.
 LABELS = {
-    "InsSize": ["any insert", "I1", "I2"],
-    "DelSize": ["any deletion", "D1", "D2-3", "D4-7", "D8-12", "D>12"],
-    "DelLoc": [*(f"L{a}..{b}" for a, b in LEFT_BINS), "L<-30", "L>=0", *(f"R{a}..{b}" for a, b in RIGHT_BINS), "R<0", "R>30"],
-    "InsLoc": ["L-1", "L-2", "L-3", "L<-3", "L>=0"],
-    "InsRpt": ["I1 repeat", "I1 other", "I2 repeat", "I2 other"],
-    "InsSeq": [x for a in NT for x in (a, *(a + b for b in NT))],
-    "CutSeq": [f"cut{o}={a}" for o in CUT_SPAN for a in NT],
-    "CutMatch": [f"cut{o}=cut{p}={a}" for o in MATCH_SPAN for p in range(MATCH_SPAN[0], o) for a in NT],
-    "RelSeq": [f"{side}{o}={a}" for o in END_SPAN for a in NT for side in "LR"],
-    "SeqMatch": [f"L{o}{sign}R{p}" for o in END_SPAN for p in END_SPAN for sign in ("=", "!")],
-    "MH": [*(f"{side} {kind}{a}-{b}" for a, b in MH_BINS for kind in (("", "1 off ") if b > 2 else ("",)) for side in "LR"), "none"],
+    "InsSize": ["Any Insertion", "I1", "I2"],
+    "DelSize": ["Any Deletion", "D1", "D2-3", "D4-7", "D8-12", "D>12"],
+    "DelLoc": [*(f"DL{a}-{b}" for a, b in LEFT_BINS), "DL<-30", "DL>=0", *(f"DR{a}-{b}" for a, b in RIGHT_BINS), "DR<0", "DR=>30"],
+    "InsLoc": [*(f"IL{k}-{k}" for k in (-1, -2, -3)), "IL<-3", "IL>=0"],
+    "InsRpt": [f"I{n}{kind}" for n in (1, 2) for kind in ("Rpt", "NonRpt")],
+    "InsSeq": [f"I{len(x)}_{x}" for a in NT for x in (a, *(a + b for b in NT))],
+    "CutSeq": [f"CS{o}_NT={a}" for o in CUT_SPAN for a in NT],
+    "CutMatch": [f"M_CS{o}_{p}_NT={a}" for o in MATCH_SPAN for p in range(MATCH_SPAN[0], o) for a in NT],
+    "RelSeq": [f"{side}{o}_NT={a}" for o in END_SPAN for a in NT for side in "LR"],
+    "SeqMatch": [f"{sign}_L{o}_R{p}" for o in END_SPAN for p in END_SPAN for sign in "MX"],
+    "MH": [*(f"{side}_{kind}MH{a}-{b}" for a, b in MH_BINS for kind in (("", "MM1_") if b > 2 else ("",)) for side in "LR"), "No MH"],
 }
 
 
 @lru_cache(1)
 def layout() -> tuple[list[str], dict[tuple, int]]:
-    """All labels in order, and where each group and pair of groups starts (pairs by their number)."""
+    """All names in order, and where each group and pair of groups starts (pairs by their number)."""
     names: list[str] = []
     at: dict[tuple, int] = {}
     for k, (a, b) in enumerate(PAIRS):
         at[k, a, b] = len(names)
-        names += [f"{x} & {y}" for x in LABELS[a] for y in LABELS[b]]
+        names += [f"PW_{x}_vs_{y}" for x in LABELS[a] for y in LABELS[b]]
     for g in ORDER:
         at[g,] = len(names)
-        names += [f"{g}: {x}" for x in LABELS[g]]
-    return names, at
-
-
-def _homology(seq: str, a: int, b: int, step: int) -> list[tuple[int, int]]:
-    """(letters, mismatches) of the repeats that begin at a and b and run by step: up to the first mismatch, and with one
-    mismatch inside up to the second; first and last letters agree, and the letter beyond is there and differs."""
-    found, misses, k, n = [], 0, 0, len(seq)
-    while 0 <= a < n and 0 <= b < n and k <= MH_BINS[-1][1]:
-        if seq[a] != seq[b]:
-            if not k or misses and last == k - 1:
-                break
-            found.append((k, misses))
-            if misses:
-                break
-            misses, last = 1, k
-        a, b, k = a + step, b + step, k + 1
-    return found
-
-
-def _bin(bins: tuple, x: int) -> int:
-    return next((i for i, (a, b) in enumerate(bins) if a <= x <= b), -1)
-
-
-@lru_cache(1024)
-def _around_cut(seq: str, cut: int) -> tuple[list[int], list[int]]:
-    """CutSeq and CutMatch, which depend on the target alone."""
-    letters = {o: NT.find(seq[cut + o]) if 0 <= cut + o < len(seq) else -1 for o in CUT_SPAN}
-    alone = [i * 4 + letters[o] for i, o in enumerate(CUT_SPAN) if letters[o] >= 0]
-    pairs = [(o, p) for o in MATCH_SPAN for p in range(MATCH_SPAN[0], o)]
-    return alone, [i * 4 + letters[o] for i, (o, p) in enumerate(pairs) if letters[o] == letters[p] >= 0]
-
-
-_PLACE = {g: {x: i for i, x in enumerate(xs)} for g, xs in LABELS.items()}
-
-
-def active(seq: str, cut: int, left: int, right: int, ins: str) -> dict[str, list[int]]:
-    """Active features of each group, by their place in it."""
-    l, r, size, n = left - cut, right - cut, right - left - 1, len(seq)
-    on: dict[str, list[int]] = {g: [] for g in ORDER}
-    on["CutSeq"], on["CutMatch"] = _around_cut(seq, cut)
-    if ins:
-        on["InsSize"] = [0, *([len(ins)] if len(ins) < 3 else [])]
-        on["InsLoc"] = [4 if l >= 0 else 3 if l < -3 else -1 - l]
-        if l == -1 and len(ins) < 3:
-            on["InsRpt"] = [2 * len(ins) - 2 + (ins != seq[cut - 1] * len(ins))]
-        on["InsSeq"] = [_PLACE["InsSeq"][ins]] if ins in _PLACE["InsSeq"] else []
-        return on
-    on["DelSize"] = [0, *(i + 1 for i, (a, b) in enumerate(DEL_BINS) if a <= size <= b), *([5] if size > 12 else [])]
+        names += LABELS[g]
+    seen: dict[str, int] = {}
+    told = []
+    for x in names:
+        n = seen[x] = seen.get(x, -1) + 1
+        told.append(f"{x}.{n}" if n else x)
+    return told, at
+
+
+#: Placements whose features a task holds at a time, as a table of 0/1.
+CHUNK = 4096
+_CODE = np.full(256, -1, np.int8)
+_CODE[[ord(x) for x in NT]] = range(4)
+_INSERTS = {x.split("_")[1]: i for i, x in enumerate(LABELS["InsSeq"])}
+
+
+def linear_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, ins: list[str]) -> dict[str, np.ndarray]:
+    """A 0/1 table of each group, a row for each placement. seq: letters by row, 0 beyond the row's `size`."""
+    n, rows = len(cut), np.arange(len(cut))
+    l, r, gone = left - cut, right - cut, right - left - 1
+    new = np.array([len(x) for x in ins])
+    dele, ins_at = new == 0, np.array([_INSERTS.get(x, -1) for x in ins])
+
+    def letter(at: np.ndarray) -> np.ndarray:
+        return np.where((at >= 0) & (at < size), _CODE[seq[rows, np.clip(at, 0, seq.shape[1] - 1)]], -1)
+
+    def table(width: int, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Ones at (row, column) where a column is not negative and the rows are on."""
+        out = np.zeros((n, width), bool)
+        for column, on in parts:
+            on = on & (column >= 0)
+            out[rows[on], column[on]] = True
+        return out
+
+    def binned(x: np.ndarray, bins: tuple) -> np.ndarray:
+        return sum(((x >= a) & (x <= b)) * (i + 1) for i, (a, b) in enumerate(bins)) - 1
+
+    every = np.ones(n, bool)
+    zero = np.zeros(n, np.int64)
+    on = {"InsSize": table(3, (zero, ~dele), (new, ~dele & (new < 3)))}
+    sizes = [(zero + i + 1, dele & (gone >= a) & (gone <= b)) for i, (a, b) in enumerate(DEL_BINS)]
+    on["DelSize"] = table(6, (zero, dele), *sizes, (zero + 5, dele & (gone > 12)))
     lefts, rights = len(LEFT_BINS), len(RIGHT_BINS)
-    at_left = lefts if l < -30 else lefts + 1 if l >= 0 else _bin(LEFT_BINS, l)
-    at_right = rights if r < 0 else rights + 1 if r > 30 else _bin(RIGHT_BINS, r)
-    on["DelLoc"] = [i for i in (at_left, lefts + 2 + at_right if at_right >= 0 else -1) if i >= 0]
-    near_left = [seq[left + 1 + o] if 0 <= left + 1 + o < n else "" for o in END_SPAN]
-    near_right = [seq[right + o] if 0 <= right + o < n else "" for o in END_SPAN]
-    on["RelSeq"] = [(k * 4 + NT.find(x)) * 2 + side for side, near in enumerate((near_left, near_right)) for k, x in enumerate(near) if x and x in NT]
-    on["SeqMatch"] = [
-        (i * 6 + j) * 2 + (near_left[i] != near_right[j])
-        for i, o in enumerate(END_SPAN) if left + o > 0 for j, p in enumerate(END_SPAN) if right + p < n
-    ]
+    at_left = np.where(l < -30, lefts, np.where(l >= 0, lefts + 1, binned(l, LEFT_BINS)))
+    at_right = np.where(r < 0, rights, np.where(r > 30, rights + 1, binned(r, RIGHT_BINS)))
+    on["DelLoc"] = table(lefts + rights + 4, (at_left, dele), (np.where(at_right >= 0, lefts + 2 + at_right, -1), dele))
+    on["InsLoc"] = table(5, (np.where(l >= 0, 4, np.where(l < -3, 3, -1 - l)), ~dele))
+    before = letter(cut - 1)
+    repeat = np.array([len(set(x)) == 1 and NT.find(x[0]) == b for x, b in zip((x or "-" for x in ins), before)])
+    on["InsRpt"] = table(4, (2 * new - 2 + ~repeat, ~dele & (new < 3) & (l == -1)))
+    on["InsSeq"] = table(20, (ins_at, ~dele))
+    around = {o: letter(cut + o) for o in CUT_SPAN}
+    on["CutSeq"] = table(4 * len(CUT_SPAN), *((np.where(x >= 0, 4 * i + x, -1), every) for i, x in enumerate(around.values())))
+    pairs = [(o, p) for o in MATCH_SPAN for p in range(MATCH_SPAN[0], o)]
+    on["CutMatch"] = table(4 * len(pairs), *((np.where(around[o] >= 0, 4 * i + around[o], -1), around[o] == around[p]) for i, (o, p) in enumerate(pairs)))
+    near = [[letter(at + o) for o in END_SPAN] for at in (left + 1, right)]
+    on["RelSeq"] = table(48, *((np.where(x >= 0, 2 * (4 * k + x) + side, -1), dele) for side in (0, 1) for k, x in enumerate(near[side])))
+    on["SeqMatch"] = table(72, *(
+        (2 * (6 * i + j) + (near[0][i] != near[1][j]), dele & (left + o > 0) & (right + p < size))
+        for i, o in enumerate(END_SPAN) for j, p in enumerate(END_SPAN)
+    ))
+    found = []
+    steps = np.arange(MH_BINS[-1][1] + 1)[None, :]
     for side, (a, b, step) in (("L", (left, right - 1, -1)), ("R", (left + 1, right, 1))):
-        for letters, off in _homology(seq, a, b, step):
-            k = _bin(MH_BINS, letters)
-            name = f"{side} {'1 off ' if off else ''}{MH_BINS[k][0]}-{MH_BINS[k][1]}" if k >= 0 else ""
-            on["MH"] += [_PLACE["MH"][name]] if name in _PLACE["MH"] else []
-    on["MH"] = sorted(on["MH"]) or [_PLACE["MH"]["none"]]
-    return on
-
-
-def features(seq: str, cut: int, left: int, right: int, ins: str) -> list[int]:
-    """Numbers of the active features of one placement."""
-    _, at = layout()
-    on = active(seq, cut, left, right, ins)
-    found = [at[k, a, b] + i * len(LABELS[b]) + j for k, (a, b) in enumerate(PAIRS) for i in on[a] for j in on[b]]
-    return found + [at[g,] + i for g in ORDER for i in on[g]]
+        x, y = a[:, None] + step * steps, b[:, None] + step * steps
+        there = (np.minimum(x, y) >= 0) & (np.maximum(x, y) < size[:, None])
+        line = np.take_along_axis(seq, np.clip(x, 0, seq.shape[1] - 1), 1), np.take_along_axis(seq, np.clip(y, 0, seq.shape[1] - 1), 1)
+        apart = there & (line[0] != line[1])  # letters beyond which a repeat can't go on
+        first = np.where(apart.any(1), apart.argmax(1), 0)
+        apart[rows, first] = False
+        second = np.where(apart.any(1), apart.argmax(1), 0)
+        for kind, letters, holds in (("", first, first > 0), ("MM1_", second, (first > 0) & (second > first + 1))):
+            at = np.array([_MH.get(f"{side}_{kind}MH{a}-{b}", -1) for a, b in MH_BINS] + [-1])[binned(letters, MH_BINS)]
+            found.append((at, dele & holds))
+    mh = table(len(LABELS["MH"]), *found)
+    mh[:, -1] = dele & ~mh[:, :-1].any(1)
+    return on | {"MH": mh}
+
+
+_MH = {x: i for i, x in enumerate(LABELS["MH"])}
+
+
+def placement_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, ins: list[str]) -> np.ndarray:
+    """A 0/1 table of all features in the order of layout()."""
+    on = linear_features(seq, size, cut, left, right, ins)
+    parts = [(on[a][:, :, None] & on[b][:, None, :]).reshape(len(cut), -1) for a, b in PAIRS]
+    return np.concatenate([*parts, *(on[g] for g in ORDER)], 1)
+
+
+def candidate_tables(batch: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+    """Stretches of a batch (seq, cut_idx, places) with the 0/1 table of their candidates: features of any placement."""
+    counts = batch["places"].map(len).to_numpy()
+    ends = counts.cumsum()
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+        part, of = batch.iloc[a:b], np.repeat(np.arange(b - a), counts[a:b])
+        text = [s.encode() for s in part["seq"]]
+        width = max(map(len, text))
+        seq = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in text), np.uint8).reshape(-1, width)
+        places = [p for ps in part["places"] for p in ps]
+        left, right = (np.array([p[k] for p in places]) for k in "lr")
+        size, cut = np.array(list(map(len, text))), part["cut_idx"].to_numpy()
+        table = placement_features(seq[of], size[of], cut[of], left, right, [p["ins"] for p in places])
+        yield slice(a, b), np.logical_or.reduceat(table, counts[a:b].cumsum() - counts[a:b], axis=0)
+        a = b
 
 
 def candidate_features(candidates: DataFrame, targets: DataFrame) -> DataFrame:
@@ -139,15 +173,47 @@ def candidate_features(candidates: DataFrame, targets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for seq, cut, places in zip(batch["seq"], batch["cut_idx"], batch["places"]):
-                out.append(sorted({f for p in places for f in features(seq, int(cut), p["l"], p["r"], p["ins"])}))
+            out: list = []
+            for _, table in candidate_tables(batch):
+                row, feature = np.nonzero(table)
+                out += np.split(feature, np.searchsorted(row, np.arange(1, len(table))))
             yield pd.DataFrame({"oligo_id": batch["oligo_id"], "indel": batch["indel"], "features": out})
 
     rows = candidates.select("oligo_id", "indel", "places").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
     return rows.mapInPandas(run, "oligo_id string, indel string, features array<int>")
 
 
+def scored_candidates(candidates: DataFrame, targets: DataFrame, theta: np.ndarray) -> DataFrame:
+    """(oligo_id, indel, z): the sum of the weights of each candidate's features, without listing them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            z = np.zeros(len(batch))
+            for at, table in candidate_tables(batch):
+                z[at] = table @ theta
+            yield pd.DataFrame({"oligo_id": batch["oligo_id"], "indel": batch["indel"], "z": z})
+
+    rows = candidates.select("oligo_id", "indel", "places").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
+    return rows.mapInPandas(run, "oligo_id string, indel string, z double")
+
+
+def named_weights(weights: DataFrame) -> np.ndarray:
+    """Weights (feature, value) by the features' names; features without one weigh nothing.
+
+    The table is bounded by the layout. Names that no feature has raise, and so do repeated ones.
+    """
+    names, _ = layout()
+    at = {x: i for i, x in enumerate(names)}
+    rows = weights.select("feature", "value").limit(len(names) + 1).collect()
+    unknown = sorted({r["feature"] for r in rows} - set(at))
+    if unknown or len({r["feature"] for r in rows}) < len(rows):
+        raise ValueError(f"weights of unknown or repeated features: {unknown[:5]}")
+    theta = np.zeros(len(names))
+    for r in rows:
+        theta[at[r["feature"]]] = r["value"]
+    return theta
+
+
 def score(rows: DataFrame, theta: np.ndarray) -> DataFrame:
     """rows with z, the sum of the weights of their features. theta has a fixed length, that of the layout."""
     weights = F.lit([float(x) for x in theta])
@@ -163,7 +229,41 @@ def softmax(scored: DataFrame, total: float = 1000.0) -> DataFrame:
 
 def predicted(candidates: DataFrame, targets: DataFrame, theta: np.ndarray) -> DataFrame:
     """Predicted profile of each target."""
-    return softmax(score(candidate_features(candidates, targets), theta))
+    return softmax(scored_candidates(candidates, targets, theta))
+
+
+def predicted_targets(targets: DataFrame, theta: np.ndarray, add_null: bool = True, unedited: float = 1000.0) -> DataFrame:
+    """(oligo_id, indel, reads, seq, in_frame) of a batch of targets (oligo_id, seq, pam_idx): the predicted profile, a read
+    that shows each edit, and the target's percentage in frame. Targets with an error (target_error) give nothing.
+
+    Edits are made on at most 50 letters each side of the PAM; features see the whole target. With `add_null` there is an
+    unedited row of `unedited` reads, which counts for no percentage.
+    """
+    valid = targets.filter(sq.target_error(F.col("seq"), F.col("pam_idx")).isNull())
+    cut = valid.select("oligo_id", F.col("seq").alias("whole"), "pam_idx", sq.trimmed_target(F.col("seq"), F.col("pam_idx")).alias("t"))
+    cut = cut.select("oligo_id", "whole", F.col("t.trim").alias("trim"), F.col("t.seq").alias("seq"), (F.col("pam_idx") - F.col("t.trim") - 3).alias("cut_idx"))
+    found = tg.candidates(cut).join(cut, "oligo_id")
+    first = F.col("places")[0]
+    read = F.concat(sq.part(F.col("seq"), F.lit(0), first["l"] + 1), first["ins"], sq.part(F.col("seq"), first["r"], F.length("seq")))
+    moved = F.transform("places", lambda p: F.struct((p["l"] + F.col("trim")).alias("l"), (p["r"] + F.col("trim")).alias("r"), p["size"].alias("size"), p["ins"].alias("ins")))
+    found = found.select("oligo_id", "indel", moved.alias("places"), read.alias("read"))
+    wide = cut.select("oligo_id", F.col("whole").alias("seq"), (F.col("cut_idx") + F.col("trim")).alias("cut_idx"))
+    profile = predicted(found, wide, theta)
+    rows = profile.join(found.select("oligo_id", "indel", F.col("read").alias("seq")), ["oligo_id", "indel"])
+    if add_null:
+        rows = rows.unionByName(cut.select("oligo_id", F.lit("-").alias("indel"), F.lit(unedited).alias("reads"), F.expr("substring(whole, trim + 1)").alias("seq")))
+    keeps = (F.col("indel") != "-") & (F.pmod(ix.net_size("indel"), F.lit(3)) == 0)
+    w = Window.partitionBy("oligo_id")
+    edited = F.sum(F.when(F.col("indel") != "-", F.col("reads"))).over(w)
+    return rows.withColumn("in_frame", F.sum(F.when(keeps, F.col("reads")).otherwise(0.0)).over(w) * 100.0 / edited)
+
+
+def active_weights(rows: DataFrame, theta: np.ndarray) -> DataFrame:
+    """(oligo_id, indel, feature, value): the features of each candidate of candidate_features() and their weights."""
+    names = F.lit(layout()[0])
+    at = F.col("f") + 1
+    told = rows.select("oligo_id", "indel", F.explode("features").alias("f"))
+    return told.select("oligo_id", "indel", F.element_at(names, at).alias("feature"), F.element_at(F.lit([float(x) for x in theta]), at).alias("value"))
 
 
 def predicted_in_frame(profile: DataFrame) -> DataFrame:
@@ -177,8 +277,13 @@ def observed(rows: DataFrame, reads: DataFrame, pseudo: float = 0.5) -> DataFram
     return got.withColumn("y", F.col("_r") / F.sum("_r").over(Window.partitionBy("oligo_id"))).select("oligo_id", "indel", "features", "y")
 
 
-def loss_and_gradient(rows: DataFrame, theta: np.ndarray, decay: float = 0.01) -> tuple[float, np.ndarray]:
-    """Mean divergence of observed from predicted shares over targets, plus decay * |theta|^2, and its gradient.
+def penalties(decay: float, insert_decay: float) -> np.ndarray:
+    """Decay of each feature; those whose name has a capital I (insertions) have their own."""
+    return np.array([insert_decay if "I" in name else decay for name in layout()[0]])
+
+
+def loss_and_gradient(rows: DataFrame, theta: np.ndarray, decay: float = 0.01, insert_decay: float = 0.01) -> tuple[float, np.ndarray]:
+    """Mean divergence of observed from predicted shares over targets, plus the sum of decay * theta^2, and its gradient.
 
     One pass: softmax by window, then each partition adds up its part of the gradient, a vector of fixed length.
     """
@@ -202,9 +307,11 @@ def loss_and_gradient(rows: DataFrame, theta: np.ndarray, decay: float = 0.01) -
     parts = scored.select("features", "y", "z", "_lse", "_first").mapInPandas(add, "loss double, n bigint, grad array<double>")
     # A tree of sums would do the same for many partitions; element sums are added by position here, on the executors.
     summed = parts.select("loss", "n", F.posexplode("grad").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("i").collect()
+    if not summed:  # no rows, no partitions
+        return 0.0, np.zeros(size)
     n = max(summed[0]["n"], 1)
-    grad = np.array([r["g"] for r in summed]) / n
-    return summed[0]["loss"] / n + decay * float(theta @ theta), grad + 2 * decay * theta
+    grad, decays = np.array([r["g"] for r in summed]) / n, penalties(decay, insert_decay)
+    return summed[0]["loss"] / n + float(decays @ theta**2), grad + 2 * decays * theta
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 20, memory: int = 8) -> np.ndarray:
@@ -240,6 +347,28 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def train(rows: DataFrame, decay: float = 0.01, steps: int = 20) -> np.ndarray:
+def train(rows: DataFrame, decay: float = 0.01, steps: int = 20, insert_decay: float = 0.01, start: np.ndarray | None = None) -> np.ndarray:
     """Weights for rows of observed(); persist the rows first."""
-    return minimise(lambda t: loss_and_gradient(rows, t, decay), np.zeros(len(layout()[0])), steps)
+    begin = np.zeros(len(layout()[0])) if start is None else start
+    return minimise(lambda t: loss_and_gradient(rows, t, decay, insert_decay), begin, steps)
+
+
+def fold_of(oligo: str | Column, folds: int, seed: int = 0) -> Column:
+    """Fold of a target, from a hash of its id."""
+    return F.pmod(F.xxhash64(oligo, F.lit(seed)), F.lit(folds)).cast("int")
+
+
+def cross_validated(rows: DataFrame, folds: int = 2, decay: float = 0.01, steps: int = 20, insert_decay: float = 0.01) -> list[dict]:
+    """Of each fold: weights learned from the other folds' targets, and their divergence without penalty on both sides."""
+    told = rows.withColumn("_fold", fold_of("oligo_id", folds))
+    out = []
+    for k in range(folds):
+        rest, own = told.filter(F.col("_fold") != k).drop("_fold"), told.filter(F.col("_fold") == k).drop("_fold")
+        theta = train(rest, decay, steps, insert_decay)
+        out.append({"fold": k, "theta": theta, "train": loss_and_gradient(rest, theta, 0.0, 0.0)[0], "test": loss_and_gradient(own, theta, 0.0, 0.0)[0]})
+    return out
+
+
+def leaked(validation: DataFrame, training: DataFrame) -> DataFrame:
+    """Ids (oligo_id) that are validated on and were trained on; must be empty."""
+    return validation.select("oligo_id").distinct().join(training.select("oligo_id").distinct(), "oligo_id", "left_semi")

@@ -18,10 +18,12 @@ def indel_counts(reads: DataFrame) -> DataFrame:
 
 def _kept(summary: DataFrame, drop_long: bool) -> DataFrame:
     edit = F.col("indel") != "-"
-    ok = ix.allowed_oligo_indel("oligo_indel") & (~edit | ix.in_cut_span("indel"))
+    spans = ~edit | ix.in_cut_span("indel")
     if drop_long:
-        ok = ok & (~edit | (ix.isize("indel") <= 30))
-    return summary.withColumn("_total", F.sum("reads").over(Window.partitionBy(*KEY))).filter(ok)
+        spans = spans & (~edit | (ix.isize("indel") <= 30))
+    rows = summary.withColumn("_total", F.sum("reads").over(Window.partitionBy(*KEY)))
+    rows = ix.by_distinct(rows, "indel", _spans=spans)
+    return ix.by_distinct(rows, "oligo_indel", _allowed=ix.allowed_oligo_indel("oligo_indel")).filter("_spans and _allowed").drop("_spans", "_allowed")
 
 
 def accepted_profile(summary: DataFrame, drop_long: bool = False) -> DataFrame:
@@ -29,19 +31,37 @@ def accepted_profile(summary: DataFrame, drop_long: bool = False) -> DataFrame:
     return _kept(summary, drop_long).groupBy(*KEY, "indel").agg(F.sum("reads").alias("reads"))
 
 
+def with_unedited(profile: DataFrame, summary: DataFrame) -> DataFrame:
+    """profile with a row `-` of no reads for every oligo of the summary that has none."""
+    zero = summary.select(*KEY).distinct().select(*KEY, F.lit("-").alias("indel"), F.lit(0).cast("long").alias("reads"))
+    return profile.unionByName(zero).groupBy(*KEY, "indel").agg(F.sum("reads").alias("reads"))
+
+
+def acceptance(summary: DataFrame, profile: DataFrame) -> DataFrame:
+    """(sample, oligo_id, accepted, percent, unedited, states) of a profile: its reads, their share of all reads of the
+    summary, those that are unedited, and the number of its indels, `-` among them."""
+    total = summary.groupBy(*KEY).agg(F.sum("reads").alias("total"))
+    none = F.when(F.col("indel") == "-", F.col("reads")).otherwise(0)
+    edited = F.count(F.when(F.col("indel") != "-", F.lit(1)))
+    got = profile.groupBy(*KEY).agg(F.sum("reads").alias("accepted"), F.sum(none).alias("unedited"), (edited + 1).alias("states"))
+    got = total.join(got, KEY, "left")
+    zero = lambda c, x: F.coalesce(c, F.lit(x)).cast("long").alias(c)
+    accepted = F.coalesce("accepted", F.lit(0))
+    return got.select(*KEY, zero("accepted", 0), (accepted * 100.0 / F.col("total")).alias("percent"), zero("unedited", 0), zero("states", 1))
+
+
 def controlled_profile(summary: DataFrame, wild: DataFrame, times: float = 3.0, least_percent: float = 10.0, drop_long: bool = False) -> DataFrame:
     """accepted_profile() against a wild-type summary (oligo_id, indel, oligo_indel, reads).
 
     An indel that the wild type has counts only where a row's share of all reads exceeds `times` the wild type's share.
-    Oligos of which the wild type accepts less than `least_percent` of the reads give nothing.
+    Oligos of which the wild type accepts less than `least_percent` of the reads, or has none, give nothing.
     """
     wild = wild.withColumn("sample", F.lit("wild"))
     shares = wild.groupBy("oligo_id", "indel").agg(F.sum("reads").alias("w"))
     shares = shares.withColumn("wild_share", F.col("w") / F.sum("w").over(Window.partitionBy("oligo_id"))).drop("w")
     good = _kept(wild, False).groupBy("oligo_id").agg((F.sum("reads") * 100.0 / F.max("_total")).alias("percent"))
-    seen = wild.select("oligo_id").distinct().join(good, "oligo_id", "left")
-    bad = seen.filter(F.coalesce("percent", F.lit(0.0)) < least_percent).select("oligo_id")
-    rows = _kept(summary, drop_long).join(bad, "oligo_id", "left_anti").join(shares, ["oligo_id", "indel"], "left")
+    good = good.filter(F.col("percent") >= least_percent).select("oligo_id")
+    rows = _kept(summary, drop_long).join(good, "oligo_id", "left_semi").join(shares, ["oligo_id", "indel"], "left")
     free = F.col("wild_share").isNull() | (F.col("indel") == "-")
     enough = F.col("reads") / F.col("_total") > F.col("wild_share") * times
     return rows.filter(free | enough).groupBy(*KEY, "indel").agg(F.sum("reads").alias("reads"))
@@ -65,27 +85,30 @@ def profile_counts(profile: DataFrame) -> DataFrame:
     )
 
 
-def size_counts(profile: DataFrame) -> DataFrame:
-    """Reads by kind and net size of the edit."""
-    edits = profile.filter("indel <> '-'")
-    return edits.groupBy(*KEY, ix.itype("indel").alias("itype"), ix.net_size("indel").alias("size")).agg(F.sum("reads").alias("reads"))
+def size_counts(profile: DataFrame, filled: int = 0) -> DataFrame:
+    """Reads by kind and net size of the edit; with `filled`, sizes 1 to filled of both kinds have a row in any case."""
+    edits = ix.by_distinct(profile.filter("indel <> '-'"), "indel", itype=ix.itype("indel"), size=ix.net_size("indel"))
+    edits = edits.select(*KEY, "itype", "size", "reads")
+    if filled:
+        every = F.explode(F.array(*(F.struct(F.lit(t).alias("itype"), F.lit(k).alias("size")) for t in "DI" for k in range(1, filled + 1)))).alias("x")
+        none = profile.select(*KEY).distinct().select(*KEY, every).select(*KEY, "x.itype", "x.size", F.lit(0).cast("long").alias("reads"))
+        edits = edits.unionByName(none)
+    return edits.groupBy(*KEY, "itype", "size").agg(F.sum("reads").alias("reads"))
 
 
 def in_frame(profile: DataFrame) -> DataFrame:
     """Reads in and out of frame and the percentage in frame; null where no read is edited."""
-    edits = profile.filter("indel <> '-'")
-    keeps = F.pmod(ix.net_size("indel"), F.lit(3)) == 0
+    edits = ix.by_distinct(profile.filter("indel <> '-'"), "indel", _keeps=F.pmod(ix.net_size("indel"), F.lit(3)) == 0)
     got = edits.groupBy(*KEY).agg(
-        F.sum(F.when(keeps, F.col("reads")).otherwise(0)).alias("in_frame"), F.sum(F.when(keeps, 0).otherwise(F.col("reads"))).alias("out_frame")
+        F.sum(F.when(F.col("_keeps"), F.col("reads")).otherwise(0)).alias("in_frame"), F.sum(F.when(F.col("_keeps"), 0).otherwise(F.col("reads"))).alias("out_frame")
     )
     return got.withColumn("percent", F.col("in_frame") * 100.0 / (F.col("in_frame") + F.col("out_frame")))
 
 
 def above(profile: DataFrame, size: int = 30) -> DataFrame:
     """Percentage of edited reads that are deletions of a net size above `size`."""
-    long = (ix.itype("indel") == "D") & (ix.net_size("indel") > size)
-    edits = profile.filter("indel <> '-'").groupBy(*KEY)
-    return edits.agg((F.sum(F.when(long, F.col("reads")).otherwise(0)) * 100.0 / F.sum("reads")).alias("percent_above"))
+    edits = ix.by_distinct(profile.filter("indel <> '-'"), "indel", _long=(ix.itype("indel") == "D") & (ix.net_size("indel") > size))
+    return edits.groupBy(*KEY).agg((F.sum(F.when(F.col("_long"), F.col("reads")).otherwise(0)) * 100.0 / F.sum("reads")).alias("percent_above"))
 
 
 def class_profile(profile: DataFrame) -> DataFrame:
@@ -109,27 +132,49 @@ def highest_indel(profile: DataFrame) -> DataFrame:
     return profile.groupBy(*KEY).agg(best.alias("b")).select(*KEY, F.coalesce("b.indel", F.lit("-")).alias("indel"))
 
 
-def compare_tops(profile: DataFrame, a: str, b: str, tops: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """For each oligo of two samples: first rank that differs (0: none), common edits and shares of the tops.
-
-    Ranks are compared up to the shorter list.
+def compare_tops(profile: DataFrame, pairs: DataFrame, tops: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """For each oligo of two samples (a, b) with edits in both: first rank that differs (0: none), common edits and shares
+    of the tops. Ranks are compared up to the shorter list; pairs is a small dimension.
     """
-    rows = ranked(profile)
-    total = F.sum("reads").over(Window.partitionBy(*KEY))
-    rows = rows.withColumn("total", total).withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
-    side = lambda s: rows.filter(F.col("sample") == s).drop("sample")
-    x, y = side(a).alias("x"), side(b).alias("y")
-    sizes = side(a).groupBy("oligo_id").agg(F.max("n").alias("na")).join(side(b).groupBy("oligo_id").agg(F.max("n").alias("nb")), "oligo_id")
-    shorter = sizes.select("oligo_id", F.least("na", "nb").alias("shorter"))
-    paired = x.join(y, ["oligo_id", "place"]).groupBy("oligo_id").agg(
-        F.coalesce(F.min(F.when(F.col("x.indel") != F.col("y.indel"), F.col("place"))), F.lit(0)).alias("first_difference"),
-        *(F.sum(F.when(F.col("place") <= k, F.col(f"{s}.reads")).otherwise(0) * 100.0 / F.col(f"{s}.total")).alias(f"percent_{s}_{k}") for k in tops for s in "xy"),
+    w, pairs = Window.partitionBy(*KEY), F.broadcast(pairs)
+    rows = ranked(profile).withColumn("total", F.sum("reads").over(w)).withColumn("n", F.count("*").over(w))
+
+    def side(s: str) -> DataFrame:
+        named = [F.col(c).alias(f"{c}_{s}") for c in ("reads", "total", "n", "place")]
+        return rows.join(pairs, rows["sample"] == pairs[s]).select("a", "b", "oligo_id", "indel", *named)
+
+    x, y, keys = side("a"), side("b"), ["a", "b", "oligo_id"]
+    other = y.select(*keys, F.col("indel").alias("indel_y"), "reads_b", "total_b", F.col("place_b").alias("place_a"))
+    paired = x.join(other, [*keys, "place_a"]).groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("indel") != F.col("indel_y"), F.col("place_a"))), F.lit(0)).alias("first_difference"),
+        *(F.sum(F.when(F.col("place_a") <= k, F.col(f"reads_{s}")).otherwise(0) * 100.0 / F.col(f"total_{s}")).alias(f"percent_{s}_{k}") for k in tops for s in "ab"),
     )
-    common = x.join(y, ["oligo_id", "indel"]).join(shorter, "oligo_id").groupBy("oligo_id").agg(
-        *(F.sum(((F.greatest("x.place", "y.place") <= F.least(F.lit(k), F.col("shorter")))).cast("long")).alias(f"common_{k}") for k in tops)
-    )
+    same = x.join(y, [*keys, "indel"])
+    common = same.groupBy(*keys).agg(*(F.count(F.when(F.greatest("place_a", "place_b") <= F.least(F.lit(k), "n_a", "n_b"), F.lit(1))).alias(f"common_{k}") for k in tops))
     counts = [F.coalesce(f"common_{k}", F.lit(0)).cast("long").alias(f"common_{k}") for k in tops]
-    return paired.join(common, "oligo_id", "left").select(*paired.columns, *counts)
+    return paired.join(common, keys, "left").select(*paired.columns, *counts)
+
+
+def union_of_tops(profile: DataFrame, n: int = 20, lines: int = 10) -> DataFrame:
+    """The edits that are among the n most frequent states of any sample, by oligo in the order of their mean percentage
+    over all its samples (missing: 0), at most `lines`: (oligo_id, indel, mean_percent, place)."""
+    counts = profile_counts(profile)
+    top = counts.filter(F.col("place") <= n).select("oligo_id", "indel").distinct()
+    samples = profile.groupBy("oligo_id").agg(F.count_distinct("sample").alias("_n"))
+    sums = counts.join(top, ["oligo_id", "indel"], "left_semi").groupBy("oligo_id", "indel").agg(F.sum("percent_of_edited").alias("_s"))
+    mean = sums.join(samples, "oligo_id").select("oligo_id", "indel", (F.col("_s") / F.col("_n")).alias("mean_percent"))
+    order = Window.partitionBy("oligo_id").orderBy(F.desc("mean_percent"), F.desc("indel"))
+    return mean.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= lines)
+
+
+def side_by_side(profile: DataFrame, a: str, b: str, lines: int = 50) -> DataFrame:
+    """The states of two samples of one oligo by rank, with their reads and share of edited reads, up to the shorter list
+    and `lines`; `more` of each are left."""
+    counts = profile_counts(profile).withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
+    named = lambda s, x: counts.filter(F.col("sample") == s).select("oligo_id", "place", *(F.col(c).alias(f"{c}_{x}") for c in ("indel", "reads", "percent_of_edited", "n")))
+    both = named(a, "a").join(named(b, "b"), ["oligo_id", "place"]).filter(F.col("place") <= lines)
+    shown = F.least(F.lit(lines), "n_a", "n_b")
+    return both.withColumn("more_a", F.col("n_a") - shown).withColumn("more_b", F.col("n_b") - shown).drop("n_a", "n_b")
 
 
 def representative_reads(mapped: DataFrame) -> DataFrame:

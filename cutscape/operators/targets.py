@@ -1,11 +1,16 @@
-"""Candidate edits, microhomologies and barcodes of targets (oligo_id, seq, cut_idx), without Python.
+"""Candidate edits, microhomologies and barcodes of targets (oligo_id, seq, cut_idx).
 
 A pure edit's name has a closed form: shift the gap left and right as far as the letters allow, within the reach of the
-cut; the shifts widen the ambiguity and the outermost ends name the edit.
+cut; the shifts widen the ambiguity and the outermost ends name the edit. Single edits are named by Column expressions; all
+edits and repeats of a target by NumPy in Arrow batches, from the runs of agreeing letters along the diagonals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,39 +81,111 @@ def insertions(targets: DataFrame, longest: int = LONGEST_INSERT, reach: int = R
     return t.select("oligo_id", "l", "r", "ins", insertion_name(F.col("seq"), F.col("cut_idx"), F.col("l"), F.col("ins"), reach).alias("indel"))
 
 
+def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a square table of agreements: the number of agreements in a row along the diagonal from a place on, and up to it."""
+    n = len(same)
+    onward, back = np.zeros((n + 1, n + 1), np.int64), np.zeros((n + 1, n + 1), np.int64)
+    for i in range(n - 1, -1, -1):
+        onward[i, :n] = np.where(same[i], onward[i + 1, 1:] + 1, 0)
+    for i in range(n):
+        back[i + 1, 1:] = np.where(same[i], back[i, :-1] + 1, 0)
+    return onward[:n, :n], back[1:, 1:]
+
+
+def deletion_ends(n: int, cut: int, left: np.ndarray, right: np.ndarray, onward: np.ndarray, back: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far deletions that keep [..left] and [right..] shift to the left and to the right; see deletion_name()."""
+    limit = np.minimum(left, right - (cut - reach - 1))
+    a = np.where(limit > 0, np.minimum(limit, back[np.maximum(left, 0), right - 1]), 0)
+    limit = np.minimum(cut + reach - 1 - left, n - 1 - right)
+    return a, np.where(limit > 0, np.minimum(limit, onward[left + 1, right]), 0)
+
+
+def named(kind: str, size: np.ndarray, left: np.ndarray, shift: np.ndarray, right: np.ndarray) -> list[str]:
+    return [f"{kind}{n}_L{a}{f'C{c}' if c > 0 else ''}R{b}" for n, a, c, b in zip(size.tolist(), left.tolist(), shift.tolist(), right.tolist())]
+
+
+def _insert_ends(seq: str, cut: int, insert: str, reach: int) -> tuple[int, int]:
+    left, right, n = cut - 1, cut, len(insert)
+    read = seq[:right] + insert + seq[right:]
+    limit = min(left, right - (cut - reach - 1))
+    a = next((k for k in range(max(limit, 0)) if read[left - k] != read[left - k + n]), max(limit, 0))
+    limit = min(cut + reach - 1 - left, len(seq) - 1 - right)
+    return a, next((k for k in range(max(limit, 0)) if read[right + k] != read[right + k + n]), max(limit, 0))
+
+
 def candidates(targets: DataFrame, deletion: int = LONGEST_DELETION, insert: int = LONGEST_INSERT, reach: int = REACH) -> DataFrame:
-    """(oligo_id, indel, n, places): candidate edits with all their placements, the first one first."""
-    every = deletions(targets, deletion, reach).unionByName(insertions(targets, insert, reach))
-    place = F.struct("l", "r", F.length("ins").alias("size"), "ins")
-    return every.groupBy("oligo_id", "indel").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(place)).alias("places"))
+    """(oligo_id, indel, n, places): candidate edits with all their placements, the first one first.
 
+    One pass over the targets, without a shuffle: all edits of a target are made, named and grouped where it is.
+    """
+    every = [x for k in range(1, insert + 1) for x in inserts(k)]
+
+    def of(seq: str, cut: int) -> dict[str, list[dict]]:
+        n, code = len(seq), np.frombuffer(seq.encode(), np.uint8)
+        left, right = np.arange(max(0, cut - deletion - 1), cut), np.arange(cut, min(n, cut + deletion + 1))
+        left, right = np.repeat(left, len(right)), np.tile(right, len(left))
+        ok = (right - left - 1 >= 1) & (right - left - 1 <= deletion)
+        left, right = left[ok], right[ok]
+        onward, back = runs(code[:, None] == code[None, :])
+        a, b = deletion_ends(n, cut, left, right, onward, back, reach)
+        made: dict[str, list[dict]] = {}
+        for name, l, r in zip(named("D", right - left - 1, left - a - cut, a + b, right + b - cut), left.tolist(), right.tolist()):
+            made.setdefault(name, []).append({"l": l, "r": r, "size": 0, "ins": ""})
+        for x in every:
+            a, b = _insert_ends(seq, cut, x, reach)
+            name = f"I{len(x)}_L{-1 - a}{f'C{a + b}' if a + b else ''}R{b}"
+            made.setdefault(name, []).append({"l": cut - 1, "r": cut, "size": len(x), "ins": x})
+        return made
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                ids, names, places = [], [], []
+                for oligo, seq, cut in batch.iloc[at : at + 64].itertuples(index=False):
+                    made = of(seq, int(cut))
+                    ids += [oligo] * len(made)
+                    names += made
+                    places += [sorted(ps, key=lambda p: (p["l"], p["r"], p["size"], p["ins"])) for ps in made.values()]
+                yield pd.DataFrame({"oligo_id": ids, "indel": names, "n": list(map(len, places)), "places": places})
+
+    kind = "places array<struct<l:int,r:int,size:int,ins:string>>"
+    return targets.select("oligo_id", "seq", "cut_idx").mapInPandas(run, f"oligo_id string, indel string, n bigint, {kind}")
 
-def microhomologies(targets: DataFrame, reach: int = REACH) -> DataFrame:
-    """(oligo_id, left_start, right_start, mh_len) of repeats of 2 or more across the cut, none inside a longer one.
+
+def microhomology_indels(targets: DataFrame, reach: int = REACH) -> DataFrame:
+    """(oligo_id, left_start, right_start, mh_len, indel) of repeats of 2 or more across the cut (N agrees with any letter),
+    none inside a longer one, with the deletion that each one makes.
 
     A repeat lies inside a longer one if it can be extended to the left within the range that is looked at.
     """
-    n = F.length("seq")
-    t = targets.select("oligo_id", "seq", "cut_idx", letters(F.col("seq")).alias("letters"))
-    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(n, F.col("cut_idx") + reach - 1) - 1)))
-    i, j = F.col("i"), F.col("j")
-    at = lambda x: F.get("letters", x)
-    same = lambda x, y: (at(x) == at(y)) | (at(x) == "N") | (at(y) == "N")
-    first = F.greatest(i + 1, F.col("cut_idx") - reach)
-    starts = F.filter(F.sequence(first, n - 2), lambda k: same(i, k) & same(i + 1, k + 1))  # only these become rows
-    t = t.withColumn("j", F.explode(F.when(first < n - 1, starts)))
-    limit = n - j
-    apart = F.filter(F.sequence(F.lit(0), limit - 1), lambda k: ~same(i + k, j + k))
-    t = t.withColumn("mh_len", F.coalesce(F.array_min(apart), limit))
-    inside = (i > 0) & (j - 1 >= F.greatest(i, F.col("cut_idx") - reach)) & same(i - 1, j - 1)
-    return t.filter(~inside).select("oligo_id", i.alias("left_start"), j.alias("right_start"), "mh_len")
 
+    def of(seq: str, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        n, code = len(seq), np.frombuffer(seq.encode(), np.uint8)
+        plain, unknown = code[:, None] == code[None, :], code == ord("N")
+        same = plain | unknown[:, None] | unknown[None, :]
+        length = runs(same)[0]
+        i, j = np.nonzero(length >= 2)
+        ok = (i < min(n, cut + reach - 1)) & (j > i) & (j >= cut - reach) & (j < n - 1)
+        inside = (i > 0) & (j - 1 >= np.maximum(i, cut - reach)) & same[np.maximum(i - 1, 0), np.maximum(j - 1, 0)]
+        i, j = i[ok & ~inside], j[ok & ~inside]
+        a, b = deletion_ends(n, cut, i - 1, j, *runs(plain), reach)
+        return i, j, length[i, j], named("D", j - i, i - 1 - a - cut, a + b, j + b - cut)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                found = [of(seq, int(cut)) for seq, cut in zip(part["seq"], part["cut_idx"])]
+                left, right, size = (np.concatenate(x) for x in list(zip(*found))[:3])
+                ids = np.repeat(part["oligo_id"].to_numpy(), [len(f[0]) for f in found])
+                yield pd.DataFrame({"oligo_id": ids, "left_start": left, "right_start": right, "mh_len": size, "indel": [x for f in found for x in f[3]]})
+
+    return targets.select("oligo_id", "seq", "cut_idx").mapInPandas(run, "oligo_id string, left_start int, right_start int, mh_len int, indel string")
 
-def microhomology_indels(targets: DataFrame, reach: int = REACH) -> DataFrame:
-    """microhomologies() with the deletion that each one makes."""
-    found = microhomologies(targets, reach).join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
-    name = deletion_name(F.col("seq"), F.col("cut_idx"), F.col("left_start") - 1, F.col("right_start"), reach)
-    return found.withColumn("indel", name).drop("seq", "cut_idx")
+
+def microhomologies(targets: DataFrame, reach: int = REACH) -> DataFrame:
+    """microhomology_indels() without the deletions' names."""
+    return microhomology_indels(targets, reach).drop("indel")
 
 
 def barcode(seq: Column, window: tuple[int, int]) -> Column:

@@ -67,7 +67,8 @@ CATS = ", ".join(f"cast(coalesce(sum(reads) filter ({x}), 0) as bigint) as {k}"
 
 def _categories(spark, sf_dir):
     mixed = (ix.detail("indel", "I") + ix.detail("indel", "D")) > 0
-    return samples.categories(accepted(spark, sf_dir), ix.itype("indel"), ix.isize("indel"), ix.detail("indel", "C"), mixed)
+    p = ix.by_distinct(accepted(spark, sf_dir).filter("indel <> '-'"), "indel", kind=ix.itype("indel"), size=ix.isize("indel"), shift=ix.detail("indel", "C"), mixed=mixed)
+    return samples.categories(p, *map(F.col, ("kind", "size", "shift", "mixed")))
 
 
 @query(FIELDS + f" select sample, oligo_id, cast(sum(reads) as bigint) as total, {CATS} from f group by all")

@@ -34,7 +34,7 @@ def _rows(spark, sf_dir):
 
 
 _BOTH = edits.WITH + edits.DELETIONS.replace("named as", "dels as").replace("shifts", "shifts1").replace("caps", "caps1") + edits.INSERTIONS + ", every_edit as (select * from dels union all select * from named)"
-_BINS = {"any insert": "ins <> ''", "I1": "length(ins) = 1", "I2": "length(ins) = 2", "any deletion": "ins = ''", "D1": "ins = '' and r - l = 2", "D2-3": "ins = '' and r - l - 1 between 2 and 3",
+_BINS = {"Any Insertion": "ins <> ''", "I1": "length(ins) = 1", "I2": "length(ins) = 2", "Any Deletion": "ins = ''", "D1": "ins = '' and r - l = 2", "D2-3": "ins = '' and r - l - 1 between 2 and 3",
          "D4-7": "ins = '' and r - l - 1 between 4 and 7", "D8-12": "ins = '' and r - l - 1 between 7 and 12", "D>12": "ins = '' and r - l - 1 > 12"}
 
 
@@ -50,12 +50,14 @@ def features_sizes(spark, sf_dir):
 
 @query()
 def predict_profile(spark, sf_dir):
-    return md.softmax(md.score(_rows(spark, sf_dir), weights())).withColumn("reads", F.round("reads", 6))
+    t = base.targets(spark, sf_dir)
+    return md.predicted(tg.candidates(t), t, weights()).withColumn("reads", F.round("reads", 6))
 
 
 @query()
 def predict_in_frame(spark, sf_dir):
-    return md.predicted_in_frame(md.softmax(md.score(_rows(spark, sf_dir), weights())))
+    t = base.targets(spark, sf_dir)
+    return md.predicted_in_frame(md.predicted(tg.candidates(t), t, weights()))
 
 
 @query()

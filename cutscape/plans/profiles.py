@@ -84,8 +84,8 @@ def profile_without_long(spark, sf_dir):
 shares as (select *, w / sum(w) over (partition by oligo_id) as share from wild),
 acc as (select oligo_id, coalesce(sum(reads) filter (spans and allowed), 0) * 100.0 / sum(reads) as pct from ok where sample = 'R' group by all),
 rows as (select *, sum(reads) over (partition by sample, oligo_id) as total from ok where sample <> 'R')
-select sample, rows.oligo_id, rows.indel, cast(sum(reads) as bigint) as reads from rows left join shares using (oligo_id, indel) left join acc using (oligo_id)
-where spans and allowed and (pct is null or pct >= 10) and (share is null or rows.indel = '-' or reads / total > share * 1.02) group by all""")
+select sample, rows.oligo_id, rows.indel, cast(sum(reads) as bigint) as reads from rows left join shares using (oligo_id, indel) join acc using (oligo_id)
+where spans and allowed and pct >= 10 and (share is null or rows.indel = '-' or reads / total > share * 1.02) group by all""")
 def profile_wt(spark, sf_dir):
     s = base.summary(spark, sf_dir)
     return pr.controlled_profile(s.filter("sample <> 'R'"), s.filter("sample = 'R'").drop("sample"), times=1.02)
@@ -135,8 +135,9 @@ c as (select x.oligo_id, """ + ", ".join(f"count(*) filter (greatest(x.place, y.
   from x join y using (oligo_id, indel) group by 1)
 select p.*, """ + ", ".join(f"coalesce(common_{k}, 0) as common_{k}" for k in (3, 5, 10)) + " from p left join c using (oligo_id)")
 def top_indels(spark, sf_dir):
-    got = pr.compare_tops(accepted(spark, sf_dir), "A", "N")
-    return got.select(*(F.round(c, 6).alias(c) if c.startswith("percent") else F.col(c) for c in got.columns))
+    got = pr.compare_tops(accepted(spark, sf_dir), spark.sql("select 'A' as a, 'N' as b")).drop("a", "b")
+    named = {c: c.replace("_a_", "_x_").replace("_b_", "_y_") for c in got.columns}
+    return got.select(*(F.round(c, 6).alias(n) if c.startswith("percent") else F.col(c) for c, n in named.items()))
 
 
 def pairs(spark: SparkSession) -> DataFrame:
