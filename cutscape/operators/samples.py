@@ -106,15 +106,27 @@ def insert_summary(reads: DataFrame, details: DataFrame) -> DataFrame:
     )
 
 
+def digits(keys: list[str], seed: int) -> Column:
+    """Hexadecimal digits that follow from the keys and a seed."""
+    return F.md5(F.concat_ws("/", *keys, F.lit(str(seed))))
+
+
 def weighted_pick(rows: DataFrame, keys: list[str], weight: str, order: list[str], seed: int = 0) -> DataFrame:
     """One row of each key with a chance in proportion to its weight, the same each time: inverse running sum of a hash."""
     w = Window.partitionBy(*keys)
     running = F.sum(weight).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.sum(weight).over(w)
+    draw = F.conv(F.substring(digits(keys, seed), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28)) * F.sum(weight).over(w)
     got = rows.withColumn("_r", running).withColumn("_d", draw)
     return got.filter((F.col("_r") > F.col("_d")) & (F.col("_r") - F.col(weight) <= F.col("_d"))).drop("_r", "_d")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Rows in a reproducible random order."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """rows with their `place` (from 0) in a reproducible random order, that of a hash of the key and then the key.
+
+    The hash's first digits make 4,096 slices in order; only their counts meet in one task.
+    """
+    told = rows.withColumn("_d", digits([key], seed)).withColumn("_s", F.substring("_d", 1, 3))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = told.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_s").orderBy("_d", key)) - 1
+    return told.withColumn("_own", own).join(F.broadcast(starts), "_s").withColumn("place", F.col("_before") + F.col("_own")).drop("_d", "_s", "_own", "_before")

@@ -206,18 +206,13 @@ def crispr_line(spark, sf_dir):
     return got.select("o_orderkey", "c.*")
 
 
-@query(PROFILE + " select sample, oligo_id, indel from (select *, row_number() over (partition by sample, oligo_id order by reads desc, indel desc) as k from profile where indel <> '-') where k = 1")
-def top_template(spark, sf_dir):
-    """The most frequent edit, the larger name first among ties."""
-    best = accepted(spark, sf_dir).filter("indel <> '-'").groupBy("sample", "oligo_id").agg(F.max_by("indel", F.struct("reads", "indel")).alias("indel"))
-    return best
-
-
-@query()
+@query(PROFILE + """, t as (select *, sum(reads) over (partition by sample, oligo_id) as total, sum(reads) over (partition by sample, oligo_id order by indel rows unbounded preceding) as r from profile),
+d as (select *, cast('0x' || substr(md5(sample || '/' || oligo_id || '/0'), 1, 7) as bigint) / 268435456.0 * total as d from t)
+select sample, oligo_id, indel, reads from d where r > d and r - reads <= d""")
 def weighted_choice(spark, sf_dir):
     return samples.weighted_pick(accepted(spark, sf_dir), ["sample", "oligo_id"], "reads", ["indel"])
 
 
-@query()
+@query("with " + base.TARGETS_SQL + " select oligo_id, row_number() over (order by md5(oligo_id || '/0'), oligo_id) - 1 as place from targets")
 def seeded_shuffle(spark, sf_dir):
     return samples.shuffled(base.targets(spark, sf_dir).select("oligo_id"), "oligo_id")

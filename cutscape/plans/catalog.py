@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutscape.plans import analysis, edits, prediction, profiles
+from cutscape.plans import analysis, edits, prediction, profiles, reports
 
-MODULES = (profiles, edits, analysis, prediction)
+MODULES = (profiles, edits, analysis, prediction, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

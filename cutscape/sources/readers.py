@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cutscape.functions.samples import parsed
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): lines with their number in the file.
@@ -121,13 +123,160 @@ def analyser_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_names(names: DataFrame, name: str = "sample") -> DataFrame:
-    """Sample names such as ST_Feb_2018_K562_800x_12NA_DPI7 taken apart: study month, cell line, coverage, batch, day."""
-    s = F.col(name)
-    cell = F.regexp_extract(s, "(K562|CHO|E14TG2A|HAP1|RPE1|BOB|CAS9|WT|NULL)", 1)
-    return names.withColumns({
-        "month": F.regexp_extract(s, r"ST_([A-Za-z]+_\d{4})", 1),
-        "cell_line": F.when(cell == "CAS9", "K562").otherwise(cell),
-        "coverage": F.regexp_extract(s, r"(\d+)x", 1).cast("int"),
-        "batch": F.regexp_extract(s, r"_((?:LV)?\d+(?:NA|NB|OA|OB|[AB]))_", 1),
-        "dpi": F.regexp_extract(s, r"DPI(\d+)", 1).cast("int"),
-    })
+    """names with the parts of each sample's name: cell_line, dpi, virus, coverage, date, month."""
+    p = parsed(F.col(name))
+    return names.select("*", *(p[c].alias(c) for c in ("cell_line", "dpi", "virus", "coverage", "date", "month")))
+
+
+def sample_dirs(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, ord) of data folders (study/data/sample): controls first, then samples of the old and of the new library."""
+    name = F.substring_index(path, "/", -1)
+    day = name.contains("DPI")
+    old = name.contains("Old") | name.contains("6O") | name.contains("12O")
+    rank = F.when(name.contains("NULL"), 0).when(day & old, 1).when(day, 2)
+    rows = paths.select(F.col(path).alias("path"), rank.alias("_r")).filter("_r is not null")
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy("_r", "path"))).drop("_r")  # a list of samples
+
+
+def barcode_windows(spark: SparkSession, path: str) -> DataFrame:
+    """(window, start, end) of a file of pairs; negative ones count from the end."""
+    rows = numbered_lines(spark, path).filter("trim(value) <> ''").withColumn("b", F.split(F.trim("value"), r"\s+"))
+    return rows.select("line_no", F.col("b")[0].cast("int").alias("start"), F.col("b")[1].cast("int").alias("end")).withColumnRenamed("line_no", "window")
+
+
+def null_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, oligo_id, seq, variant, pam_idx, direction, percent) of control templates."""
+    got = sectioned(spark, path, ["seq", "variant", "pam_idx", "direction", "percent"]).withColumnRenamed("section", "oligo_id")
+    return got.withColumn("pam_idx", F.col("pam_idx").cast("int")).withColumn("percent", F.col("percent").cast("double"))
+
+
+def null_profile(summary: DataFrame, unedited_only: bool = True) -> DataFrame:
+    """(oligo_id, oligo_indel, reads): reads of each synthesis variant, of unedited rows only or of all."""
+    rows = summary.filter("indel = '-'") if unedited_only else summary
+    return rows.groupBy("oligo_id", "oligo_indel").agg(F.sum("reads").alias("reads"))
+
+
+def unchanged_pam(targets: DataFrame) -> DataFrame:
+    """(oligo_id, pam_idx, reverse) of the unchanged template of each oligo of expected_targets()."""
+    rows = targets.filter("variant = '-'")
+    return rows.groupBy("oligo_id").agg(F.min(F.struct("pam_idx", "reverse")).alias("m")).select("oligo_id", "m.pam_idx", "m.reverse")
+
+
+def section_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, id): what stands behind `@@@`, the whole line."""
+    rows = numbered_lines(spark, path).filter(F.col("value").startswith("@@@"))
+    return rows.select("file", "line_no", F.substring("value", 4, 1 << 20).alias("id"))
+
+
+def section_count(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n): number of sections of each file."""
+    return section_ids(spark, path).groupBy("file").agg(F.count("*").alias("n"))
+
+
+def mapped_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id, n) of a file of mapped reads, whose names begin with the oligo's id and a dot."""
+    return fasta(spark, path).groupBy(F.substring_index("id", ".", 1).alias("oligo_id")).agg(F.count("*").alias("n"))
+
+
+def oligo_details(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id, guide, target, pam_idx, direction, comments, old) of a table with a header; the last row of an id counts."""
+    cols = {"ID": "oligo_id", "Guide": "guide", "Target": "target", "PAM Location": "pam_idx", "PAM Direction": "direction", "Comments": "comments", "Old": "old"}
+    head, *_ = (r["value"].split("\t") for r in spark.read.text(path).limit(1).collect())
+    rows = numbered_lines(spark, path).filter("line_no > 0").select("line_no", F.split("value", "\t").alias("b"))
+    got = rows.select("line_no", *(F.get("b", F.lit(head.index(k))).alias(n) if k in head else F.lit(None).cast("string").alias(n) for k, n in cols.items()))
+    last = got.groupBy("oligo_id").agg(F.max(F.struct("line_no", *list(cols.values())[1:])).alias("m")).select("oligo_id", *(f"m.{n}" for n in list(cols.values())[1:]))
+    return last.withColumn("pam_idx", F.col("pam_idx").cast("int")).withColumn("old", F.lower("old") == "true")
+
+
+def old_new_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(old_id, new_id) of a table of two columns separated by blanks; ids without a match go."""
+    rows = spark.read.csv(path, sep=" ", header=True)
+    gone = F.col("New").isin("matchlessA", "matchlessC", "matchlessT")
+    return rows.filter(~gone).select(F.col("Old").alias("old_id"), F.col("New").alias("new_id"))
+
+
+def validation_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(old_id, new_id) that a model is validated on."""
+    return result_table(spark, path).select(F.col("Old Oligo Id").alias("old_id"), F.col("New Oligo Id").alias("new_id"))
+
+
+def repeat_deletions(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id, left, right, mh_len, indel) of lines `id, l:r:n lists, names`, lists with a comma at the end."""
+    rows = spark.read.text(path).filter(~F.col("value").startswith("@@@")).select(F.split("value", "\t").alias("b"))
+    items = lambda k: F.filter(F.split(F.get("b", F.lit(k)), ","), lambda x: x != "")
+    one = rows.select(F.col("b")[0].alias("oligo_id"), F.explode(F.arrays_zip(items(1).alias("mh"), items(2).alias("indel"))).alias("x"))
+    part = lambda k: F.split("x.mh", ":")[k].cast("int")
+    return one.select("oligo_id", part(0).alias("left"), part(1).alias("right"), part(2).alias("mh_len"), F.col("x.indel").alias("indel"))
+
+
+def insert_details(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id, ins, indel, left_base, right_base) of a wide table with a column `I1_x` for each insert x; one line stands
+    before its header."""
+    rows = numbered_lines(spark, path)
+    head = rows.filter("line_no = 1").select("file", F.split("value", "\t").alias("h"))  # a row for each file
+    told = rows.filter("line_no > 1 and value <> ''").join(F.broadcast(head), "file").select("h", F.split("value", "\t").alias("b"))
+    n = F.size("h")
+    pairs = F.arrays_zip(F.slice("h", F.lit(2), n - 3).alias("name"), F.slice("b", F.lit(2), n - 3).alias("indel"))
+    wide = told.select(F.col("b")[0].alias("oligo_id"), F.element_at("b", n - 1).alias("left_base"), F.element_at("b", n).alias("right_base"), F.explode(pairs).alias("x"))
+    return wide.select("oligo_id", F.substring_index("x.name", "_", -1).alias("ins"), F.col("x.indel").alias("indel"), "left_base", "right_base")
+
+
+def insert_bases(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(oligo_id, left_base, right_base) of the tables of several libraries, with short ids."""
+    rows = [insert_details(spark, p) for p in paths]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every.select(F.substring_index("oligo_id", "_", 1).alias("oligo_id"), "left_base", "right_base").distinct()
+
+
+def fastq_of_guide(spark: SparkSession, path: str, guide: str) -> DataFrame:
+    """fastq() with ids that begin with the guide and a dot, unless they have a dot already."""
+    own = F.when(F.col("read_id").contains("."), F.col("read_id")).otherwise(F.concat(F.lit(guide + "."), "read_id"))
+    return fastq(spark, path).withColumn("read_id", own)
+
+
+def template(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id, pam_idx, direction, seq) of a template in two lines."""
+    bits = F.split("description", r"\s+")
+    return fasta(spark, path).select(F.substring_index("id", "_", 1).alias("oligo_id"), bits[1].cast("int").alias("pam_idx"), bits[2].alias("direction"), "seq")
+
+
+def sequencing_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(location, cell, time, run) of a table of sequencing runs: the library's name holds location, cell and time point, the
+    latter two one place earlier where a replicate `R...` stands at the end."""
+    bits = F.split("Library_Name_s", "_")
+    back = F.when(F.element_at(bits, -1).startswith("R"), 1).otherwise(0)
+    at = lambda k: F.element_at(bits, F.lit(k) - back)
+    return result_table(spark, path).select(bits[1].alias("location"), at(-2).alias("cell"), at(-1).alias("time"), F.col("Run_s").alias("run"))
+
+
+def spacers(spark: SparkSession, path: str, number: str = "Spacer ", place: str = "Genomic location of spacer (hg19)", seq: str = "Spacer sequence") -> DataFrame:
+    """(guide, location, seq) of a table of spacers by number."""
+    return result_table(spark, path).select(F.concat(F.lit("Overbeek_"), F.trim(F.col(number))).alias("guide"), F.col(place).alias("location"), F.col(seq).alias("seq"))
+
+
+def file_map(spark: SparkSession, path: str) -> DataFrame:
+    """(farm, original) of lines `original farm`."""
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(F.split(F.trim("value"), " ").alias("b"))
+    return rows.select(F.col("b")[1].alias("farm"), F.col("b")[0].alias("original"))
+
+
+def batch_targets(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id, seq, pam_idx) of a table `ID, Target, PAM Index`."""
+    return result_table(spark, path).select(F.col("ID").alias("oligo_id"), F.col("Target").alias("seq"), F.col("PAM Index").cast("int").alias("pam_idx"))
+
+
+def guide_info(lines: DataFrame, oligo: str) -> DataFrame:
+    """The first CRISPR line (line_no, value) of an id, taken apart."""
+    from cutscape.functions.sequence import crispr_line
+
+    key = F.regexp_replace(F.substring_index("value", " ", 1), "^@@@", "")
+    rows = lines.filter(F.col("value").startswith("@@@") & (key == oligo))
+    return rows.agg(F.min_by("value", "line_no").alias("value")).filter("value is not null").select(crispr_line(F.col("value")).alias("c")).select("c.*")
+
+
+def training_guides(spark: SparkSession, path: str) -> DataFrame:
+    """(oligo_id) of the guides that a weights file was trained on, its first line."""
+    rows = numbered_lines(spark, path).filter("line_no = 0")
+    return rows.select(F.explode(F.split("value", ",")).alias("oligo_id"))
