@@ -6,13 +6,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutscape.functions import indel as ix
 from cutscape.functions import sequence as sq
 from cutscape.operators.targets import runs
 
 
-@F.pandas_udf("left int, right int, size int")
+REPEAT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("left", "right", "size")])
+
+
+@F.pandas_udf(REPEAT)
 def longest_repeat(seqs: pd.Series) -> pd.DataFrame:
     """struct<left, right, size>: the longest stretch that stands in a sequence twice, at the smallest distance of several,
     the first there; -1, -1, 0 where there is none. Stretches may overlap; the distance leaves two letters at least."""
