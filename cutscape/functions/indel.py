@@ -37,9 +37,10 @@ def _second(indel: Column) -> Column:
 
 def detail(indel: str | Column, letter: str) -> Column:
     """The last value of a letter in the details; 0 for absent I, D and C, null for absent L and R."""
-    values = F.regexp_extract_all(_second(_col(indel)), F.lit(rf"(?<![CLRDI]){letter}(-?\d+)"), F.lit(1))
+    text = _second(_col(indel))
+    values = F.regexp_extract_all(text, F.lit(rf"(?<![CLRDI]){letter}(-?\d+)"), F.lit(1))
     value = F.try_element_at(values, F.lit(-1)).cast("int")
-    return F.coalesce(value, F.lit(0)) if letter in "IDC" else value
+    return F.when(text.contains(letter), F.coalesce(value, F.lit(0))).otherwise(0) if letter in "IDC" else value
 
 
 def muts(indel: str | Column) -> Column:

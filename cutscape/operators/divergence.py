@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cutscape.functions import indel as ix
 from cutscape.operators import profile as pr
 
 MISSING = 0.5  # count of an indel that the other profile alone has
@@ -74,18 +75,29 @@ def median_matrix(divergence: DataFrame, value: str) -> DataFrame:
 
 
 def pairwise_report(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each oligo and pair of samples: divergences, overlap, reads, entropies, in-frame percentages."""
-    both = paired(profile, pairs)
+    """One row for each oligo and pair of samples: divergences, overlap, reads, entropies, in-frame percentages.
+
+    One grouped pass over the paired rows, which hold all of both profiles.
+    """
     keys = ["a", "b", "oligo_id"]
-    side = lambda c: F.coalesce(F.sum(F.when(F.col("indel") != "-", F.col(c))), F.lit(0))
-    reads = both.groupBy(*keys).agg(side("p").alias("edited_a"), side("q").alias("edited_b"))
-    h = entropy(profile)
-    frame = pr.in_frame(profile).select(*pr.KEY, "percent")
-    out = reads.join(kl(both), keys, "left").join(overlap(both), keys, "left")
-    for s in "ab":
-        out = out.join(h.select(F.col("sample").alias(s), "oligo_id", F.col("entropy").alias(f"entropy_{s}")), [s, "oligo_id"], "left")
-        out = out.join(frame.select(F.col("sample").alias(s), "oligo_id", F.col("percent").alias(f"in_frame_{s}")), [s, "oligo_id"], "left")
-    return out
+    w = Window.partitionBy(*keys)
+    edit = F.col("indel") != "-"
+    rows = paired(profile, pairs).filter((F.coalesce("p", F.lit(0)) > 0) | (F.coalesce("q", F.lit(0)) > 0))
+    rows = rows.withColumn("_keeps", F.pmod(ix.net_size("indel"), F.lit(3)) == 0)
+    for c, n in (("p", "a"), ("q", "b")):
+        rows = rows.withColumn(f"_{n}", F.when(edit & (F.col(c) > 0), F.col(c)))  # edited reads of the sample
+        rows = rows.withColumn(f"_x{n}", F.when(edit, F.coalesce(F.col(f"_{n}").cast("double"), F.lit(MISSING))))
+    rows = rows.select("*", *(F.sum(c).over(w).alias(f"{c}_sum") for c in ("_a", "_b", "_xa", "_xb")))
+    one = lambda p, q: p * F.log2(p / q)
+    p, q = F.col("_xa") / F.col("_xa_sum"), F.col("_xb") / F.col("_xb_sum")
+    share = {n: F.col(f"_{n}") / F.col(f"_{n}_sum") for n in "ab"}
+    each = []
+    for n in "ab":
+        each += [F.coalesce(F.sum(F.col(f"_{n}")), F.lit(0)).alias(f"edited_{n}"), F.coalesce(F.sum(-share[n] * F.log2(share[n])), F.lit(0.0)).alias(f"entropy_{n}")]
+        each.append((F.sum(F.when(F.col("_keeps"), F.col(f"_{n}")).when(F.col(f"_{n}").isNotNull(), 0)) * 100.0 / F.sum(F.col(f"_{n}"))).alias(f"in_frame_{n}"))
+    both = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.least(share["a"], share["b"]) * 100.0)
+    out = rows.groupBy(*keys).agg(F.sum(one(p, q)).alias("kl"), (F.sum(one(p, q) + one(q, p)) * 0.5).alias("symmetric_kl"), F.coalesce(F.sum(both), F.lit(0.0)).alias("overlap"), *each)
+    return out.select(*keys, "edited_a", "edited_b", "kl", "symmetric_kl", "overlap", "entropy_a", "in_frame_a", "entropy_b", "in_frame_b")
 
 
 def rounded(c: str, digits: int = 6) -> Column:
