@@ -44,11 +44,11 @@ from cutscape.llm.common import SPACE_BYTES, components, joined_evenly, written
 #: Fragments of the order in which the overlap of a pair is counted.
 FRAGMENTS = 4
 #: Members outside the largest component of a group whose pairs are listed by the group's shingle.
-LISTED = 16
+LISTED = 2048
 #: Counters of the sketch that orders shingles.
 COUNTERS, SLICES = 1 << 20, 64
 #: Shingles that a task holds before it sends them on; bytes of text that are hashed at a time.
-HELD, BLOCK = 1_000_000, 1 << 19
+HELD, BLOCK = 600_000, 1 << 18
 #: Most bits of the filter that marks candidate classes.
 FILTER_BITS = 1 << 26
 #: The owner that stands for several.
