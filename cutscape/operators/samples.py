@@ -130,3 +130,13 @@ def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     starts = told.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_s").orderBy("_d", key)) - 1
     return told.withColumn("_own", own).join(F.broadcast(starts), "_s").withColumn("place", F.col("_before") + F.col("_own")).drop("_d", "_s", "_own", "_before")
+
+
+def mean_by_cell_line(rows: DataFrame, cell_line: Column, cols: list[str]) -> DataFrame:
+    """Means over the samples of each cell line."""
+    return rows.groupBy(cell_line.alias("cell_line")).agg(*(F.avg(c).alias(c) for c in cols), F.count("*").alias("samples"))
+
+
+def stride(numbered: DataFrame, place: str, first: int, step: int) -> DataFrame:
+    """Every step-th row from a place on, of rows with a place (shuffled(), row numbers)."""
+    return numbered.filter((F.col(place) >= first) & (F.pmod(F.col(place) - first, F.lit(step)) == 0))

@@ -402,3 +402,53 @@ def predicted_states(spark, sf_dir):
 
     got = md.predicted_targets(base.targets(spark, sf_dir), weights())
     return got.groupBy("oligo_id").agg(F.count("*").alias("n"))
+
+
+@query(_REPEATS + """, e as (select oligo_id, sum(reads) as edited from profile where indel <> '-' group by 1),
+x as (select mh_len, round(100.0 * length(regexp_replace(substr(seq, left_start + 1, mh_len), '[^GC]', '', 'g')) / mh_len, 6) as gc, 100.0 * reads / edited as pct from rep join targets using (oligo_id) join e using (oligo_id)
+ where right_start - left_start - mh_len between 0 and 10)
+select mh_len, gc, round(quantile_cont(pct, 0.25), 6) as q1, round(quantile_cont(pct, 0.5), 6) as median, round(quantile_cont(pct, 0.75), 6) as q3, count(*) as n from x group by all having count(*) > 20""")
+def gc_boxes(spark, sf_dir):
+    """Share of the edited reads by length and G and C of the repeat, copies at most ten letters apart, of more than 20 repeats."""
+    rows = repeats_with_best(spark, sf_dir).filter("right_start - left_start - mh_len between 0 and 10")
+    e = details.edited_reads(accepted(spark, sf_dir)).groupBy("oligo_id").agg(F.sum("edited").alias("edited")).filter("edited > 0")
+    return rounded(op.boxes(rows.join(e, "oligo_id").withColumn("pct", 100.0 * F.col("reads") / F.col("edited")), "pct", ["mh_len", "gc"], 20))
+
+
+@query(PROFILE + f""", n as (select c_custkey % 3 as k, {_CELL} as cell from customer where c_custkey <= 30), m as (select case k when 0 then 'A' when 1 then 'N' else 'R' end as sample, case when cell = 'CAS9' then 'K562' when cell = 'WT' then ' WT' else cell end as cell_line from n),
+i as (select sample, 100.0 * sum(reads) filter (indel like 'I%') / sum(reads) as ins, 100.0 * sum(reads) filter (indel like 'D%') / sum(reads) as dele from profile group by 1)
+select cell_line, round(avg(ins), 6) as ins, round(avg(dele), 6) as dele, count(*) as samples from m join i using (sample) group by 1""")
+def cell_line_means(spark, sf_dir):
+    """Mean shares of insertions and deletions over the samples of a cell line; thirty sample names stand for three profiles."""
+    names = _names(spark, sf_dir).filter("c_custkey <= 30").withColumn("name", F.col("sample"))
+    of = F.element_at(F.array(*map(F.lit, "ANR")), F.col("c_custkey").cast("int") % 3 + 1)
+    share = lambda kind: (F.sum(F.when(F.col("indel").startswith(kind), F.col("reads"))) * 100.0 / F.sum("reads"))
+    pies = accepted(spark, sf_dir).groupBy("sample").agg(share("I").alias("ins"), share("D").alias("dele"))
+    rows = names.select("name", of.alias("sample")).join(pies, "sample")
+    return rounded(op.mean_by_cell_line(rows, sm.parsed(F.col("name"))["cell_line"], ["ins", "dele"]))
+
+
+_EDITS = edits.WITH + edits.DELETIONS.replace("named as", "dels as").replace("shifts", "shifts1").replace("caps", "caps1") + edits.INSERTIONS + """, every_edit as (select * from dels union all select * from named),
+e as (select every_edit.*, seq, l - 53 as a, r - 53 as b, substr(seq, 53, 1) as x from every_edit join targets using (oligo_id)),"""
+
+
+@query(_EDITS + """ f as (select oligo_id, indel, case when a between -3 and -1 then 'DL' || a || '-' || a when a < -30 then 'DL<-30' when a >= 0 then 'DL>=0' end as feature from e where ins = ''
+ union all select oligo_id, indel, case when b < 0 then 'DR<0' when b <= 2 then 'DR' || b || '-' || b when b <= 5 then 'DR3-5' when b <= 9 then 'DR6-9' when b <= 14 then 'DR10-14' when b <= 29 then 'DR15-29' when b > 30 then 'DR=>30' end from e where ins = ''
+ union all select oligo_id, indel, 'IL-1--1' from e where ins <> '' union all select oligo_id, indel, 'I' || length(ins) || case when ins = repeat(x, length(ins)) then 'Rpt' else 'NonRpt' end from e where ins <> ''
+ union all select oligo_id, indel, 'I' || length(ins) || '_' || ins from e where ins <> '' union all select oligo_id, indel, 'CS' || o || '_NT=' || substr(seq, (54 + o)::int, 1) from e, (select unnest(range(-5, 4)) as o)
+ union all select oligo_id, indel, 'R' || o || '_NT=' || substr(seq, (r + o + 1)::int, 1) from e, (select unnest(range(-3, 3)) as o) where ins = '' and r + o < 79
+ union all select oligo_id, indel, case when substr(seq, (l + 1 + o + 1)::int, 1) = substr(seq, (r + p + 1)::int, 1) then 'M' else 'X' end || '_L' || o || '_R' || p from e, (select unnest(range(-3, 3)) as o), (select unnest(range(-3, 3)) as p) where ins = '' and l + o > 0 and r + p < 79)
+select feature, count(distinct (oligo_id, indel)) as candidates from f where feature is not null group by 1""")
+def feature_counts(spark, sf_dir):
+    """Candidates that have each feature of seven groups: places of the ends, inserts, letters at the cut and the right end, agreements."""
+    from cutscape.operators import model as md
+    from cutscape.operators import targets as tg
+
+    names, at = md.layout()
+    t = base.targets(spark, sf_dir)
+    spans = [(at[g,], at[g,] + len(md.LABELS[g])) for g in ("DelLoc", "InsLoc", "InsRpt", "InsSeq", "CutSeq", "SeqMatch", "RelSeq")]
+    inside = lambda f: F.exists(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spans)), lambda s: (f >= s["a"]) & (f < s["b"]))
+    rows = md.candidate_features(tg.candidates(t), t).select(F.explode(F.filter("features", lambda f: (f >= spans[0][0]) & inside(f))).alias("f"))
+    counts = rows.groupBy("f").agg(F.count("*").alias("candidates"))
+    told = counts.select(F.element_at(F.array(*map(F.lit, names)), F.col("f") + 1).alias("feature"), "candidates")
+    return told.filter(~F.col("feature").rlike(r"^L-?\d_NT="))
