@@ -70,7 +70,7 @@ def layout() -> tuple[list[str], dict[tuple, int]]:
 
 
 #: Placements whose features a task holds at a time, as a table of 0/1.
-CHUNK = 4096
+CHUNK = 512
 _CODE = np.full(256, -1, np.int8)
 _CODE[[ord(x) for x in NT]] = range(4)
 _INSERTS = {x.split("_")[1]: i for i, x in enumerate(LABELS["InsSeq"])}
