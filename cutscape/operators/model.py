@@ -183,6 +183,23 @@ def candidate_features(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "oligo_id string, indel string, features array<int>")
 
 
+def feature_counts(candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """(feature, candidates): the candidates that have each feature; a task adds up a vector of fixed length."""
+    names, _ = layout()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(names), np.int64)
+        for batch in batches:
+            for _, table in candidate_tables(batch):
+                total += table.sum(0)
+        has = np.flatnonzero(total)
+        yield pd.DataFrame({"feature": [names[i] for i in has], "candidates": total[has]})
+
+    rows = candidates.select("oligo_id", "indel", "places").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
+    counts = rows.mapInPandas(run, "feature string, candidates bigint")
+    return counts.groupBy("feature").agg(F.sum("candidates").alias("candidates"))
+
+
 def scored_candidates(candidates: DataFrame, targets: DataFrame, theta: np.ndarray) -> DataFrame:
     """(oligo_id, indel, z): the sum of the weights of each candidate's features, without listing them."""
 

@@ -444,11 +444,7 @@ def feature_counts(spark, sf_dir):
     from cutscape.operators import model as md
     from cutscape.operators import targets as tg
 
-    names, at = md.layout()
+    groups = ("DelLoc", "InsLoc", "InsRpt", "InsSeq", "CutSeq", "SeqMatch", "RelSeq")
     t = base.targets(spark, sf_dir)
-    spans = [(at[g,], at[g,] + len(md.LABELS[g])) for g in ("DelLoc", "InsLoc", "InsRpt", "InsSeq", "CutSeq", "SeqMatch", "RelSeq")]
-    inside = lambda f: F.exists(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spans)), lambda s: (f >= s["a"]) & (f < s["b"]))
-    rows = md.candidate_features(tg.candidates(t), t).select(F.explode(F.filter("features", lambda f: (f >= spans[0][0]) & inside(f))).alias("f"))
-    counts = rows.groupBy("f").agg(F.count("*").alias("candidates"))
-    told = counts.select(F.element_at(F.array(*map(F.lit, names)), F.col("f") + 1).alias("feature"), "candidates")
-    return told.filter(~F.col("feature").rlike(r"^L-?\d_NT="))
+    some = F.col("feature").isin([x for g in groups for x in md.LABELS[g]]) & ~F.col("feature").rlike(r"^L-?\d_NT=")
+    return md.feature_counts(tg.candidates(t), t).filter(some)
