@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutscape.llm import chat, decontam, fingerprint, license_scan, ngram_join, packing, sharding, token_io, toxicity, warc
+from cutscape.llm import chat, decontam, divergence_audit, fingerprint, license_scan, merkle, ngram_join, packing, sharding, token_io, toxicity, vector_packing, warc
 from cutscape.llm.common import shared_path
 
 
@@ -171,10 +171,101 @@ from b
 """
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as no from documents),
+groups as (select distinct lang, source from d),
+t as (
+  select lang, source, no, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (select lang, term, cast(count(*) as hugeint) as n from t group by lang, term having count(distinct no) >= 3),
+langs as (select lang, cast(sum(n) as hugeint) as n, cast(count(*) as hugeint) as v from kept group by lang),
+c as (select t.lang, source, term, cast(count(*) as hugeint) as n from t join kept using (lang, term) group by all),
+sums as (select lang, source, cast(sum(n) as hugeint) as n from c group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + l.v) as p,
+    1 + (1000000000::hugeint * (k.n + 1)) // (l.n + l.v) as q
+  from groups g join kept k using (lang) join langs l using (lang) left join sums s using (lang, source) left join c using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // b.p) as bigint) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every_pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), every as (
+  select * from every_pair union all
+  select lang, source, 'term', term, cast((p - q) * (p - q) // q as bigint) from p where n > 0 and p > q
+)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+from every qualify part = 'pair' or rank <= 200
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    shown = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("source", "doc_id", merkle.leaf("doc_id", "source", "lang", "n_chars", "text").alias("leaf"), merkle.leaf("doc_id", "source", "lang", "n_chars", shown).alias("shown"))
+    whole = merkle.manifest(leaves, "source", "doc_id", keep=("shown",))
+    told = whole.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("shown"), F.col("path")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _up(name: str, start: str) -> str:
+    """SQL of the levels of nodes above lists of leaves: (source, k, nodes)."""
+    return f"""{name}(source, k, nodes) as (
+  {start} union all
+  select source, k + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(list_slice(nodes, 3 * i + 1, 3 * i + 3), '')))
+  from {name} where len(nodes) > 1
+)"""
+
+
+_SIDES = "array_to_string(list_slice(nodes, ({q} // 3) * 3 + 1, {q}), '') || '|' || array_to_string(list_slice(nodes, {q} + 2, ({q} // 3) * 3 + 3), '')"
+OP12_SQL = f"""
+with recursive d as (
+  select *, replace(text, chr(10), '') as bare, list_reduce(
+    list_concat([4294967295::bigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))
+  ) & 1 as odd from documents
+), l as (
+  select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as pos, {{leaf}} as leaf, case when odd = 1 then {{shown}} else leaf end as shown from d
+), {_up('up', "select source, 0, list(leaf order by pos) from l group by source")},
+subroots as (select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as nth from up where len(nodes) = 1),
+{_up('over_all', "select null::varchar, 0, list(subroot order by nth) from subroots")},
+own as (
+  select l.doc_id, list({_SIDES.format(q='(pos // (3 ** k)::bigint)')} order by k) as path
+  from l join up on l.source is not distinct from up.source where len(nodes) > 1 group by l.doc_id
+), top as (
+  select subroots.source, list({_SIDES.format(q='(nth // (3 ** k)::bigint)')} order by k) as path from subroots, over_all o where len(nodes) > 1 group by subroots.source
+), w as (
+  select l.*, s.subroot, (select nodes[1] from over_all where len(nodes) = 1) as root, list_concat(coalesce(own.path, []), coalesce(top.path, [])) as path
+  from l join subroots s on l.source is not distinct from s.source left join own using (doc_id) left join top on l.source is not distinct from top.source
+), f as (
+  select *, list_reduce(list_concat([shown], path), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) as folded_root from w
+)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from f
+""".format(
+    **{
+        name: "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+        for name, text in (("leaf", "text"), ("shown", "bare"))
+    }
+)
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    examples = vector_packing.documents(table(spark, sf_dir, "documents"))
+    placed = vector_packing.packed(examples, public_tokenizers.path("byte_bpe_50k.json"), vector_packing.Limits(tokens=2048), end_id=1)
+    return placed.withColumnRenamed("_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_sharding, op3_ngram_jaccard, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc)
+    ops = (op1_license_scan, op2_sharding, op3_ngram_jaccard, op4_best_fit_packing, op5_chat_formatting, op6_toxicity, op7_fingerprints, op8_decontamination, op9_token_files, op10_warc, op11_divergence_audit, op12_merkle_manifest, op13_vector_packing)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL, "op11_divergence_audit": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
