@@ -49,6 +49,8 @@ LISTED = 2048
 COUNTERS, SLICES = 1 << 20, 64
 #: Shingles that a task holds before it sends them on; bytes of text that are hashed at a time.
 HELD, BLOCK = 600_000, 1 << 18
+#: Rows of prefixes or parts that a task gives away at a time.
+ROWS = 1 << 18
 #: Most bits of the filter that marks candidate classes.
 FILTER_BITS = 1 << 26
 #: The owner that stands for several.
@@ -296,6 +298,19 @@ def shingle_order(sets: DataFrame) -> Order:
     return Order.of(table.reshape(-1))
 
 
+def in_pieces(lines: Iterator[np.ndarray], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Tables (columns by rows) as frames of at most `ROWS` rows, or those of one set, whatever the number of sets of a batch."""
+    rows, held = [], 0
+    for line in lines:
+        if held and held + line.shape[1] > ROWS:
+            yield pd.DataFrame(np.concatenate(rows, 1).T, columns=columns)
+            rows, held = [], 0
+        rows.append(line)
+        held += line.shape[1]
+    if held:
+        yield pd.DataFrame(np.concatenate(rows, 1).T, columns=columns)
+
+
 def ordered_prefixes(sets: DataFrame, percent: int, order: Broadcast) -> DataFrame:
     """(token, class, n, r) of the repeated shingles among the first (size - least overlap + 1) of each set, rare ones first.
 
@@ -304,15 +319,16 @@ def ordered_prefixes(sets: DataFrame, percent: int, order: Broadcast) -> DataFra
     """
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [np.zeros((4, 0), np.int64)]
-            for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
-                tokens = np.frombuffer(content, np.uint64)
-                times = order.value.times(tokens)
-                first = np.lexsort((tokens, times))[: n - least_overlap(n, percent) + 1]
-                at = np.flatnonzero(times[first] > 1)
-                rows.append(np.stack([tokens[first[at]].view(np.int64), np.full(len(at), key), np.full(len(at), n), n - at]))
-            yield pd.DataFrame(np.concatenate(rows, 1).T, columns=["token", "class", "n", "r"])
+        def lines() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
+                    tokens = np.frombuffer(content, np.uint64)
+                    times = order.value.times(tokens)
+                    first = np.lexsort((tokens, times))[: n - least_overlap(n, percent) + 1]
+                    at = np.flatnonzero(times[first] > 1)
+                    yield np.stack([tokens[first[at]].view(np.int64), np.full(len(at), key), np.full(len(at), n), n - at])
+
+        yield from in_pieces(lines(), ["token", "class", "n", "r"])
 
     return written(sets.mapInPandas(prefixes, "token bigint, class bigint, n bigint, r bigint"), "prefixes")
 
@@ -351,16 +367,17 @@ def part_keys(sets: DataFrame, percent: int) -> DataFrame:
         return mixed((found if (~full).any(1).sum() > spare else found[full]).reshape(-1) + pair).view(np.int64)
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [np.zeros((5, 0), np.int64)]
-            for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
-                h = mixed(np.frombuffer(content, np.uint64) + np.uint64(ODD[3]))
-                i = int(np.searchsorted(least, n, side="right")) - 1
-                for x, y, side in ((i, i, 2), (i, i + 1, 0), (i - 1, i, 1)):
-                    if x >= 0:
-                        t = tokens_of(h, x, y)
-                        rows.append(np.stack([t, *(np.full(len(t), v) for v in (key, n, n, side))]))
-            yield pd.DataFrame(np.concatenate(rows, 1).T, columns=["token", "class", "n", "r", "side"])
+        def lines() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for key, n, content in zip(batch["class"], batch["n"], batch["set"]):
+                    h = mixed(np.frombuffer(content, np.uint64) + np.uint64(ODD[3]))
+                    i = int(np.searchsorted(least, n, side="right")) - 1
+                    for x, y, side in ((i, i, 2), (i, i + 1, 0), (i - 1, i, 1)):
+                        if x >= 0:
+                            t = tokens_of(h, x, y)
+                            yield np.stack([t, *(np.full(len(t), v) for v in (key, n, n, side))])
+
+        yield from in_pieces(lines(), ["token", "class", "n", "r", "side"])
 
     return sets.mapInPandas(parts, "token bigint, class bigint, n bigint, r bigint, side bigint")
 
