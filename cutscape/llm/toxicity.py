@@ -10,7 +10,11 @@ counted and thinned in Spark), give counts by bucket and label, added up in Spar
 whose signed root of the likelihood ratio is at least `least` away from chance are kept, all of them unless `terms` sets
 a bound. The machine is fitted to the sample's kept buckets, a matrix bounded by `rows` and `BUCKETS`, by AdaGrad.
 
-The screen sees terms one by one: two terms that tell nothing alone and all together are not kept and not learned.
+The screen sees terms one by one, so terms that tell something only together have a screen of their own. Of the `often`
+words that most rows of the rarer label have, texts with each two are counted by label, in Spark as well (a table of `often` x
+`often` for each label and task). Two words matter if the one, b, is not kept and tells another thing where the other, a,
+stands than where it doesn't: the roots of b's table in the texts with a and in those without differ by `apart` standard
+deviations. Both words are kept then, and the machine learns their product. Beginnings and repeats are not paired.
 
 Null and empty texts have no terms; their score is that of w0 alone. Rows are scored one by one, whole. Labels that are
 null or without a document teach nothing; of repeated labels of one id the largest counts, of several documents of one id
@@ -35,6 +39,8 @@ from cutscape.llm.common import WORD_BYTES, written
 BUCKETS, SLICES = 1 << 18, 64
 #: Most labelled rows that teach.
 ROWS = 20_000
+#: Words whose pairs are counted.
+OFTEN = 1024
 #: Words whose terms a task remembers: with and without a choice of buckets (then a word's terms take a kilobyte).
 KEPT_WORDS, ALL_WORDS = 200_000, 30_000
 
@@ -160,7 +166,25 @@ def signed_root(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.
     return np.sign(pos * n_neg - neg * n_pos) * np.sqrt(np.maximum(2 * g, 0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int | None = None, least: float = 4.0, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
+def telling_pairs(both: np.ndarray, sizes: np.ndarray, known: np.ndarray, apart: float) -> np.ndarray:
+    """Places of the words of pairs that tell more than their words.
+
+    both: by label (0, 1), the rows that have each two words, a word's own rows in the diagonal; sizes: rows by label;
+    known: whether a word is kept anyway.
+    """
+    own = np.diagonal(both, axis1=1, axis2=2)  # label, word
+    with_a = [signed_root(both[1][i], both[0][i], own[1, i], own[0, i]) for i in range(len(known))]
+    without = [signed_root(own[1] - both[1][i], own[0] - both[0][i], sizes[1] - own[1, i], sizes[0] - own[0, i]) for i in range(len(known))]
+    differs = np.abs(np.array(with_a) - np.array(without)).reshape(len(known), -1) / np.sqrt(2) >= apart  # a by row, b by column
+    np.fill_diagonal(differs, False)
+    differs &= ~known[None, :]
+    return np.flatnonzero(differs.any(0) | differs.any(1))
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int | None = None, least: float = 4.0, id: str = "doc_id", text: str = "text",
+    label: str = "toxic", often: int = OFTEN, apart: float = 6.0,
+) -> Machine:
     """Fits a machine to labels (id, label) of documents."""
     told = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull())
     told = told.groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
@@ -196,7 +220,48 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int | Non
     neg, pos = counts.transpose(1, 0, 2).reshape(2, BUCKETS)
     root = signed_root(pos, neg, by_label.get(1, 0), by_label.get(0, 0))
     kept = np.lexsort((np.arange(BUCKETS), -np.abs(root)))[:terms]
-    kept = np.sort(kept[np.abs(root[kept]) >= least])
+    kept = kept[np.abs(root[kept]) >= least]
+
+    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[Counter] = [Counter(), Counter()]
+        for batch in batches:
+            for y, t in zip(batch["_y"], batch["_t"]):
+                found[int(y > 0)].update(set((t or b"").translate(WORD_BYTES).split()))
+        yield pd.DataFrame([(w, int(n0), int(found[1][w])) for w, n0 in ((w, found[0][w]) for w in found[0] | found[1])], columns=["word", "clean", "toxic"])
+
+    rarer = "toxic" if by_label.get(1, 0) <= by_label.get(0, 0) else "clean"
+    words = sample.mapInPandas(present, "word binary, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    words = [bytes(r["word"]) for r in words.orderBy(F.desc(rarer), F.desc(F.col("clean") + F.col("toxic")), "word").limit(often).collect()]  # `often` words at most
+    place = {w: i for i, w in enumerate(words)}
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, any_row = np.zeros((2, len(words), len(words)), np.float32), False
+        for batch in batches:
+            for y in (0, 1):
+                texts = [t for t, z in zip(batch["_t"], batch["_y"]) if int(z > 0) == y]
+                for at in range(0, len(texts), 512):
+                    part = texts[at : at + 512]
+                    x = np.zeros((len(part), len(words)), np.float32)
+                    for i, t in enumerate(part):
+                        x[i, [place[w] for w in set((t or b"").translate(WORD_BYTES).split()) if w in place]] = 1
+                    tables[y] += x.T @ x
+                    any_row = True
+        if any_row:
+            yield pd.DataFrame({"row": np.arange(len(words), dtype=np.int32), "counts": [tables[:, i].astype("<i4").tobytes() for i in range(len(words))]})
+
+    def add_rows(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, "<i4").astype(np.int64) for c in part["counts"])
+        return pd.DataFrame({"row": [part["row"].iloc[0]], "counts": [total.astype("<i4").tobytes()]})
+
+    if words and len(by_label) == 2:
+        both = np.zeros((2, len(words), len(words)), np.int64)
+        shape = "row int, counts binary"
+        for r in sample.mapInPandas(together, shape).groupBy("row").applyInPandas(add_rows, shape).collect():  # a fixed table of counts
+            both[:, r["row"]] = np.frombuffer(r["counts"], "<i4").reshape(2, -1)
+        buckets = np.array([bucket(b"w " + w) for w in words])
+        chosen = telling_pairs(both, np.array([by_label.get(0, 0), by_label.get(1, 0)]), np.isin(buckets, kept), apart)
+        kept = np.union1d(kept, buckets[chosen])
+    kept = np.sort(kept)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Terms(kept)

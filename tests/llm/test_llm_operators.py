@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -248,6 +249,26 @@ def test_parts_lose_no_link(spark):
     assert pairs > 30 and met.select("pair").distinct().count() == pairs
 
 
+def test_pieces_are_bounded(spark, monkeypatch):
+    """Ten thousand pages of one template: no frame of parts has more rows than the bound, and no row is lost."""
+    rng, block = random.Random(2), [" ".join(f"b{i}w{j}" for j in range(12)) for i in range(40)]
+    pages = [(i, " ".join(rng.sample(block, 10))) for i in range(10_000)]
+    sets = [np.unique(s) for s in ngram_join.shingle_sets([t.encode() for _, t in pages])]
+    frame = pd.DataFrame({"class": range(len(sets)), "n": list(map(len, sets)), "set": [s.tobytes() for s in sets]})
+    seen = []
+    monkeypatch.setattr(ngram_join, "in_pieces", lambda lines, columns, plainly=ngram_join.in_pieces: (seen.append(len(f)) or f for f in plainly(lines, columns)))
+
+    class Here:
+        """Runs a task here, on one batch."""
+
+        def mapInPandas(self, run, schema):
+            self.rows = sum(len(f) for f in run(iter([frame])))
+            return self
+
+    whole = ngram_join.part_keys(Here(), 80).rows
+    assert whole == sum(seen) > 4 * ngram_join.ROWS and max(seen) <= ngram_join.ROWS
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -409,6 +430,24 @@ def test_pairs_matter():
     assert s[3] > 0.7 > max(s[:3])
 
 
+@pytest.mark.parametrize("toxic_where", [lambda a, b: a and b, lambda a, b: a == b, lambda a, b: a != b])
+def test_pairs_are_learned(spark, toxic_where):
+    """Two words that tell only together, through the screen: among 400 other words, in all of 3,000 texts."""
+    rng, rows, labels = random.Random(11), [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randint(0, 400)}" for _ in range(30)] + ["alpha"] * a + ["beta"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic_where(a, b))))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.learn(d, lab.filter(~toxicity.held_out()))
+    held = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.scored(d, machine).collect() if r.doc_id in held}
+    assert np.mean([got[i] for i, y in held.items() if y]) > 0.9
+    assert np.mean([got[i] for i, y in held.items() if not y]) < 0.02
+
+
 def test_margins_and_gradient():
     rng = np.random.default_rng(5)
     k, n = 9, 30
