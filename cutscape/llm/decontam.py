@@ -7,8 +7,13 @@ as a window (`window` words, or the whole item if that has fewer), the window's
 Null and empty texts have no words: such items match nothing, such documents are clean. Rows are treated one by one.
 Items with equal texts are both reported; repeated items count once. The items are dealt by hash into blocks of about
 `block_bytes` of text and written to the shared folder; a task reads its block there, and a Python worker builds its
-automaton once. Each block scans all documents, and the hits of a document are merged. The driver knows only the number
-of blocks. A single item is never cut, so a block can be as large as the largest item.
+automaton once. A single item is never cut, so a block can be as large as the largest item.
+
+Documents are read once, whatever the number of blocks. With one block its automaton sees them. With more, a table of a
+byte for each slot of window hashes (at most `TAG_BYTES`, made in Spark by slices) tells which block's windows a document
+may have; it can name a block too many, never one too few. Only documents that it names a block for go to
+automata, each to its blocks, dealt out by block and document, and their hits are merged. The driver holds the table and the
+number of blocks.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutscape.llm.common import WORD_BYTES, filesystem, shared_path, spare
+from cutscape.llm.common import WORD_BYTES, filesystem, shared_path, spare, written
 
 #: About the bytes of item texts in one automaton, which takes some 150 times as much memory in its worker.
 BLOCK_BYTES = 4 << 20
+#: Most bytes of the table of window hashes; slices in which it is added up; the tag of slots that several blocks have.
+TAG_BYTES, TAG_SLICES, MANY = 1 << 26, 64, 255
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -175,6 +183,60 @@ class Blocks:
 _AUTOMATA: dict[tuple[str, int], Automaton] = {}
 
 
+def window_hashes(words: list[bytes], longest: int) -> list[np.ndarray]:
+    """Hashes of all stretches of 1, 2, ... `longest` words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out, sums, power = [], np.zeros(len(words), np.uint64), np.uint64(1)
+    for n in range(1, longest + 1):
+        m = max(len(words) - n + 1, 0)
+        sums = sums[:m] + h[n - 1 :] * power
+        power = power * np.uint64(0x9E3779B97F4A7C15)
+        x = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+        out.append(x ^ (x >> np.uint64(32)))
+    return out
+
+
+def tag_table(blocks: Blocks, items: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """For each slot of window hashes 0 (no window), the block's number + 1, or MANY; and the lengths of windows."""
+    window, size = blocks.window, 1 << 16
+    words = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    while size < min(TAG_BYTES, 2 * words):
+        size *= 2
+    width = size // TAG_SLICES
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, tag, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], set()
+            for text, block in zip(batch["_t"], batch["_block"]):
+                line = words_of(text)
+                n = min(window, len(line))
+                if n:
+                    h = window_hashes(line, n)[-1]
+                    at.append((h % np.uint64(size)).astype(np.int64))
+                    tag.append(np.full(len(h), block + 1 if block + 1 < MANY else MANY, np.uint8))
+                    seen.add(n)
+            at, tag = np.concatenate(at), np.concatenate(tag)
+            for k in range(TAG_SLICES):
+                own = at // width == k
+                if own.any():
+                    yield pd.DataFrame({"slice": [k], "at": [(at[own] % width).astype("<u4").tobytes()], "tag": [tag[own].tobytes()], "lengths": [sorted(seen)]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        low, high = np.full(width, MANY, np.uint8), np.zeros(width, np.uint8)
+        for at, tag in zip(part["at"], part["tag"]):
+            at, tag = np.frombuffer(at, "<u4"), np.frombuffer(tag, np.uint8)
+            np.minimum.at(low, at, tag)
+            np.maximum.at(high, at, tag)
+        return pd.DataFrame({"slice": [part["slice"].iloc[0]], "tags": [np.where(high == 0, 0, np.where(low == high, low, MANY)).astype(np.uint8).tobytes()], "lengths": [sorted({n for x in part["lengths"] for n in x})]})
+
+    table, lengths = np.zeros((TAG_SLICES, width), np.uint8), set()
+    parts = items.mapInPandas(slots, "slice int, at binary, tag binary, lengths array<int>")
+    for r in parts.groupBy("slice").applyInPandas(add, "slice int, tags binary, lengths array<int>").collect():  # a fixed table
+        table[r["slice"]] = np.frombuffer(r["tags"], np.uint8)
+        lengths |= set(r["lengths"])
+    return table.reshape(-1), sorted(lengths)
+
+
 def _found(docs: DataFrame, blocks: Blocks, id: str, text: str) -> tuple[DataFrame, bool]:
     """(_id, _sha, n_words, spans, items, longest) over all blocks, and whether it has a row for each document.
 
@@ -184,35 +246,56 @@ def _found(docs: DataFrame, blocks: Blocks, id: str, text: str) -> tuple[DataFra
     spans_kind = "array<struct<start:bigint,end:bigint>>"
     narrow = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_t"))
 
-    def block(k: int) -> DataFrame:
+    def told(automaton: Automaton, key, content: bytes | None) -> tuple:
+        words = words_of(content)
+        spans, found, longest = automaton.scan(words)
+        digest = hashlib.sha256(content or b"").digest()
+        return key, digest, len(words), [{"start": a, "end": b} for a, b in spans], sorted(found), longest if spans else 0
+
+    columns = ["_id", "_sha", "n_words", "spans", "items", "longest"]
+    schema = f"_id {kind}, _sha binary, n_words bigint, spans {spans_kind}, items array<{item_kind}>, longest bigint"
+    if blocks.n == 1:
+
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = blocks.automaton(k)
+            automaton = blocks.automaton(0)
             for batch in batches:
-                rows = []
-                for key, content in zip(batch["_id"], batch["_t"]):
-                    words = words_of(content)
-                    spans, found, longest = automaton.scan(words)
-                    digest = hashlib.sha256(content or b"").digest()
-                    rows.append((key, digest, len(words), [{"start": a, "end": b} for a, b in spans], sorted(found), longest))
-                yield pd.DataFrame(rows, columns=["_id", "_sha", "n_words", "spans", "items", "longest"])
+                yield pd.DataFrame([told(automaton, *row) for row in zip(batch["_id"], batch["_t"])], columns=columns)
 
-        schema = f"_id {kind}, _sha binary, n_words bigint, spans {spans_kind}, items array<{item_kind}>, longest bigint"
-        return narrow.mapInPandas(scan, schema)
+        return narrow.mapInPandas(scan, schema), True
 
-    if blocks.n == 1:
-        return block(0), True
+    shared = docs.sparkSession.sparkContext.broadcast(tag_table(blocks, docs.sparkSession.read.parquet(blocks.folder)))
+    every = list(range(blocks.n))
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tags, lengths = shared.value
+        for batch in batches:
+            rows = []
+            for key, content in zip(batch["_id"], batch["_t"]):
+                words = words_of(content)
+                h = window_hashes(words, max(lengths, default=0))
+                met = np.unique(np.concatenate([np.zeros(0, np.uint8), *(tags[(h[n - 1] % np.uint64(len(tags))).astype(np.int64)] for n in lengths)]))
+                of = every if MANY in met else [int(t) - 1 for t in met if t]
+                rows.append((key, hashlib.sha256(content or b"").digest(), len(words), of, content if of else None))
+            yield pd.DataFrame(rows, columns=["_id", "_sha", "n_words", "blocks", "_t"])
+
+    seen = written(narrow.mapInPandas(named, f"_id {kind}, _sha binary, n_words bigint, blocks array<int>, _t binary"), "named").dropDuplicates(["_id", "_sha"])
+    visits = seen.filter("size(blocks) > 0").select("_id", "_t", F.explode("blocks").alias("_block"))
+    dealt = visits.repartition("_block", F.pmod(F.xxhash64("_id", "_t"), F.lit(64))).sortWithinPartitions("_block")
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([told(blocks.automaton(int(k)), key, t) for key, t, k in zip(batch["_id"], batch["_t"], batch["_block"])], columns=columns)
 
     @F.pandas_udf(spans_kind)
     def union(lists: pd.Series) -> pd.Series:
         return lists.map(lambda xs: [{"start": a, "end": b} for a, b in merged((x["start"], x["end"]) for x in xs)])
 
-    parts = block(0).dropDuplicates(["_id", "_sha"])
-    for k in range(1, blocks.n):
-        parts = parts.unionByName(block(k).dropDuplicates(["_id", "_sha"]))
-    return parts.groupBy("_id", "_sha").agg(  # a row for each block
-        F.max("n_words").alias("n_words"), union(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"),
-    ), False
+    hits = dealt.mapInPandas(visit, schema).groupBy("_id", "_sha").agg(  # a row for each block
+        union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"),
+    )
+    both = seen.select("_id", "_sha", "n_words").alias("s").join(hits.alias("h"), F.expr("s._id <=> h._id and s._sha = h._sha"), "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return both.select("s._id", "s._sha", "n_words", none("spans", spans_kind), none("items", f"array<{item_kind}>"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest")), False
 
 
 def text_digest(text: str):
@@ -223,7 +306,10 @@ def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(id, n_words, spans array<struct<start, end>> of hit words, items array of ids, longest) for every document."""
+    """(id, n_words, spans array<struct<start, end>> of hit words, items array of ids, longest) for every document.
+
+    longest is the longest match, in words, of a document with hits, else 0.
+    """
     hits, for_each = _found(docs, Blocks(benchmark, item, item_text, window, block_bytes), id, text)
     if for_each:
         return hits.drop("_sha").withColumnRenamed("_id", id)

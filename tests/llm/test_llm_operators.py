@@ -596,6 +596,24 @@ def test_decontamination(spark, none):
     assert decontam.benchmark_hits(d, b.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_documents_are_named_for_their_blocks(spark, monkeypatch):
+    """More blocks than tags have numbers: the hits are those of one block, and documents are read once."""
+    monkeypatch.setattr(decontam, "MANY", 4)
+    rng = random.Random(12)
+    items = [(k, " ".join(f"v{rng.randint(0, 40)}" for _ in range(rng.randint(1, 25)))) for k in range(40)]
+    rows = [(i, " ".join([sentence(rng, rng.randint(0, 30)), *(rng.choice(items)[1] for _ in range(i % 3)), sentence(rng, 5)])) for i in range(80)] + [(None, items[3][1]), (5, items[4][1])]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    told = lambda n: sorted(map(str, decontam.benchmark_hits(d, b, block_bytes=n).collect()))
+    assert told(1 << 20) == told(60)
+    blocks = decontam.Blocks(b, "item_id", "text", 10, 60)
+    assert blocks.n > 20
+    tags, lengths = decontam.tag_table(blocks, spark.read.parquet(blocks.folder))
+    for _, t in items:
+        w = [x.encode() for x in words(t)]
+        n = min(10, len(w))
+        assert n in lengths and all(tags[decontam.window_hashes(w, n)[-1] % np.uint64(len(tags))])
+
+
 def test_clean_documents_stay(spark):
     b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     passage = "One, two three four five six seven eight nine TEN eleven"
