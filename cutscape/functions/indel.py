@@ -38,8 +38,7 @@ def _second(indel: Column) -> Column:
 def detail(indel: str | Column, letter: str) -> Column:
     """The last value of a letter in the details; 0 for absent I, D and C, null for absent L and R."""
     text = _second(_col(indel))
-    values = F.regexp_extract_all(text, F.lit(rf"(?<![CLRDI]){letter}(-?\d+)"), F.lit(1))
-    value = F.try_element_at(values, F.lit(-1)).cast("int")
+    value = F.regexp_extract(text, rf".*(?<![CLRDI]){letter}(-?\d+)", 1).try_cast("int")
     return F.when(text.contains(letter), F.coalesce(value, F.lit(0))).otherwise(0) if letter in "IDC" else value
 
 
@@ -143,10 +142,6 @@ def large_insertion_name(indel: str | Column) -> Column:
     return _col(indel).startswith("I1")
 
 
-def by_distinct(df: DataFrame, column: str, **made: Column) -> DataFrame:
-    """df with columns made of one of its columns, each made once for each distinct value, of which there are few.
-
-    Rows without a value go. The key is a copy, so that what is filtered later on isn't made again for every row.
-    """
-    values = df.select(column).distinct().select(F.concat(column, F.lit("")).alias("_value"), *(c.alias(n) for n, c in made.items()))
-    return df.join(values, F.col(column) == F.col("_value")).drop("_value")
+def with_parts(df: DataFrame, column: str, **made: Column) -> DataFrame:
+    """df with columns made of an identifier, in place; rows without one go. Sum rows up first, as identifiers repeat."""
+    return df.filter(F.col(column).isNotNull()).withColumns(made)

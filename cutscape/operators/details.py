@@ -21,7 +21,7 @@ def dominant_details(profile: DataFrame, targets: DataFrame, every: bool = True)
     """
     rows = pr.ranked(profile).withColumn("total", F.sum("reads").over(Window.partitionBy(*KEY)))
     rows = rows if every else rows.filter("place = 1")
-    rows = ix.by_distinct(rows, "indel", p=ix.parsed("indel"))
+    rows = ix.with_parts(rows, "indel", p=ix.parsed("indel"))
     seq = lambda a, b: sq.cut_relative(F.col("seq"), F.col("pam_idx"), F.col("direction"), a, b)
     l, r, c = F.col("p.l"), F.col("p.r"), F.col("p.c")
     pure = (F.col("p.itype") == "D") & (F.col("p.i") == 0)
@@ -147,7 +147,7 @@ def mappable(edits: DataFrame, targets: DataFrame, name: str = "indel") -> DataF
 
 def smallest(edits: DataFrame) -> DataFrame:
     """The smallest edit of each oligo, by size and name."""
-    rows = ix.by_distinct(edits, "indel", _size=ix.isize("indel"))
+    rows = ix.with_parts(edits, "indel", _size=ix.isize("indel"))
     return rows.groupBy("oligo_id").agg(F.min(F.struct("_size", "indel")).alias("m")).select("oligo_id", F.col("m.indel").alias("indel"), F.col("m._size").alias("size"))
 
 

@@ -68,7 +68,7 @@ def shares(counts: DataFrame) -> DataFrame:
     the original's edit leaves ambiguous count; their distance is what lies between the copies.
     """
     turn = lambda a, b: F.when(F.col("reverse"), F.col(b)).otherwise(F.col(a)) * 100.0 / F.col("total")
-    rows = ix.by_distinct(counts, "indel", _l=ix.detail("indel", "L"), _r=ix.detail("indel", "R"), size=ix.detail("indel", "C")).filter("size <> 0")
+    rows = ix.with_parts(counts, "indel", _l=ix.detail("indel", "L"), _r=ix.detail("indel", "R"), size=ix.detail("indel", "C")).filter("size <> 0")
     every = F.col("left_reads") + F.col("right_reads") + F.col("mixed1_reads") + F.col("mixed2_reads")
     return rows.select(
         "oligo_id", "size", (F.col("_r") - F.col("_l") - 2 * F.col("size")).alias("distance"), turn("left_reads", "right_reads").alias("left"), turn("right_reads", "left_reads").alias("right"),

@@ -8,10 +8,12 @@ are multiplied. Features are numbered by their place in the list of labels, so r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,19 +71,20 @@ def layout() -> tuple[list[str], dict[tuple, int]]:
     return told, at
 
 
-#: Placements whose features a task holds at a time, as a table of 0/1.
-CHUNK = 512
+#: Candidates whose features a task holds at a time as a table of 0/1; targets that it works on at a time.
+CHUNK, STACK = 512, 32
 _CODE = np.full(256, -1, np.int8)
 _CODE[[ord(x) for x in NT]] = range(4)
 _INSERTS = {x.split("_")[1]: i for i, x in enumerate(LABELS["InsSeq"])}
 
 
-def linear_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, ins: list[str]) -> dict[str, np.ndarray]:
-    """A 0/1 table of each group, a row for each placement. seq: letters by row, 0 beyond the row's `size`."""
+def linear_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, ins: np.ndarray, inserts: list[str]) -> dict[str, np.ndarray]:
+    """A 0/1 table of each group, a row for each placement. seq: letters by row, 0 beyond the row's `size`; ins: the number
+    of the insert among `inserts`, whose last one is that of deletions, ''."""
     n, rows = len(cut), np.arange(len(cut))
     l, r, gone = left - cut, right - cut, right - left - 1
-    new = np.array([len(x) for x in ins])
-    dele, ins_at = new == 0, np.array([_INSERTS.get(x, -1) for x in ins])
+    new = np.array([len(x) for x in inserts])[ins]
+    dele, ins_at = new == 0, np.array([_INSERTS.get(x, -1) for x in inserts])[ins]
 
     def letter(at: np.ndarray) -> np.ndarray:
         return np.where((at >= 0) & (at < size), _CODE[seq[rows, np.clip(at, 0, seq.shape[1] - 1)]], -1)
@@ -107,8 +110,8 @@ def linear_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np
     at_right = np.where(r < 0, rights, np.where(r > 30, rights + 1, binned(r, RIGHT_BINS)))
     on["DelLoc"] = table(lefts + rights + 4, (at_left, dele), (np.where(at_right >= 0, lefts + 2 + at_right, -1), dele))
     on["InsLoc"] = table(5, (np.where(l >= 0, 4, np.where(l < -3, 3, -1 - l)), ~dele))
-    before = letter(cut - 1)
-    repeat = np.array([len(set(x)) == 1 and NT.find(x[0]) == b for x, b in zip((x or "-" for x in ins), before)])
+    one_letter = np.array([NT.find(x[0]) if len(set(x)) == 1 else -2 for x in inserts])[ins]
+    repeat = one_letter == letter(cut - 1)
     on["InsRpt"] = table(4, (2 * new - 2 + ~repeat, ~dele & (new < 3) & (l == -1)))
     on["InsSeq"] = table(20, (ins_at, ~dele))
     around = {o: letter(cut + o) for o in CUT_SPAN}
@@ -142,15 +145,89 @@ def linear_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np
 _MH = {x: i for i, x in enumerate(LABELS["MH"])}
 
 
-def placement_features(seq: np.ndarray, size: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, ins: list[str]) -> np.ndarray:
-    """A 0/1 table of all features in the order of layout()."""
-    on = linear_features(seq, size, cut, left, right, ins)
-    parts = [(on[a][:, :, None] & on[b][:, None, :]).reshape(len(cut), -1) for a, b in PAIRS]
-    return np.concatenate([*parts, *(on[g] for g in ORDER)], 1)
+@dataclass
+class Features:
+    """0/1 features of candidate edits: those of any of their placements.
 
+    any: a table of each linear group; varies: by group, whether an edit's placements differ. A pair of groups is the product
+    of two tables, so its features need no table of their own, unless both groups vary within an edit: then the products
+    of each placement are combined (`mixed`).
+    """
 
-def candidate_tables(batch: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
-    """Stretches of a batch (seq, cut_idx, places) with the 0/1 table of their candidates: features of any placement."""
+    any: dict[str, np.ndarray]
+    mixed: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(on: dict[str, np.ndarray], counts: np.ndarray) -> Features:
+        """on: tables of placements, the `counts` of one edit after the other."""
+        starts = counts.cumsum() - counts
+        several = np.flatnonzero(counts > 1)
+        inside = np.flatnonzero(np.repeat(counts > 1, counts))
+        firsts = counts[several].cumsum() - counts[several]
+        any_, varies = {}, {}
+        for g, x in on.items():
+            any_[g] = x[starts]
+            varies[g] = np.zeros(len(counts), bool)
+            if len(several):
+                part = x[inside]
+                either = np.logical_or.reduceat(part, firsts, axis=0)
+                varies[g][several] = (either != np.logical_and.reduceat(part, firsts, axis=0)).any(1)
+                any_[g][several] = either
+        mixed = {}
+        for a, b in dict.fromkeys(PAIRS):
+            both = np.flatnonzero(varies[a] & varies[b])
+            if len(both):
+                rows = np.flatnonzero(np.repeat(np.isin(np.arange(len(counts)), both), counts))
+                table = (on[a][rows][:, :, None] & on[b][rows][:, None, :]).reshape(len(rows), -1)
+                mixed[a, b] = both, np.logical_or.reduceat(table, counts[both].cumsum() - counts[both], axis=0)
+        return Features(any_, mixed)
+
+    def __len__(self) -> int:
+        return len(self.any[ORDER[0]])
+
+    def scores(self, theta: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each edit's features."""
+        at, x = layout()[1], {g: t.astype(float) for g, t in self.any.items()}
+        z = np.zeros(len(self))
+        for g in ORDER:
+            z += x[g] @ theta[at[g,] : at[g,] + x[g].shape[1]]
+        for k, (a, b) in enumerate(PAIRS):
+            w = theta[at[k, a, b] : at[k, a, b] + len(LABELS[a]) * len(LABELS[b])]
+            part = ((x[a] @ w.reshape(len(LABELS[a]), -1)) * x[b]).sum(1)
+            if (a, b) in self.mixed:
+                rows, table = self.mixed[a, b]
+                part[rows] = table @ w
+            z += part
+        return z
+
+    def counts(self) -> np.ndarray:
+        """Number of edits that have each feature."""
+        at, x, total = layout()[1], {g: t.astype(float) for g, t in self.any.items()}, np.zeros(len(layout()[0]))
+        for g in ORDER:
+            total[at[g,] : at[g,] + x[g].shape[1]] = x[g].sum(0)
+        for k, (a, b) in enumerate(PAIRS):
+            rows, table = self.mixed.get((a, b), (np.zeros(0, int), np.zeros((0, 0))))
+            plain = np.ones((len(self), 1))
+            plain[rows] = 0
+            both = ((x[a] * plain).T @ x[b]).reshape(-1)
+            total[at[k, a, b] : at[k, a, b] + len(both)] = both + (table.sum(0) if len(rows) else 0)
+        return total.astype(np.int64)
+
+    def table(self, a: int, b: int) -> np.ndarray:
+        """Rows a to b of the table of all features in the order of layout()."""
+        parts = []
+        for x, y in PAIRS:
+            part = (self.any[x][a:b, :, None] & self.any[y][a:b, None, :]).reshape(b - a, -1)
+            if (x, y) in self.mixed:
+                rows, own = self.mixed[x, y]
+                here = (rows >= a) & (rows < b)
+                part[rows[here] - a] = own[here]
+            parts.append(part)
+        return np.concatenate([*parts, *(self.any[g][a:b] for g in ORDER)], 1)
+
+
+def candidate_groups(batch: pd.DataFrame) -> Iterator[tuple[slice, Features]]:
+    """Stretches of a batch (seq, cut_idx, places) with the features of their candidates."""
     counts = batch["places"].map(len).to_numpy()
     ends = counts.cumsum()
     a = 0
@@ -162,56 +239,134 @@ def candidate_tables(batch: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
         seq = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in text), np.uint8).reshape(-1, width)
         places = [p for ps in part["places"] for p in ps]
         left, right = (np.array([p[k] for p in places]) for k in "lr")
+        inserts = [*dict.fromkeys(p["ins"] for p in places if p["ins"]), ""]
+        number = {x: i for i, x in enumerate(inserts)}
         size, cut = np.array(list(map(len, text))), part["cut_idx"].to_numpy()
-        table = placement_features(seq[of], size[of], cut[of], left, right, [p["ins"] for p in places])
-        yield slice(a, b), np.logical_or.reduceat(table, counts[a:b].cumsum() - counts[a:b], axis=0)
+        on = linear_features(seq[of], size[of], cut[of], left, right, np.array([number[p["ins"]] for p in places]), inserts)
+        yield slice(a, b), Features.of(on, counts[a:b])
         a = b
 
 
-def candidate_features(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """(oligo_id, indel, features): those of any placement of each candidate (targets.candidates())."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def candidate_tables(batch: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+    """Stretches of a batch (seq, cut_idx, places) with the 0/1 table of their candidates: features of any placement."""
+    for at, found in candidate_groups(batch):
+        yield at, found.table(0, len(found))
+
+
+def target_features(batch: pa.RecordBatch, deletion: int, insert: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, tg.Edits, Features]]:
+    """Of stacks of a batch (seq, cut_idx, and if the edits are made on a part of the sequence: whole, trim): rows, letters
+    that the edits are made on, edits and their features. Features see the whole sequence."""
+    inserts = [*(x for k in range(1, insert + 1) for x in tg.inserts(k)), ""]
+    whole = batch["whole"].to_pylist() if "whole" in batch.schema.names else None
+    trim = np.array(batch["trim"].to_pylist()) if whole else None
+    for rows, code, cut in tg.stacks(batch["seq"].to_pylist(), batch["cut_idx"].to_pylist(), STACK):
+        e = tg.edits(code, cut, deletion, insert, reach)
+        size, moved, seq = np.full(len(rows), code.shape[1]), np.zeros(len(rows), np.int64), code
+        if whole:
+            text = [whole[i].encode("latin-1", "replace") for i in rows]
+            size, moved, width = np.array(list(map(len, text))), trim[rows], max(map(len, text))
+            seq = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in text), np.uint8).reshape(-1, width)
+        by, ins = moved[e.of], np.where(e.ins < 0, len(inserts) - 1, e.ins)
+        on = linear_features(seq[e.of], size[e.of], cut + by, e.left + by, e.right + by, ins, inserts)
+        yield rows, code, e, Features.of(on, e.counts)
+
+
+def _of_targets(targets: DataFrame, make: Callable, schema: str, limits: tuple[int, int, int], *more: str) -> DataFrame:
+    """One pass over targets, dealt out by number: make(ids of the edits' targets, rows, letters, edits, features, batch) gives columns."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = []
-            for _, table in candidate_tables(batch):
-                row, feature = np.nonzero(table)
-                out += np.split(feature, np.searchsorted(row, np.arange(1, len(table))))
-            yield pd.DataFrame({"oligo_id": batch["oligo_id"], "indel": batch["indel"], "features": out})
+            for rows, code, e, found in target_features(batch, *limits):
+                ids = batch["oligo_id"].take(pa.array(rows[e.owner]))
+                yield pa.RecordBatch.from_arrays(make(ids, rows, code, e, found, batch), names)
+
+    told = targets.select(F.col("oligo_id").cast("string").alias("oligo_id"), "seq", "cut_idx", *more)
+    return tg.dealt(told).mapInArrow(run, schema)
+
+
+LIMITS = (tg.LONGEST_DELETION, tg.LONGEST_INSERT, tg.REACH)
+
 
-    rows = candidates.select("oligo_id", "indel", "places").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
-    return rows.mapInPandas(run, "oligo_id string, indel string, features array<int>")
+def features_of_targets(targets: DataFrame, deletion: int = LIMITS[0], insert: int = LIMITS[1], reach: int = LIMITS[2]) -> DataFrame:
+    """(oligo_id, indel, features) of all candidate edits of targets (oligo_id, seq, cut_idx), in one pass."""
 
+    def make(ids, rows, code, e, found, batch) -> list:
+        parts = [np.nonzero(found.table(a, min(a + CHUNK, len(found)))) for a in range(0, len(found), CHUNK)]
+        has = np.concatenate([np.bincount(row, minlength=min(CHUNK, len(found) - k * CHUNK)) for k, (row, _) in enumerate(parts)])
+        flat = pa.array(np.concatenate([f for _, f in parts]), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], has.cumsum())), pa.int32()), flat)
+        return [ids, pa.array(e.names, pa.string()), lists]
 
-def feature_counts(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """(feature, candidates): the candidates that have each feature; a task adds up a vector of fixed length."""
+    return _of_targets(targets, make, "oligo_id string, indel string, features array<int>", (deletion, insert, reach))
+
+
+def counts_of_targets(targets: DataFrame, deletion: int = LIMITS[0], insert: int = LIMITS[1], reach: int = LIMITS[2]) -> DataFrame:
+    """(feature, candidates): the candidates of targets that have each feature; a task adds up a vector of fixed length."""
     names, _ = layout()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(names), np.int64)
         for batch in batches:
-            for _, table in candidate_tables(batch):
-                total += table.sum(0)
+            for *_, found in target_features(batch, deletion, insert, reach):
+                total += found.counts()
         has = np.flatnonzero(total)
-        yield pd.DataFrame({"feature": [names[i] for i in has], "candidates": total[has]})
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in has], pa.string()), pa.array(total[has], pa.int64())], ["feature", "candidates"])
 
-    rows = candidates.select("oligo_id", "indel", "places").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
-    counts = rows.mapInPandas(run, "feature string, candidates bigint")
+    counts = tg.dealt(targets.select("seq", "cut_idx")).mapInArrow(run, "feature string, candidates bigint")
     return counts.groupBy("feature").agg(F.sum("candidates").alias("candidates"))
 
 
+def scores_of_targets(targets: DataFrame, theta: np.ndarray, total: float | None = None) -> DataFrame:
+    """(oligo_id, indel, z) of all candidate edits of targets, the sum of their features' weights; with `total` (oligo_id,
+    indel, reads), the target's softmax times total. One pass: nothing is joined, shuffled or broadcast but the weights."""
+
+    def make(ids, rows, code, e, found, batch) -> list:
+        z = found.scores(theta)
+        if total is not None:
+            z = shares(z, e.owner, len(rows)) * total
+        return [ids, pa.array(e.names, pa.string()), pa.array(z)]
+
+    return _of_targets(targets, make, f"oligo_id string, indel string, {'z' if total is None else 'reads'} double", LIMITS)
+
+
+def shares(z: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
+    """exp(z) in proportion to the sum of its target (owner: 0 to many - 1, ascending)."""
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    e = np.exp(z - np.maximum.reduceat(z, starts)[owner])
+    return e / np.bincount(owner, e, many)[owner]
+
+
+def _with_targets(candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """Candidates with their target. Spark takes what a generator makes for as small as its input, so it is told to merge."""
+    return candidates.select("oligo_id", "indel", "places").hint("merge").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
+
+
+def candidate_features(candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """(oligo_id, indel, features) of given candidates (oligo_id, indel, places); see features_of_targets() for all of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list = []
+            for _, table in candidate_tables(batch):
+                row, feature = np.nonzero(table)
+                out += np.split(feature, np.searchsorted(row, np.arange(1, len(table))))
+            yield pd.DataFrame({"oligo_id": batch["oligo_id"], "indel": batch["indel"], "features": out})
+
+    return _with_targets(candidates, targets).mapInPandas(run, "oligo_id string, indel string, features array<int>")
+
+
 def scored_candidates(candidates: DataFrame, targets: DataFrame, theta: np.ndarray) -> DataFrame:
-    """(oligo_id, indel, z): the sum of the weights of each candidate's features, without listing them."""
+    """(oligo_id, indel, z) of given candidates (oligo_id, indel, places); see scores_of_targets() for all of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             z = np.zeros(len(batch))
-            for at, table in candidate_tables(batch):
-                z[at] = table @ theta
+            for at, found in candidate_groups(batch):
+                z[at] = found.scores(theta)
             yield pd.DataFrame({"oligo_id": batch["oligo_id"], "indel": batch["indel"], "z": z})
 
-    rows = candidates.select("oligo_id", "indel", "places").join(targets.select("oligo_id", "seq", "cut_idx"), "oligo_id")
-    return rows.mapInPandas(run, "oligo_id string, indel string, z double")
+    return _with_targets(candidates, targets).mapInPandas(run, "oligo_id string, indel string, z double")
 
 
 def named_weights(weights: DataFrame) -> np.ndarray:
@@ -244,9 +399,9 @@ def softmax(scored: DataFrame, total: float = 1000.0) -> DataFrame:
     return scored.withColumn("_e", e).select("oligo_id", "indel", (F.col("_e") * total / F.sum("_e").over(w)).alias("reads"))
 
 
-def predicted(candidates: DataFrame, targets: DataFrame, theta: np.ndarray) -> DataFrame:
-    """Predicted profile of each target."""
-    return softmax(scored_candidates(candidates, targets, theta))
+def predicted(targets: DataFrame, theta: np.ndarray, total: float = 1000.0) -> DataFrame:
+    """(oligo_id, indel, reads): the predicted profile of each target (oligo_id, seq, cut_idx)."""
+    return scores_of_targets(targets, theta, total)
 
 
 def predicted_targets(targets: DataFrame, theta: np.ndarray, add_null: bool = True, unedited: float = 1000.0) -> DataFrame:
@@ -254,25 +409,29 @@ def predicted_targets(targets: DataFrame, theta: np.ndarray, add_null: bool = Tr
     that shows each edit, and the target's percentage in frame. Targets with an error (target_error) give nothing.
 
     Edits are made on at most 50 letters each side of the PAM; features see the whole target. With `add_null` there is an
-    unedited row of `unedited` reads, which counts for no percentage.
+    unedited row of `unedited` reads, which counts for no percentage. One pass; rows of one id are predicted row by row.
     """
     valid = targets.filter(sq.target_error(F.col("seq"), F.col("pam_idx")).isNull())
     cut = valid.select("oligo_id", F.col("seq").alias("whole"), "pam_idx", sq.trimmed_target(F.col("seq"), F.col("pam_idx")).alias("t"))
     cut = cut.select("oligo_id", "whole", F.col("t.trim").alias("trim"), F.col("t.seq").alias("seq"), (F.col("pam_idx") - F.col("t.trim") - 3).alias("cut_idx"))
-    found = tg.candidates(cut).join(cut, "oligo_id")
-    first = F.col("places")[0]
-    read = F.concat(sq.part(F.col("seq"), F.lit(0), first["l"] + 1), first["ins"], sq.part(F.col("seq"), first["r"], F.length("seq")))
-    moved = F.transform("places", lambda p: F.struct((p["l"] + F.col("trim")).alias("l"), (p["r"] + F.col("trim")).alias("r"), p["size"].alias("size"), p["ins"].alias("ins")))
-    found = found.select("oligo_id", "indel", moved.alias("places"), read.alias("read"))
-    wide = cut.select("oligo_id", F.col("whole").alias("seq"), (F.col("cut_idx") + F.col("trim")).alias("cut_idx"))
-    profile = predicted(found, wide, theta)
-    rows = profile.join(found.select("oligo_id", "indel", F.col("read").alias("seq")), ["oligo_id", "indel"])
-    if add_null:
-        rows = rows.unionByName(cut.select("oligo_id", F.lit("-").alias("indel"), F.lit(unedited).alias("reads"), F.expr("substring(whole, trim + 1)").alias("seq")))
-    keeps = (F.col("indel") != "-") & (F.pmod(ix.net_size("indel"), F.lit(3)) == 0)
-    w = Window.partitionBy("oligo_id")
-    edited = F.sum(F.when(F.col("indel") != "-", F.col("reads"))).over(w)
-    return rows.withColumn("in_frame", F.sum(F.when(keeps, F.col("reads")).otherwise(0.0)).over(w) * 100.0 / edited)
+    every = [*(x for k in range(1, LIMITS[1] + 1) for x in tg.inserts(k)), ""]
+
+    def make(ids, rows, code, e, found, batch) -> list:
+        reads = shares(found.scores(theta), e.owner, len(rows)) * 1000.0
+        first, text = e.starts, [batch["seq"][int(i)].as_py() for i in rows]
+        shown = [text[t][: l + 1] + every[x] + text[t][r:] for t, l, r, x in zip(e.owner.tolist(), e.left[first].tolist(), e.right[first].tolist(), e.ins[first].tolist())]
+        size = np.array([int(n[1 : n.index("_")]) for n in e.names.tolist()])
+        frame = 100.0 * np.bincount(e.owner, np.where(size % 3 == 0, reads, 0.0), len(rows)) / np.bincount(e.owner, reads, len(rows))
+        names = e.names
+        if add_null:
+            whole = [batch["whole"][int(i)].as_py()[batch["trim"][int(i)].as_py() :] for i in rows]
+            ids, names, shown = pa.concat_arrays([ids, batch["oligo_id"].take(pa.array(rows))]), [*names, *["-"] * len(rows)], shown + whole
+            reads, owner = np.append(reads, [unedited] * len(rows)), np.append(e.owner, np.arange(len(rows)))
+        else:
+            owner = e.owner
+        return [ids, pa.array(names, pa.string()), pa.array(reads), pa.array(shown, pa.string()), pa.array(frame[owner])]
+
+    return _of_targets(cut, make, "oligo_id string, indel string, reads double, seq string, in_frame double", LIMITS, "whole", "trim")
 
 
 def active_weights(rows: DataFrame, theta: np.ndarray) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,13 +17,13 @@ def indel_counts(reads: DataFrame) -> DataFrame:
 
 
 def _kept(summary: DataFrame, drop_long: bool) -> DataFrame:
-    edit = F.col("indel") != "-"
-    spans = ~edit | ix.in_cut_span("indel")
+    """Rows that count, with _total, all reads of their oligo. Unedited reads and clean templates, the most of all, aren't parsed."""
+    spans = ix.in_cut_span("indel")
     if drop_long:
-        spans = spans & (~edit | (ix.isize("indel") <= 30))
+        spans = spans & (ix.isize("indel") <= 30)
     rows = summary.withColumn("_total", F.sum("reads").over(Window.partitionBy(*KEY)))
-    rows = ix.by_distinct(rows, "indel", _spans=spans)
-    return ix.by_distinct(rows, "oligo_indel", _allowed=ix.allowed_oligo_indel("oligo_indel")).filter("_spans and _allowed").drop("_spans", "_allowed")
+    fits = F.when(F.col("indel") == "-", True).otherwise(spans) & F.when(F.col("oligo_indel") == "-", True).otherwise(ix.allowed_oligo_indel("oligo_indel"))
+    return rows.filter(F.col("indel").isNotNull() & F.col("oligo_indel").isNotNull()).filter(fits)
 
 
 def accepted_profile(summary: DataFrame, drop_long: bool = False) -> DataFrame:
@@ -87,7 +87,7 @@ def profile_counts(profile: DataFrame) -> DataFrame:
 
 def size_counts(profile: DataFrame, filled: int = 0) -> DataFrame:
     """Reads by kind and net size of the edit; with `filled`, sizes 1 to filled of both kinds have a row in any case."""
-    edits = ix.by_distinct(profile.filter("indel <> '-'"), "indel", itype=ix.itype("indel"), size=ix.net_size("indel"))
+    edits = ix.with_parts(profile.filter("indel <> '-'"), "indel", itype=ix.itype("indel"), size=ix.net_size("indel"))
     edits = edits.select(*KEY, "itype", "size", "reads")
     if filled:
         every = F.explode(F.array(*(F.struct(F.lit(t).alias("itype"), F.lit(k).alias("size")) for t in "DI" for k in range(1, filled + 1)))).alias("x")
@@ -98,7 +98,7 @@ def size_counts(profile: DataFrame, filled: int = 0) -> DataFrame:
 
 def in_frame(profile: DataFrame) -> DataFrame:
     """Reads in and out of frame and the percentage in frame; null where no read is edited."""
-    edits = ix.by_distinct(profile.filter("indel <> '-'"), "indel", _keeps=F.pmod(ix.net_size("indel"), F.lit(3)) == 0)
+    edits = ix.with_parts(profile.filter("indel <> '-'"), "indel", _keeps=F.pmod(ix.net_size("indel"), F.lit(3)) == 0)
     got = edits.groupBy(*KEY).agg(
         F.sum(F.when(F.col("_keeps"), F.col("reads")).otherwise(0)).alias("in_frame"), F.sum(F.when(F.col("_keeps"), 0).otherwise(F.col("reads"))).alias("out_frame")
     )
@@ -107,7 +107,7 @@ def in_frame(profile: DataFrame) -> DataFrame:
 
 def above(profile: DataFrame, size: int = 30) -> DataFrame:
     """Percentage of edited reads that are deletions of a net size above `size`."""
-    edits = ix.by_distinct(profile.filter("indel <> '-'"), "indel", _long=(ix.itype("indel") == "D") & (ix.net_size("indel") > size))
+    edits = ix.with_parts(profile.filter("indel <> '-'"), "indel", _long=(ix.itype("indel") == "D") & (ix.net_size("indel") > size))
     return edits.groupBy(*KEY).agg((F.sum(F.when(F.col("_long"), F.col("reads")).otherwise(0)) * 100.0 / F.sum("reads")).alias("percent_above"))
 
 
@@ -187,6 +187,3 @@ def representative_reads(mapped: DataFrame) -> DataFrame:
     order = F.struct(rank, F.when(clean, F.col("line_no")).otherwise(-F.col("line_no")))
     return mapped.groupBy(*KEY, "indel").agg(F.max_by("seq", order).alias("seq"))
 
-
-def share_of(count: Column, by: list[str]) -> Column:
-    return count / F.sum(count).over(Window.partitionBy(*by))

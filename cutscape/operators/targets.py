@@ -8,12 +8,13 @@ edits and repeats of a target by NumPy in Arrow batches, from the runs of agreei
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cutscape.functions.sequence import BASES, base
 
@@ -82,74 +83,148 @@ def insertions(targets: DataFrame, longest: int = LONGEST_INSERT, reach: int = R
 
 
 def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a square table of agreements: the number of agreements in a row along the diagonal from a place on, and up to it."""
-    n = len(same)
-    onward, back = np.zeros((n + 1, n + 1), np.int64), np.zeros((n + 1, n + 1), np.int64)
+    """Of square tables of agreements (the last two axes): the number of agreements in a row along the diagonal from a place
+    on, and up to it."""
+    n = same.shape[-1]
+    onward, back = (np.zeros((*same.shape[:-2], n + 1, n + 1), np.int16) for _ in range(2))
     for i in range(n - 1, -1, -1):
-        onward[i, :n] = np.where(same[i], onward[i + 1, 1:] + 1, 0)
+        onward[..., i, :n] = (onward[..., i + 1, 1:] + 1) * same[..., i, :]
     for i in range(n):
-        back[i + 1, 1:] = np.where(same[i], back[i, :-1] + 1, 0)
-    return onward[:n, :n], back[1:, 1:]
+        back[..., i + 1, 1:] = (back[..., i, :-1] + 1) * same[..., i, :]
+    return onward[..., :n, :n], back[..., 1:, 1:]
 
 
 def deletion_ends(n: int, cut: int, left: np.ndarray, right: np.ndarray, onward: np.ndarray, back: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far deletions that keep [..left] and [right..] shift to the left and to the right; see deletion_name()."""
+    """How far deletions that keep [..left] and [right..] shift to the left and to the right; see deletion_name().
+
+    onward and back: at the places (left + 1, right) and (left, right - 1) of each.
+    """
     limit = np.minimum(left, right - (cut - reach - 1))
-    a = np.where(limit > 0, np.minimum(limit, back[np.maximum(left, 0), right - 1]), 0)
+    a = np.where(limit > 0, np.minimum(limit, back), 0)
     limit = np.minimum(cut + reach - 1 - left, n - 1 - right)
-    return a, np.where(limit > 0, np.minimum(limit, onward[left + 1, right]), 0)
-
-
-def named(kind: str, size: np.ndarray, left: np.ndarray, shift: np.ndarray, right: np.ndarray) -> list[str]:
-    return [f"{kind}{n}_L{a}{f'C{c}' if c > 0 else ''}R{b}" for n, a, c, b in zip(size.tolist(), left.tolist(), shift.tolist(), right.tolist())]
-
-
-def _insert_ends(seq: str, cut: int, insert: str, reach: int) -> tuple[int, int]:
-    left, right, n = cut - 1, cut, len(insert)
-    read = seq[:right] + insert + seq[right:]
-    limit = min(left, right - (cut - reach - 1))
-    a = next((k for k in range(max(limit, 0)) if read[left - k] != read[left - k + n]), max(limit, 0))
-    limit = min(cut + reach - 1 - left, len(seq) - 1 - right)
-    return a, next((k for k in range(max(limit, 0)) if read[right + k] != read[right + k + n]), max(limit, 0))
+    return a, np.where(limit > 0, np.minimum(limit, onward), 0)
+
+
+#: Bits of each number of a name's key.
+BITS, MIDDLE = 13, 1 << 12
+_NAMES: dict[int, str] = {}
+
+
+def name_keys(kind: int, size: np.ndarray, left: np.ndarray, shift: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each name; kind 0 is a deletion, 1 an insertion."""
+    key = np.int64(kind)
+    for x in (size, left + MIDDLE, shift, right + MIDDLE):
+        key = (key << BITS) | x.astype(np.int64)
+    return key
+
+
+def names_of(keys: np.ndarray) -> np.ndarray:
+    """Names of keys, as objects; equal ones are made once, and kept, as there are few."""
+    own, at = np.unique(keys, return_inverse=True)
+    for key in own.tolist():
+        if key not in _NAMES:
+            size, left, shift, right = (key >> BITS * k & (1 << BITS) - 1 for k in (3, 2, 1, 0))
+            _NAMES[key] = f"{'DI'[key >> 4 * BITS]}{size}_L{left - MIDDLE}{f'C{shift}' if shift else ''}R{right - MIDDLE}"
+    return np.array([_NAMES[k] for k in own.tolist()], object)[at]
+
+
+def dealt(targets: DataFrame, each: int = 256) -> DataFrame:
+    """Targets in partitions of some `each` rows: what is made of a target is much larger than its row, so bytes don't tell."""
+    return targets.repartition(max(1, min(-(-targets.count() // each), 100_000)))
+
+
+def stacks(seq: list[str | None], cut: list[int | None], most: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, letters by row, cut site): rows of one length and cut site, at most `most` together. Rows without a sequence,
+    or a cut site inside it, are left out."""
+    same: dict[tuple[int, int], list[int]] = {}
+    for i, (s, c) in enumerate(zip(seq, cut)):
+        if s and c is not None and 0 < c < len(s):
+            same.setdefault((len(s), int(c)), []).append(i)
+    for (n, c), rows in same.items():
+        for at in range(0, len(rows), most):
+            part = rows[at : at + most]
+            text = [seq[i].encode("latin-1", "replace") for i in part]
+            yield np.array(part), np.frombuffer(b"".join(text), np.uint8).reshape(-1, n), c
+
+
+@dataclass
+class Edits:
+    """Candidate edits of a stack of targets. Placements are sorted by target, edit and place; ins is the number of the
+    insert, -1 for a deletion. starts: the first placement of each edit; names: of each edit."""
+
+    of: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    ins: np.ndarray
+    starts: np.ndarray
+    names: np.ndarray
+
+    @property
+    def owner(self) -> np.ndarray:
+        return self.of[self.starts]
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.of)))
+
+
+def edits(code: np.ndarray, cut: int, deletion: int, insert: int, reach: int) -> Edits:
+    """All candidate edits of targets of one length and cut site (rows of letters)."""
+    many, n = code.shape
+    left, right = np.arange(max(0, cut - deletion - 1), cut), np.arange(cut, min(n, cut + deletion + 1))
+    left, right = np.repeat(left, len(right)), np.tile(right, len(left))
+    ok = (right - left - 1 >= 1) & (right - left - 1 <= deletion)
+    left, right = left[ok], right[ok]
+    onward, back = runs(code[:, :, None] == code[:, None, :])
+    a, b = deletion_ends(n, cut, left, right, onward[:, left + 1, right], back[:, left, right - 1], reach)
+    keys = [name_keys(0, right - left - 1 + 0 * a, left - a - cut, a + b, right + b - cut)]
+    every = [x for k in range(1, insert + 1) for x in inserts(k)]
+    for k in range(1, insert + 1):
+        new = np.array([list(x.encode()) for x in every if len(x) == k], np.uint8)
+        shape = (many, len(new))
+        read = np.concatenate([np.broadcast_to(x, (*shape, x.shape[-1])) for x in (code[:, None, :cut], new[None], code[:, None, cut:])], 2)
+        shifts = []
+        for at, step, limit in ((cut - 1, -1, min(cut - 1, reach + 1)), (cut, 1, min(reach, n - 1 - cut))):
+            alike, far = np.ones(shape, bool), np.zeros(shape, np.int64)
+            for i in range(max(limit, 0)):
+                alike &= read[..., at + step * i] == read[..., at + step * i + k]
+                far += alike
+            shifts.append(far)
+        a, b = shifts
+        keys.append(name_keys(1, k + 0 * a, -1 - a, a + b, b))
+    keys = np.concatenate(keys, 1)
+    size = np.array([0] * len(left) + [len(x) for x in every])
+    ins = np.array([-1] * len(left) + list(range(len(every))))
+    left, right = np.append(left, [cut - 1] * len(every)), np.append(right, [cut] * len(every))
+    order = np.lexsort((np.argsort(np.argsort([""] * (len(left) - len(every)) + every, kind="stable")), size, right, left))
+    by = order[keys[:, order].argsort(1, kind="stable")]
+    keys = np.take_along_axis(keys, by, 1)
+    fresh = np.ones(keys.shape, bool)
+    fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    by, starts = by.reshape(-1), np.flatnonzero(fresh.reshape(-1))
+    return Edits(np.repeat(np.arange(many), keys.shape[1]), left[by], right[by], ins[by], starts, names_of(keys.reshape(-1)[starts]))
 
 
 def candidates(targets: DataFrame, deletion: int = LONGEST_DELETION, insert: int = LONGEST_INSERT, reach: int = REACH) -> DataFrame:
     """(oligo_id, indel, n, places): candidate edits with all their placements, the first one first.
 
-    One pass over the targets, without a shuffle: all edits of a target are made, named and grouped where it is.
+    Targets are dealt out by number; all edits of a target are made, named and grouped where it is, as flat columns.
     """
-    every = [x for k in range(1, insert + 1) for x in inserts(k)]
+    every = pa.array([*(x for k in range(1, insert + 1) for x in inserts(k)), ""])
 
-    def of(seq: str, cut: int) -> dict[str, list[dict]]:
-        n, code = len(seq), np.frombuffer(seq.encode(), np.uint8)
-        left, right = np.arange(max(0, cut - deletion - 1), cut), np.arange(cut, min(n, cut + deletion + 1))
-        left, right = np.repeat(left, len(right)), np.tile(right, len(left))
-        ok = (right - left - 1 >= 1) & (right - left - 1 <= deletion)
-        left, right = left[ok], right[ok]
-        onward, back = runs(code[:, None] == code[None, :])
-        a, b = deletion_ends(n, cut, left, right, onward, back, reach)
-        made: dict[str, list[dict]] = {}
-        for name, l, r in zip(named("D", right - left - 1, left - a - cut, a + b, right + b - cut), left.tolist(), right.tolist()):
-            made.setdefault(name, []).append({"l": l, "r": r, "size": 0, "ins": ""})
-        for x in every:
-            a, b = _insert_ends(seq, cut, x, reach)
-            name = f"I{len(x)}_L{-1 - a}{f'C{a + b}' if a + b else ''}R{b}"
-            made.setdefault(name, []).append({"l": cut - 1, "r": cut, "size": len(x), "ins": x})
-        return made
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                ids, names, places = [], [], []
-                for oligo, seq, cut in batch.iloc[at : at + 64].itertuples(index=False):
-                    made = of(seq, int(cut))
-                    ids += [oligo] * len(made)
-                    names += made
-                    places += [sorted(ps, key=lambda p: (p["l"], p["r"], p["size"], p["ins"])) for ps in made.values()]
-                yield pd.DataFrame({"oligo_id": ids, "indel": names, "n": list(map(len, places)), "places": places})
+            for rows, code, cut in stacks(batch["seq"].to_pylist(), batch["cut_idx"].to_pylist()):
+                e = edits(code, cut, deletion, insert, reach)
+                new = np.where(e.ins < 0, len(every) - 1, e.ins)
+                text = every.take(pa.array(new))
+                flat = pa.StructArray.from_arrays([pa.array(e.left, pa.int32()), pa.array(e.right, pa.int32()), pc.binary_length(text).cast(pa.int32()), text], ["l", "r", "size", "ins"])
+                places = pa.ListArray.from_arrays(pa.array(np.append(e.starts, len(e.of)), pa.int32()), flat)
+                ids = batch["oligo_id"].take(pa.array(rows[e.owner]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(e.names, pa.string()), pa.array(e.counts, pa.int64()), places], ["oligo_id", "indel", "n", "places"])
 
     kind = "places array<struct<l:int,r:int,size:int,ins:string>>"
-    return targets.select("oligo_id", "seq", "cut_idx").mapInPandas(run, f"oligo_id string, indel string, n bigint, {kind}")
+    return dealt(targets.select(F.col("oligo_id").cast("string"), "seq", "cut_idx")).mapInArrow(run, f"oligo_id string, indel string, n bigint, {kind}")
 
 
 def microhomology_indels(targets: DataFrame, reach: int = REACH) -> DataFrame:
@@ -159,28 +234,28 @@ def microhomology_indels(targets: DataFrame, reach: int = REACH) -> DataFrame:
     A repeat lies inside a longer one if it can be extended to the left within the range that is looked at.
     """
 
-    def of(seq: str, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        n, code = len(seq), np.frombuffer(seq.encode(), np.uint8)
-        plain, unknown = code[:, None] == code[None, :], code == ord("N")
-        same = plain | unknown[:, None] | unknown[None, :]
-        length = runs(same)[0]
-        i, j = np.nonzero(length >= 2)
-        ok = (i < min(n, cut + reach - 1)) & (j > i) & (j >= cut - reach) & (j < n - 1)
-        inside = (i > 0) & (j - 1 >= np.maximum(i, cut - reach)) & same[np.maximum(i - 1, 0), np.maximum(j - 1, 0)]
-        i, j = i[ok & ~inside], j[ok & ~inside]
-        a, b = deletion_ends(n, cut, i - 1, j, *runs(plain), reach)
-        return i, j, length[i, j], named("D", j - i, i - 1 - a - cut, a + b, j + b - cut)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                found = [of(seq, int(cut)) for seq, cut in zip(part["seq"], part["cut_idx"])]
-                left, right, size = (np.concatenate(x) for x in list(zip(*found))[:3])
-                ids = np.repeat(part["oligo_id"].to_numpy(), [len(f[0]) for f in found])
-                yield pd.DataFrame({"oligo_id": ids, "left_start": left, "right_start": right, "mh_len": size, "indel": [x for f in found for x in f[3]]})
-
-    return targets.select("oligo_id", "seq", "cut_idx").mapInPandas(run, "oligo_id string, left_start int, right_start int, mh_len int, indel string")
+            for rows, code, cut in stacks(batch["seq"].to_pylist(), batch["cut_idx"].to_pylist()):
+                n, unknown = code.shape[1], code == ord("N")
+                plain = code[:, :, None] == code[:, None, :]
+                onward, back = runs(plain)
+                same = plain | unknown[:, :, None] | unknown[:, None, :] if unknown.any() else plain
+                length = runs(same)[0] if unknown.any() else onward
+                i, j = np.arange(n)[:, None], np.arange(n)[None, :]
+                ok = (i < min(n, cut + reach - 1)) & (j > i) & (j >= cut - reach) & (j < n - 1)
+                longer = np.zeros_like(same)
+                longer[:, 1:, 1:] = same[:, :-1, :-1] & (j[:, 1:] - 1 >= np.maximum(i[1:], cut - reach))
+                t, x, y = np.nonzero((length >= 2) & ok & ~longer)
+                kept = np.maximum(x - 1, 0)
+                a, b = deletion_ends(n, cut, x - 1, y, onward[t, x, y], back[t, kept, y - 1], reach)
+                names = names_of(name_keys(0, y - x, x - 1 - a - cut, a + b, y + b - cut))
+                ids = batch["oligo_id"].take(pa.array(rows[t]))
+                numbers = [pa.array(v, pa.int32()) for v in (x, y, length[t, x, y])]
+                yield pa.RecordBatch.from_arrays([ids, *numbers, pa.array(names, pa.string())], ["oligo_id", "left_start", "right_start", "mh_len", "indel"])
+
+    told = dealt(targets.select(F.col("oligo_id").cast("string"), "seq", "cut_idx"))
+    return told.mapInArrow(run, "oligo_id string, left_start int, right_start int, mh_len int, indel string")
 
 
 def microhomologies(targets: DataFrame, reach: int = REACH) -> DataFrame:
@@ -194,10 +269,25 @@ def barcode(seq: Column, window: tuple[int, int]) -> Column:
     return F.substring(seq, start, F.lit(b - a if a >= 0 or b < 0 else -a))
 
 
-def barcode_keys(targets: DataFrame) -> DataFrame:
-    """(window, key, oligo_id): every window of every target with at most one letter changed, 31 keys each."""
-    rows = targets.select("oligo_id", F.explode(F.array(*(F.struct(F.lit(k).alias("window"), barcode(F.col("seq"), w).alias("bc")) for k, w in enumerate(WINDOWS)))).alias("x"))
-    rows = rows.select("oligo_id", "x.window", "x.bc")
+#: A key has its window's number from this bit on; below it a leading 1 and two bits for each letter, of up to 20 letters.
+KEY_BITS = 42
+
+
+def packed_key(window: int | Column, letters: Column) -> Column:
+    """A barcode as a number. One with letters besides ACGT, or with more than 20, is a negative number, a hash."""
+    number = F.conv(F.concat(F.lit("1"), F.translate(letters, "ACGT", "0123")), 4, 10).cast("long")
+    at = F.lit(window) if isinstance(window, int) else window
+    plain = letters.rlike("^[ACGT]{0,20}$")
+    return F.when(plain, number + at.cast("long") * F.lit(1 << KEY_BITS)).otherwise(-1 - F.shiftright(F.abs(F.xxhash64(at, letters)), 1))
+
+
+def _windows(rows: DataFrame, keep: str, windows: tuple[tuple[int, int], ...]) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(k).alias("window"), barcode(F.col("seq"), w).alias("bc")) for k, w in enumerate(windows)))
+    return rows.select(F.col(keep), F.explode(each).alias("x")).select(keep, "x.window", "x.bc")
+
+
+def barcode_keys(targets: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS) -> DataFrame:
+    """(key, oligo_id): every window of every target with at most one letter changed, 31 keys each, as numbers."""
     changed = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.length("bc")),
@@ -206,20 +296,27 @@ def barcode_keys(targets: DataFrame) -> DataFrame:
             ),
         )
     )
-    return rows.select("window", "oligo_id", F.explode(F.array_distinct(F.concat(F.array("bc"), changed))).alias("key"))
+    rows = _windows(targets, "oligo_id", windows)
+    rows = rows.select("oligo_id", "window", F.explode(F.array_distinct(F.concat(F.array("bc"), F.when(F.length("bc") > 0, changed).otherwise(F.array().cast("array<string>"))))).alias("letters"))
+    return rows.select(packed_key(F.col("window"), F.col("letters")).alias("key"), "oligo_id")
 
 
-def barcode_candidates(reads: DataFrame, targets: DataFrame) -> DataFrame:
-    """(seq, oligo_id): for each distinct read sequence the targets that share a window up to one changed letter.
+def store_barcode_index(targets: DataFrame, table: str, buckets: int = 64, windows: tuple[tuple[int, int], ...] = WINDOWS) -> DataFrame:
+    """Writes barcode_keys() as a table that is bucketed and sorted by key, and reads it: a join by key shuffles the reads alone.
+    Batches and streams share it. The windows must be those that the reads are probed with."""
+    keys = barcode_keys(targets, windows)
+    keys.repartition(buckets, "key").write.mode("overwrite").format("parquet").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)
+    return targets.sparkSession.table(table)
 
-    The fuzzy search is an equi-join: targets are expanded, reads are not.
-    """
-    probes = reads.select("seq").distinct()
-    probes = probes.select("seq", F.explode(F.array(*(F.struct(F.lit(k).alias("window"), barcode(F.col("seq"), w).alias("key")) for k, w in enumerate(WINDOWS)))).alias("x"))
-    return probes.select("seq", "x.window", "x.key").join(barcode_keys(targets), ["window", "key"]).select("seq", "oligo_id").distinct()
+
+def indexed_candidates(reads: DataFrame, index: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS) -> DataFrame:
+    """(seq, oligo_id): for each distinct read sequence the targets of an index (key, oligo_id) that share a window up to one
+    changed letter. The index is never broadcast: Spark can't tell how much larger it is than what it was made of."""
+    probes = _windows(reads.select("seq").distinct(), "seq", windows)
+    probes = probes.select("seq", packed_key(F.col("window"), F.col("bc")).alias("key"))
+    return probes.join(index.hint("merge"), "key").select("seq", "oligo_id").distinct()
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def barcode_candidates(reads: DataFrame, targets: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS) -> DataFrame:
+    """indexed_candidates() with an index that is made on the way."""
+    return indexed_candidates(reads, barcode_keys(targets, windows), windows)

@@ -67,7 +67,7 @@ CATS = ", ".join(f"cast(coalesce(sum(reads) filter ({x}), 0) as bigint) as {k}"
 
 def _categories(spark, sf_dir):
     mixed = (ix.detail("indel", "I") + ix.detail("indel", "D")) > 0
-    p = ix.by_distinct(accepted(spark, sf_dir).filter("indel <> '-'"), "indel", kind=ix.itype("indel"), size=ix.isize("indel"), shift=ix.detail("indel", "C"), mixed=mixed)
+    p = ix.with_parts(accepted(spark, sf_dir).filter("indel <> '-'"), "indel", kind=ix.itype("indel"), size=ix.isize("indel"), shift=ix.detail("indel", "C"), mixed=mixed)
     return samples.categories(p, *map(F.col, ("kind", "size", "shift", "mixed")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutscape.functions import indel as ix
 from cutscape.functions import sequence as sq
 from cutscape.operators import mapping as mp
 from cutscape.operators import targets as tg
@@ -145,14 +146,49 @@ def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.targets(spark, sf_dir).withColumn("reverse", F.lit(False))
 
 
-@query()
+#: Names of the reads' deletions in DuckDB, by the closed form: (read_id, oligo_id, read, l, r, indel, shift, left_end, size).
+NAMED_READS = f""", lines as (select l_orderkey * 8 + l_linenumber as read_id, oligo_id, seq, cut_idx, 52 - l_linenumber as l, 53 + cast(l_quantity as int) % 5 as r, {READ_SQL} as read from lineitem join targets on oligo_id = 'Oligo' || cast(l_partkey as varchar)),
+caps as (select distinct oligo_id, seq, cut_idx, l, r, '' as ins, least(l, r - (cut_idx - 5)) as ca, least(cut_idx + 3 - l, 79 - 1 - r) as cb from lines), """ + _name(
+    "(r - l - 1)", "seq", "D", f"{_S('l - k')} <> {_S('r - 1 - k')}", f"{_S('l + 1 + k')} <> {_S('r + k')}", "caps") + """,
+told as (select lines.*, named.indel, a + b as shift, lines.l - a - lines.cut_idx as left_end, lines.r - lines.l - 1 as size from lines join named on named.oligo_id = lines.oligo_id and named.l = lines.l and named.r = lines.r
+  join shifts on shifts.oligo_id = lines.oligo_id and shifts.l = lines.l and shifts.r = lines.r)"""
+
+
+@query(WITH + NAMED_READS + " select distinct read as seq, oligo_id as oligo_ids, indel as indels, '-' as muts, cast(2 * length(read) as int) as score from told")
 def map_reads(spark, sf_dir):
     mapped = mp.map_sequences(reads(spark, sf_dir), oriented(spark, sf_dir))
     return mapped.select("seq", F.concat_ws(",", F.transform("hits", lambda h: h["oligo_id"])).alias("oligo_ids"), F.concat_ws(",", F.transform("hits", lambda h: h["indel"])).alias("indels"), F.concat_ws(",", F.transform("hits", lambda h: h["muts"])).alias("muts"), "score")
 
 
-@query()
+@query(WITH + NAMED_READS + """, counted as (
+  select oligo_id, indel as variant, count(*) as reads, arg_min(read, read_id) as seq, min(size) as size, min(53 + (left_end + 1) + shift) as start from told group by all
+  union all select oligo_id, '-', 5, seq, 0, 56 from targets
+), shared as (select *, reads * 100.0 / sum(reads) over (partition by oligo_id) as percent from counted)
+select oligo_id, variant, cast(reads as bigint) as reads, round(percent, 6) as percent, seq, cast(case when variant <> '-' and start < 56 then greatest(56 - size, start) else 56 end as int) as pam_idx
+from shared where percent >= 0.5 and length(seq) <= 120""")
 def exptargets(spark, sf_dir):
+    """Templates of each target from control reads, with the place of the PAM on each."""
     t = oriented(spark, sf_dir)
     hits = mp.unique_hits(mp.map_reads(reads(spark, sf_dir).select("read_id", "seq"), t))
-    return mp.expanded_targets(mp.null_templates(hits, t))
+    found = mp.expanded_targets(mp.null_templates(hits, t)).join(t.select("oligo_id", F.col("pam_idx").alias("_pam")), "oligo_id")
+    return found.select("oligo_id", "variant", "reads", F.round("percent", 6).alias("percent"), "seq", ix.moved_pam("variant", F.col("_pam"), F.lit("FORWARD")).alias("pam_idx"))
+
+
+#: Templates of reads in DuckDB, and the rank of each as a choice.
+_TIES = """with k as (select l_orderkey * 8 + l_linenumber as read_id, unnest(range(0, 1 + l_linenumber % 4)) as t, l_linenumber as n, cast(l_quantity as int) as q, l_suppkey as s from lineitem),
+ties as (select read_id, 'Oligo' || s as oligo_id, case t when 0 then '-' when 1 then 'D1_L-3R-1' when 2 then 'I2_L-20R-19' else '-_M10' end as variant, cast((q * (t + 3)) % 17 + 1 as double) as percent, case when q % 7 = 0 and t = 1 then '-' else 'D' || (q % 9 + 1) || '_L-2R8' end as indel from k),
+ranked as (select *, case when indel = '-' then 0 when variant = 'D1_L-3R-1' then 2 else 1 end as rank from ties), least_ as (select * from ranked qualify rank = min(rank) over (partition by read_id)),
+sums as (select *, row_number() over w as n, sum(percent) over (partition by read_id order by percent desc, oligo_id, variant, indel rows unbounded preceding) as run, sum(percent) over (partition by read_id) as total from least_ window w as (partition by read_id order by percent desc, oligo_id, variant, indel)),
+drawn as (select *, cast(('0x' || substr(md5(read_id || '/0'), 1, 7)) as bigint) / 268435456.0 as d from sums)
+select read_id, oligo_id, variant, indel from drawn where case when rank = 0 then n = 1 else run / total > d and run / total - percent / total <= d end"""
+
+
+@query(_TIES)
+def resolved_templates(spark, sf_dir):
+    """One template for each read of several that fit: an unedited read first, then those outside seed and PAM, by a draw."""
+    rows = base.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber as read_id", "explode(sequence(0, l_linenumber % 4)) as t", "cast(l_quantity as int) as q", "l_suppkey as s")
+    ties = rows.selectExpr(
+        "read_id", "'Oligo' || s as oligo_id", "case t when 0 then '-' when 1 then 'D1_L-3R-1' when 2 then 'I2_L-20R-19' else '-_M10' end as variant",
+        "cast((q * (t + 3)) % 17 + 1 as double) as percent", "case when q % 7 = 0 and t = 1 then '-' else 'D' || (q % 9 + 1) || '_L-2R8' end as indel",
+    )
+    return mp.resolved(ties).select("read_id", "oligo_id", "variant", "indel")

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cutscape.operators import model as md
-from cutscape.operators import targets as tg
 from cutscape.plans import base, edits
 from cutscape.plans import profiles as pf
 
@@ -29,8 +28,7 @@ def weights() -> np.ndarray:
 
 
 def _rows(spark, sf_dir):
-    t = base.targets(spark, sf_dir)
-    return md.candidate_features(tg.candidates(t), t)
+    return md.features_of_targets(base.targets(spark, sf_dir))
 
 
 _BOTH = edits.WITH + edits.DELETIONS.replace("named as", "dels as").replace("shifts", "shifts1").replace("caps", "caps1") + edits.INSERTIONS + ", every_edit as (select * from dels union all select * from named)"
@@ -50,14 +48,12 @@ def features_sizes(spark, sf_dir):
 
 @query()
 def predict_profile(spark, sf_dir):
-    t = base.targets(spark, sf_dir)
-    return md.predicted(tg.candidates(t), t, weights()).withColumn("reads", F.round("reads", 6))
+    return md.predicted(base.targets(spark, sf_dir), weights()).withColumn("reads", F.round("reads", 6))
 
 
 @query()
 def predict_in_frame(spark, sf_dir):
-    t = base.targets(spark, sf_dir)
-    return md.predicted_in_frame(md.predicted(tg.candidates(t), t, weights()))
+    return md.predicted_in_frame(md.predicted(base.targets(spark, sf_dir), weights()))
 
 
 @query()

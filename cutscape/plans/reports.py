@@ -342,9 +342,10 @@ def top_templates(spark, sf_dir):
     return reports.top_templates(rows, best.select("location", spacer.alias("spacer")))
 
 
-@query()
+@query(WITH + edits.NAMED_READS + r""" select distinct regexp_replace(read, '^(.)(.{3}).(.{3}).(.*).(.{3}).(.{2})$', 'N\2N\3N\4N\5N\6') as seq, oligo_id as oligo_ids, indel as indels,
+ cast(2 * length(read) - 15 as int) as score, false as by_barcode from told""")
 def mapped_with_fallback(spark, sf_dir):
-    """Reads of which every window has two changed letters are found by their words."""
+    """Reads of which every window has unknown letters are compared with all targets."""
     spoilt = F.regexp_replace("seq", "^(.)(.{3}).(.{3}).(.*).(.{3}).(.{2})$", "N$2N$3N$4N$5N$6")
     reads = edits.reads(spark, sf_dir).select(spoilt.alias("seq"))
     mapped = mapping.map_with_fallback(reads, edits.oriented(spark, sf_dir))
@@ -447,4 +448,4 @@ def feature_counts(spark, sf_dir):
     groups = ("DelLoc", "InsLoc", "InsRpt", "InsSeq", "CutSeq", "SeqMatch", "RelSeq")
     t = base.targets(spark, sf_dir)
     some = F.col("feature").isin([x for g in groups for x in md.LABELS[g]]) & ~F.col("feature").rlike(r"^L-?\d_NT=")
-    return md.feature_counts(tg.candidates(t), t).filter(some)
+    return md.counts_of_targets(t).filter(some)
