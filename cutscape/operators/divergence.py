@@ -100,5 +100,62 @@ def pairwise_report(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select(*keys, "edited_a", "edited_b", "kl", "symmetric_kl", "overlap", "entropy_a", "in_frame_a", "entropy_b", "in_frame_b")
 
 
+TOPS = (3, 5, 10)
+
+
+def _placed(rows: DataFrame, w) -> DataFrame:
+    """paired() rows with each edit's place on both sides by reads and name, falling (_pa, _pb), and the sides' numbers of edits
+    (_na, _nb) and edited reads (_ta, _tb)."""
+    for c, n in (("p", "a"), ("q", "b")):
+        there = (F.col("indel") != "-") & F.col(c).isNotNull()
+        own = F.row_number().over(w.orderBy(F.desc(there), F.desc(c), F.desc("indel")))
+        rows = rows.select("*", F.when(there, own).alias(f"_p{n}"), F.sum(there.cast("long")).over(w).alias(f"_n{n}"), F.sum(F.when(there, F.col(c))).over(w).alias(f"_t{n}"))
+    return rows
+
+
+def _top_columns(tops: tuple[int, ...]) -> list[Column]:
+    """Aggregates of _placed() rows: first rank that differs (0: none), shares and common edits of the tops, up to the shorter
+    list; null where a side has no edit."""
+    least = F.least("_na", "_nb")
+    some = F.max(least) > 0
+    apart = (F.col("_pa") <= least) & ~F.col("_pa").eqNullSafe(F.col("_pb"))
+    out = [F.when(some, F.coalesce(F.min(F.when(apart, F.col("_pa"))), F.lit(0))).alias("first_difference")]
+    for k in tops:
+        for c, n in (("p", "a"), ("q", "b")):
+            share = F.when(F.col(f"_p{n}") <= F.least(F.lit(k), least), F.col(c)).otherwise(0) * 100.0 / F.col(f"_t{n}")
+            out.append(F.when(some, F.sum(share)).alias(f"percent_{n}_{k}"))
+    both = F.greatest("_pa", "_pb")
+    both = F.when(F.col("_pa").isNotNull() & F.col("_pb").isNotNull(), both)
+    return out + [F.when(some, F.count(F.when(both <= F.least(F.lit(k), least), F.lit(1)))).alias(f"common_{k}") for k in tops]
+
+
+def compare_tops(profile: DataFrame, pairs: DataFrame, tops: tuple[int, ...] = TOPS) -> DataFrame:
+    """For each oligo of two samples (a, b) with edits in both: first rank that differs (0: none), common edits and shares
+    of the tops. Ranks are compared up to the shorter list; pairs is a small dimension. One grouped pass over paired()."""
+    keys = ["a", "b", "oligo_id"]
+    rows = _placed(paired(profile, pairs), Window.partitionBy(*keys))
+    return rows.groupBy(*keys).agg(*_top_columns(tops)).filter(F.col("first_difference").isNotNull())
+
+
+def full_pairs(profile: DataFrame, pairs: DataFrame, tops: tuple[int, ...] = TOPS) -> DataFrame:
+    """(a, b, oligo_id, kl_with_null, kl_without_null, overlap, tops) in one grouped pass over paired()."""
+    keys = ["a", "b", "oligo_id"]
+    w = Window.partitionBy(*keys)
+    rows = _placed(paired(profile, pairs), w)
+    edit = F.col("indel") != "-"
+    counted = (F.coalesce("p", F.lit(0)) > 0) | (F.coalesce("q", F.lit(0)) > 0)
+    of = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.col(c).cast("double")).otherwise(F.lit(MISSING))
+    for name, on in (("all", counted), ("edit", counted & edit)):
+        rows = rows.select("*", F.when(on, of("p")).alias(f"_x_{name}"), F.when(on, of("q")).alias(f"_y_{name}"))
+        rows = rows.select("*", F.sum(f"_x_{name}").over(w).alias(f"_X_{name}_sum"), F.sum(f"_y_{name}").over(w).alias(f"_Y_{name}_sum"))
+    one = lambda p, q: p * F.log2(p / q)
+    kls = []
+    for name, label in (("all", "kl_with_null"), ("edit", "kl_without_null")):
+        p, q = F.col(f"_x_{name}") / F.col(f"_X_{name}_sum"), F.col(f"_y_{name}") / F.col(f"_Y_{name}_sum")
+        kls.append((F.sum(one(p, q) + one(q, p)) * 0.5).alias(label))
+    shared = F.when(edit & F.col("p").isNotNull() & F.col("q").isNotNull(), F.least(F.col("p") * 100.0 / F.col("_ta"), F.col("q") * 100.0 / F.col("_tb")))
+    return rows.groupBy(*keys).agg(*kls, F.coalesce(F.sum(shared), F.lit(0.0)).alias("overlap"), *_top_columns(tops))
+
+
 def rounded(c: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(c)

@@ -132,29 +132,6 @@ def highest_indel(profile: DataFrame) -> DataFrame:
     return profile.groupBy(*KEY).agg(best.alias("b")).select(*KEY, F.coalesce("b.indel", F.lit("-")).alias("indel"))
 
 
-def compare_tops(profile: DataFrame, pairs: DataFrame, tops: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """For each oligo of two samples (a, b) with edits in both: first rank that differs (0: none), common edits and shares
-    of the tops. Ranks are compared up to the shorter list; pairs is a small dimension.
-    """
-    w, pairs = Window.partitionBy(*KEY), F.broadcast(pairs)
-    rows = ranked(profile).withColumn("total", F.sum("reads").over(w)).withColumn("n", F.count("*").over(w))
-
-    def side(s: str) -> DataFrame:
-        named = [F.col(c).alias(f"{c}_{s}") for c in ("reads", "total", "n", "place")]
-        return rows.join(pairs, rows["sample"] == pairs[s]).select("a", "b", "oligo_id", "indel", *named)
-
-    x, y, keys = side("a"), side("b"), ["a", "b", "oligo_id"]
-    other = y.select(*keys, F.col("indel").alias("indel_y"), "reads_b", "total_b", F.col("place_b").alias("place_a"))
-    paired = x.join(other, [*keys, "place_a"]).groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(F.col("indel") != F.col("indel_y"), F.col("place_a"))), F.lit(0)).alias("first_difference"),
-        *(F.sum(F.when(F.col("place_a") <= k, F.col(f"reads_{s}")).otherwise(0) * 100.0 / F.col(f"total_{s}")).alias(f"percent_{s}_{k}") for k in tops for s in "ab"),
-    )
-    same = x.join(y, [*keys, "indel"])
-    common = same.groupBy(*keys).agg(*(F.count(F.when(F.greatest("place_a", "place_b") <= F.least(F.lit(k), "n_a", "n_b"), F.lit(1))).alias(f"common_{k}") for k in tops))
-    counts = [F.coalesce(f"common_{k}", F.lit(0)).cast("long").alias(f"common_{k}") for k in tops]
-    return paired.join(common, keys, "left").select(*paired.columns, *counts)
-
-
 def union_of_tops(profile: DataFrame, n: int = 20, lines: int = 10) -> DataFrame:
     """The edits that are among the n most frequent states of any sample, by oligo in the order of their mean percentage
     over all its samples (missing: 0), at most `lines`: (oligo_id, indel, mean_percent, place)."""

@@ -9,46 +9,58 @@ from pyspark.sql.window import Window
 from cutscape.functions import indel as ix
 from cutscape.operators import divergence as dv
 from cutscape.operators import profile as pr
-from cutscape.operators.samples import average_rank
+from cutscape.operators.samples import average_rank, numbered, shuffled
+
+
+def _patterns(flags: DataFrame, n: int) -> list[tuple[str, int]]:
+    """(pattern, rows) of rows (oligo_id, k), k from 0 to n - 1: which of the k an oligo has, as a text of 0 and 1. There are
+    as many patterns as combinations that occur; a report has few samples."""
+    own = F.collect_set("k")
+    marks = F.concat(*(F.when(F.array_contains(own, k), "1").otherwise("0") for k in range(n)))
+    got = flags.groupBy("oligo_id").agg(marks.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("rows"))
+    return [(r["pattern"], r["rows"]) for r in got.collect()]
+
+
+def _kept_in_order(patterns: list[tuple[str, int]], n: int, share: float, given: bool = False) -> list[int]:
+    """The k that count, in order: the first one, and each whose rows are no fewer than `share` of those that all before have.
+    given: the patterns have one mark more, without which an oligo is not common."""
+    kept: list[int] = []
+    for k in range(n):
+        must = [*kept, n] if given else kept
+        common = sum(rows for p, rows in patterns if all(p[j] == "1" for j in must)) if must else 0
+        if not k or sum(rows for p, rows in patterns if p[k] == "1") >= share * common:
+            kept.append(k)
+    return kept
 
 
 def common_guides_in_order(totals: DataFrame, order: list[str], least: int, guides: DataFrame | None = None, share: float = 0.2) -> tuple[DataFrame, list[str]]:
     """(oligo_id) with more than `least` reads in every sample that counts, and the samples that were left out.
 
     Samples count in their order; one, other than the first, that has fewer guides than `share` of those still common is
-    left out. One count for each sample decides; the guides stay distributed. totals: (sample, oligo_id, reads).
+    left out. One pass counts the oligos by the samples that they are in; that decides. totals: (sample, oligo_id, reads).
     """
-    enough = totals.filter(F.col("reads") > least).select("sample", "oligo_id").distinct()
-    sizes = {r["sample"]: r["n"] for r in enough.groupBy("sample").agg(F.count("*").alias("n")).collect()}  # a row for each sample
-    left_out, kept, common = [], [], guides.select("oligo_id").distinct() if guides is not None else None
-    for sample in order:
-        own = enough.filter(F.col("sample") == sample).select("oligo_id")
-        n = common.count() if common is not None and (kept or guides is not None) else 0
-        if sample != order[0] and sizes.get(sample, 0) < share * n:
-            left_out.append(sample)
-            continue
-        kept.append(sample)
-        some = enough.filter(F.col("sample").isin(kept)).groupBy("oligo_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(kept)).select("oligo_id")
-        common = some if guides is None else some.join(guides.select("oligo_id").distinct(), "oligo_id", "left_semi")
-    return common, left_out
+    number = F.create_map(*(F.lit(x) for k, name in enumerate(order) for x in (name, k)))
+    enough = totals.filter((F.col("reads") > least) & F.col("sample").isin(order)).select("oligo_id", number[F.col("sample")].alias("k")).distinct()
+    told, own, n = enough, None, len(order)
+    if guides is not None:  # one flag more: whether the guide is one of those given
+        own = guides.select("oligo_id").distinct()
+        told = enough.unionByName(own.select("oligo_id", F.lit(n).alias("k")))
+    patterns = _patterns(told, n + (own is not None))
+    kept = _kept_in_order(patterns, n, share, own is not None)
+    some = enough.filter(F.col("k").isin(kept)).groupBy("oligo_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(kept)).select("oligo_id")
+    return some if own is None else some.join(own, "oligo_id", "left_semi"), [name for k, name in enumerate(order) if k not in kept]
 
 
 def common_pairs_in_order(reports: DataFrame, order: list[tuple[str, str]], value: str, least: int = 20, share: float = 0.75) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(oligo_id, `a$b` for each pair of samples that counts) of pairwise reports (a, b, oligo_id, edited_a, edited_b, value),
     for oligos with more than `least` edited reads on both sides in all of them; pairs come in order, and one with fewer
-    rows than `share` of those still common is left out."""
-    good = reports.filter((F.col("edited_a") > least) & (F.col("edited_b") > least)).withColumn("pair", F.concat_ws("$", "a", "b"))
-    sizes = {r["pair"]: r["n"] for r in good.groupBy("pair").agg(F.count("*").alias("n")).collect()}  # a row for each pair
-    kept, left_out, n = [], [], 0
-    for a, b in order:
-        name = f"{a}${b}"
-        if kept and sizes.get(name, 0) < share * n:
-            left_out.append((a, b))
-            continue
-        kept.append(name)
-        n = good.filter(F.col("pair").isin(kept)).groupBy("oligo_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(kept)).count()
-    wide = good.filter(F.col("pair").isin(kept)).groupBy("oligo_id").pivot("pair", kept).agg(F.first(value))
-    return wide.na.drop(subset=kept), left_out
+    rows than `share` of those still common is left out. One pass counts the oligos by the pairs that they have."""
+    names = [f"{a}${b}" for a, b in order]
+    number = F.create_map(*(F.lit(x) for k, name in enumerate(names) for x in (name, k)))
+    good = reports.filter((F.col("edited_a") > least) & (F.col("edited_b") > least)).withColumn("pair", F.concat_ws("$", "a", "b")).filter(F.col("pair").isin(names))
+    kept = _kept_in_order(_patterns(good.select("oligo_id", number[F.col("pair")].alias("k")), len(names)), len(names), share)
+    wide = good.groupBy("oligo_id").pivot("pair", [names[k] for k in kept]).agg(F.first(value))
+    return wide.na.drop(subset=[names[k] for k in kept]), [order[k] for k in range(len(order)) if k not in kept]
 
 
 def common_samples(results: DataFrame) -> DataFrame:
@@ -63,31 +75,43 @@ def missing_features(stored: DataFrame, computed: DataFrame) -> DataFrame:
     return stored.select("feature").distinct().join(computed.select("feature").distinct(), "feature", "left_anti")
 
 
+def sample_stats(summary: DataFrame, profile: DataFrame, counted: Column) -> DataFrame:
+    """(sample, oligo_id, accepted, percent, unedited, states, entropy, entropy_all) in one grouped pass over the profile; the
+    entropy is that of edits that count, the other one of all edits."""
+    w, edit = Window.partitionBy(*pr.KEY), F.col("indel") != "-"
+    rows = profile.withColumn("_all", F.when(edit, F.col("reads"))).withColumn("_some", F.when(edit & counted, F.col("reads")))
+    rows = rows.select("*", *(F.sum(c).over(w).alias(f"{c}_sum") for c in ("_all", "_some")))
+    h = lambda c: F.coalesce(F.sum(-F.col(c) / F.col(f"{c}_sum") * F.log2(F.col(c) / F.col(f"{c}_sum"))), F.lit(0.0))
+    got = rows.groupBy(*pr.KEY).agg(
+        F.sum("reads").alias("accepted"), F.sum(F.when(edit, 0).otherwise(F.col("reads"))).alias("unedited"), (F.count("_all") + 1).alias("states"),
+        h("_some").alias("entropy"), h("_all").alias("entropy_all"),
+    )
+    total = summary.groupBy(*pr.KEY).agg(F.sum("reads").alias("total"))
+    zero = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    percent = (F.coalesce("accepted", F.lit(0)) * 100.0 / F.col("total")).alias("percent")
+    return total.join(got, pr.KEY, "left").select(*pr.KEY, zero("accepted", 0), percent, zero("unedited", 0), zero("states", 1), zero("entropy", 0.0), zero("entropy_all", 0.0))
+
+
 def full_pairwise(summary: DataFrame, profile: DataFrame, pairs: DataFrame, large_insertions: bool = False) -> DataFrame:
     """One row for each oligo and pair of samples (a, b): reads, states, unedited reads, percentages accepted, divergence with
     and without unedited reads, first difference and common edits of the tops with their shares, entropies, overlap.
 
     Divergences and tops leave names that begin with `I1` out, unless `large_insertions`; the entropy is given with and
-    without them. Divergences are null where no counted indel is left; tops are -1 where a side has no edit.
+    without them. Divergences are null where no counted indel is left; tops are -1 where a side has no edit. One grouped
+    pass over the samples' profiles and one over the pairs'.
     """
     keys = ["a", "b", "oligo_id"]
-    seen = profile if large_insertions else profile.filter(~ix.large_insertion_name("indel"))
-    stats, h, whole = pr.acceptance(summary, profile), dv.entropy(seen), dv.entropy(profile).withColumnRenamed("entropy", "entropy_all")
-    stats = stats.join(h, pr.KEY, "left").join(whole, pr.KEY, "left")
+    counted = F.lit(True) if large_insertions else ~ix.large_insertion_name("indel")
+    stats = sample_stats(summary, profile, counted)
 
     def side(s: str) -> DataFrame:
         named = [F.col(c).alias(f"{c}_{s}") for c in ("accepted", "percent", "unedited", "states", "entropy", "entropy_all")]
         return stats.join(F.broadcast(pairs), stats["sample"] == pairs[s]).select(*keys, *named)
 
-    both = dv.paired(seen, pairs)
-    out = side("a").join(side("b"), keys)
-    out = out.join(dv.kl(both, ignore_null=False).select(*keys, F.col("symmetric_kl").alias("kl_with_null")), keys, "left")
-    out = out.join(dv.kl(both).select(*keys, F.col("symmetric_kl").alias("kl_without_null")), keys, "left").join(dv.overlap(both), keys, "left")
-    tops = pr.compare_tops(seen, pairs)
-    out = out.join(tops, keys, "left")
-    none = {"first_difference": 0, "overlap": 0.0, **{c: -1 for c in tops.columns if c.startswith("common")}, **{c: -1.0 for c in tops.columns if c.startswith("percent")}}
-    zero = {f"{c}_{s}": 0.0 for c in ("entropy", "entropy_all") for s in "ab"}
-    return out.na.fill(none | zero)
+    both = dv.full_pairs(profile.filter(counted), pairs)
+    out = side("a").join(side("b"), keys).join(both, keys, "left")
+    none = {"first_difference": 0, "overlap": 0.0, **{c: -1 for c in both.columns if c.startswith("common")}, **{c: -1.0 for c in both.columns if c.startswith("percent")}}
+    return out.na.fill(none)
 
 
 def _pairs_of(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -115,6 +139,7 @@ def old_new(profile: DataFrame, pairs: DataFrame, least: int = 100, seeds: tuple
     don't count. The shuffle orders the pairs by a hash; the pair at a place meets the one at the same place of the plain
     order, by number and without a sort of all in one task for more than the ids.
     """
+    profile = profile.persist()  # read by each comparison below
     named = pairs.select(F.col("old_id").alias("key"), "old_id", "new_id")
     of = F.when(F.col("library") == "old", F.col("old_id")).otherwise(F.col("new_id"))
     rows = profile.groupBy("library", "oligo_id", "indel").agg(F.sum("reads").alias("reads"))
@@ -122,7 +147,7 @@ def old_new(profile: DataFrame, pairs: DataFrame, least: int = 100, seeds: tuple
     own = rows.join(mine, ["library", "oligo_id"]).select("library", F.col("key").alias("oligo_id"), "indel", "reads")
     edited = own.filter("indel <> '-'").groupBy("oligo_id").pivot("library", ["old", "new"]).agg(F.sum("reads")).na.fill(0)
     good = edited.filter((F.col("old") >= least) & (F.col("new") >= least)).select("oligo_id", F.col("old").alias("edited_old"), F.col("new").alias("edited_new"))
-    own = own.join(good.select("oligo_id"), "oligo_id", "left_semi")
+    own, good = own.join(good.select("oligo_id"), "oligo_id", "left_semi").persist(), good.persist()
     frame = pr.in_frame(own.withColumnRenamed("library", "sample")).groupBy("oligo_id").pivot("sample", ["old", "new"]).agg(F.first("percent"))
     classes = pr.class_profile(own.withColumnRenamed("library", "sample")).withColumnRenamed("sample", "library")
     within = mean_within(profile).join(mine, ["library", "oligo_id"]).groupBy("key").pivot("library", ["old", "new"]).agg(F.first("symmetric_kl"))
@@ -131,9 +156,9 @@ def old_new(profile: DataFrame, pairs: DataFrame, least: int = 100, seeds: tuple
     out = out.join(dv.kl(_pairs_of(classes, "old", "new")).select("oligo_id", F.col("symmetric_kl").alias("class_kl")), "oligo_id", "left")
     out = out.join(within.select(F.col("key").alias("oligo_id"), F.col("old").alias("within_old"), F.col("new").alias("within_new")), "oligo_id", "left")
     for seed in seeds:
-        plain = good.select("oligo_id", F.row_number().over(Window.orderBy("oligo_id")).alias("k"))  # ids alone: a library is a bounded list
-        mixed = good.select(F.col("oligo_id").alias(f"other_{seed}"), F.row_number().over(Window.orderBy(F.md5(F.concat("oligo_id", F.lit(f"/{seed}"))), "oligo_id")).alias("k"))
-        met = plain.join(mixed, "k").drop("k")
+        plain = numbered(good.select("oligo_id"), ["oligo_id"], "place")
+        mixed = shuffled(good.select(F.col("oligo_id").alias(f"other_{seed}")), f"other_{seed}", seed)
+        met = plain.join(mixed, "place").drop("place")
         by = met.select(F.col("oligo_id").alias("_for"), F.col(f"other_{seed}").alias("oligo_id"))
         new = own.filter("library = 'new'").join(by, "oligo_id").select("library", F.col("_for").alias("oligo_id"), "indel", "reads")
         both = own.filter("library = 'old'").unionByName(new)

@@ -132,6 +132,18 @@ def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return told.withColumn("_own", own).join(F.broadcast(starts), "_s").withColumn("place", F.col("_before") + F.col("_own")).drop("_d", "_s", "_own", "_before")
 
 
+def numbered(rows: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """rows with their place in an order, without a window over all: dealt out by range into a fixed number of partitions, a
+    place in each, and the partitions' counts before it. Rows alike in the order get places in any order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = at.withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = at.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + own + first).drop("_at", "_part", "_before")
+
+
 def mean_by_cell_line(rows: DataFrame, cell_line: Column, cols: list[str]) -> DataFrame:
     """Means over the samples of each cell line."""
     return rows.groupBy(cell_line.alias("cell_line")).agg(*(F.avg(c).alias(c) for c in cols), F.count("*").alias("samples"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutscape.functions import indel as ix
 from cutscape.functions import sequence as sq
+from cutscape.operators import endogenous as en
 from cutscape.operators import mapping as mp
 from cutscape.operators import targets as tg
 from cutscape.plans import base
@@ -147,7 +148,7 @@ def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Names of the reads' deletions in DuckDB, by the closed form: (read_id, oligo_id, read, l, r, indel, shift, left_end, size).
-NAMED_READS = f""", lines as (select l_orderkey * 8 + l_linenumber as read_id, oligo_id, seq, cut_idx, 52 - l_linenumber as l, 53 + cast(l_quantity as int) % 5 as r, {READ_SQL} as read from lineitem join targets on oligo_id = 'Oligo' || cast(l_partkey as varchar)),
+NAMED_READS = f""", lines as (select l_orderkey * 8 + l_linenumber as read_id, oligo_id, seq, cut_idx, 52 - l_linenumber as l, 53 + cast(l_quantity as int) % 5 as r, {READ_SQL} as read, l_suppkey as supplier from lineitem join targets on oligo_id = 'Oligo' || cast(l_partkey as varchar)),
 caps as (select distinct oligo_id, seq, cut_idx, l, r, '' as ins, least(l, r - (cut_idx - 5)) as ca, least(cut_idx + 3 - l, 79 - 1 - r) as cb from lines), """ + _name(
     "(r - l - 1)", "seq", "D", f"{_S('l - k')} <> {_S('r - 1 - k')}", f"{_S('l + 1 + k')} <> {_S('r + k')}", "caps") + """,
 told as (select lines.*, named.indel, a + b as shift, lines.l - a - lines.cut_idx as left_end, lines.r - lines.l - 1 as size from lines join named on named.oligo_id = lines.oligo_id and named.l = lines.l and named.r = lines.r
@@ -174,6 +175,26 @@ def exptargets(spark, sf_dir):
     return found.select("oligo_id", "variant", "reads", F.round("percent", 6).alias("percent"), "seq", ix.moved_pam("variant", F.col("_pam"), F.lit("FORWARD")).alias("pam_idx"))
 
 
+#: Every third supplier's reads have the fifth letter of their template changed to its complement.
+_CHANGED = "translate(substr({0}, 5, 1), 'ACGT', 'TGCA')"
+_SNP = f"substr({{0}}, 1, 4) || {_CHANGED} || substr({{0}}, 6)"
+
+
+@query(WITH + NAMED_READS + """, snps as (select distinct 'Oligo' || cast(l_partkey as varchar) as oligo_id from lineitem where l_linenumber <= 3 and l_suppkey % 3 = 0),
+own as (select told.*, supplier % 3 = 0 and oligo_id in (from snps) as changed from told)
+select oligo_id, indel, case when changed then '-_M-49' else '-' end as oligo_indel, count(*) as reads from own group by all""")
+def endogenous_profiles(spark, sf_dir):
+    """Summaries of every target: control reads with and without a changed letter make the templates of reads with a deletion."""
+    name = "concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as read_id"
+    lines = base.table(spark, sf_dir, "lineitem").selectExpr(name, "l_linenumber", "l_suppkey", "cast(l_quantity as int) as q", "'Oligo' || l_partkey as oligo_id")
+    rows = lines.join(base.targets(spark, sf_dir).select("oligo_id", "seq"), "oligo_id")
+    whole = F.when(F.col("l_suppkey") % 3 == 0, F.expr(_SNP.format("seq"))).otherwise(F.col("seq"))
+    control = rows.filter("l_linenumber <= 3").select("oligo_id", "read_id", whole.alias("seq"))
+    cut = rows.withColumn("seq", whole).selectExpr("oligo_id", "read_id", "'AC' || substr(seq, 1, 53 - l_linenumber) || substr(seq, 54 + q % 5) || 'GT' as seq")
+    templates = base.targets(spark, sf_dir).select("oligo_id", "seq", "pam_idx", F.lit("FORWARD").alias("direction"))
+    return en.endogenous_summary(control, cut, templates)
+
+
 #: Templates of reads in DuckDB, and the rank of each as a choice.
 _TIES = """with k as (select l_orderkey * 8 + l_linenumber as read_id, unnest(range(0, 1 + l_linenumber % 4)) as t, l_linenumber as n, cast(l_quantity as int) as q, l_suppkey as s from lineitem),
 ties as (select read_id, 'Oligo' || s as oligo_id, case t when 0 then '-' when 1 then 'D1_L-3R-1' when 2 then 'I2_L-20R-19' else '-_M10' end as variant, cast((q * (t + 3)) % 17 + 1 as double) as percent, case when q % 7 = 0 and t = 1 then '-' else 'D' || (q % 9 + 1) || '_L-2R8' end as indel from k),

@@ -46,6 +46,24 @@ def features_sizes(spark, sf_dir):
     return got.groupBy("oligo_id", label.alias("label")).agg(F.count("*").alias("indels"))
 
 
+#: Weights of a few features, and what each asks of a placement in DuckDB: single features, a pair of groups of which both
+#: can differ between an edit's placements, and one of which one can.
+FEW = {
+    "Any Insertion": (0.25, "ins <> ''"), "I1": (0.75, "length(ins) = 1"), "D1": (1.5, "ins = '' and r - l = 2"), "DL-1--1": (0.5, "ins = '' and l = 52"), "DR0-0": (-0.5, "ins = '' and r = 53"),
+    "I1_A": (1.25, "ins = 'A'"), "CS0_NT=G": (0.4, "substr(seq, 54, 1) = 'G'"), "M_L0_R0": (0.6, "ins = '' and substr(seq, (l + 2)::int, 1) = substr(seq, (r + 1)::int, 1)"),
+    "PW_D2-3_vs_DL-2--2": (2.0, "ins = '' and r - l - 1 in (2, 3) and l = 51"), "PW_L0_NT=A_vs_DR1-1": (1.75, "ins = '' and substr(seq, (l + 2)::int, 1) = 'A' and r = 54"),
+    "PW_I1_T_vs_I1Rpt": (-1.0, "ins = 'T' and substr(seq, 53, 1) = 'T'"), "PW_CS-1_NT=C_vs_I2": (0.3, "length(ins) = 2 and substr(seq, 53, 1) = 'C'"),
+}
+
+
+@query(_BOTH + ", e as (select every_edit.*, seq from every_edit join targets using (oligo_id)), z as (select oligo_id, indel, " + " + ".join(f"{w} * max(case when {on} then 1 else 0 end)" for w, on in FEW.values()) + """ as z from e group by all)
+select oligo_id, indel, round(exp(z::double) * 1000.0 / sum(exp(z::double)) over (partition by oligo_id), 6) as reads from z""")
+def predict_few_weights(spark, sf_dir):
+    """Predicted profiles by weights of a few features, from a table of names."""
+    table = spark.createDataFrame([(k, v[0]) for k, v in FEW.items()], "feature string, value double")
+    return md.predicted(base.targets(spark, sf_dir), md.named_weights(table)).withColumn("reads", F.round("reads", 6))
+
+
 @query()
 def predict_profile(spark, sf_dir):
     return md.predicted(base.targets(spark, sf_dir), weights()).withColumn("reads", F.round("reads", 6))

@@ -135,7 +135,7 @@ c as (select x.oligo_id, """ + ", ".join(f"count(*) filter (greatest(x.place, y.
   from x join y using (oligo_id, indel) group by 1)
 select p.*, """ + ", ".join(f"coalesce(common_{k}, 0) as common_{k}" for k in (3, 5, 10)) + " from p left join c using (oligo_id)")
 def top_indels(spark, sf_dir):
-    got = pr.compare_tops(accepted(spark, sf_dir), spark.sql("select 'A' as a, 'N' as b")).drop("a", "b")
+    got = dv.compare_tops(accepted(spark, sf_dir), spark.sql("select 'A' as a, 'N' as b")).drop("a", "b")
     named = {c: c.replace("_a_", "_x_").replace("_b_", "_y_") for c in got.columns}
     return got.select(*(F.round(c, 6).alias(n) if c.startswith("percent") else F.col(c) for c, n in named.items()))
 

@@ -57,12 +57,10 @@ def _names(spark, sf_dir):
  case when cell = 'K562' and cov = '1600x' then 'D' when cell = 'CAS9' then 'C' when vir like '%A%' then 'A' else 'B' end || ' DPI ' || day as label,
  cast(row_number() over (order by cell_line, day, vir, cov, study, case when tail = '_dec' then '1dec' else '' end, sample, c_custkey) as integer) as place from p""")
 def sample_labels(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     s = F.col("sample")
     p = _names(spark, sf_dir).withColumn("p", sm.parsed(s)).withColumn("label", sm.simple_name(s, with_day=True))
-    place = F.row_number().over(Window.orderBy("p", "c_custkey"))  # a list of samples
-    return p.select("c_custkey", "sample", *(F.col(f"p.{c}").alias(c) for c in ("cell_line", "dpi", "virus", "coverage", "date", "month")), "label", place.alias("place"))
+    p = op.numbered(p, ["p", "c_custkey"], "place", 1)
+    return p.select("c_custkey", "sample", *(F.col(f"p.{c}").alias(c) for c in ("cell_line", "dpi", "virus", "coverage", "date", "month")), "label", F.col("place").cast("int").alias("place"))
 
 
 _GOOD = """not ((cell = 'RPE1' and vir like '%7A%') or (cell = 'RPE1' and tail <> '_dec') or day = 16 or (day = 7 and cell = 'K562' and cov = '1600x' and vir = '7B')
@@ -70,6 +68,7 @@ _GOOD = """not ((cell = 'RPE1' and vir like '%7A%') or (cell = 'RPE1' and tail <
 _SELECT = {
     "DPI7": "not old and good and day = 7", "K562 New": "not old and good and day = 7 and cell_line = 'K562'", "Old Scaffold": "old and good", "K562_All_TP": "not old and good and cell_line = 'K562'",
     "New Scaffold": "not old and good", "K562 TREX": "not old and good and day = 7 and cell_line = 'K562'", "All": "good",
+    "Concat New": "contains(sample, 'data_') and contains(sample, 'N')", "Concat Old": "contains(sample, 'data_') and contains(sample, 'O')",
 }
 
 
@@ -183,16 +182,20 @@ hw as (select sample, oligo_id, sum(-s * log2(s)) as h from (select sample, olig
 tot as (select sample, oligo_id, sum(reads) as total from summary group by all),
 acc as (select sample, oligo_id, sum(reads) as accepted, coalesce(sum(reads) filter (indel = '-'), 0) as unedited, count(*) filter (indel <> '-') + 1 as states from whole group by all),
 st as (select tot.sample, tot.oligo_id, cast(coalesce(accepted, 0) as bigint) as accepted, round(coalesce(accepted, 0) * 100.0 / total, 6) as percent, cast(coalesce(unedited, 0) as bigint) as unedited, coalesce(states, 1) as states, round(coalesce(h.h, 0), 6) as entropy, round(coalesce(hw.h, 0), 6) as entropy_all
- from tot left join acc using (sample, oligo_id) left join h using (sample, oligo_id) left join hw using (sample, oligo_id))
-select x.a, x.b, x.oligo_id, """ + ", ".join(f"s{s}.{c} as {c}_{s}" for s in "ab" for c in ("accepted", "percent", "unedited", "states", "entropy", "entropy_all")) + """,
+ from tot left join acc using (sample, oligo_id) left join h using (sample, oligo_id) left join hw using (sample, oligo_id)),
+rk as (select *, case when indel <> '-' and p is not null then row_number() over (partition by a, b, oligo_id order by indel <> '-' and p is not null desc, p desc, indel desc) end as pa,
+  case when indel <> '-' and q is not null then row_number() over (partition by a, b, oligo_id order by indel <> '-' and q is not null desc, q desc, indel desc) end as pb,
+  count(p) filter (indel <> '-') over v as na, count(q) filter (indel <> '-') over v as nb, sum(p) filter (indel <> '-') over v as ta, sum(q) filter (indel <> '-') over v as tb from paired window v as (partition by a, b, oligo_id)),
+tp as (select a, b, oligo_id, coalesce(min(pa) filter (pa <= least(na, nb) and pa is distinct from pb), 0) as first_difference, """ + ", ".join(
+    [f"round(sum(case when p{s} <= least({k}, na, nb) then {c} else 0 end * 100.0 / t{s}), 6) as percent_{s}_{k}" for k in (3, 5, 10) for c, s in (("p", "a"), ("q", "b"))]
+    + [f"count(*) filter (pa <= least({k}, na, nb) and pb <= least({k}, na, nb)) as common_{k}" for k in (3, 5, 10)]) + """ from rk where least(na, nb) > 0 group by all)
+select x.a, x.b, x.oligo_id, cast(coalesce(first_difference, 0) as int) as first_difference, """ + ", ".join([f"coalesce(percent_{s}_{k}, -1.0) as percent_{s}_{k}" for k in (3, 5, 10) for s in "ab"] + [f"coalesce(common_{k}, -1) as common_{k}" for k in (3, 5, 10)]) + ", " + ", ".join(f"s{s}.{c} as {c}_{s}" for s in "ab" for c in ("accepted", "percent", "unedited", "states", "entropy", "entropy_all")) + """,
  round(k0.kl, 6) as kl_with_null, round(k1.kl, 6) as kl_without_null, round(coalesce(overlap, 0), 6) as overlap
 from (select pairs.a, pairs.b, u.oligo_id from pairs join tot u on u.sample = pairs.a join tot v on v.sample = pairs.b and v.oligo_id = u.oligo_id) x
 join st sa on sa.sample = x.a and sa.oligo_id = x.oligo_id join st sb on sb.sample = x.b and sb.oligo_id = x.oligo_id
-left join k0 on k0.a = x.a and k0.b = x.b and k0.oligo_id = x.oligo_id left join k1 on k1.a = x.a and k1.b = x.b and k1.oligo_id = x.oligo_id left join ov on ov.a = x.a and ov.b = x.b and ov.oligo_id = x.oligo_id""")
+left join k0 on k0.a = x.a and k0.b = x.b and k0.oligo_id = x.oligo_id left join k1 on k1.a = x.a and k1.b = x.b and k1.oligo_id = x.oligo_id left join ov on ov.a = x.a and ov.b = x.b and ov.oligo_id = x.oligo_id left join tp on tp.a = x.a and tp.b = x.b and tp.oligo_id = x.oligo_id""")
 def full_pairwise(spark, sf_dir):
-    """Without the tops, which `top_indels` returns."""
-    got = reports.full_pairwise(base.summary(spark, sf_dir), accepted(spark, sf_dir), pf.pairs(spark))
-    return rounded(got.drop("first_difference", *(c for c in got.columns if c.startswith(("common_", "percent_a_", "percent_b_")))))
+    return rounded(reports.full_pairwise(base.summary(spark, sf_dir), accepted(spark, sf_dir), pf.pairs(spark)))
 
 
 _TOTALS = PROFILE + ", t as (select sample, oligo_id, sum(reads) filter (indel <> '-') as reads from profile group by all)"
@@ -292,15 +295,21 @@ def _kl_of(name: str, left: str, right: str) -> str:
 @query(_LIB + ", o as (select own.* from own join good using (k) where library = 'old'), n as (select own.* from own join good using (k) where library = 'new'), " + _kl_of("k1", "o", "n") + """,
 oc as (select k, split_part(indel, '_', 1) as indel, sum(reads) as reads from o where indel <> '-' group by all), nc as (select k, split_part(indel, '_', 1) as indel, sum(reads) as reads from n where indel <> '-' group by all), """ + _kl_of("k2", "oc", "nc") + """,
 m as (select a.k, b.k as other from (select k, row_number() over (order by k) as i from good) a join (select k, row_number() over (order by md5(k || '/1'), k) as i from good) b using (i)),
-mn as (select m.k, indel, reads from m join n on n.k = other), """ + _kl_of("k3", "o", "mn") + """
-select old_id, new_id, cast(edited_old as bigint) as edited_old, cast(edited_new as bigint) as edited_new, k1.kl, k2.kl as class_kl, other as other_1, k3.kl as other_kl_1
-from good join ids on old_id = k join k1 using (k) join k2 using (k) join m using (k) left join k3 using (k)""")
+mn as (select m.k, indel, reads from m join n on n.k = other), """ + _kl_of("k3", "o", "mn") + """,
+m2 as (select a.k, b.k as other from (select k, row_number() over (order by k) as i from good) a join (select k, row_number() over (order by md5(k || '/2'), k) as i from good) b using (i)),
+mn2 as (select m2.k, indel, reads from m2 join n on n.k = other), """ + _kl_of("k4", "o", "mn2") + r""",
+wa as (select oligo_id as k, indel, reads from profile where sample = 'A' and oligo_id in (select oligo_id from profile where sample = 'N')),
+wn as (select oligo_id as k, indel, reads from profile where sample = 'N' and oligo_id in (select oligo_id from profile where sample = 'A')), """ + _kl_of("k5", "wa", "wn") + r""",
+net as (select k, library, reads, cast(substr(split_part(indel, '_', 1), 2) as integer) - coalesce(try_cast(regexp_extract(split_part(indel, '_', 2), 'I(-?\d+)', 1) as integer), 0) - coalesce(try_cast(regexp_extract(split_part(indel, '_', 2), 'D(-?\d+)', 1) as integer), 0) as net from own where indel <> '-'),
+fr as (select k, coalesce(sum(reads) filter (library = 'old' and net % 3 = 0), 0) * 100.0 / sum(reads) filter (library = 'old') as f_old, coalesce(sum(reads) filter (library = 'new' and net % 3 = 0), 0) * 100.0 / sum(reads) filter (library = 'new') as f_new from net group by 1)
+select old_id, new_id, cast(edited_old as bigint) as edited_old, cast(edited_new as bigint) as edited_new, round(f_old, 6) as in_frame_old, round(f_new, 6) as in_frame_new, k1.kl, k2.kl as class_kl,
+ k5.kl as within_old, cast(null as double) as within_new, m.other as other_1, k3.kl as other_kl_1, m2.other as other_2, k4.kl as other_kl_2
+from good join ids on old_id = k join k1 using (k) join k2 using (k) join m using (k) join m2 using (k) left join k3 using (k) left join k4 using (k) left join fr using (k) left join k5 using (k)""")
 def old_new_report(spark, sf_dir):
     """Samples A and N as the old library, R as the new one."""
     p = accepted(spark, sf_dir).withColumn("library", F.when(F.col("sample") == "R", "new").otherwise("old"))
     ids = base.table(spark, sf_dir, "supplier").selectExpr("'Oligo' || s_suppkey as old_id", "'Oligo' || (s_suppkey % 10 + 1) as new_id")
-    got = reports.old_new(p, ids, seeds=(1,))
-    return rounded(got.drop("in_frame_old", "in_frame_new", "within_old", "within_new"))
+    return rounded(reports.old_new(p, ids))
 
 
 @query(PROFILE + ", m as (select 'Guide' || (s_suppkey % 20) as guide, 'Oligo' || s_suppkey as oligo_id from supplier), end_p as (select 'Guide' || (cast(substr(oligo_id, 6) as int) % 20) as k, indel, cast(sum(reads) as bigint) as reads from profile where sample = 'R' group by all), "

@@ -10,12 +10,31 @@ from cutscape.functions.samples import parsed
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): lines with their number in the file.
+    """(file, block, line_no, value): lines with their number in the file, and where the block begins that they were read in.
 
-    Each file is read whole by one task (wholetext) and split, so numbers don't depend on how Spark cuts files.
+    A file is read in as many tasks as Spark cuts it into blocks. A block's lines follow one another in its task, so a line's
+    number is its place there plus the lines of the file's blocks before, which a second scan counts; a row for each block is
+    joined back. A line that a cut goes through belongs to the block that it begins in. Compressed files are one block.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line_no", "value"))
+    where = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "block"))]
+    rows = spark.read.text(path).select(*where, "value", F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("file", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(starts, ["file", "block"]).select("file", "block", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line_no"), "value")
+
+
+def filled_down(rows: DataFrame, mark: Column, name: str) -> DataFrame:
+    """numbered_lines() with the last mark that is not null up to each line of its file. A block is filled by itself; of a file's
+    blocks only their last marks meet."""
+    rows = rows.withColumn("_mark", mark)
+    own = F.last("_mark", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    last = rows.filter("_mark is not null").groupBy("file", "block").agg(F.max_by("_mark", "line_no").alias("_last"))
+    blocks = rows.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    told = rows.withColumn("_own", own).join(blocks, ["file", "block"])
+    return told.withColumn(name, F.coalesce("_own", "_before")).drop("_mark", "_own", "_before")
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -57,8 +76,7 @@ def sectioned(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     rows = numbered_lines(spark, path).filter("value <> ''")
     mark = F.col("value").startswith("@@@")
     key = F.when(mark, F.regexp_extract("value", r"^@@@(\S*)", 1))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumn("section", F.last(key, ignorenulls=True).over(w)).filter(~mark)
+    filled = filled_down(rows, key, "section").filter(~mark)
     bits = F.split("value", "\t")
     return filled.select("file", "line_no", "section", *(F.get(bits, k).alias(c) for k, c in enumerate(columns)))
 
@@ -113,11 +131,13 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def analyser_report(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, wge_ids) of `SEQ:` lines followed by indented ids."""
+    """(seq, wge_ids) of `SEQ:` lines followed by indented ids. A line that is neither raises, and so does an id before the
+    first sequence."""
     rows = numbered_lines(spark, path).filter("trim(value) <> ''")
     name = F.when(F.col("value").endswith(":"), F.regexp_replace("value", ":$", ""))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumn("seq", F.last(name, ignorenulls=True).over(w)).withColumn("id", F.expr("try_cast(trim(value) as bigint)"))
+    filled = filled_down(rows, name, "seq").withColumn("id", F.expr("try_cast(trim(value) as bigint)"))
+    wrong = F.col("seq").isNull() | (F.col("id").isNull() & ~F.col("value").endswith(":"))
+    filled = filled.withColumn("seq", F.when(wrong, F.raise_error(F.concat(F.lit("malformed line: "), "value"))).otherwise(F.col("seq")))
     ids = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("line_no", "id"))))
     return filled.groupBy("seq").agg(F.transform(ids, lambda x: x["id"]).alias("wge_ids"))
 
@@ -157,9 +177,12 @@ def null_profile(summary: DataFrame, unedited_only: bool = True) -> DataFrame:
 
 
 def unchanged_pam(targets: DataFrame) -> DataFrame:
-    """(oligo_id, pam_idx, reverse) of the unchanged template of each oligo of expected_targets()."""
+    """(oligo_id, pam_idx, reverse) of the first unchanged template of each oligo of expected_targets() or null_summaries(): by
+    the column line_no, or where there is none by the least PAM."""
     rows = targets.filter("variant = '-'")
-    return rows.groupBy("oligo_id").agg(F.min(F.struct("pam_idx", "reverse")).alias("m")).select("oligo_id", "m.pam_idx", "m.reverse")
+    rows = rows.withColumn("reverse", F.col("direction") != "FORWARD") if "reverse" not in rows.columns else rows
+    order = [c for c in ("file", "line_no") if c in rows.columns]
+    return rows.groupBy("oligo_id").agg(F.min(F.struct(*order, "pam_idx", "reverse")).alias("m")).select("oligo_id", "m.pam_idx", "m.reverse")
 
 
 def section_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -251,9 +274,9 @@ def sequencing_runs(spark: SparkSession, path: str) -> DataFrame:
     return result_table(spark, path).select(bits[1].alias("location"), at(-2).alias("cell"), at(-1).alias("time"), F.col("Run_s").alias("run"))
 
 
-def spacers(spark: SparkSession, path: str, number: str = "Spacer ", place: str = "Genomic location of spacer (hg19)", seq: str = "Spacer sequence") -> DataFrame:
-    """(guide, location, seq) of a table of spacers by number."""
-    return result_table(spark, path).select(F.concat(F.lit("Overbeek_"), F.trim(F.col(number))).alias("guide"), F.col(place).alias("location"), F.col(seq).alias("seq"))
+def spacers(spark: SparkSession, path: str, prefix: str, number: str = "Spacer ", place: str = "Genomic location of spacer (hg19)", seq: str = "Spacer sequence") -> DataFrame:
+    """(guide, location, seq) of a table of spacers by number; a guide is the prefix and the number."""
+    return result_table(spark, path).select(F.concat(F.lit(prefix), F.trim(F.col(number))).alias("guide"), F.col(place).alias("location"), F.col(seq).alias("seq"))
 
 
 def file_map(spark: SparkSession, path: str) -> DataFrame:
