@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -458,41 +459,112 @@ def penalties(decay: float, insert_decay: float) -> np.ndarray:
     return np.array([insert_decay if "I" in name else decay for name in layout()[0]])
 
 
-def loss_and_gradient(rows: DataFrame, theta: np.ndarray, decay: float = 0.01, insert_decay: float = 0.01) -> tuple[float, np.ndarray]:
-    """Mean divergence of observed from predicted shares over targets, plus the sum of decay * theta^2, and its gradient.
+@dataclass
+class Ask:
+    """Weights whose loss is asked for: on all targets, or on those of a fold (inside), or on those of the others."""
 
-    One pass: softmax by window, then each partition adds up its part of the gradient, a vector of fixed length.
-    """
-    size = len(theta)
-    w = Window.partitionBy("oligo_id")
-    scored = score(rows, theta).withColumn("_m", F.max("z").over(w))
-    scored = scored.withColumn("_lse", F.log(F.sum(F.exp(F.col("z") - F.col("_m"))).over(w)) + F.col("_m"))
-    scored = scored.withColumn("_first", F.row_number().over(w.orderBy("indel")) == 1)
+    theta: np.ndarray
+    fold: int | None = None
+    inside: bool = False
+
+    def wants(self, fold: int) -> bool:
+        return self.fold is None or (fold == self.fold) == self.inside
+
+
+def blocks(rows: DataFrame, folds: int = 1) -> DataFrame:
+    """rows of observed() as sparse blocks, one shuffle: (fold, targets, owner, counts, features, y), a block for each partition
+    and fold, all rows of a target in one. owner is the target of each row, counts its number of features; all are binary."""
+    told = rows.select("oligo_id", "indel", "features", "y", fold_of("oligo_id", folds).alias("fold"))
+    dealt = told.repartition("oligo_id").sortWithinPartitions("oligo_id", "indel")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            whole = pd.concat(held)
+            for fold, part in whole.groupby("fold", sort=True):
+                names, owner = np.unique(part["oligo_id"].to_numpy(str), return_inverse=True)
+                order = np.argsort(owner, kind="stable")
+                lines = part["features"].to_numpy()[order]
+                counts = np.array([len(x) for x in lines], np.int32)
+                flat = np.concatenate([*lines, np.zeros(0, np.int32)]).astype(np.int32)
+                yield pd.DataFrame({"fold": [fold], "targets": [len(names)], "owner": [owner[order].astype(np.int32).tobytes()], "counts": [counts.tobytes()], "features": [flat.tobytes()], "y": [part["y"].to_numpy(float)[order].tobytes()]})
+
+        for batch in batches:
+            if size >= BLOCK_ROWS:  # blocks end between two targets
+                first = batch["oligo_id"] != held[-1]["oligo_id"].iloc[-1]
+                cut = int(first.to_numpy().argmax()) if first.any() else len(batch)
+                held.append(batch.iloc[:cut])
+                if first.any():
+                    yield from out()
+                    held, size, batch = [], 0, batch.iloc[cut:]
+                else:
+                    continue
+            held.append(batch)
+            size += len(batch)
+        if held:
+            yield from out()
+
+    return dealt.mapInPandas(pack, "fold int, targets bigint, owner binary, counts binary, features binary, y binary")
+
+
+#: Rows of a block, about.
+BLOCK_ROWS = 100_000
+#: Sums that meet in the driver in each evaluation.
+BRANCHES = 16
+
+
+def evaluate(packed: DataFrame, asks: list[Ask], decay: float = 0.01, insert_decay: float = 0.01) -> list[tuple[float, np.ndarray]]:
+    """Of each ask the mean divergence of observed from predicted shares over targets, plus the sum of decay * theta^2, and its
+    gradient. One pass over blocks() for all of them; a task adds up its blocks, and a tree of BRANCHES sums adds up the tasks."""
+    width = len(layout()[0])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, n, grad = 0.0, 0, np.zeros(size)
+        total = np.zeros((len(asks), width + 2))
         for b in batches:
-            y, z, lse = (b[c].to_numpy() for c in ("y", "z", "_lse"))
-            loss += float((y * (np.log(y) - z + lse)).sum())
-            n += int(b["_first"].sum())
-            lengths = b["features"].map(len).to_numpy()
-            if lengths.sum():
-                grad += np.bincount(np.concatenate(b["features"].to_numpy()), np.repeat(np.exp(z - lse) - y, lengths), size)
-        yield pd.DataFrame({"loss": [loss], "n": [n], "grad": [grad]})
-
-    parts = scored.select("features", "y", "z", "_lse", "_first").mapInPandas(add, "loss double, n bigint, grad array<double>")
-    # A tree of sums would do the same for many partitions; element sums are added by position here, on the executors.
-    summed = parts.select("loss", "n", F.posexplode("grad").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("i").collect()
-    if not summed:  # no rows, no partitions
-        return 0.0, np.zeros(size)
-    n = max(summed[0]["n"], 1)
-    grad, decays = np.array([r["g"] for r in summed]) / n, penalties(decay, insert_decay)
-    return summed[0]["loss"] / n + float(decays @ theta**2), grad + 2 * decays * theta
-
-
-def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 20, memory: int = 8) -> np.ndarray:
-    """L-BFGS with a backtracking line search."""
-    value, grad = f(x)
+            for fold, targets, *parts in zip(b["fold"], b["targets"], b["owner"], b["counts"], b["features"], b["y"]):
+                owner, counts, features = (np.frombuffer(x, np.int32) for x in parts[:3])
+                y, row = np.frombuffer(parts[3]), np.repeat(np.arange(len(counts)), counts)
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                for k, ask in enumerate(asks):
+                    if not ask.wants(fold):
+                        continue
+                    z = np.bincount(row, ask.theta[features], len(counts))
+                    top = np.maximum.reduceat(z, starts)[owner]
+                    lse = np.log(np.bincount(owner, np.exp(z - top)))[owner] + top
+                    total[k, 0] += (y * (np.log(y) - z + lse)).sum()
+                    total[k, 1] += targets
+                    total[k, 2:] += np.bincount(features, (np.exp(z - lse) - y)[row], width)
+        yield pd.DataFrame({"branch": [TaskContext.get().partitionId() % BRANCHES], "sums": [total.tobytes()]})
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"branch": [part["branch"].iloc[0]], "sums": [sum(np.frombuffer(x) for x in part["sums"]).tobytes()]})
+
+    shape = "branch int, sums binary"
+    got = packed.mapInPandas(add, shape).groupBy("branch").applyInPandas(join, shape).collect()  # BRANCHES rows
+    total = sum((np.frombuffer(r["sums"]).reshape(len(asks), width + 2) for r in got), np.zeros((len(asks), width + 2)))
+    decays, out = penalties(decay, insert_decay), []
+    for ask, (loss, n, *grad) in zip(asks, total):
+        n, theta = max(n, 1), ask.theta
+        out.append((loss / n + float(decays @ theta**2), np.array(grad) / n + 2 * decays * theta))
+    return out
+
+
+def loss_and_gradient(rows: DataFrame, theta: np.ndarray, decay: float = 0.01, insert_decay: float = 0.01) -> tuple[float, np.ndarray]:
+    """evaluate() of one ask, on all rows of observed()."""
+    if not rows.take(1):
+        return 0.0, np.zeros(len(theta))
+    return evaluate(blocks(rows), [Ask(theta)], decay, insert_decay)[0]
+
+
+def descent(x: np.ndarray, steps: int = 20, memory: int = 8, tries: int = 6) -> Iterator[list[np.ndarray]]:
+    """L-BFGS as a generator: it yields points, is sent their (value, gradient), and returns the best one.
+
+    A line search asks for `tries` step lengths at once, each half as long as the one before, and takes the first that
+    lowers the value enough; if none does, for `tries` shorter ones, once.
+    """
+    ((value, grad),) = yield [x]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         q, alphas = grad.copy(), []
@@ -505,15 +577,16 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             q *= float(s @ y) / float(y @ y)
         for (s, y), a in zip(pairs, reversed(alphas)):
             q += s * (a - float(y @ q) / float(y @ s))
-        step = 1.0 if pairs else 1.0 / max(1.0, float(np.linalg.norm(grad)))
-        while step > 1e-6:
-            new = x - step * q
-            new_value, new_grad = f(new)
-            if new_value <= value - 1e-4 * step * float(grad @ q):
+        step, found = 1.0 if pairs else 1.0 / max(1.0, float(np.linalg.norm(grad))), None
+        for again in range(2):
+            lengths = [step * 0.5 ** (k + again * tries) for k in range(tries)]
+            told = yield [x - t * q for t in lengths]
+            found = next(((x - t * q, v, g) for t, (v, g) in zip(lengths, told) if v <= value - 1e-4 * t * float(grad @ q)), None)
+            if found:
                 break
-            step /= 2
-        else:
+        if not found:
             break
+        new, new_value, new_grad = found
         if float((new - x) @ (new_grad - grad)) > 1e-12:
             pairs = [*pairs, (new - x, new_grad - grad)][-memory:]
         done = value - new_value < 1e-9
@@ -523,10 +596,39 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
+def minimise_all(f: Callable[[list[tuple[int, np.ndarray]]], list[tuple[float, np.ndarray]]], starts: list[np.ndarray], steps: int = 20) -> list[np.ndarray]:
+    """Several descents side by side: f gets all points that they ask for, with the number of the descent, in one call."""
+    runs, out = [descent(x, steps) for x in starts], list(starts)
+    wanted = {k: next(r) for k, r in enumerate(runs)}
+    while wanted:
+        told = iter(f([(k, x) for k, points in wanted.items() for x in points]))
+        now: dict[int, list[np.ndarray]] = {}
+        for k, points in wanted.items():
+            try:
+                now[k] = runs[k].send([next(told) for _ in points])
+            except StopIteration as end:
+                out[k] = end.value
+        wanted = now
+    return out
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 20) -> np.ndarray:
+    """One descent of a function of one point."""
+    return minimise_all(lambda points: [f(p) for _, p in points], [x], steps)[0]
+
+
+def seeded_start(seed: int) -> np.ndarray:
+    """Weights to begin with, drawn from N(0, 1)."""
+    return np.random.default_rng(seed).normal(size=len(layout()[0]))
+
+
 def train(rows: DataFrame, decay: float = 0.01, steps: int = 20, insert_decay: float = 0.01, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights for rows of observed(); persist the rows first."""
+    """Weights for rows of observed(), which are shuffled once; each step of the descent is one pass over their blocks."""
+    packed = blocks(rows).persist()
     begin = np.zeros(len(layout()[0])) if start is None else start
-    return minimise(lambda t: loss_and_gradient(rows, t, decay, insert_decay), begin, steps)
+    found = minimise_all(lambda points: evaluate(packed, [Ask(x) for _, x in points], decay, insert_decay), [begin], steps)[0]
+    packed.unpersist()
+    return found
 
 
 def fold_of(oligo: str | Column, folds: int, seed: int = 0) -> Column:
@@ -535,14 +637,14 @@ def fold_of(oligo: str | Column, folds: int, seed: int = 0) -> Column:
 
 
 def cross_validated(rows: DataFrame, folds: int = 2, decay: float = 0.01, steps: int = 20, insert_decay: float = 0.01) -> list[dict]:
-    """Of each fold: weights learned from the other folds' targets, and their divergence without penalty on both sides."""
-    told = rows.withColumn("_fold", fold_of("oligo_id", folds))
-    out = []
-    for k in range(folds):
-        rest, own = told.filter(F.col("_fold") != k).drop("_fold"), told.filter(F.col("_fold") == k).drop("_fold")
-        theta = train(rest, decay, steps, insert_decay)
-        out.append({"fold": k, "theta": theta, "train": loss_and_gradient(rest, theta, 0.0, 0.0)[0], "test": loss_and_gradient(own, theta, 0.0, 0.0)[0]})
-    return out
+    """Of each fold: weights learned from the other folds' targets, and their divergence without penalty on both sides. All folds
+    learn in the same passes."""
+    packed = blocks(rows, folds).persist()
+    learn = lambda points: evaluate(packed, [Ask(x, k) for k, x in points], decay, insert_decay)
+    found = minimise_all(learn, [np.zeros(len(layout()[0]))] * folds, steps)
+    both = evaluate(packed, [Ask(theta, k, inside) for k, theta in enumerate(found) for inside in (False, True)], 0.0, 0.0)
+    packed.unpersist()
+    return [{"fold": k, "theta": theta, "train": both[2 * k][0], "test": both[2 * k + 1][0]} for k, theta in enumerate(found)]
 
 
 def leaked(validation: DataFrame, training: DataFrame) -> DataFrame:
