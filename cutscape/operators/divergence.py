@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,5 +159,56 @@ def full_pairs(profile: DataFrame, pairs: DataFrame, tops: tuple[int, ...] = TOP
     return rows.groupBy(*keys).agg(*kls, F.coalesce(F.sum(shared), F.lit(0.0)).alias("overlap"), *_top_columns(tops))
 
 
+def _profile_sums(rows: pd.DataFrame, names: list) -> tuple[list, list[np.ndarray], dict[str, np.ndarray]]:
+    """Ids of a block of profiles (id, indel, reads), its tables by profile and indel (reads, log2 of reads, presence), and sums."""
+    ids = sorted(set(rows["id"]))
+    at, of = {x: i for i, x in enumerate(ids)}, {x: i for i, x in enumerate(names)}
+    reads = np.zeros((len(ids), len(names)))
+    reads[[at[x] for x in rows["id"]], [of[x] for x in rows["indel"]]] = rows["reads"]
+    there = reads > 0
+    logs = np.log2(np.where(there, reads, 1.0))
+    return ids, [reads, logs, there.astype(float)], {"s": reads.sum(1), "n": there.sum(1), "l": logs.sum(1), "e": (reads * logs).sum(1)}
+
+
+def block_divergence(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, symmetric_kl) of all pairs of two blocks of profiles (id, indel, reads), by five products of tables.
+
+    A pair's divergence needs sums over the indels that both have; what one of them alone has follows from its own sums.
+    """
+    names = sorted(set(a["indel"]) | set(b["indel"]))
+    (ids, (p, lp, tp), x), (others, (q, lq, tq), y) = _profile_sums(a, names), _profile_sums(b, names)
+    common = tp @ tq.T
+    h, lh = MISSING, np.log2(MISSING)
+    own = {k: v[:, None] for k, v in x.items()}
+    total_p, total_q = own["s"] + h * (y["n"] - common), y["s"] + h * (own["n"] - common)
+    pp, qq = own["e"] + (y["n"] - common) * h * lh, y["e"] + (own["n"] - common) * h * lh
+    pq = p @ lq.T + (own["s"] - p @ tq.T) * lh + h * (y["l"] - tp @ lq.T)
+    qp = lp @ q.T + (y["s"] - tp @ q.T) * lh + h * (own["l"] - lp @ tq.T)
+    ratio = np.log2(total_q) - np.log2(total_p)
+    value = 0.5 * ((pp - pq) / total_p + ratio + (qq - qp) / total_q - ratio)
+    i, j = np.indices(value.shape).reshape(2, -1)
+    return pd.DataFrame({"a": np.array(ids, object)[i], "b": np.array(others, object)[j], "symmetric_kl": value.reshape(-1)})
+
+
+def divergence_matrix(left: DataFrame, right: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b, symmetric_kl) of every profile of one table (id, indel, reads) with every one of another, edited reads alone.
+
+    Profiles are dealt by hash to blocks of about `block`; each two blocks meet in one group as sparse tables. Profiles without
+    edited reads have no row. Join the two ids' places to order the matrix.
+    """
+    rows = [df.filter("indel <> '-' and reads > 0").groupBy("id", "indel").agg(F.sum("reads").cast("double").alias("reads")) for df in (left, right)]
+    n = [max(1, -(-df.select("id").distinct().count() // block)) for df in rows]
+    part = lambda k: F.pmod(F.xxhash64("id"), F.lit(n[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
+    x = rows[0].select("*", part(0).alias("x"), every(1).alias("y"))
+    y = rows[1].select(*(F.col(c).alias(f"{c}_b") for c in ("id", "indel", "reads")), part(1).alias("y"), every(0).alias("x"))  # own names: both may be of one table
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns={f"{c}_b": c for c in ("id", "indel", "reads")})
+        return block_divergence(a, b) if len(a) and len(b) else pd.DataFrame({"a": [], "b": [], "symmetric_kl": []}).astype({"a": object, "b": object})
+
+    return x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInPandas(run, "a string, b string, symmetric_kl double")
+
+
 def rounded(c: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(c)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cutscape.operators import model as md
+from cutscape.operators import reports
 from cutscape.plans import base, edits
 from cutscape.plans import profiles as pf
 
@@ -56,12 +57,34 @@ FEW = {
 }
 
 
-@query(_BOTH + ", e as (select every_edit.*, seq from every_edit join targets using (oligo_id)), z as (select oligo_id, indel, " + " + ".join(f"{w} * max(case when {on} then 1 else 0 end)" for w, on in FEW.values()) + """ as z from e group by all)
-select oligo_id, indel, round(exp(z::double) * 1000.0 / sum(exp(z::double)) over (partition by oligo_id), 6) as reads from z""")
+_PREDICTED = _BOTH + ", e as (select every_edit.*, seq from every_edit join targets using (oligo_id)), z as (select oligo_id, indel, " + " + ".join(f"{w} * max(case when {on} then 1 else 0 end)" for w, on in FEW.values()) + """ as z from e group by all),
+predicted as (select oligo_id, indel, exp(z::double) * 1000.0 / sum(exp(z::double)) over (partition by oligo_id) as reads from z)"""
+
+
+def _few(spark, sf_dir):
+    table = spark.createDataFrame([(k, v[0]) for k, v in FEW.items()], "feature string, value double")
+    return md.predicted(base.targets(spark, sf_dir), md.named_weights(table))
+
+
+@query(_PREDICTED + " select oligo_id, indel, round(reads, 6) as reads from predicted")
 def predict_few_weights(spark, sf_dir):
     """Predicted profiles by weights of a few features, from a table of names."""
-    table = spark.createDataFrame([(k, v[0]) for k, v in FEW.items()], "feature string, value double")
-    return md.predicted(base.targets(spark, sf_dir), md.named_weights(table)).withColumn("reads", F.round("reads", 6))
+    return _few(spark, sf_dir).withColumn("reads", F.round("reads", 6))
+
+
+@query(_PREDICTED + pf.FRAME.replace("with summary", ", summary") + """, met as (select oligo_id, indel, sum(p) as p, sum(q) as q from (
+  select oligo_id, indel, reads::double as p, null::double as q from profile where sample = 'A' and oligo_id in (select oligo_id from predicted) and indel <> '-'
+  union all select oligo_id, indel, null, reads from predicted where oligo_id in (select oligo_id from profile where sample = 'A')) group by all),
+s as (select *, coalesce(p, 0.5) as x, coalesce(q, 0.5) as y from met), n as (select *, x / sum(x) over w as pp, y / sum(y) over w as qq from s window w as (partition by oligo_id)),
+kl as (select oligo_id, 0.5 * sum(pp * log2(pp / qq) + qq * log2(qq / pp)) as kl from n group by 1),
+fr as (select oligo_id, coalesce(sum(reads) filter (net % 3 = 0), 0) * 100.0 / sum(reads) as f, sum(reads) as edited from sized where sample = 'A' group by 1),
+pfr as (select oligo_id, sum(reads) filter (cast(substr(split_part(indel, '_', 1), 2) as int) % 3 = 0) * 100.0 / sum(reads) as f from predicted group by 1)
+select fr.oligo_id, cast(edited as bigint) as edited, round(fr.f, 6) as in_frame, round(pfr.f, 6) as predicted_in_frame, round(kl, 6) as kl from fr left join pfr using (oligo_id) left join kl using (oligo_id)""")
+def predicted_report(spark, sf_dir):
+    """Measured profiles of sample A against the predicted ones of their targets."""
+    p = pf.accepted(spark, sf_dir).filter("sample = 'A'").select("oligo_id", "indel", "reads")
+    got = reports.measured_and_predicted(p, _few(spark, sf_dir))
+    return got.select("oligo_id", "edited", *(F.round(c, 6).alias(c) for c in ("in_frame", "predicted_in_frame", "kl")))
 
 
 @query()

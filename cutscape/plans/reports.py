@@ -8,6 +8,7 @@ from cutscape.functions import indel as ix
 from cutscape.functions import samples as sm
 from cutscape.functions import sequence as sq
 from cutscape.operators import details, mapping, mismatch, reports
+from cutscape.operators import divergence as dv
 from cutscape.operators import profile as pr
 from cutscape.operators import samples as op
 from cutscape.plans import base, edits
@@ -236,12 +237,12 @@ def side_by_side(spark, sf_dir):
 _XYZ = PROFILE + ", t as (select sample, oligo_id, cast(sum(reads) as double) as y, cast(count(*) as double) as x from profile where indel <> '-' group by all)"
 
 
-@query(_XYZ + """, k as (select *, unnest([20, 50, 100, 200]) as threshold from t), r as (select *, rank() over (partition by threshold order by x) + (count(*) over (partition by threshold, x) - 1) / 2.0 as rx,
+@query(_XYZ + """, k as (select *, unnest([20, 50, 100, 200, 500, 1000]) as threshold from t), r as (select *, rank() over (partition by threshold order by x) + (count(*) over (partition by threshold, x) - 1) / 2.0 as rx,
  rank() over (partition by threshold order by y) + (count(*) over (partition by threshold, y) - 1) / 2.0 as ry from k where y > threshold)
 select threshold, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman, count(*) as n from r group by 1 having count(*) > 2""")
 def correlation_thresholds(spark, sf_dir):
     t = accepted(spark, sf_dir).filter("indel <> '-'").groupBy("sample", "oligo_id").agg(F.sum("reads").cast("double").alias("y"), F.count("*").cast("double").alias("x"))
-    return rounded(reports.by_thresholds(t, "x", "y", "y", (20, 50, 100, 200))).filter("n > 2")
+    return rounded(reports.by_thresholds(t, "x", "y", "y")).filter("n > 2")
 
 
 @query("with " + base.SUMMARY_SQL + ", c as (select sample, oligo_id, sum(reads) as n from summary group by all) select sample, cast(sum(n) as bigint) as reads, count(*) as oligos, " + ", ".join(f"count(*) filter (n > {t}) as above_{t}" for t in (0, 10, 100, 500, 1000)) + " from c group by 1")
@@ -328,6 +329,43 @@ def endogenous_report(spark, sf_dir):
     return rounded(reports.endogenous(own, p.filter("sample <> 'R'").groupBy("oligo_id", "indel").agg(F.sum("reads").alias("reads")), matches))
 
 
+@query(PROFILE + """, e as (select 'Guide' || (cast(substr(oligo_id, 6) as int) % 20) as g, indel, sum(reads) as p from profile where sample = 'R' and indel <> '-' group by all),
+o as (select 'Guide' || (cast(substr(oligo_id, 6) as int) % 20) as g, indel, sum(reads) as q from profile where sample <> 'R' and indel <> '-' group by all),
+u as (select a, b, indel, sum(p) as p, sum(q) as q from (select e.g as a, x.g as b, indel, p, null as q from e, (select distinct g from o) x union all select x.g, o.g, indel, null, q from o, (select distinct g from e) x) group by all),
+s as (select *, coalesce(p, 0.5)::double as x, coalesce(q, 0.5)::double as y from u), n as (select *, x / sum(x) over w as pp, y / sum(y) over w as qq from s window w as (partition by a, b)),
+k as (select a, b, round(0.5 * sum(pp * log2(pp / qq) + qq * log2(qq / pp)), 6) as symmetric_kl from n group by all)
+select *, cast(dense_rank() over (order by a) as int) as row, cast(dense_rank() over (order by b) as int) as column from k""")
+def endogenous_matrix(spark, sf_dir):
+    """Divergence of every endogenous guide (sample R) from every synthetic one, with the places that order the matrix."""
+    guide = F.concat(F.lit("Guide"), (sq.oligo_index(F.col("oligo_id")) % 20).cast("string"))
+    p = accepted(spark, sf_dir).withColumn("id", guide)
+    got = dv.divergence_matrix(p.filter("sample = 'R'"), p.filter("sample <> 'R'"), block=8)
+    place = lambda c, n: op.numbered(got.select(c).distinct(), [c], n, 1).withColumn(n, F.col(n).cast("int"))
+    return got.join(place("a", "row"), "a").join(place("b", "column"), "b").withColumn("symmetric_kl", F.round("symmetric_kl", 6))
+
+
+def _mismatch_rows(spark, sf_dir):
+    """Every target as an original, and with one letter in the middle of the left copy of its longest repeat changed; edits of both
+    have reads by their names."""
+    from cutscape.operators import targets as tg
+
+    t = base.targets(spark, sf_dir).withColumn("reverse", F.pmod(F.col("p_size"), F.lit(2)) == 1)
+    at = t.withColumn("r", mismatch.longest_repeat("seq")).withColumn("k", F.col("r.left") + F.floor(F.col("r.size") / 2).cast("int"))
+    changed = F.concat(sq.part(F.col("seq"), F.lit(0), F.col("k")), F.translate(sq.part(F.col("seq"), F.col("k"), F.col("k") + 1), "ACGT", "CATG"), sq.part(F.col("seq"), F.col("k") + 1, F.length("seq")))
+    made = at.filter("r.size > 2").select(F.concat(F.lit("Changed"), F.expr("substring(oligo_id, 6)")).alias("oligo_id"), changed.alias("seq"), F.col("oligo_id").alias("comment"), "cut_idx", "reverse")
+    originals = t.select("oligo_id", "seq", F.col("oligo_id").alias("comment"), F.lit(0).alias("ord"), "cut_idx", "reverse")
+    both = made.select("oligo_id", "seq", "cut_idx", "reverse").unionByName(originals.select("oligo_id", "seq", "cut_idx", "reverse"))
+    reads = tg.candidates(both).select("oligo_id", "indel", F.pmod(F.hash("oligo_id", "indel"), F.lit(50)).cast("long").alias("reads"))
+    return made, originals, both, reads
+
+
+@query()
+def mismatch_slopes(spark, sf_dir):
+    """Lines through the origin between the shares of a repeat's deletion with and without changed letters, by their number."""
+    made, originals, both, reads = _mismatch_rows(spark, sf_dir)
+    return rounded(mismatch.slopes(mismatch.shares(mismatch.counted(made, originals, both, reads)), 2, 15))
+
+
 @query("""with r as (select 'loc' || (o_custkey % 50) as location, case o_orderkey % 3 when 0 then 'd11' when 1 then '48hr' else 'WT' end as time, 'SRR' || o_orderkey as run from orders where o_custkey % 4 <> 0 or o_orderkey % 3 <> 0),
 g as (select location, list(run order by run) filter (time = 'd11') as x, list(run order by run) filter (time = '48hr') as y, list(run order by run) filter (time = 'WT') as c from r group by 1)
 select location, array_to_string(coalesce(x, y, []), ',') as runs, array_to_string(coalesce(c, []), ',') as control_runs from g""")
@@ -425,12 +463,12 @@ def gc_boxes(spark, sf_dir):
     return rounded(op.boxes(rows.join(e, "oligo_id").withColumn("pct", 100.0 * F.col("reads") / F.col("edited")), "pct", ["mh_len", "gc"], 20))
 
 
-@query(PROFILE + f""", n as (select c_custkey % 3 as k, {_CELL} as cell from customer where c_custkey <= 30), m as (select case k when 0 then 'A' when 1 then 'N' else 'R' end as sample, case when cell = 'CAS9' then 'K562' when cell = 'WT' then ' WT' else cell end as cell_line from n),
+@query(PROFILE + f""", n as (select c_custkey % 3 as k, {_CELL} as cell from customer), m as (select case k when 0 then 'A' when 1 then 'N' else 'R' end as sample, case when cell = 'CAS9' then 'K562' when cell = 'WT' then ' WT' else cell end as cell_line from n),
 i as (select sample, 100.0 * sum(reads) filter (indel like 'I%') / sum(reads) as ins, 100.0 * sum(reads) filter (indel like 'D%') / sum(reads) as dele from profile group by 1)
 select cell_line, round(avg(ins), 6) as ins, round(avg(dele), 6) as dele, count(*) as samples from m join i using (sample) group by 1""")
 def cell_line_means(spark, sf_dir):
-    """Mean shares of insertions and deletions over the samples of a cell line; thirty sample names stand for three profiles."""
-    names = _names(spark, sf_dir).filter("c_custkey <= 30").withColumn("name", F.col("sample"))
+    """Mean shares of insertions and deletions over the samples of a cell line; the names stand for three profiles."""
+    names = _names(spark, sf_dir).withColumn("name", F.col("sample"))
     of = F.element_at(F.array(*map(F.lit, "ANR")), F.col("c_custkey").cast("int") % 3 + 1)
     share = lambda kind: (F.sum(F.when(F.col("indel").startswith(kind), F.col("reads"))) * 100.0 / F.sum("reads"))
     pies = accepted(spark, sf_dir).groupBy("sample").agg(share("I").alias("ins"), share("D").alias("dele"))
