@@ -58,17 +58,23 @@ def profiles_by_oligo(profile: DataFrame, path: str, least: float = 1.0) -> None
 
 def mapping_text(mapped: DataFrame, path: str, header: str = "@@@") -> None:
     """Mapped reads (description, hits array<struct<oligo_id, indel, muts>>) as tab-separated text; ties are joined by commas,
-    unmapped reads are None. A header line stands in a file of its own."""
+    unmapped reads are None. Columns seconds, checked (number of targets compared) and by_barcode follow where there are such.
+    A header line stands in a file of its own."""
     part = lambda c: F.coalesce(F.array_join(F.transform("hits", lambda h: h[c]), ","), F.lit("None" if c == "oligo_id" else ""))
-    rows = mapped.select(F.concat_ws("\t", "description", part("oligo_id"), part("indel"), part("muts")).alias("value"))
+    more = [F.coalesce(F.col(c).cast("int" if c == "by_barcode" else "string").cast("string"), F.lit("")) for c in ("seconds", "checked", "by_barcode") if c in mapped.columns]
+    rows = mapped.select(F.concat_ws("\t", "description", part("oligo_id"), part("indel"), part("muts"), *more).alias("value"))
     mapped.sparkSession.createDataFrame([(header,)], "value string").unionByName(rows).write.text(path)
 
 
 def candidate_text(candidates: DataFrame, path: str) -> None:
-    """Candidate edits (oligo_id, indel, n, places) as text: name, number, list of (left, right, insert), by oligo."""
+    """Candidate edits (oligo_id, indel, n, places[, seq]) as sectioned text, by thousands of oligos: name, number, list of (left,
+    right, insert), and the read that shows the edit if there is one. Sections are whole, as in summary_text()."""
     place = lambda p: F.concat(F.lit("("), p["l"].cast("string"), F.lit(","), p["r"].cast("string"), F.when(p["ins"] != "", F.concat(F.lit(",'"), p["ins"], F.lit("'"))).otherwise(""), F.lit(")"))
-    line = F.concat_ws("\t", "indel", F.col("n").cast("string"), F.concat(F.lit("["), F.array_join(F.transform("places", place), ","), F.lit("]")))
-    candidates.select("oligo_id", line.alias("value")).write.partitionBy("oligo_id").text(path)
+    read = [F.col("seq")] if "seq" in candidates.columns else []
+    line = F.concat_ws("\t", "indel", F.col("n").cast("string"), F.concat(F.lit("["), F.array_join(F.transform("places", place), ","), F.lit("]")), *read)
+    rows = candidates.groupBy("oligo_id").agg(F.array_sort(F.collect_list(line)).alias("r"))
+    bucket = F.floor(oligo_index(F.col("oligo_id")) / 1000).cast("int").alias("bucket")
+    rows.select(bucket, F.concat(F.lit("@@@"), "oligo_id", F.lit("\n"), F.array_join("r", "\n")).alias("value")).write.partitionBy("bucket").text(path)
 
 
 def repeat_text(repeats: DataFrame, path: str) -> None:
