@@ -48,7 +48,7 @@ def repeats_with_best(repeats: DataFrame, targets: DataFrame) -> DataFrame:
     best = repeats.filter("reads > 0").groupBy("oligo_id").agg(
         F.max_by(F.struct(*(c for c, _ in named.values())), F.struct("reads", -F.col("left_start"), -F.col("right_start"))).alias("b")
     )
-    told = repeats.join(targets.select("oligo_id", "seq"), "oligo_id").join(best, "oligo_id", "left")
+    told = repeats.hint("merge").join(targets.select("oligo_id", "seq"), "oligo_id").join(best.hint("merge"), "oligo_id", "left")  # repeats are generated rows
     gc = sq.gc_percent(sq.part(F.col("seq"), F.col("left_start"), F.col("left_start") + F.col("mh_len")))
     return told.select(*repeats.columns, gc.alias("gc"), *(F.coalesce(F.col(f"b.{c}"), F.lit(x)).alias(n) for n, (c, x) in named.items()))
 
@@ -60,7 +60,7 @@ def short_inserts(targets: DataFrame, longest: int = 3) -> DataFrame:
 
     s, cut = F.col("seq"), F.col("cut_idx")
     named = tg.insertions(targets, longest).select("oligo_id", "ins", "indel")
-    return named.join(targets.select("oligo_id", sq.base(s, cut - 1).alias("left_base"), sq.base(s, cut).alias("right_base")), "oligo_id")
+    return named.hint("merge").join(targets.select("oligo_id", sq.base(s, cut - 1).alias("left_base"), sq.base(s, cut).alias("right_base")), "oligo_id")
 
 
 def insert_shares(summary: DataFrame, of_inserts: bool = False, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -74,7 +74,7 @@ def counted(changed: DataFrame, originals: DataFrame, targets: DataFrame, profil
     kinds += [(f"mixed{k + 1}", "oligo_id", F.get("mixed_reads", F.lit(k))["read"]) for k in (0, 1)]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(of).alias("of"), read.alias("read")) for k, of, read in kinds)))
     told = rows.select("oligo_id", each.alias("x")).select("oligo_id", "x.*").filter("read is not null")
-    own = told.join(targets.select(F.col("oligo_id").alias("of"), F.col("seq").alias("target"), "cut_idx", "reverse"), "of")
+    own = told.hint("merge").join(targets.select(F.col("oligo_id").alias("of"), F.col("seq").alias("target"), "cut_idx", "reverse"), "of")
     named = own.withColumn("indel", aligned(F.col("target"), F.col("cut_idx"), F.col("reverse"), F.col("read"), reach)["indel"])
     reads = profile.groupBy(F.col("oligo_id").alias("of"), "indel").agg(F.sum("reads").alias("reads"))
     with_reads = named.join(reads.hint("merge"), ["of", "indel"], "left")
@@ -82,7 +82,7 @@ def counted(changed: DataFrame, originals: DataFrame, targets: DataFrame, profil
     n = [F.coalesce(of(k, "reads"), F.lit(0)).alias(f"{k}_reads") for k, *_ in kinds]
     got = with_reads.groupBy("oligo_id").agg(of("original", "indel").alias("indel"), of("original", "reverse").alias("reverse"), *n).filter("indel is not null")
     total = profile.filter("indel <> '-'").groupBy("oligo_id").agg(F.sum("reads").alias("total"))
-    out = rows.select("oligo_id", "original_id", "left_copy", "right_copy", "original_repeat").join(got, "oligo_id").join(total.hint("merge"), "oligo_id")
+    out = rows.select("oligo_id", "original_id", "left_copy", "right_copy", "original_repeat").join(got.hint("merge"), "oligo_id").join(total.hint("merge"), "oligo_id")
     return out.join(total.select(F.col("oligo_id").alias("original_id"), F.col("total").alias("original_total")).hint("merge"), "original_id").drop("original_id")
 
 

@@ -105,7 +105,7 @@ def mh_frequencies(spark, sf_dir):
     """Expected deletions of the targets with a profile, zero where none was read."""
     reads = pf.accepted(spark, sf_dir).groupBy("oligo_id", "indel").agg(F.sum("reads").alias("reads"))
     found = tg.microhomology_indels(base.targets(spark, sf_dir).join(reads.select("oligo_id").distinct(), "oligo_id", "left_semi"))
-    return found.join(reads, ["oligo_id", "indel"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)).cast("long"))
+    return found.hint("merge").join(reads, ["oligo_id", "indel"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)).cast("long"))
 
 
 @query(MH_INDELS + """ select oligo_id, arg_max(indel, (mh_len, -left_start, -right_start)) as top_indel, max(mh_len) as top_len, count(*) as n from mhi group by 1""")
