@@ -33,7 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this program has put into the shared folder by shared_path(): tables of written(), items, files. Call it when
+    the results are saved: frames that read these tables can't be read again. Returns the number of folders. Checkpoints are
+    Spark's, which removes them with spark.cleaner.referenceTracking.cleanCheckpoints."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in (made := list(_MADE)):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _MADE.remove(path)
+    return len(made)
 
 
 def filesystem(uri: str):

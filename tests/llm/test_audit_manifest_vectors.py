@@ -272,3 +272,14 @@ def test_equals_sql(spark, name, tmp_path):
     rel = c.sql(queries.oracle_sql()[name])
     assert sorted(rel.columns) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r[x] for x in rel.columns) for r in df.collect()))) == sorted(map(repr, rel.fetchall()))
+
+
+def test_tables_are_released(spark):
+    from cutscape.llm import common
+
+    common.release(spark)
+    df = common.written(spark.range(10), "numbers")
+    path = common._MADE[-1]
+    where, plain = common.filesystem(path)
+    assert df.count() == 10 and where.get_file_info(plain).type.name == "Directory"
+    assert common.release(spark) == 1 and where.get_file_info(plain).type.name == "NotFound" and common.release(spark) == 0
