@@ -11,6 +11,7 @@ from cutscape.plans import catalog
 QUERIES = (
     "profile_basic", "profile_wt", "profile_counts", "symmetric_kl", "topn_class_kl", "overlap", "entropy", "pairwise_report", "merge_samples_outer",
     "top_indels", "pie_categories", "find_mh", "mh_frequencies", "barcode_candidates", "nearby_loci", "wge_choice", "gen_indels", "predict_profile", "edit_details", "full_pairwise",
+    "map_reads", "exptargets", "old_new_report", "endogenous_profiles", "endogenous_matrix", "trained_weights",
 )
 
 

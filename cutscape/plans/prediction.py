@@ -102,3 +102,12 @@ def observed_shares(spark, sf_dir):
     """Training rows: shares of reads with a pseudo count over each target's candidates."""
     reads = pf.accepted(spark, sf_dir).groupBy("oligo_id", "indel").agg(F.sum("reads").alias("reads"))
     return md.observed(_rows(spark, sf_dir), reads).select("oligo_id", "indel", F.size("features").alias("n_features"), "y")
+
+
+@query()
+def trained_weights(spark, sf_dir):
+    """Weights after two steps of training on the targets that have reads."""
+    reads = pf.accepted(spark, sf_dir).groupBy("oligo_id", "indel").agg(F.sum("reads").alias("reads"))
+    t = base.targets(spark, sf_dir).join(reads.select("oligo_id").distinct(), "oligo_id", "left_semi")
+    theta = md.train(md.observed(md.features_of_targets(t), reads), steps=2)
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(md.layout()[0], theta)], "feature string, value double")

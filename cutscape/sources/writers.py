@@ -67,13 +67,14 @@ def mapping_text(mapped: DataFrame, path: str, header: str = "@@@") -> None:
 
 
 def candidate_text(candidates: DataFrame, path: str) -> None:
-    """Candidate edits (oligo_id, indel, n, places[, seq]) as sectioned text, by thousands of oligos: name, number, list of (left,
+    """Candidate edits (oligo_id, indel, n, places[, seq]) as sectioned text, by thousands of oligos (other ids: -1): name, number, list of (left,
     right, insert), and the read that shows the edit if there is one. Sections are whole, as in summary_text()."""
     place = lambda p: F.concat(F.lit("("), p["l"].cast("string"), F.lit(","), p["r"].cast("string"), F.when(p["ins"] != "", F.concat(F.lit(",'"), p["ins"], F.lit("'"))).otherwise(""), F.lit(")"))
     read = [F.col("seq")] if "seq" in candidates.columns else []
     line = F.concat_ws("\t", "indel", F.col("n").cast("string"), F.concat(F.lit("["), F.array_join(F.transform("places", place), ","), F.lit("]")), *read)
     rows = candidates.groupBy("oligo_id").agg(F.array_sort(F.collect_list(line)).alias("r"))
-    bucket = F.floor(oligo_index(F.col("oligo_id")) / 1000).cast("int").alias("bucket")
+    number = F.regexp_extract("oligo_id", r"^Oligo_?(\d+)", 1).try_cast("int")
+    bucket = F.coalesce(F.floor(number / 1000).cast("int"), F.lit(-1)).alias("bucket")
     rows.select(bucket, F.concat(F.lit("@@@"), "oligo_id", F.lit("\n"), F.array_join("r", "\n")).alias("value")).write.partitionBy("bucket").text(path)
 
 
