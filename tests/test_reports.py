@@ -87,8 +87,8 @@ def test_more_readers(spark, tmp_path):
     s = put("s.txt", "Library_Name_s\tRun_s\nx_chr1:1-2_K562_d11\tR1\nx_chr1:1-2_K562_d11_R2\tR2\n")
     assert {(r.location, r.cell, r.time, r.run) for r in readers.sequencing_runs(spark, s).collect()} == {("chr1:1-2", "K562", "d11", "R1"), ("chr1:1-2", "K562", "d11", "R2")}
     assert [(r.farm, r.original) for r in readers.file_map(spark, put("fm.txt", "a b\n")).collect()] == [("b", "a")]
-    t = readers.template(spark, put("t.fa", ">Overbeek1_X 30 FORWARD\nACGTACGT\n")).first()
-    assert (t.oligo_id, t.pam_idx, t.direction, t.seq) == ("Overbeek1", 30, "FORWARD", "ACGTACGT")
+    t = readers.template(spark, put("t.fa", ">Site1_X 30 FORWARD\nACGTACGT\n")).first()
+    assert (t.oligo_id, t.pam_idx, t.direction, t.seq) == ("Site1", 30, "FORWARD", "ACGTACGT")
     q = readers.fastq_of_guide(spark, put("q.fastq", "@a.1\nAC\n+\nII\n@b\nAC\n+\nII\n"), "G1")
     assert {r.read_id for r in q.collect()} == {"a.1", "G1.b"}
     lines = frame(spark, [(0, "@@@G_chr1_100_+ ACGT 50.0"), (1, "@@@G_chr2_100_+ ACGT 50.0")], "line_no int, value string")
