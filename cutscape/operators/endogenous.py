@@ -41,8 +41,8 @@ def endogenous_summary(control: DataFrame, edited: DataFrame, templates: DataFra
     null = control_templates(control, templates, least_percent, reach)
     own = edited.join(templates.select("oligo_id", F.col("seq").alias("_template")), "oligo_id")
     own = own.select("oligo_id", "read_id", sq.trimmed_read(F.col("seq"), F.col("_template")).alias("seq")).filter(F.length("seq") > 0)
-    hits = mapping.map_within(own, null, reach)
+    hits = mapping.map_within(own, null, reach, ("percent",))
     ties = own.join(hits.select("oligo_id", "seq", F.explode("hits").alias("h")), ["oligo_id", "seq"])
-    ties = ties.select("oligo_id", "read_id", F.col("h.template").alias("variant"), F.col("h.indel").alias("indel")).join(null.select("oligo_id", F.col("template").alias("variant"), "percent"), ["oligo_id", "variant"])
+    ties = ties.select("oligo_id", "read_id", F.col("h.template").alias("variant"), F.col("h.indel").alias("indel"), "h.percent")
     chosen = mapping.resolved(ties.withColumn("_read", F.col("read_id")).withColumn("read_id", F.concat_ws("/", "oligo_id", "read_id")), seed)
     return chosen.groupBy("oligo_id", "indel", F.col("variant").alias("oligo_indel")).agg(F.count("*").alias("reads"))

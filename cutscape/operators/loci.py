@@ -24,14 +24,20 @@ def chosen_ids(guides: DataFrame, hits: DataFrame) -> DataFrame:
 
     One hit: that. Two: the first for `-`, the second for `+`. More: the first on the same strand whose distance is 16
     (`+`) or at most 50 (`-`). None: null.
+
+    A guide's hits are aggregated, not gathered. Hits come in the order of ord and wge_id.
     """
-    h = hits.select("oligo_id", F.struct("ord", "wge_id", F.col("start").alias("start"), F.col("strand").alias("strand")).alias("h"))
-    got = guides.join(h.groupBy("oligo_id").agg(F.sort_array(F.collect_list("h")).alias("h")), "oligo_id", "left")
-    n = F.coalesce(F.size("h"), F.lit(0))
-    apart = lambda x: F.abs(x["start"] - F.col("pos"))
-    fits = F.filter("h", lambda x: (x["strand"] == F.col("strand")) & F.when(F.col("strand") == "+", apart(x) == 16).otherwise(apart(x) <= 50))
-    place = F.when(n == 1, F.get("h", F.lit(0))).when(n == 2, F.get("h", F.when(F.col("strand") == "-", 0).otherwise(1))).when(n > 2, F.get(fits, F.lit(0)))
-    return got.select("oligo_id", place["wge_id"].alias("wge_id"))
+    h = hits.select("oligo_id", F.struct("ord", "wge_id").alias("_hit"), F.col("start").alias("_start"), F.col("strand").alias("_strand"))
+    apart = F.abs(F.col("_start") - F.col("pos"))
+    fits = (F.col("_strand") == F.col("strand")) & F.when(F.col("strand") == "+", apart == 16).otherwise(apart <= 50)
+    found = guides.select("oligo_id", "pos", "strand").distinct().join(h, "oligo_id").groupBy("oligo_id", "pos", "strand").agg(
+        F.count("*").alias("_n"), F.min("_hit").alias("_first"), F.max("_hit").alias("_last"), F.min(F.when(fits, F.col("_hit"))).alias("_near")
+    )
+    of_two = F.when(F.col("strand") == "-", F.col("_first")).otherwise(F.col("_last"))
+    chosen = F.when(F.col("_n") == 1, F.col("_first")).when(F.col("_n") == 2, of_two).otherwise(F.col("_near"))["wge_id"]
+    told = found.select(*(F.col(c).alias(f"_{c}") for c in ("oligo_id", "pos", "strand")), chosen.alias("wge_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("oligo_id", "pos", "strand")]
+    return guides.select("oligo_id", "pos", "strand").join(told, same, "left").select("oligo_id", "wge_id")
 
 
 def upserted(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

@@ -49,3 +49,10 @@ def test_profiles_are_read_once(spark):
         assert plan.count("FileScan") == 1
     full = catalog.queries()["full_pairwise"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert full.count("FileScan") <= 10
+
+
+@pytest.mark.parametrize(("name", "times"), [("map_reads", 1), ("exptargets", 1), ("endogenous_profiles", 2)])
+def test_pairs_are_aligned_once(spark, name, times):
+    """The filter on the score stays above the aligner; control templates are made once."""
+    plan = catalog.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == times
