@@ -132,16 +132,27 @@ def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return told.withColumn("_own", own).join(F.broadcast(starts), "_s").withColumn("place", F.col("_before") + F.col("_own")).drop("_d", "_s", "_own", "_before")
 
 
+#: Keys that are looked at for each range of an order.
+LOOKS = 32
+
+
 def numbered(rows: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
-    """rows with their place in an order, without a window over all: dealt out by range into a fixed number of partitions, a
-    place in each, and the partitions' counts before it. Rows alike in the order get places in any order."""
+    """rows with their place in an order, ascending, without a window over all: dealt out into a fixed number of ranges, a place
+    in each, and the ranges' counts before it. Rows alike in the order get places in any order.
+
+    The bounds are some of the keys, those with the least hashes, so they are the same each time that Spark makes the rows:
+    the counts and the places come from two passes, which range partitioning would cut at other, sampled bounds.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    at = at.withColumn("_part", F.shiftright("_at", 33).cast("int"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    keyed = rows.withColumn("_key", F.struct(*order))
+    some = keyed.select("_key", F.xxhash64("_key").alias("_hash")).orderBy("_hash", "_key").limit(LOOKS * n)
+    bounds = some.agg(F.array_sort(F.collect_list("_key")).alias("_bounds"))
+    bounds = bounds.select(F.filter("_bounds", lambda k, i: i % LOOKS == LOOKS - 1).alias("_bounds"))
+    at = keyed.crossJoin(F.broadcast(bounds)).withColumn("_part", F.size(F.filter("_bounds", lambda k: k < F.col("_key")))).drop("_bounds")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = at.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return at.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + own + first).drop("_at", "_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_key")).cast("long") - 1
+    return at.withColumn("_at", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at") + first).drop("_at", "_part", "_before", "_key")
 
 
 def mean_by_cell_line(rows: DataFrame, cell_line: Column, cols: list[str]) -> DataFrame:
