@@ -59,8 +59,8 @@ def short_inserts(targets: DataFrame, longest: int = 3) -> DataFrame:
     from cutscape.operators import targets as tg
 
     s, cut = F.col("seq"), F.col("cut_idx")
-    named = tg.insertions(targets, longest).select("oligo_id", "ins", "indel")
-    return named.hint("merge").join(targets.select("oligo_id", sq.base(s, cut - 1).alias("left_base"), sq.base(s, cut).alias("right_base")), "oligo_id")
+    told = targets.select("oligo_id", "seq", "cut_idx", sq.base(s, cut - 1).alias("left_base"), sq.base(s, cut).alias("right_base"))
+    return tg.placements(told, 0, longest, more=("left_base", "right_base")).select("oligo_id", "ins", "indel", "left_base", "right_base")
 
 
 def insert_shares(summary: DataFrame, of_inserts: bool = False, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

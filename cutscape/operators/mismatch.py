@@ -21,17 +21,24 @@ REPEAT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("left", "righ
 def longest_repeat(seqs: pd.Series) -> pd.DataFrame:
     """struct<left, right, size>: the longest stretch that stands in a sequence twice, at the smallest distance of several,
     the first there; -1, -1, 0 where there is none. Stretches may overlap; the distance leaves two letters at least."""
-    rows = []
-    for seq in seqs:
-        code = np.frombuffer((seq or "").encode(), np.uint8)
-        length = runs(code[:, None] == code[None, :])[0] if len(code) else np.zeros((0, 0), np.int64)
-        i, j = np.triu_indices(len(code), 1)
-        i, j = i[j - i < len(code) - 1], j[j - i < len(code) - 1]
-        best = length[i, j].max(initial=0)
-        at = [(int(y - x), int(x)) for x, y in zip(i[length[i, j] == best], j[length[i, j] == best])] if best else []
-        near, left = min(at, default=(0, -1))
-        rows.append((left, left + near, best))
-    return pd.DataFrame(rows, columns=["left", "right", "size"]).astype("int32")
+    out = np.tile(np.array([-1, -1, 0]), (len(seqs), 1))
+    same: dict[int, list[int]] = {}
+    text = [(s or "").encode() for s in seqs]
+    for k, t in enumerate(text):
+        same.setdefault(len(t), []).append(k)
+    for n, rows in same.items():
+        i, j = np.triu_indices(n, 1)
+        i, j = i[j - i < n - 1], j[j - i < n - 1]
+        order = np.lexsort((i, j - i))  # the nearest first
+        i, j = i[order], j[order]
+        for at in range(0, len(rows) if len(i) else 0, 64):
+            part = np.array(rows[at : at + 64])
+            code = np.frombuffer(b"".join(text[k] for k in part), np.uint8).reshape(-1, n)
+            length = runs(code[:, :, None] == code[:, None, :])[0][:, i, j]
+            best = length.argmax(1)
+            size = length[np.arange(len(part)), best]
+            out[part] = np.where((size > 0)[:, None], np.stack([i[best], j[best], size], 1), [-1, -1, 0])
+    return pd.DataFrame(out, columns=["left", "right", "size"]).astype("int32")
 
 
 def nearest(changed: DataFrame, originals: DataFrame, group: str = "comment") -> DataFrame:
