@@ -17,13 +17,18 @@ def indel_counts(reads: DataFrame) -> DataFrame:
 
 
 def _kept(summary: DataFrame, drop_long: bool) -> DataFrame:
-    """Rows that count, with _total, all reads of their oligo. Unedited reads and clean templates, the most of all, aren't parsed."""
+    """Rows that count, with _total, all reads of their oligo. Unedited reads and clean templates, the most of all, aren't parsed.
+
+    The test looks at the reads, which are there once rows are summed up: else Spark would move it below the sum, where it
+    parses the identifier of each single read, and makes it anew for each place at which the test names it.
+    """
     spans = ix.in_cut_span("indel")
     if drop_long:
         spans = spans & (ix.isize("indel") <= 30)
     rows = summary.withColumn("_total", F.sum("reads").over(Window.partitionBy(*KEY)))
     fits = F.when(F.col("indel") == "-", True).otherwise(spans) & F.when(F.col("oligo_indel") == "-", True).otherwise(ix.allowed_oligo_indel("oligo_indel"))
-    return rows.filter(F.col("indel").isNotNull() & F.col("oligo_indel").isNotNull()).filter(fits)
+    summed = F.coalesce("reads", F.lit(0)) >= 0
+    return rows.filter(F.when(summed, F.col("indel").isNotNull() & F.col("oligo_indel").isNotNull() & fits))
 
 
 def accepted_profile(summary: DataFrame, drop_long: bool = False) -> DataFrame:
