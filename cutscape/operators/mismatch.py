@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from cutscape.functions import indel as ix
 from cutscape.functions import sequence as sq
-from cutscape.operators.align import aligned
+from cutscape.operators.align import aligned, dealt_pairs
 from cutscape.operators.targets import runs
 
 
@@ -68,27 +70,35 @@ def expected_reads(pairs: DataFrame) -> DataFrame:
     )
 
 
-def counted(changed: DataFrame, originals: DataFrame, targets: DataFrame, profile: DataFrame, group: str = "comment", reach: int = 4) -> DataFrame:
+def counted(changed: DataFrame, originals: DataFrame, targets: DataFrame, profile: DataFrame | Callable, group: str = "comment", reach: int = 4) -> DataFrame:
     """The rows that shares() takes, from changed targets and their originals (see nearest()) in one plan.
 
     Each changed target meets its nearest original, the reads of the repeat's deletion are made, aligned with the target that
     they belong to (oligo_id, seq, cut_idx, reverse) and so named, and the profile's reads (oligo_id, indel, reads) of these
     names are counted, 0 where there are none. Totals are the edited reads. Targets whose original has no repeat, or whose
     deletion gets no name, are left out.
+
+    profile: a table, or where its rows are many more than the names that are asked for and can be told where they are made,
+    what makes of (oligo_id, asked), the names asked for of each target, the reads of these and the totals (oligo_id, total).
     """
-    rows = expected_reads(nearest(changed, originals, group)).filter("left >= 0")
+    rows = expected_reads(nearest(changed, originals, group)).withColumn("_x", F.explode(F.array(F.lit(0)))).filter("left >= 0").drop("_x")
     kinds = [("original", "original_id", F.col("original_read")), *((k, "oligo_id", F.col(f"{k}_read")) for k in ("left", "right"))]
     kinds += [(f"mixed{k + 1}", "oligo_id", F.get("mixed_reads", F.lit(k))["read"]) for k in (0, 1)]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(of).alias("of"), read.alias("read")) for k, of, read in kinds)))
     told = rows.select("oligo_id", each.alias("x")).select("oligo_id", "x.*").filter("read is not null")
     own = told.hint("merge").join(targets.select(F.col("oligo_id").alias("of"), F.col("seq").alias("target"), "cut_idx", "reverse"), "of")
-    named = own.withColumn("indel", aligned(F.col("target"), F.col("cut_idx"), F.col("reverse"), F.col("read"), reach)["indel"])
-    reads = profile.groupBy(F.col("oligo_id").alias("of"), "indel").agg(F.sum("reads").alias("reads"))
+    own = dealt_pairs(own, ["oligo_id"])
+    named = own.select("oligo_id", "kind", "of", "reverse", F.explode(F.array(aligned(F.col("target"), F.col("cut_idx"), F.col("reverse"), F.col("read"), reach)["indel"])).alias("indel"))
+    if callable(profile):
+        named = named.persist()  # asked for, and then counted
+        reads, total = profile(named.groupBy(F.col("of").alias("oligo_id")).agg(F.collect_set("indel").alias("asked")))
+    else:
+        reads, total = profile, profile.filter("indel <> '-'").groupBy("oligo_id").agg(F.sum("reads").alias("total"))
+    reads = reads.groupBy(F.col("oligo_id").alias("of"), "indel").agg(F.sum("reads").alias("reads"))
     with_reads = named.join(reads.hint("merge"), ["of", "indel"], "left")
     of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     n = [F.coalesce(of(k, "reads"), F.lit(0)).alias(f"{k}_reads") for k, *_ in kinds]
     got = with_reads.groupBy("oligo_id").agg(of("original", "indel").alias("indel"), of("original", "reverse").alias("reverse"), *n).filter("indel is not null")
-    total = profile.filter("indel <> '-'").groupBy("oligo_id").agg(F.sum("reads").alias("total"))
     out = rows.select("oligo_id", "original_id", "left_copy", "right_copy", "original_repeat").join(got.hint("merge"), "oligo_id").join(total.hint("merge"), "oligo_id")
     return out.join(total.select(F.col("oligo_id").alias("original_id"), F.col("total").alias("original_total")).hint("merge"), "original_id").drop("original_id")
 
