@@ -36,13 +36,17 @@ def control_templates(control: DataFrame, templates: DataFrame, least_percent: f
 def endogenous_summary(control: DataFrame, edited: DataFrame, templates: DataFrame, least_percent: float = 0.5, reach: int = 4, seed: int = 0) -> DataFrame:
     """(oligo_id, indel, oligo_indel, reads) of edited reads (oligo_id, read_id, seq), by control_templates().
 
-    Reads in which the template's ends aren't found, or that map to no template, are not counted. Null reads neither.
+    Reads in which the template's ends aren't found, or that map to no template, are not counted. Null reads neither. Each row
+    is a read: rows of one id and sequence make the same choice and count as many, and rows of one id that differ are
+    drawn apart. A template that is given twice is one.
     """
+    templates = templates.distinct()
     null = control_templates(control, templates, least_percent, reach)
     own = edited.join(templates.select("oligo_id", F.col("seq").alias("_template")), "oligo_id")
     own = own.select("oligo_id", "read_id", sq.trimmed_read(F.col("seq"), F.col("_template")).alias("seq")).filter(F.length("seq") > 0)
+    own = own.groupBy("oligo_id", "read_id", "seq").agg(F.count("*").alias("n"))
     hits = mapping.map_within(own, null, reach, ("percent",))
     ties = own.join(hits.select("oligo_id", "seq", F.explode("hits").alias("h")), ["oligo_id", "seq"])
-    ties = ties.select("oligo_id", "read_id", F.col("h.template").alias("variant"), F.col("h.indel").alias("indel"), "h.percent")
-    chosen = mapping.resolved(ties.withColumn("_read", F.col("read_id")).withColumn("read_id", F.concat_ws("/", "oligo_id", "read_id")), seed)
-    return chosen.groupBy("oligo_id", "indel", F.col("variant").alias("oligo_indel")).agg(F.count("*").alias("reads"))
+    ties = ties.select("oligo_id", "read_id", "seq", "n", F.col("h.template").alias("variant"), F.col("h.indel").alias("indel"), "h.percent")
+    chosen = mapping.resolved(ties.withColumn("read_id", F.concat_ws("/", "oligo_id", "read_id")), seed, ("oligo_id", "read_id", "seq"))
+    return chosen.groupBy("oligo_id", "indel", F.col("variant").alias("oligo_indel")).agg(F.sum("n").alias("reads"))
