@@ -119,10 +119,14 @@ def mh_top_per_oligo(spark, sf_dir):
 READ_SQL = "substr(seq, 1, 53 - l_linenumber) || substr(seq, 54 + cast(l_quantity as int) % 5)"
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = base.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "'Oligo' || cast(l_partkey as varchar(20)) as true_id")
-    told = lines.join(base.targets(spark, sf_dir).select(F.col("oligo_id").alias("true_id"), "seq"), "true_id")
-    return told.selectExpr("l_orderkey * 8 + l_linenumber as read_id", "true_id", f"{READ_SQL} as seq")
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "'Oligo' || cast(l_partkey as varchar(20)) as true_id", "l_orderkey * 8 + l_linenumber as read_id")
+
+
+def reads(spark: SparkSession, sf_dir: str, some: DataFrame | None = None) -> DataFrame:
+    """Reads of all lines(), or of some of them."""
+    told = (lines(spark, sf_dir) if some is None else some).join(base.targets(spark, sf_dir).select(F.col("oligo_id").alias("true_id"), "seq"), "true_id")
+    return told.selectExpr("read_id", "true_id", f"{READ_SQL} as seq")
 
 
 @query(WITH + f""", rd as (select distinct {READ_SQL} as seq from lineitem join targets on oligo_id = 'Oligo' || cast(l_partkey as varchar)),
@@ -138,9 +142,9 @@ def barcode_candidates(spark, sf_dir):
 @query(WITH + f" select l_orderkey * 8 + l_linenumber as read_id, seq2 as seq from (select l_orderkey, l_linenumber, {READ_SQL} as seq2 from lineitem join targets on oligo_id = 'Oligo' || cast(l_partkey as varchar)) where l_linenumber > 5")
 def missing_reads(spark, sf_dir):
     """Reads that an earlier append doesn't have yet."""
-    every = reads(spark, sf_dir)
+    every = lines(spark, sf_dir)
     there = base.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").selectExpr("l_orderkey * 8 + l_linenumber as read_id")
-    return every.join(there.distinct(), "read_id", "left_anti").select("read_id", "seq")
+    return reads(spark, sf_dir, every.join(there, "read_id", "left_anti")).select("read_id", "seq")
 
 
 def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
