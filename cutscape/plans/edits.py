@@ -74,8 +74,7 @@ def gen_insertions(spark, sf_dir):
 @query(WITH + DELETIONS.replace("named as", "dels as").replace("shifts", "shifts1").replace("caps", "caps1") + INSERTIONS + """, every_edit as (select * from dels union all select * from named)
 select oligo_id, indel, count(*) as n, arg_min(l, (l, r, length(ins), ins)) as first_left, arg_min(r, (l, r, length(ins), ins)) as first_right from every_edit group by all""")
 def gen_indels(spark, sf_dir):
-    got = tg.candidates(base.targets(spark, sf_dir))
-    return got.select("oligo_id", "indel", "n", F.col("places")[0]["l"].alias("first_left"), F.col("places")[0]["r"].alias("first_right"))
+    return tg.first_placements(base.targets(spark, sf_dir)).select("oligo_id", "indel", "n", F.col("l").alias("first_left"), F.col("r").alias("first_right"))
 
 
 MH = """, ij as (select oligo_id, seq, cut_idx, i::int as i, j::int as j from targets, (select unnest(range(0, 56)) as i), (select unnest(range(49, 79)) as j) where j > i),
