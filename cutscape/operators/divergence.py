@@ -17,13 +17,13 @@ MISSING = 0.5  # count of an indel that the other profile alone has
 def paired(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, oligo_id, indel, p, q): the two samples' reads side by side, null where one lacks the indel.
 
-    pairs: (a, b) of sample names, a small dimension. Only oligos that both samples have. Rows are unioned and grouped,
-    so each row is shuffled once for each pair it is in, without a full outer join.
+    pairs: (a, b) of sample names, a small dimension. Only oligos that both samples have. The profile is read once: each row
+    meets the pairs that its sample is in, and is shuffled only if profiles aren't dealt out by oligo (profile.by_oligo) yet.
     """
-    pairs = F.broadcast(pairs)
-    left = profile.join(pairs, profile["sample"] == pairs["a"]).select("a", "b", "oligo_id", "indel", F.col("reads").alias("p"), F.lit(None).cast("long").alias("q"))
-    right = profile.join(pairs, profile["sample"] == pairs["b"]).select("a", "b", "oligo_id", "indel", F.lit(None).cast("long").alias("p"), F.col("reads").alias("q"))
-    both = left.unionByName(right).groupBy("a", "b", "oligo_id", "indel").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    sides = pairs.select(F.col("a").alias("sample"), "a", "b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("sample"), "a", "b"))
+    of = lambda side: F.when(F.col("sample") == F.col(side), F.col("reads"))
+    met = profile.select("sample", "oligo_id", "indel", "reads").join(F.broadcast(sides), "sample")
+    both = met.select("a", "b", "oligo_id", "indel", of("a").alias("p"), of("b").alias("q")).groupBy("a", "b", "oligo_id", "indel").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     w = Window.partitionBy("a", "b", "oligo_id")
     return both.withColumn("_p", F.count("p").over(w)).withColumn("_q", F.count("q").over(w)).filter("_p > 0 and _q > 0").drop("_p", "_q")
 

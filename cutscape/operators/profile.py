@@ -11,6 +11,21 @@ from cutscape.functions import indel as ix
 KEY = ["sample", "oligo_id"]
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for a number of mapped reads: some 25,000 each, up to 200, the most that Spark writes a shuffle for without
+    holding its rows in memory; of up to 2 million each beyond."""
+    return max(1, min(-(-rows // 25_000), 200), -(-rows // 2_000_000))
+
+
+def by_oligo(reads: DataFrame, rows: int) -> DataFrame:
+    """Mapped reads dealt out by oligo, for a given number of rows.
+
+    Profiles and what is summed up by oligo are then made where the reads are, without another shuffle. The number of tasks
+    follows the rows: Spark puts shuffled bytes together, and those of names shrink to a small part of what they take in memory.
+    """
+    return reads.repartition(tasks_for(rows), "oligo_id")
+
+
 def indel_counts(reads: DataFrame) -> DataFrame:
     """Summary rows from mapped reads."""
     return reads.groupBy(*KEY, "indel", "oligo_indel").agg(F.count("*").alias("reads"))

@@ -51,7 +51,9 @@ PROFILE = PARSE + ", profile as (select sample, oligo_id, indel, cast(sum(reads)
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.accepted_profile(base.summary(spark, sf_dir))
+    """Profiles of all samples, dealt out by oligo; the number of reads is told by the file's footers."""
+    reads = pr.by_oligo(base.mapped(spark, sf_dir), base.table(spark, sf_dir, "lineitem").count())
+    return pr.accepted_profile(pr.indel_counts(reads))
 
 
 @query(PARSE + " select sample, oligo_id, indel, oligo_indel, reads, it as itype, sz as isize, l, r, c, i, d, split_part(indel, '_', 1) as class, sz - i - d as net_size, spans, allowed, cast(len(points) as integer) as n_points, cast(len(gaps) as integer) as n_gaps from ok")
