@@ -73,7 +73,8 @@ def mean_by_oligo(divergence: DataFrame, value: str) -> DataFrame:
 def median_matrix(divergence: DataFrame, value: str) -> DataFrame:
     """Median by pair of samples, both ways round."""
     med = divergence.groupBy("a", "b").agg(F.percentile(value, 0.5).alias("median"), F.count("*").alias("oligos"))
-    return med.unionByName(med.select(F.col("b").alias("a"), F.col("a").alias("b"), "median", "oligos"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return med.select(F.explode(ways).alias("_x"), "median", "oligos").select("_x.a", "_x.b", "median", "oligos")
 
 
 def pairwise_report(profile: DataFrame, pairs: DataFrame) -> DataFrame:
