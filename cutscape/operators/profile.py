@@ -46,9 +46,14 @@ def _kept(summary: DataFrame, drop_long: bool) -> DataFrame:
     return rows.filter(F.when(summed, F.col("indel").isNotNull() & F.col("oligo_indel").isNotNull() & fits))
 
 
+def accepted_rows(summary: DataFrame, drop_long: bool = False) -> DataFrame:
+    """(sample, oligo_id, indel, reads) of the accepted rows, an indel once for each oligo_indel; for what sums them up itself."""
+    return _kept(summary, drop_long).select(*KEY, "indel", "reads")
+
+
 def accepted_profile(summary: DataFrame, drop_long: bool = False) -> DataFrame:
     """(sample, oligo_id, indel, reads) of the accepted rows, without a wild-type control."""
-    return _kept(summary, drop_long).groupBy(*KEY, "indel").agg(F.sum("reads").alias("reads"))
+    return accepted_rows(summary, drop_long).groupBy(*KEY, "indel").agg(F.sum("reads").alias("reads"))
 
 
 def with_unedited(profile: DataFrame, summary: DataFrame) -> DataFrame:

@@ -50,10 +50,19 @@ parsed as (
 PROFILE = PARSE + ", profile as (select sample, oligo_id, indel, cast(sum(reads) as bigint) as reads from ok where spans and allowed group by all)"
 
 
+def dealt_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of all samples, dealt out by oligo; the number of reads is told by the file's footers."""
+    return pr.indel_counts(pr.by_oligo(base.mapped(spark, sf_dir), base.table(spark, sf_dir, "lineitem").count()))
+
+
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of all samples, dealt out by oligo; the number of reads is told by the file's footers."""
-    reads = pr.by_oligo(base.mapped(spark, sf_dir), base.table(spark, sf_dir, "lineitem").count())
-    return pr.accepted_profile(pr.indel_counts(reads))
+    """Profiles of all samples, dealt out by oligo."""
+    return pr.accepted_profile(dealt_out(spark, sf_dir))
+
+
+def to_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What paired() sums up to the profiles of accepted(), so that a task doesn't hold them twice."""
+    return pr.accepted_rows(dealt_out(spark, sf_dir))
 
 
 @query(PARSE + " select sample, oligo_id, indel, oligo_indel, reads, it as itype, sz as isize, l, r, c, i, d, split_part(indel, '_', 1) as class, sz - i - d as net_size, spans, allowed, cast(len(points) as integer) as n_points, cast(len(gaps) as integer) as n_gaps from ok")
@@ -137,7 +146,7 @@ c as (select x.oligo_id, """ + ", ".join(f"count(*) filter (greatest(x.place, y.
   from x join y using (oligo_id, indel) group by 1)
 select p.*, """ + ", ".join(f"coalesce(common_{k}, 0) as common_{k}" for k in (3, 5, 10)) + " from p left join c using (oligo_id)")
 def top_indels(spark, sf_dir):
-    got = dv.compare_tops(accepted(spark, sf_dir), spark.sql("select 'A' as a, 'N' as b")).drop("a", "b")
+    got = dv.compare_tops(to_pair(spark, sf_dir), spark.sql("select 'A' as a, 'N' as b")).drop("a", "b")
     named = {c: c.replace("_a_", "_x_").replace("_b_", "_y_") for c in got.columns}
     return got.select(*(F.round(c, 6).alias(n) if c.startswith("percent") else F.col(c) for c, n in named.items()))
 
@@ -163,7 +172,7 @@ kl as (select a, b, oligo_id, sum(pp * log2(pp / qq)) as kl, 0.5 * sum(pp * log2
 
 @query(KL.replace("{paired}", "paired") + " select a, b, oligo_id, round(kl, 6) as kl, round(symmetric_kl, 6) as symmetric_kl from kl")
 def symmetric_kl(spark, sf_dir):
-    return dv.kl(dv.paired(accepted(spark, sf_dir), pairs(spark))).select("a", "b", "oligo_id", dv.rounded("kl"), dv.rounded("symmetric_kl"))
+    return dv.kl(dv.paired(to_pair(spark, sf_dir), pairs(spark))).select("a", "b", "oligo_id", dv.rounded("kl"), dv.rounded("symmetric_kl"))
 
 
 def _class(source: str) -> str:
@@ -187,7 +196,7 @@ def topn_class_kl(spark, sf_dir):
  case when indel <> '-' and p is not null and q is not null then least(p * 100.0 / sum(p) filter (indel <> '-') over w, q * 100.0 / sum(q) filter (indel <> '-') over w) end as s
  from paired window w as (partition by a, b, oligo_id)) group by all""")
 def overlap(spark, sf_dir):
-    return dv.overlap(dv.paired(accepted(spark, sf_dir), pairs(spark))).select("a", "b", "oligo_id", dv.rounded("overlap"))
+    return dv.overlap(dv.paired(to_pair(spark, sf_dir), pairs(spark))).select("a", "b", "oligo_id", dv.rounded("overlap"))
 
 
 @query(PROFILE + """ select sample, oligo_id, round(coalesce(sum(-s * log2(s)), 0), 6) as entropy from (select sample, oligo_id,
@@ -204,7 +213,7 @@ def mean_pair_kl(spark, sf_dir):
 
 @query(KL.replace("{paired}", "paired") + ", m as (select a, b, round(quantile_cont(symmetric_kl, 0.5), 6) as median, count(*) as oligos from kl group by all) select * from m union all select b, a, median, oligos from m")
 def median_matrix(spark, sf_dir):
-    got = dv.median_matrix(dv.kl(dv.paired(accepted(spark, sf_dir), pairs(spark))), "symmetric_kl")
+    got = dv.median_matrix(dv.kl(dv.paired(to_pair(spark, sf_dir), pairs(spark))), "symmetric_kl")
     return got.select("a", "b", dv.rounded("median"), "oligos")
 
 
