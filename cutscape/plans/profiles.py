@@ -248,6 +248,6 @@ from rd left join kl using (a, b, oligo_id) left join ov using (a, b, oligo_id)
 left join h ha on ha.sample = a and ha.oligo_id = rd.oligo_id left join h hb on hb.sample = b and hb.oligo_id = rd.oligo_id
 left join fr fa on fa.sample = a and fa.oligo_id = rd.oligo_id left join fr fb on fb.sample = b and fb.oligo_id = rd.oligo_id""")
 def pairwise_report(spark, sf_dir):
-    got = dv.pairwise_report(accepted(spark, sf_dir), pairs(spark))
+    got = dv.pairwise_report(to_pair(spark, sf_dir), pairs(spark))
     keep = ("a", "b", "oligo_id", "edited_a", "edited_b")
     return got.select(*(F.col(c) if c in keep else dv.rounded(c) for c in got.columns))
