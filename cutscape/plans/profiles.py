@@ -207,7 +207,7 @@ def entropy(spark, sf_dir):
 
 @query(KL.replace("{paired}", "paired") + " select oligo_id, round(avg(symmetric_kl), 6) as mean_symmetric_kl, count(*) as pairs from kl group by 1")
 def mean_pair_kl(spark, sf_dir):
-    got = dv.mean_by_oligo(dv.kl(dv.paired(accepted(spark, sf_dir), pairs(spark))), "symmetric_kl")
+    got = dv.mean_by_oligo(dv.kl(dv.paired(to_pair(spark, sf_dir), pairs(spark))), "symmetric_kl")
     return got.select("oligo_id", dv.rounded("mean_symmetric_kl"), "pairs")
 
 
