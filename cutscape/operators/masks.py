@@ -94,7 +94,7 @@ class Weights:
         return [np.concatenate([bit_table(k) @ w[a : a + k] for w in weights]) for a, k in chunks(weights.shape[1])]
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _weights_of(theta: bytes) -> Weights:
     return Weights(np.frombuffer(theta))
 
@@ -260,11 +260,11 @@ def _inserted(e: tg.Edits, fresh: np.ndarray, some: int, width: int, before: np.
 
 
 class Counts:
-    """Numbers of edits that have each feature, of several stacks."""
+    """Numbers of edits that have each feature, of several stacks; or sums of numbers that the edits are given (kind float)."""
 
-    def __init__(self) -> None:
-        kinds = len(KINDS)
-        hist = lambda n, width: [np.zeros(n << k, np.int64) for _, k in chunks(width)]
+    def __init__(self, kind: type = np.int64) -> None:
+        self.kind, kinds = kind, len(KINDS)
+        hist = lambda n, width: [np.zeros(n << k, kind) for _, k in chunks(width)]
         self.by_size = {name: hist(kinds, len(of)) for name, (_, of) in MASKS.items()}
         self.by_place = {name: hist(LEFTS + RIGHTS + 1, len(MASKS[name][1])) for name in ("near", "repeat")}
         self.sizes = np.zeros(kinds)
@@ -273,31 +273,34 @@ class Counts:
         self.around_repeat = {g: np.zeros((len(md.LABELS[g]), 5)) for g in self.around}
         self.insert, self.new, self.repeat = np.zeros((21, 5)), np.zeros(3), np.zeros(5)
 
-    def add(self, m: Masks) -> None:
-        many = len(m.around["CutSeq"])
+    def add(self, m: Masks, given: np.ndarray | None = None) -> None:
+        """given: a number for each edit; 1 if there are none."""
+        many, kinds, new = len(m.around["CutSeq"]), len(KINDS), m.new
+        mine, own_new = (None, None) if given is None else (given[m.deletes], given[~m.deletes])
+        spread = lambda x, first, n: None if x is None else np.repeat(x, np.diff(np.append(first, n)))
         for name, mask in m.of.items():
-            self._add(self.by_size[name], m.size, mask, len(MASKS[name][1]))
-        for _, bin_, masks in m.stretches:
+            self._add(self.by_size[name], m.size, mask, len(MASKS[name][1]), mine)
+        for first, bin_, masks in m.stretches:
+            part = spread(mine, first, len(bin_))
             for name, mask in masks.items():
-                self._add(self.by_place[name], bin_, mask, len(MASKS[name][1]))
-        kinds, new = len(KINDS), m.new
-        own = np.bincount(m.owner * kinds + m.size, minlength=many * kinds).reshape(many, kinds)
+                self._add(self.by_place[name], bin_, mask, len(MASKS[name][1]), part)
+        own = np.bincount(m.owner * kinds + m.size, mine, minlength=many * kinds).reshape(many, kinds)
         self.sizes += own.sum(0)
-        made = np.bincount(new.owner * 3 + new.size, minlength=many * 3).reshape(many, 3)
+        made = np.bincount(new.owner * 3 + new.size, own_new, minlength=many * 3).reshape(many, 3)
         told = np.zeros((many, 5))
-        np.add.at(told, new.owner, new.kinds)
+        np.add.at(told, new.owner, new.kinds if own_new is None else new.kinds * own_new[:, None])
         for g, x in m.around.items():
             self.around[g] += x.T @ own
             self.around_new[g] += x.T @ made
             self.around_repeat[g] += x.T @ told
-        self.insert += np.bincount(new.insert * 5 + new.repeat, minlength=105).reshape(21, 5)
+        self.insert += np.bincount(new.insert * 5 + new.repeat, spread(own_new, new.first, len(new.insert)), minlength=105).reshape(21, 5)
         self.new += made.sum(0)
         self.repeat += told.sum(0)
 
     @staticmethod
-    def _add(hists: list[np.ndarray], kind: np.ndarray, mask: np.ndarray, width: int) -> None:
+    def _add(hists: list[np.ndarray], kind: np.ndarray, mask: np.ndarray, width: int, given: np.ndarray | None) -> None:
         for hist, (a, k) in zip(hists, chunks(width)):
-            hist += np.bincount((kind << k) + (mask >> a & (1 << k) - 1), minlength=len(hist))
+            hist += np.bincount((kind << k) + (mask >> a & (1 << k) - 1), given, minlength=len(hist))
 
     @staticmethod
     def _bits(hists: list[np.ndarray], width: int) -> np.ndarray:
@@ -336,7 +339,7 @@ class Counts:
         put(self.insert[:20].sum(1), "InsSeq")
         put(self.insert[:20, :4], "InsSeq", "InsRpt")
         put(np.array([self.new.sum(), 0, 0, 0, 0]), "InsLoc")
-        return total.astype(np.int64)
+        return total.astype(self.kind)
 
 
 def target_masks(batch: pa.RecordBatch, deletion: int, insert: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, Masks]]:
