@@ -142,19 +142,27 @@ def merged_mismatches(a: Column, b: Column) -> Column:
 def trimmed_read(read: Column, template: Column) -> Column:
     """The stretch of a read from the template's first 20 letters to its last 20; empty if either is not found.
 
-    Exact ends first; else ten letters of an end, at which the twenty may differ in two.
+    Exact ends first; else ten letters of an end, at which the twenty may differ in two: where these stand first, or else at the
+    first of their other places that fits.
     """
     n = F.length(template)
     head, tail = F.substring(template, F.lit(1), F.lit(20)), template.substr(F.greatest(n - 19, F.lit(1)), F.lit(20))
     find = lambda x: F.coalesce(F.instr(read, x), F.lit(0)) - 1
     near = lambda at, end: (at >= 0) & (hamming(end, F.substring(read, at + 1, F.lit(20))) <= 2)
 
-    def place(end: Column, tries: tuple[Column, Column]) -> Column:
-        one, two = tries
-        return F.when(find(end) >= 0, find(end)).when(near(one, end), one).when(near(two, end), two).otherwise(-1)
-
-    start = place(head, (find(F.substring(template, F.lit(1), F.lit(10))), find(F.substring(template, F.lit(11), F.lit(10))) - 10))
-    stop = place(tail, (find(template.substr(n - 9, F.lit(10))) - 10, find(template.substr(n - 19, F.lit(10)))))
+    def place(end: Column, *tries: tuple[Column, int]) -> Column:
+        """tries: ten letters, and where in the end they stand."""
+        found = F.when(find(end) >= 0, find(end))
+        for word, at in tries:
+            found = found.when(near(find(word) - at, end), find(word) - at)
+        every = F.sequence(F.lit(0), F.greatest(F.length(read) - 10, F.lit(0)))
+        fits = lambda word, at: lambda p: (F.substring(read, p + 1, F.lit(10)) == word) & near(p - at, end)
+        others = [F.get(F.filter(every, fits(word, at)), F.lit(0)) - at for word, at in tries]
+        return found.otherwise(F.coalesce(*others, F.lit(-1)))
+
+    ten = lambda start: template.substr(start, F.lit(10))
+    start = place(head, (ten(F.lit(1)), 0), (ten(F.lit(11)), 10))
+    stop = place(tail, (ten(n - 9), 10), (ten(n - 19), 0))
     return F.when((start >= 0) & (stop >= 0), part(read, start, stop + 20)).otherwise("")
 
 
